@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tagtally.llm._common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tagtally.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagtally.llm.jaccard_join import jaccard_components
 
