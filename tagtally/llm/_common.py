@@ -30,6 +30,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def trim() -> None:
+    """Give freed memory of a worker back to the system; workers live on and share an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if give is not None:
+        give(0)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width integers as byte planes, so that a codec sees the slowly changing high bytes together."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
