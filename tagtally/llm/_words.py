@@ -80,8 +80,20 @@ class Words:
         s = np.flatnonzero(starts)
         return s, np.flatnonzero(ends) + 1, np.searchsorted(s, offsets)
 
-    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def beginnings(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the first ``size`` bytes of all words, in the order of ``words``."""
+        prints, i, most = [np.zeros(0, np.uint64)], 0, 1 << 20
+        while i < len(offsets) - 1:
+            j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
+            j = min(max(j, i + 1), len(offsets) - 1)
+            prints.append(self._words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)[0])
+            i = j
+        return np.concatenate(prints)
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         s, e, bounds = self.spans(data, offsets)
+        if size is not None:
+            e = np.minimum(e, s + size)
         n = len(data)
         self._tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)

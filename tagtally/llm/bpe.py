@@ -61,6 +61,13 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
 
+    @classmethod
+    def of(cls, state: dict) -> "Vocabulary":
+        """A vocabulary from the plain ``vars`` of another, which travel without this module."""
+        made = cls.__new__(cls)
+        vars(made).update(state)
+        return made
+
 
 def merge_rounds(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one array, and where each word's begin (one entry more)."""
@@ -187,11 +194,11 @@ def _batches(column: pa.Array, most: int = 4 << 20):
 
 
 def _applied(docs: DataFrame, path: str, text_column: str, keep: list[str], schema: str, with_ids: bool) -> DataFrame:
-    table = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    table = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches):
-        v = table.value
+        v = Vocabulary.of(table.value)
         encoder, decoder = Encoder(v), Decoder(v)
         for batch in batches:
             column, done = batch.column(batch.schema.get_field_index(text_column)), 0
@@ -225,10 +232,10 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_column: str = "text
 
 def decode(rows: DataFrame, path: str, ids_column: str = "ids", out_column: str = "text") -> DataFrame:
     """Rows with the text of their packed ids in ``out_column`` (a null stays null)."""
-    table = rows.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    table = rows.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
 
     def run(batches):
-        decoder = Decoder(table.value)
+        decoder = Decoder(Vocabulary.of(table.value))
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_column))
             texts = pa.array([None if x is None else decoder.decode(x) for x in ids.to_pylist()], pa.string())

@@ -6,10 +6,10 @@ and two linked sets share a token of their prefixes, whichever order it is. The
 
 1. counts in how many sets each token occurs (over all texts, tokens dealt out by range in packed arrays);
 2. drops sets of which more tokens are unique than a link allows: they have no partner;
-3. links near copies to the smallest set that shares their least token under three hash orders, and verifies;
-4. lists, for the rare-first order, the prefix tokens that still lie in two different classes, joins on them
-   with length and position bounds, and keeps the pairs that also share a prefix token under the two other
-   orders before it verifies them by intersecting the sets;
+3. in two rounds links, for each prefix token of the rare-first order, one member of each class found so far to
+   a hub of the token, and verifies: large groups of near copies become one class by a linear number of pairs;
+4. joins on the prefix tokens that still lie in two classes, by length, position and parity-map bounds, keeps the
+   pairs that also share a prefix token under two other orders, and verifies them by intersecting the sets;
 5. contracts the verified links to components.
 
 Equal sets are one node, so copies cost nothing after the first stage. Tokens that are very frequent in some
@@ -26,18 +26,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import connected_components, durable, planes, shuffle_width, text_slices, unplanes
+from tagtally.llm._common import connected_components, durable, planes, shuffle_width, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 #: Entries of the table of frequent tokens (8 + 4 bytes each) and the share of a batch's texts that makes one.
 FREQUENT_MOST, FREQUENT_SHARE, FREQUENT_LEAST = 100_000, 0.005, 24
 
-_CHUNK = "part int, home int, kind int, a binary, b binary, c binary"
+_CHUNK = "part int, home int, kind int, bid long, a binary, b binary, c binary, d binary"
 _DOC, _KEY, _ENTRY, _TOKEN, _ANON = 0, 1, 2, 3, 4
-_SETS = "kind int, doc_id long, n int, key long, pre int, toks array<long>, pre2 array<long>, pre3 array<long>, least array<long>"
+_SETS = "kind int, doc_id long, n int, key long, pre int, toks array<long>, pre2 array<long>, pre3 array<long>, parity array<long>"
+
+#: Bits of a set's parity map. The number of places where two maps differ never exceeds the number of tokens
+#: that only one of the sets has, so a pair whose maps differ too much cannot link.
+PARITY_BITS = 1024
+
+#: Rounds that link one member of each class to a hub of the token before all pairs between classes are looked at.
+HUB_ROUNDS = 2
 
 
 def _sets(batches, id_column: str, text_column: str, width: int):
@@ -47,10 +54,11 @@ def _sets(batches, id_column: str, text_column: str, width: int):
         ids = batch.column(batch.schema.get_field_index(id_column))
         missing = ids.is_null().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-        for first, data, offsets in text_slices(batch, text_column):
+        for first, data, offsets in text_slices(batch, text_column, 3 << 20):
             h, bounds = words.words(data, offsets)
             last = first + len(offsets) - 1
             yield ids[first:last], missing[first:last], words.shingles(h, bounds, width)
+        trim()
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -88,6 +96,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
     parts = 4 * homes
     often, places = _frequent(docs, id_column, text_column, width)
     table = spark.sparkContext.broadcast((often, places))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
     def scatter(batches):
         often, places = table.value
@@ -102,79 +111,91 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
                     new.setdefault(k, s)
             out = []
 
-            def add(part, home, kind, a, b=b"", c=b""):
-                out.append((int(part), int(home), kind, a, b, c))
+            def add(part, home, kind, bid, a, b=b"", c=b"", d=b""):
+                out.append((int(part), int(home), kind, int(bid), a, b, c, d))
 
-            salt = int(keys[0] % np.uint64(parts)) if len(keys) else 0
+            names = np.sort(np.fromiter(new, np.uint64, len(new)))
+            home = (names % np.uint64(homes)).astype(np.int64)
+            turn = np.argsort(home, kind="stable")
+            names, home = names[turn], home[turn]
+            edge = np.searchsorted(home, np.arange(homes + 1))
+            index = (np.arange(len(names)) - edge[home]).astype(np.uint32)  # of a set among those of its home
+            bid = int(mix(np.array([int((mix(keys) * np.arange(1, len(keys) + 1, dtype=np.uint64)).sum()) ^ int(ids[0])], np.uint64)).view(np.int64)[0])
+            salt = bid % parts
             for kind, mask in ((_DOC, ~missing), (_ANON, missing)):
                 for k in range(0, int(mask.sum()), 2048):
                     pick = np.flatnonzero(mask)[k : k + 2048]
-                    add(salt, (salt + k) % homes, kind, planes(ids[pick]), planes(sizes[pick]), planes(keys[pick]))
-            if new:
-                names = np.fromiter(new, np.uint64, len(new))
-                lengths = np.array([len(s) for s in new.values()], np.int32)
-                home = (names % np.uint64(homes)).astype(np.int64)
-                for h in np.unique(home):
-                    pick = home == h
-                    add(h % parts, h, _KEY, planes(names[pick]), planes(lengths[pick]))
-                tokens, owner = np.concatenate(list(new.values())), np.repeat(names, lengths)
+                    add(salt, (salt + k) % homes, kind, bid, planes(ids[pick]), planes(sizes[pick]), planes(keys[pick]))
+            if len(names):
+                held = [new[k] for k in names.tolist()]
+                lengths = np.array([len(s) for s in held], np.int32)
+                for h in np.flatnonzero(np.diff(edge)):
+                    own = slice(edge[h], edge[h + 1])
+                    add(h % parts, h, _KEY, bid, planes(names[own]), planes(lengths[own]))
+                tokens, owner = np.concatenate(held), np.repeat(np.arange(len(names), dtype=np.int32), lengths)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     known = often[at] == tokens
                     k_tokens, k_owner, k_place = tokens[known], owner[known], places[at[known]]
-                    home = (k_owner % np.uint64(homes)).astype(np.int64)
-                    turn = np.argsort(home, kind="stable")
-                    edge = np.searchsorted(home[turn], np.arange(homes + 1))
-                    for h in np.flatnonzero(np.diff(edge)):
-                        pick = turn[edge[h] : edge[h + 1]]
-                        add(h % parts, h, _ENTRY, planes(k_owner[pick]), planes(k_tokens[pick]), planes(k_place[pick]))
+                    cut = np.searchsorted(k_owner, edge)  # owners stand by home
+                    for h in np.flatnonzero(np.diff(cut)):
+                        own = slice(cut[h], cut[h + 1])
+                        add(h % parts, h, _ENTRY, bid, planes(k_tokens[own]), planes(k_place[own]), planes(index[k_owner[own]]), planes(np.full(cut[h + 1] - cut[h], bid)))
                     tokens, owner = tokens[~known], owner[~known]
                 turn = np.argsort(tokens)
                 tokens, owner = tokens[turn], owner[turn]
                 span = 2**64 // parts + 1
-                edge = np.searchsorted(tokens, np.array([min(p * span, 2**64 - 1) for p in range(parts)], np.uint64)).tolist() + [len(tokens)]
-                for p in range(parts):
-                    if edge[p + 1] > edge[p]:
-                        add(p, 0, _TOKEN, planes(tokens[edge[p] : edge[p + 1]]), planes(owner[edge[p] : edge[p + 1]]))
+                cut = np.searchsorted(tokens, np.array([min(p * span, 2**64 - 1) for p in range(parts)], np.uint64)).tolist() + [len(tokens)]
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    own = slice(cut[p], cut[p + 1])
+                    add(p, 0, _TOKEN, bid, planes(tokens[own]), planes(home[owner[own]].astype(np.uint32)), planes(index[owner[own]]))
             for k in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 64]], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "home", "kind", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 64]], t) for i, t in enumerate(kinds)], ["part", "home", "kind", "bid", "a", "b", "c", "d"])
 
     def count(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_numpy()
-        passed = group.filter(pa.array(kinds != _TOKEN)).select(["home", "kind", "a", "b", "c"])
-        own = group.filter(pa.array(kinds == _TOKEN))
+        which = group["kind"].to_numpy()
+        passed = group.filter(pa.array(which != _TOKEN)).select(["home", "kind", "bid", "a", "b", "c", "d"])
+        own = group.filter(pa.array(which == _TOKEN))
         rows: list[tuple] = []
         if own.num_rows:
-            tokens = np.concatenate([unplanes(x.as_py(), np.uint64) for x in own["a"]])
-            owner = np.concatenate([unplanes(x.as_py(), np.uint64) for x in own["b"]])
-            turn = np.lexsort((owner, tokens))
-            tokens, owner = tokens[turn], owner[turn]
-            once = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
-            tokens, owner = tokens[once], owner[once]
-            sizes = np.diff(_runs(tokens))
+            lists = [[unplanes(x.as_py(), t) for x in own[c]] for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32))]
+            tokens, home, index = map(np.concatenate, lists)
+            bids = np.repeat(own["bid"].to_numpy(), [len(x) for x in lists[0]])
+            turn = np.argsort(tokens)
+            sizes = np.diff(_runs(tokens[turn]))
             often = np.repeat(sizes, sizes).astype(np.int32)
             shared = often > 1
-            tokens, owner, often = tokens[shared], owner[shared], often[shared]
-            home = (owner % np.uint64(homes)).astype(np.int64)
-            turn = np.argsort(home, kind="stable")
-            edge = np.searchsorted(home[turn], np.arange(homes + 1))
-            for h in np.flatnonzero(np.diff(edge)):
-                pick = turn[edge[h] : edge[h + 1]]
-                rows.append((int(h), _ENTRY, planes(owner[pick]), planes(tokens[pick]), planes(often[pick])))
-        made = pa.Table.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["home", "kind", "a", "b", "c"])
+            turn, often = turn[shared], often[shared]
+            tokens, home, index, bids = tokens[turn], home[turn], index[turn], bids[turn]
+            turn = np.lexsort((index, bids, home))
+            edge = _runs(home[turn])
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                pick = turn[lo:hi]
+                if hi > lo:
+                    rows.append((int(home[pick[0]]), _ENTRY, 0, planes(tokens[pick]), planes(often[pick]), planes(index[pick]), planes(bids[pick])))
+        made = pa.Table.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds[1:])], ["home", "kind", "bid", "a", "b", "c", "d"])
         return pa.concat_tables([passed.cast(made.schema), made])
 
     def gather(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_numpy()
-        a, b, c = (group[x].to_pylist() for x in "abc")
-        part = lambda column, kind, dtype: np.concatenate([unplanes(column[i], dtype) for i in np.flatnonzero(kinds == kind)] or [np.zeros(0, dtype)])
+        which = group["kind"].to_numpy()
+        a, b, c, d = (group[x].to_pylist() for x in "abcd")
+        part = lambda column, kind, dtype: np.concatenate([unplanes(column[i], dtype) for i in np.flatnonzero(which == kind)] or [np.zeros(0, dtype)])
         ids, anon = part(a, _DOC, np.int64), part(a, _ANON, np.int64)
         sizes, keys = np.r_[part(b, _DOC, np.int32), part(b, _ANON, np.int32)], np.r_[part(c, _DOC, np.uint64), part(c, _ANON, np.uint64)]
-        names, first = np.unique(part(a, _KEY, np.uint64), return_index=True)
+        # Where an entry says (batch, index), the batch's list of sets has the key.
+        heads = np.flatnonzero(which == _KEY)
+        lists = [unplanes(a[i], np.uint64) for i in heads]
+        listed, begin = np.concatenate(lists or [np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
+        head_bids = group["bid"].to_numpy()[heads]
+        turn = np.argsort(head_bids)
+        bids = part(d, _ENTRY, np.int64)
+        place = turn[np.searchsorted(head_bids[turn], bids)] if len(bids) else np.zeros(0, np.int64)
+        owner = listed[begin[place] + part(c, _ENTRY, np.uint32)]
+        names, first = np.unique(listed, return_index=True)
         lengths = part(b, _KEY, np.int32)[first]
-        owner, tokens, often = part(a, _ENTRY, np.uint64), part(b, _ENTRY, np.uint64), part(c, _ENTRY, np.int32)
+        tokens, often = part(a, _ENTRY, np.uint64), part(b, _ENTRY, np.int32)
         turn = np.lexsort((tokens, often, owner))
-        owner, tokens, often = owner[turn], tokens[turn], often[turn]
+        owner, tokens = owner[turn], tokens[turn]
         if len(owner):
             once = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
             owner, tokens = owner[once], tokens[once]
@@ -182,70 +203,101 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         need = -(-lengths.astype(np.int64) * percent // 100)
         alive = np.flatnonzero(hi - lo >= need)
         tokens2, tokens3 = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), mix(tokens ^ np.uint64(0x14057B7EF767814F))
-        lists: list[list] = [[], [], [], []]
+        made: list[list] = [[], [], [], []]
         pres = []
         for i in alive.tolist():
             own = slice(lo[i], hi[i])
             pre = int(hi[i] - lo[i] - need[i] + 1)
             pres.append(pre)
-            t, t2, t3 = tokens[own], tokens2[own], tokens3[own]
-            lists[0].append(t.view(np.int64))
-            lists[1].append(np.sort(t2)[:pre].view(np.int64))
-            lists[2].append(np.sort(t3)[:pre].view(np.int64))
-            lists[3].append(np.array([t.min(), t2.min(), t3.min()], np.uint64).view(np.int64))
+            made[0].append(tokens[own].view(np.int64))
+            made[1].append(np.sort(tokens2[own])[:pre].view(np.int64))
+            made[2].append(np.sort(tokens3[own])[:pre].view(np.int64))
+            odd = np.bincount((tokens2[own] >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+            made[3].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         n, m = len(ids) + len(anon), len(alive)
         null = lambda k, kind: pa.nulls(k, kind)
-        listed = pa.list_(pa.int64())
-        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), null(n, pa.int32()), *[null(n, listed)] * 4]
-        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), pa.array(pres, pa.int32()), *[pa.array(x, listed) for x in lists]]
-        columns = ["kind", "doc_id", "n", "key", "pre", "toks", "pre2", "pre3", "least"]
+        longs = pa.list_(pa.int64())
+        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), null(n, pa.int32()), *[null(n, longs)] * 4]
+        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), pa.array(pres, pa.int32()), *[pa.array(x, longs) for x in made]]
+        columns = ["kind", "doc_id", "n", "key", "pre", "toks", "pre2", "pre3", "parity"]
         return pa.concat_tables([pa.Table.from_arrays(docs_out, columns), pa.Table.from_arrays(keys_out, columns)])
 
     return durable(
         docs.select(id_column, text_column).mapInArrow(scatter, _CHUNK)
-        .repartition(parts, "part").groupBy("part").applyInArrow(count, "home int, kind int, a binary, b binary, c binary")
+        .repartition(parts, "part").groupBy("part").applyInArrow(count, "home int, kind int, bid long, a binary, b binary, c binary, d binary")
         .repartition(homes, "home").groupBy("home").applyInArrow(gather, _SETS)
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
-    """Of pairs (u, v) of keys those whose sets link."""
-    columns = ["key", "n", "toks", "pre2", "pre3"] if filtered else ["key", "n", "toks"]
-    a = sets.select(*[F.col(c).alias(f"{c}_a") for c in columns])
-    b = sets.select(*[F.col(c).alias(f"{c}_b") for c in columns])
-    both = pairs.join(a, F.col("u") == F.col("key_a")).join(b, F.col("v") == F.col("key_b"))
-    both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    if filtered:
-        both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
+#: Whether the parity maps of two sets allow a link; what only one set has and nobody else shares counts as it is.
+_NEAR = """(n_a - s_a) + (n_b - s_b) + aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)
+    <= n_a + n_b - 2 * cast(ceil({percent} * cast(n_a + n_b as long) / {whole}) as int)"""
+
+
+def _sided(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) of keys those whose sets link: the filters of all orders first, then the intersection."""
+    brief = sets.withColumn("s", F.size("toks"))
+    columns = ["key", "n", "s", "parity"]
+    near = pairs.join(_sided(brief, "a", columns), F.col("u") == F.col("key_a")).join(_sided(brief, "b", columns), F.col("v") == F.col("key_b"))
+    near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_NEAR.format(percent=percent, whole=100 + percent)).select("u", "v")
+    columns = ["key", "n", "toks", "pre2", "pre3"]
+    both = durable(near).join(_sided(sets, "a", columns), F.col("u") == F.col("key_a")).join(_sided(sets, "b", columns), F.col("v") == F.col("key_b"))
+    both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
-    return both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v")
+    return durable(both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v"))
+
+
+def _labelled(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return rows.withColumn("label", F.col("key"))
+    return rows.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _mixed(posted: DataFrame) -> DataFrame:
+    """The postings of tokens that still lie in two classes."""
+    tokens = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    return posted.join(tokens, "token", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
     rows = _prepared(docs, id_column, text_column, width, percent)
     texts = rows.where("kind = 0").select("doc_id", "n", "key")
-    sets = rows.where("kind = 1").select("key", "n", "pre", "toks", "pre2", "pre3", "least")
-
-    stars = sets.select("key", F.posexplode("least").alias("order", "token"))
-    hubs = stars.groupBy("order", "token").agg(F.min("key").alias("v"), F.count("*").alias("m")).where("m > 1")
-    stars = stars.join(hubs, ["order", "token"]).where("key <> v").select(F.col("key").alias("u"), "v").distinct()
-    links = durable(_verified(stars, sets, percent, False))
-    classes = connected_components(links)
-
-    held = sets.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    posted = durable(held.select("key", "n", "label", F.size("toks").alias("s"), F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token")))
-    mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    posted = posted.join(mixed, "token", "left_semi")
-    a = posted.select("token", F.col("key").alias("u"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), (F.col("s") - F.col("pos")).alias("r_a"))
-    b = posted.select("token", F.col("key").alias("v"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), (F.col("s") - F.col("pos")).alias("r_b"))
-    bound = f"{100 + percent} * cast(least(r_a, r_b) as long) >= {percent} * cast(n_a + n_b as long)"
-    pairs = a.join(b, "token").where(f"l_a < l_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {bound}").select("u", "v").distinct()
-    links = links.union(_verified(pairs, sets, percent, True))
-    classes = connected_components(links)
+    sets = rows.where("kind = 1").select("key", "n", "pre", "toks", "pre2", "pre3", "parity")
+
+    posted = sets.select("key", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
+    links = classes = None
+    for round_ in range(HUB_ROUNDS):
+        # Of each class of a token one member, of the token one hub; both vary from token to token.
+        turn = F.struct(F.xxhash64("key", "token", F.lit(round_)).alias("h"), F.col("key").alias("k"))
+        each = _labelled(posted.select("token", "key"), classes).groupBy("token", "label").agg(F.min(turn).alias("one"))
+        hubs = each.groupBy("token").agg(F.min(F.struct(F.col("one.h").alias("h"), F.col("one.k").alias("v"), F.col("label").alias("l"))).alias("hub"), F.count("*").alias("m")).where("m > 1")
+        edges = each.join(hubs, "token").where("label <> hub.l").select(F.col("one.k").alias("u"), F.col("hub.v").alias("v"))
+        # A member tries few hubs: those that most of its tokens name.
+        tries = Window.partitionBy("u").orderBy(F.desc("m"), F.xxhash64("u", "v"))
+        edges = edges.groupBy("u", "v").agg(F.count("*").alias("m")).withColumn("at", F.row_number().over(tries)).where("at <= 4").select("u", "v")
+        found = _verified(edges, sets, percent)
+        links = found if links is None else links.union(found)
+        classes = connected_components(links)
+
+    # Every pair of sets of different classes that shares a prefix token, the smaller set by its shorter index prefix.
+    rich = sets.select("key", "n", F.size("toks").alias("s"), "parity", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
+    rich = durable(_mixed(_labelled(rich, classes)))
+    columns = ["key", "n", "s", "pos", "label", "parity"]
+    smaller = rich.where(f"pos <= s - ceil(2 * {percent} * cast(n as long) / {100 + percent})")
+    a = smaller.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = rich.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
+    bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
+    pairs = a.join(b, "token").where(f"label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b and {bound} and " + _NEAR.format(percent=percent, whole=100 + percent))
+    pairs = pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
+    classes = connected_components(links.union(_verified(pairs, sets, percent)))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")
-    named = named.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = _labelled(named, classes)
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "label").select("key", "component_id")
     out = texts.join(named, "key", "left")

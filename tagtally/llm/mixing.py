@@ -116,7 +116,7 @@ def _split(quotas: DataFrame, seed: int, shards: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("x")).select(F.col("x.s").alias("source"), "shard", F.col("x.n").alias("n"))
 
 
-def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, shards: int = SHARDS, with_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(documents, drawn)``.
 
     ``documents``: row_id, doc_id, source, size, source_size, target. ``drawn``: one row for each time that a
@@ -164,7 +164,7 @@ def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     cut = cut.withColumn("words", F.greatest(F.least("size", "room"), F.lit(0))).where("words > 0").drop("room")
     full = taken.where("left is null").withColumn("words", F.col("size"))
     taken = full.unionByName(cut).select("row_id", "doc_id", "pass", "shard", F.xxhash64(F.lit(seed + 3), "shard", "pass", "h", "row_id").alias("position"), F.col("words").cast("long").alias("words"))
-    return documents.select("row_id", "doc_id", "source", "size", "source_size", "target"), taken
+    return documents.select("row_id", "doc_id", "h", "source", "size", "source_size", "target"), taken.join(rows.select("row_id", "h"), "row_id") if with_hash else taken
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -173,3 +173,23 @@ def report(docs: DataFrame, **options) -> DataFrame:
     taken = drawn.groupBy("row_id").agg(F.sum("words").alias("taken"))
     rows = documents.join(taken, "row_id", "left")
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = 17, **options) -> DataFrame:
+    """The mix: a row of ``docs`` for each draw, with ``shard`` and ``position``, its order in the shard.
+
+    A draw of a part of a document holds that many words of it, joined by single spaces.
+    """
+    _, drawn = draws(docs, id_column, source_column, text_column, seed=seed, with_hash=True, **options)
+    listed = drawn.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("shard", "position", "words")).alias("__draws"))
+    columns = [c for c in docs.columns if c not in ("shard", "position")]
+    id_, source = F.col(f"`{id_column}`"), F.col(f"`{source_column}`").cast("string")
+    rows = docs.select(*[f"`{c}`" for c in columns], F.xxhash64(F.lit(seed), id_, source, F.col(f"`{text_column}`")).alias("__k"))
+    # Equal rows are drawn as one list, which one of them carries.
+    same = Window.partitionBy(id_column, "__k").orderBy(F.lit(0))
+    rows = rows.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+    rows = rows.join(listed, id_.eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h"))).withColumn("__draw", F.explode("__draws"))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(`{text_column}`, r'{WORD}', 0), 1, cast(__draw.words as int)), ' ')")
+    whole = F.col("__draw.words") == sized(docs, text_column)
+    text = F.when(whole, F.col(f"`{text_column}`")).otherwise(cut)
+    return rows.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in columns], F.col("__draw.shard").alias("shard"), F.col("__draw.position").alias("position"))
