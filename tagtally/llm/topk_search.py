@@ -1,14 +1,14 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
 A score is the sum of partial scores over blocks of dimensions; a block of a group of vectors is a node of the
-method. Partial scores may be negative, so each node also reports its least one and counts from there.
+method. Partial scores may be negative, so each node counts from its least one.
 
-1. Every node sends, for each query, its k best partial scores. A query's k-th best lower bound (known parts,
-   least parts for the others) is a safe cutoff for the total.
-2. The cutoff goes back to the nodes: a total can reach it only if some block's part lies above that block's
-   least by ``(cutoff - sum of least parts) / blocks``; nodes send all such entries.
-3. Entries whose upper bound (unsent parts lie below the uniform threshold) is under the k-th best lower bound
-   are dropped; the scores of the others are resolved exactly from the vectors.
+1. Every node lists, for each query, its k best partial scores; the listed vectors' totals are gathered, and the
+   k-th best of a query is a safe cutoff.
+2. The cutoff is broadcast to the nodes with the queries: a total can reach it only if some block's part lies above
+   that block's least by ``(cutoff - sum of least parts) / blocks``; the nodes collect all such entries, drop those
+   that the other blocks of their group rule out, and send what a group can contribute at most, its k best.
+3. The scores of the entries sent are resolved exactly from the vectors, ranked, and cut to k.
 
 Equal vectors are one candidate with its smallest ids, which bounds ties, and equal queries are one query.
 Queries and candidates meet in blocks of bounded size: each block of queries with each group of candidates.
@@ -72,7 +72,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
     rows = rows.where(F.size("v") == width)
     blocks = min(blocks, width)
     edges = [width * b // blocks for b in range(blocks + 1)]
-    keep = k + 1  # the query's own row may be among a candidate's ids
+    keep = k + 1  # the query's own row may be among them
 
     same = Window.partitionBy("v").orderBy("id")
     ranked = rows.withColumn("at", F.row_number().over(same)).where(F.col("at") <= keep)
@@ -95,54 +95,54 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
         q, c = t.filter(pa.array(side == 1)), t.filter(pa.array(side == 0))
         return q["id"].to_numpy(), _matrix(q["v"], width), q["cut"].to_numpy(), c["id"].to_numpy(), _matrix(c["v"], width)
 
-    entry = "g int, b int, qid long, cid long, part long, least long"
-    names = ["g", "b", "qid", "cid", "part", "least"]
+    entry = "qid long, cid long, total long"
 
-    def packed(g: int, found: list[tuple]) -> pa.Table:
-        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5)]
-        return pa.Table.from_arrays([pa.array(np.full(len(cols[0]), g, np.int32)), pa.array(cols[0].astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in cols[1:]]], names)
+    def packed(found: list[tuple]) -> pa.Table:
+        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        return pa.Table.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["qid", "cid", "total"])
+
+    def chosen(qid, cid, total, i, j) -> tuple:
+        """Of the entries (i, j) each query's ``keep`` best by total, then id."""
+        order = np.lexsort((cid[j], -total, i))
+        i, j, total = i[order], j[order], total[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        own = place < keep
+        clip = np.array([_clipped(x) for x in total[own]], np.int64) if total.dtype == object else total[own]
+        return qid[i[own]], cid[j[own]], clip
 
     def best(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         qid, q, _, cid, c = sides(t)
-        found = []
-        if len(qid) and len(cid):
-            for b in range(blocks):
-                part = _partials(q, c, slice(edges[b], edges[b + 1]))
-                n = min(keep, len(cid))
-                at = np.argpartition(-part, n - 1, axis=1)[:, :n] if n < len(cid) and part.dtype != object else np.argsort(-part, axis=1)[:, :n]
-                value = np.take_along_axis(part, at, 1)
-                found.append((np.full(at.size, b), np.repeat(qid, n), cid[at].ravel(), np.vectorize(_clipped)(value).ravel() if part.dtype == object else value.ravel(), np.repeat([_clipped(x) for x in part.min(1)], n)))
-        return packed(key[0].as_py(), found)
+        if not len(qid) or not len(cid):
+            return packed([])
+        parts = [_partials(q, c, slice(edges[b], edges[b + 1])) for b in range(blocks)]
+        n = min(keep, len(cid))
+        lists = [np.argpartition(-p, n - 1, axis=1)[:, :n] if n < len(cid) and p.dtype != object else np.argsort(-p, axis=1)[:, :n] for p in parts]
+        pairs = np.unique(np.concatenate([np.repeat(np.arange(len(qid)), n) * len(cid) + x.ravel() for x in lists]))
+        i, j = np.divmod(pairs, len(cid))
+        return packed([chosen(qid, cid, sum(p[i, j] for p in parts), i, j)])
 
     def above(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         qid, q, cut, cid, c = sides(t)
-        found = []
-        if len(qid) and len(cid):
-            parts = [_partials(q, c, slice(edges[b], edges[b + 1])) for b in range(blocks)]
-            least = [p.min(1) for p in parts]
-            slack = cut.astype(object) - sum(x.astype(object) for x in least)
-            for b, p in enumerate(parts):
-                bar = np.array([_clipped(-(-int(s) // blocks) + int(m)) for s, m in zip(slack, least[b])])
-                i, j = np.nonzero(p >= bar[:, None])
-                found.append((np.full(len(i), b), qid[i], cid[j], np.array([_clipped(x) for x in p[i, j]], np.int64) if p.dtype == object else p[i, j], bar[i]))
-        return packed(key[0].as_py(), found)
-
-    first = durable(spread_q(None).unionByName(spread_c).groupBy("g", "a").applyInArrow(best, entry))
-    floors = first.groupBy("qid", "g", "b").agg(F.min("least").alias("least")).groupBy("qid", "g").agg(F.sum("least").alias("floor"))
-    known = first.groupBy("qid", "g", "cid").agg(F.sum(F.col("part") - F.col("least")).alias("over"))
-    bounds = known.join(floors, ["qid", "g"]).select("qid", "cid", (F.col("over") + F.col("floor")).alias("low"))
-    by_low = Window.partitionBy("qid").orderBy(F.desc("low"), "cid")
-    # Fewer candidates than asked for: everything stays.
-    cut = bounds.withColumn("at", F.row_number().over(by_low)).where(F.col("at") <= keep).groupBy("qid").agg(F.when(F.count("*") == keep, F.min("low")).otherwise(F.lit(-(2**62))).alias("cut"))
+        if not len(qid) or not len(cid):
+            return packed([])
+        parts = [_partials(q, c, slice(edges[b], edges[b + 1])) for b in range(blocks)]
+        least = [p.min(1) for p in parts]
+        slack = cut.astype(object) - sum(x.astype(object) for x in least)
+        over = np.zeros(parts[0].shape, bool)
+        for p, m in zip(parts, least):
+            bar = np.array([_clipped(-(-int(s) // blocks) + int(x)) for s, x in zip(slack, m)])
+            over |= p >= bar[:, None]
+        i, j = np.nonzero(over)
+        total = sum(p[i, j] for p in parts)
+        able = total >= cut[i]
+        return packed([chosen(qid, cid, total[able], i[able], j[able])])
+
+    first = spread_q(None).unionByName(spread_c).groupBy("g", "a").applyInArrow(best, entry)
+    by_total = Window.partitionBy("qid").orderBy(F.desc("total"), "cid")
+    # Fewer vectors listed than asked for: everything stays.
+    cut = first.withColumn("at", F.row_number().over(by_total)).where(F.col("at") <= keep).groupBy("qid").agg(F.when(F.count("*") == keep, F.min("total")).otherwise(F.lit(-(2**62))).alias("cut"))
     cut = durable(cut)
-
-    second = spread_q(cut).unionByName(spread_c).groupBy("g", "a").applyInArrow(above, entry)
-    seen = second.groupBy("qid", "cid", "g").agg(F.sum("part").alias("known"), F.sum("least").alias("bars"))
-    floors2 = first.groupBy("qid", "g", "b").agg(F.min("least").alias("least")).groupBy("qid", "g").agg(F.sum("least").alias("floor"))
-    seen = seen.join(floors2, ["qid", "g"]).join(cut, "qid")
-    # Each unsent part lies under its bar; bars of all blocks sum to the cutoff plus one for each rounded one.
-    upper = F.col("known") + (F.col("cut") + F.lit(blocks)) - F.col("bars")
-    left = durable(seen.where((F.col("cut") <= -(2**62)) | (upper >= F.col("cut"))).select("qid", "cid").distinct())
+    left = spread_q(cut).unionByName(spread_c).groupBy("g", "a").applyInArrow(above, entry).select("qid", "cid")
 
     exact = "aggregate(zip_with(qv, v, (x, y) -> cast(x as decimal(38,0)) * y), cast(0 as decimal(38,0)), (s, x) -> cast(s + x as decimal(38,0)))" if not _small(rows, width) else "aggregate(zip_with(qv, v, (x, y) -> x * y), 0L, (s, x) -> s + x)"
     scored = left.join(queries.withColumnRenamed("v", "qv"), "qid").join(candidates, "cid").select("qid", "ids", F.expr(exact).alias("s"))
