@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,8 +81,6 @@ def stars(p: Column) -> Column:
 
 def digest_udf(size: int = 16):
     """Arrow UDF: BLAKE2b of a string, as hex; for parity with digests made elsewhere (group by the columns otherwise)."""
-    import pandas as pd
-
     def digest(values: pd.Series) -> pd.Series:
         import hashlib
 
@@ -92,8 +91,6 @@ def digest_udf(size: int = 16):
 
 def uniform_udf(seed: int = 1):
     """Arrow UDF: a name's uniform number from BLAKE2b-64 of the name, a pipe character and the seed."""
-    import pandas as pd
-
     def uniform(values: pd.Series) -> pd.Series:
         import hashlib
 

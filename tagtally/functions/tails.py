@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 
 def normal_sf(x: np.ndarray) -> np.ndarray:
@@ -132,7 +133,6 @@ def intersection_pmf(universe: int, sizes: list[int]) -> np.ndarray:
 
 
 def normal_sf_udf():
-    import pandas as pd
     from pyspark.sql import functions as F
 
     def tail(x: pd.Series) -> pd.Series:
@@ -142,7 +142,6 @@ def normal_sf_udf():
 
 
 def t_two_sided_udf():
-    import pandas as pd
     from pyspark.sql import functions as F
 
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:

@@ -32,7 +32,7 @@ def multiplicity(sets: DataFrame) -> DataFrame:
 
 def membership(sets: DataFrame, names: list[str]) -> DataFrame:
     """A boolean column for each named set."""
-    rows = distinct_items(sets).groupBy("item").pivot("set_name", names).agg(F.count("*"))
+    rows = distinct_items(sets).withColumn("k", F.lit(1)).groupBy("item").pivot("set_name", names).agg(F.sum("k"))
     return rows.select("item", *[F.coalesce(F.col(f"`{n}`") > 0, F.lit(False)).alias(n) for n in names])
 
 

@@ -172,9 +172,9 @@ def dedup_first(t):
     return R.deduplicate(t.aln, picks, ["start", "as", "part", "nm", "qname"]).select("umi", "seq", F.col("rname").alias("transcript"), "start", F.col("as").alias("l_quantity"))
 
 
-@query("unassigned_records", "WITH " + PICK + " SELECT qname, umi, seq, rname, a.a_s, a.nm, a.start, a.part FROM aln a WHERE NOT EXISTS (SELECT 1 FROM pick WHERE pick.umi = a.umi AND pick.seq = a.seq AND pick.tie_count = 1)")
+@query("unassigned_records", "WITH " + PICK + " SELECT qname, umi, seq, rname, a.a_s, a.nm, a.start, a.part FROM aln a WHERE NOT EXISTS (SELECT 1 FROM pick WHERE pick.umi = a.umi AND pick.seq = a.seq AND round(pick.posterior, 4) >= 0.5)")
 def unassigned_records(t):
-    picks = R.hard_pick(_post(t), eps=1e-9).where("tie_count = 1")
+    picks = R.hard_pick(_post(t), eps=1e-9).where("round(posterior, 4) >= 0.5")
     return R.unassigned(t.aln, picks).select("qname", "umi", "seq", "rname", F.col("as").alias("a_s"), "nm", "start", "part")
 
 
