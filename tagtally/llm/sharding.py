@@ -83,6 +83,8 @@ class Shards:
 
     def append(self, rows: DataFrame) -> dict:
         """Add rows as small shards, one for each input partition that has rows, and commit."""
+        if not rows.take(1):
+            return self.manifest()
         new = self._written(rows, "in")
         schema = rows.schema.json()
 
