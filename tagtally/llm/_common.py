@@ -103,3 +103,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if total is None:
         total = live.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return total
+
+
+def merged_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``connected_components`` of the graph of ``classes`` with more edges: only the labels of their ends are contracted."""
+    known = classes.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    ends = edges.join(known, F.col("u") == F.col("n"), "left").select(F.coalesce("l", "u").alias("u"), "v")
+    ends = ends.join(known, F.col("v") == F.col("n"), "left").select("u", F.coalesce("l", "v").alias("v"))
+    joined = connected_components(ends)
+    step = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
+    old = classes.join(step, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    # Ends that had no class before come as their own labels.
+    return old.unionByName(joined.join(classes.select("node"), "node", "left_anti"))

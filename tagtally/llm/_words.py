@@ -54,7 +54,7 @@ class Words:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all words in order, and for each text where its words begin (one entry more)."""
-        prints, counts, i, most = [], [np.zeros(1, np.int64)], 0, 1 << 20
+        prints, counts, i, most = [], [np.zeros(1, np.int64)], 0, 256 << 10
         while i < len(offsets) - 1:
             j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
             j = min(max(j, i + 1), len(offsets) - 1)
@@ -82,7 +82,7 @@ class Words:
 
     def beginnings(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
         """Fingerprints of the first ``size`` bytes of all words, in the order of ``words``."""
-        prints, i, most = [np.zeros(0, np.uint64)], 0, 1 << 20
+        prints, i, most = [np.zeros(0, np.uint64)], 0, 256 << 10
         while i < len(offsets) - 1:
             j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
             j = min(max(j, i + 1), len(offsets) - 1)

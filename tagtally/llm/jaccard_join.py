@@ -6,8 +6,8 @@ and two linked sets share a token of their prefixes, whichever order it is. The
 
 1. counts in how many sets each token occurs (over all texts, tokens dealt out by range in packed arrays);
 2. drops sets of which more tokens are unique than a link allows: they have no partner;
-3. in two rounds links, for each prefix token of the rare-first order, one member of each class found so far to
-   a hub of the token, and verifies: large groups of near copies become one class by a linear number of pairs;
+3. compares each set with the hubs of its prefix tokens in the rare-first order, and verifies the nearest: large
+   groups of near copies become one class by a linear number of pairs;
 4. joins on the prefix tokens that still lie in two classes, by length, position and parity-map bounds, keeps the
    pairs that also share a prefix token under two other orders, and verifies them by intersecting the sets;
 5. contracts the verified links to components.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import connected_components, durable, planes, shuffle_width, text_slices, trim, unplanes
+from tagtally.llm._common import connected_components, durable, merged_components, planes, shuffle_width, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 #: Entries of the table of frequent tokens (8 + 4 bytes each) and the share of a batch's texts that makes one.
@@ -43,8 +43,9 @@ _SETS = "kind int, doc_id long, n int, key long, pre int, toks array<long>, pre2
 #: that only one of the sets has, so a pair whose maps differ too much cannot link.
 PARITY_BITS = 1024
 
-#: Rounds that link one member of each class to a hub of the token before all pairs between classes are looked at.
-HUB_ROUNDS = 2
+#: Hubs that a set is compared with by parity map, and of these the nearest ones that are verified, before all pairs
+#: of sets that are not yet in one class are looked at.
+HUBS_LOOKED_AT, HUBS_VERIFIED = 16, 3
 
 
 def _sets(batches, id_column: str, text_column: str, width: int):
@@ -229,31 +230,34 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
     )
 
 
-#: Whether the parity maps of two sets allow a link; what only one set has and nobody else shares counts as it is.
-_NEAR = """(n_a - s_a) + (n_b - s_b) + aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)
-    <= n_a + n_b - 2 * cast(ceil({percent} * cast(n_a + n_b as long) / {whole}) as int)"""
+#: How much two sets differ at least, by their parity maps; what nobody else has counts as it is.
+_APART = "(n_a - s_a) + (n_b - s_b) + aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+_NEAR = _APART + " <= n_a + n_b - 2 * cast(ceil({percent} * cast(n_a + n_b as long) / {whole}) as int)"
 
 
 def _sided(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of keys those whose sets link: the filters of all orders first, then the intersection."""
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) of keys those that sizes and parity maps allow, with ``apart``, the least difference."""
     brief = sets.withColumn("s", F.size("toks"))
     columns = ["key", "n", "s", "parity"]
     near = pairs.join(_sided(brief, "a", columns), F.col("u") == F.col("key_a")).join(_sided(brief, "b", columns), F.col("v") == F.col("key_b"))
-    near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_NEAR.format(percent=percent, whole=100 + percent)).select("u", "v")
+    near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_NEAR.format(percent=percent, whole=100 + percent))
+    return near.select("u", "v", F.expr(f"cast({_APART} as double) / (n_a + n_b)").alias("apart"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) of keys those whose sets link: the filters of the other orders first, then the intersection."""
     columns = ["key", "n", "toks", "pre2", "pre3"]
-    both = durable(near).join(_sided(sets, "a", columns), F.col("u") == F.col("key_a")).join(_sided(sets, "b", columns), F.col("v") == F.col("key_b"))
+    both = pairs.join(_sided(sets, "a", columns), F.col("u") == F.col("key_a")).join(_sided(sets, "b", columns), F.col("v") == F.col("key_b"))
     both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     return durable(both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v"))
 
 
-def _labelled(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return rows.withColumn("label", F.col("key"))
+def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
@@ -270,19 +274,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     sets = rows.where("kind = 1").select("key", "n", "pre", "toks", "pre2", "pre3", "parity")
 
     posted = sets.select("key", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
-    links = classes = None
-    for round_ in range(HUB_ROUNDS):
-        # Of each class of a token one member, of the token one hub; both vary from token to token.
-        turn = F.struct(F.xxhash64("key", "token", F.lit(round_)).alias("h"), F.col("key").alias("k"))
-        each = _labelled(posted.select("token", "key"), classes).groupBy("token", "label").agg(F.min(turn).alias("one"))
-        hubs = each.groupBy("token").agg(F.min(F.struct(F.col("one.h").alias("h"), F.col("one.k").alias("v"), F.col("label").alias("l"))).alias("hub"), F.count("*").alias("m")).where("m > 1")
-        edges = each.join(hubs, "token").where("label <> hub.l").select(F.col("one.k").alias("u"), F.col("hub.v").alias("v"))
-        # A member tries few hubs: those that most of its tokens name.
-        tries = Window.partitionBy("u").orderBy(F.desc("m"), F.xxhash64("u", "v"))
-        edges = edges.groupBy("u", "v").agg(F.count("*").alias("m")).withColumn("at", F.row_number().over(tries)).where("at <= 4").select("u", "v")
-        found = _verified(edges, sets, percent)
-        links = found if links is None else links.union(found)
-        classes = connected_components(links)
+    # Hubs vary from token to token, so a set has many to choose from.
+    turn = F.struct(F.xxhash64("key", "token").alias("h"), F.col("key").alias("v"))
+    hubs = posted.groupBy("token").agg(F.min(turn).alias("hub"), F.count("*").alias("m")).where("m > 1").select("token", F.col("hub.v").alias("v"))
+    edges = posted.join(hubs, "token").where("key <> v").groupBy(F.col("key").alias("u"), "v").agg(F.count("*").alias("m"))
+    often = Window.partitionBy("u").orderBy(F.desc("m"), F.xxhash64("u", "v"))
+    edges = edges.withColumn("at", F.row_number().over(often)).where(f"at <= {HUBS_LOOKED_AT}").select("u", "v")
+    nearest = Window.partitionBy("u").orderBy("apart", "v")
+    edges = _near(edges, sets, percent).withColumn("at", F.row_number().over(nearest)).where(f"at <= {HUBS_VERIFIED}").select("u", "v")
+    links = _verified(edges, sets, percent)
+    classes = connected_components(links)
 
     # Every pair of sets of different classes that shares a prefix token, the smaller set by its shorter index prefix.
     rich = sets.select("key", "n", F.size("toks").alias("s"), "parity", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
@@ -294,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
     pairs = a.join(b, "token").where(f"label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b and {bound} and " + _NEAR.format(percent=percent, whole=100 + percent))
     pairs = pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
-    classes = connected_components(links.union(_verified(pairs, sets, percent)))
+    classes = merged_components(classes, _verified(pairs, sets, percent))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")
     named = _labelled(named, classes)
