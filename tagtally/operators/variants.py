@@ -218,5 +218,5 @@ def pileup(alignments: DataFrame, least_quality: int = 10) -> DataFrame:
             yield pd.DataFrame(out, columns=["chr", "pos", "what"])
 
     seen = alignments.select("rname", "pos", "cigar", "seq", "qual").mapInPandas(walk, "chr string, pos int, what string")
-    wide = seen.groupBy("chr", "pos").pivot("what", PACKED[1:]).agg(F.count("*")).fillna(0)
+    wide = seen.withColumn("k", F.lit(1)).groupBy("chr", "pos").pivot("what", PACKED[1:]).agg(F.sum("k")).fillna(0)
     return wide.withColumn("depth", sum((F.col(c) for c in ("C", "G", "T", "N", "Gap")), F.col("A"))).select("chr", "pos", *PACKED)

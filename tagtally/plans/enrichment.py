@@ -331,19 +331,19 @@ def _cover(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("lib"), F.col("l_linenumber").alias("pos")).agg(F.count("*").alias("depth"))
 
 
-@query("coverage_norm", "WITH " + COVER + " SELECT lib, pos, depth, round(cov, 6) AS cov FROM v")
+@query("coverage_norm", "WITH " + COVER + " SELECT lib, pos, depth, round(cov, 9) AS cov FROM v")
 def coverage_norm(t):
-    return V.normalised_coverage(_cover(t), ["lib"]).select("lib", "pos", "depth", r("cov_norm").alias("cov"))
+    return V.normalised_coverage(_cover(t), ["lib"]).select("lib", "pos", "depth", r("cov_norm", 9).alias("cov"))
 
 
-@query("five_retention", "WITH " + COVER + " SELECT lib, round(avg(CASE WHEN pos <= 5 THEN cov END), 6) AS five FROM v GROUP BY 1")
+@query("five_retention", "WITH " + COVER + " SELECT lib, round(avg(CASE WHEN pos <= 5 THEN cov END), 9) AS five FROM v GROUP BY 1")
 def five_retention(t):
-    return V.five_retention(_cover(t), ["lib"]).select("lib", r("five_retention").alias("five"))
+    return V.five_retention(_cover(t), ["lib"]).select("lib", r("five_retention", 9).alias("five"))
 
 
-@query("five_retention_present", "WITH " + COVER + ", n AS (SELECT *, row_number() OVER (PARTITION BY lib ORDER BY pos) AS rk FROM v) SELECT lib, round(avg(cov), 6) AS five FROM n WHERE rk <= 5 GROUP BY 1 HAVING count(*) >= 5")
+@query("five_retention_present", "WITH " + COVER + ", n AS (SELECT *, row_number() OVER (PARTITION BY lib ORDER BY pos) AS rk FROM v) SELECT lib, round(avg(cov), 9) AS five FROM n WHERE rk <= 5 GROUP BY 1 HAVING count(*) >= 5")
 def five_retention_present(t):
-    return V.five_retention(_cover(t), ["lib"], present=True).select("lib", r("five_retention").alias("five"))
+    return V.five_retention(_cover(t), ["lib"], present=True).select("lib", r("five_retention", 9).alias("five"))
 
 
 # ---------------------------------------------------------------- tests and titrations
