@@ -267,11 +267,11 @@ def _effects(t):
     return one.join(_pvalues(t).select(F.col("feature").alias("site"), F.col("p").alias("padj")), "site")
 
 
-@query("hit_filter", HITS + " SELECT site, round(beta, 6) AS beta, padj FROM h WHERE padj IS NOT NULL AND beta > ln(1.25) AND padj < 0.5")
+@query("hit_filter", HITS + " SELECT site, round(beta, 6) AS beta, padj FROM h WHERE padj IS NOT NULL AND beta > ln(1.25) AND padj < 0.95")
 def hit_filter(t):
     import math
 
-    return V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.5).select("site", r("beta").alias("beta"), "padj")
+    return V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.95).select("site", r("beta").alias("beta"), "padj")
 
 
 @query("hit_topn", HITS + " SELECT site, padj FROM h WHERE padj IS NOT NULL ORDER BY padj, site LIMIT 20")
@@ -279,18 +279,18 @@ def hit_topn(t):
     return C.top_rows(_effects(t).where("padj is not null").select("site", "padj"), 20, F.col("padj"), F.col("site"))
 
 
-@query("hit_semi", HITS + " SELECT site, pair, condition, k, n FROM pile WHERE site IN (SELECT site FROM h WHERE beta > ln(1.25) AND padj < 0.5)")
+@query("hit_semi", HITS + " SELECT site, pair, condition, k, n FROM pile WHERE site IN (SELECT site FROM h WHERE beta > ln(1.25) AND padj < 0.95)")
 def hit_semi(t):
     import math
 
-    return t.pile.join(V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.5).select("site"), "site", "left_semi").select("site", "pair", "condition", "k", "n")
+    return t.pile.join(V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.95).select("site"), "site", "left_semi").select("site", "pair", "condition", "k", "n")
 
 
-@query("nonhit_anti", HITS + " SELECT DISTINCT site FROM pile WHERE site NOT IN (SELECT site FROM h WHERE beta > ln(1.25) AND padj < 0.5)")
+@query("nonhit_anti", HITS + " SELECT DISTINCT site FROM pile WHERE site NOT IN (SELECT site FROM h WHERE beta > ln(1.25) AND padj < 0.95)")
 def nonhit_anti(t):
     import math
 
-    return V.nonhits(t.pile.select("site").distinct(), V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.5))
+    return V.nonhits(t.pile.select("site").distinct(), V.hits(_effects(t), "beta", "padj", math.log(1.25), 0.95))
 
 
 OBSERVED = ["o", "f", "small", "large"]
