@@ -229,3 +229,21 @@ class Settings:
 
     def template(self, path: str, default: str = "", **names) -> str:
         return str(self.get(path, default)).format(**names)
+
+
+def sniff_columns(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Column names of a delimited file; only its header is read."""
+    return spark.read.csv(path, sep=sep, header=True).limit(0).columns
+
+
+def write_once(rows: DataFrame, path: str) -> bool:
+    """Write Parquet unless a finished write is there already (its success file stands); returns whether it wrote.
+
+    Callers put what the rows depend on into the path, so that changed parameters do not reuse old files.
+    """
+    jvm = rows.sparkSession.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
