@@ -102,13 +102,14 @@ def classes(edges: DataFrame) -> DataFrame:
     return listed.groupBy("members").agg(F.count("*").alias("n"))
 
 
-def _iterate_driver(rows: list, names: list[str], single: np.ndarray, usable: int, iterations: int, tol: float) -> np.ndarray:
+def _iterate_driver(table, names: list[str], single: np.ndarray, usable: int, iterations: int, tol: float) -> np.ndarray:
+    """Iterations over the edges of all classes: a pandas table ``c, n, rname, w``."""
     at = {name: i for i, name in enumerate(names)}
-    sizes = np.array([len(r["members"]) for r in rows], np.int64)
-    t = np.array([at[m["rname"]] for r in rows for m in r["members"]], np.int64)
-    w = np.array([m["w"] for r in rows for m in r["members"]], float)
-    many = np.repeat(np.array([r["n"] for r in rows], float), sizes)
-    begin = np.cumsum(sizes) - sizes
+    table = table.sort_values("c", kind="stable")
+    t, w, many = table["rname"].map(at).to_numpy(np.int64), table["w"].to_numpy(float), table["n"].to_numpy(float)
+    c = table["c"].to_numpy()
+    begin = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, len(c)))
     a = 1.0 + single
     for _ in range(iterations):
         if not len(t):
@@ -127,8 +128,7 @@ def _iterate_driver(rows: list, names: list[str], single: np.ndarray, usable: in
 
 def _iterate_frames(groups: DataFrame, start: DataFrame, iterations: int, tol: float, usable: int) -> DataFrame:
     """The same iteration as jobs: abundances join the edges, shares sum by class, then by transcript."""
-    numbered = groups.withColumn("c", F.monotonically_increasing_id()).checkpoint()  # before rows multiply
-    edges = numbered.select("c", "n", F.size("members").alias("k"), F.explode("members").alias("m"))
+    edges = groups.select("c", "n", F.size("members").alias("k"), F.explode("members").alias("m"))
     edges = edges.select("c", "n", "k", F.col("m.rname").alias("rname"), F.col("m.w").alias("w")).checkpoint()
     a = start.select("rname", "single", (F.col("single") + 1.0).alias("a")).checkpoint()
     for _ in range(iterations):
@@ -152,25 +152,34 @@ def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_
     Counts sum to the number of usable molecules; without any, there are no rows.
     """
     spark = edges.sparkSession
+    own = not edges.is_cached
+    if own:
+        edges = edges.persist()
     # Bounded by the number of transcripts.
-    single = edges.groupBy("rname").agg(F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("single"))
-    usable = edges.agg(F.sum(1.0 / F.col("n"))).first()[0]
-    if usable is None:
+    ones = F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("single")
+    single = edges.groupBy("rname").agg(ones, F.sum(1.0 / F.col("n")).alias("part")).toArrow().to_pandas().sort_values("rname")
+    usable = int(round(single["part"].sum())) if len(single) else 0
+    if not usable:
+        if own:
+            edges.unpersist()
         return spark.createDataFrame([], "transcript string, count double")
-    usable = int(round(usable))
-    groups = classes(edges).persist()
+    # Numbered before rows multiply; the persisted rows keep their numbers.
+    groups = classes(edges).withColumn("c", F.monotonically_increasing_id()).persist()
     size = groups.agg(F.sum(F.size("members"))).first()[0] or 0
     if size <= driver_edges:
-        rows = sorted(((r["rname"], r["single"]) for r in single.collect()))
-        names = [r[0] for r in rows]
-        a = _iterate_driver(groups.collect(), names, np.array([r[1] for r in rows], float), usable, iterations, tol)
+        table = groups.select("c", "n", F.explode("members").alias("m")).select("c", "n", "m.rname", "m.w").toArrow().to_pandas()
+        names = single["rname"].tolist()
+        a = _iterate_driver(table, names, single["single"].to_numpy(float), usable, iterations, tol)
         a = a * (usable / a.sum()) if a.sum() > 0 else a
         out = spark.createDataFrame([(n, float(v)) for n, v in zip(names, a)], "transcript string, count double")
     else:
-        a = _iterate_frames(groups, single, iterations, tol, usable).persist()
+        start = spark.createDataFrame([(r.rname, float(r.single)) for r in single.itertuples()], "rname string, single double")
+        a = _iterate_frames(groups, start, iterations, tol, usable).persist()
         whole = a.agg(F.sum("a")).first()[0]
         out = a.select(F.col("rname").alias("transcript"), (F.col("a") * (usable / whole if whole else 1.0)).alias("count"))
     groups.unpersist()
+    if own:
+        edges.unpersist()
     return out
 
 
