@@ -59,7 +59,7 @@ def size_factors(counts: DataFrame, normalisers: Column) -> DataFrame:
 
 
 def log_normalised(counts: DataFrame, factors: DataFrame) -> DataFrame:
-    return counts.join(F.broadcast(factors), "sample").withColumn("value", F.log2(ratio(F.col("count"), F.col("size_factor")) + 1))
+    return counts.join(factors, "sample").withColumn("value", F.log2(ratio(F.col("count"), F.col("size_factor")) + 1))
 
 
 def replicate_offsets(factors: DataFrame, how: str = "median") -> DataFrame:

@@ -261,7 +261,7 @@ def winsorised(rows: DataFrame, value: str, p: float) -> DataFrame:
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers (the outermost values within 1.5 ranges)."""
     q = rows.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    r = rows.join(F.broadcast(q), by) if by else rows.crossJoin(q)
+    r = rows.join(q, by)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
     w = r.groupBy(*by).agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count(value).alias("n"))

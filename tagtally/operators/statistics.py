@@ -271,4 +271,4 @@ def variance_stabilised(counts: DataFrame, factors: DataFrame, alpha: float) ->
     """Closed form of the variance-stabilising transform for one dispersion, in log2."""
     x = F.col("count") / F.col("size_factor")
     value = (2 * F.asinh(F.sqrt(F.lit(alpha) * x)) - F.lit(math.log(alpha)) - F.lit(math.log(4.0))) / F.lit(math.log(2.0))
-    return counts.join(F.broadcast(factors), "sample").withColumn("value", value)
+    return counts.join(factors, "sample").withColumn("value", value)
