@@ -26,6 +26,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that may be broadcast by hint; larger ones are left to the planner.
+BROADCAST_ROWS = 100_000
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint, if its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import durable
+from tagtally.llm._common import durable, hinted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating: fixed values of the contract.
@@ -127,13 +127,13 @@ def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     rows = durable(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = durable(targets(sizes, share, most, weights))
+    sources = plan.count()
     plan = plan.withColumn("blocks", F.least(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.lit(BLOCKS_MOST)).cast("long"))
     plan = plan.withColumn("goal", F.least(F.round("target").cast("long"), most * F.col("source_size")))
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("cast(goal div source_size as long)")).otherwise(F.lit(0)))
     plan = plan.withColumn("part", F.col("goal") - F.col("passes") * F.col("source_size"))
 
-    known = F.broadcast(plan)  # a row for each source
-    documents = rows.join(known, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "source_size", "target", "blocks", "passes", "part")
+    documents = rows.join(hinted(plan, sources), rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "source_size", "target", "blocks", "passes", "part")
     documents = documents.withColumn("block", F.pmod("h", "blocks"))
 
     # Blocks in the source's permuted order; what of the part is left when a block begins.
@@ -152,7 +152,7 @@ def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     listed = runs.groupBy(F.col("source").alias("r_source")).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("runs"))
     totals = quotas.select(F.col("source").alias("a_source"), F.col("all"))
     drawn = blocks.where("draws > 0").withColumn("pass", F.explode(F.expr("sequence(0, cast(draws as int) - 1)")))
-    drawn = drawn.join(F.broadcast(totals), F.expr("source <=> a_source")).join(F.broadcast(listed), F.expr("source <=> r_source"))
+    drawn = drawn.join(hinted(totals, sources), F.expr("source <=> a_source")).join(hinted(listed, sources), F.expr("source <=> r_source"))
     drawn = drawn.withColumn("place", F.col("pass") * F.col("all") + F.col("at"))
     drawn = drawn.withColumn("shard", F.expr("element_at(filter(runs, x -> x.end > place), 1).shard"))
     drawn = drawn.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "pass", "shard", F.when(F.col("pass") >= F.col("passes"), F.col("left")).alias("left"))

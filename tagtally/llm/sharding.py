@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import durable
+from tagtally.llm._common import durable, hinted
 
 
 class Shards:
@@ -124,7 +124,7 @@ class Shards:
             return last
         spark = self.spark
         listed = [(f"{s['file']}", i) for i, g in enumerate(groups) for s in g]
-        lookup = F.broadcast(spark.createDataFrame(listed, "__file string, __group int"))  # a line for each shard
+        lookup = hinted(spark.createDataFrame(listed, "__file string, __group int"), len(listed))
         paths = [f"{self.folder}/shards/{s['file']}" for g in groups for s in g]
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/shards/"), -1)
         rows = spark.read.parquet(*paths)
@@ -180,7 +180,8 @@ def shard_report(docs: DataFrame, arrivals: int = 6, target_bytes: int = 32 << 2
     """Append ``docs`` in ``arrivals`` batches with compaction between them, and say for each row where it went.
 
     Returns the id, ``arrival`` (its batch), ``shard`` (number of its file in the last manifest by order of
-    arrival), ``text_sha256`` (read back), ``shard_rows`` and ``version``.
+    arrival), ``text_sha256`` (read back), ``shard_rows`` and ``version``. The store stays in the checkpoint folder,
+    which the result reads.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -200,5 +201,5 @@ def shard_report(docs: DataFrame, arrivals: int = 6, target_bytes: int = 32 << 2
     counted = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))
     placed = numbers.join(counted, F.col("__file") == F.col("shard")).select("__file", "__number", "shard_rows")
     rows = rows.select(id_column, "__arrival", "shard", F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("text_sha256"))
-    rows = rows.join(F.broadcast(placed), F.col("shard") == F.col("__file"))  # a line for each shard
+    rows = rows.join(hinted(placed, len(last["shards"])), F.col("shard") == F.col("__file"))
     return rows.select(id_column, F.col("__arrival").alias("arrival"), F.col("__number").alias("shard"), "text_sha256", "shard_rows", F.lit(last["version"]).alias("version"))
