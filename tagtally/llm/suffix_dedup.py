@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LENGTH, GRAM = 100, 50
 #: A fingerprint with more runs than this has its strings dealt out one by one.
 SPREAD = 2000
 #: Bytes that one suffix sort takes together (a larger group of one fingerprint is sorted alone).
-SORT_BYTES = 2 << 20
+SORT_BYTES = 256 << 10
 
 _LAST = 2**63 - 1
 
@@ -62,7 +63,7 @@ class Runs:
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         """Arrays ``text, start, size, print, own`` over all runs, start within the text."""
-        out, i, most = [], 0, 1 << 20
+        out, i, most = [], 0, 256 << 10
         while i < len(offsets) - 1:
             j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
             j = min(max(j, i + 1), len(offsets) - 1)
@@ -287,7 +288,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     homes = shuffle_width(docs.sparkSession)
     parts = 8 * homes
     cuts = "doc long, uid long, lo int, hi int"
-    sent = f"part int, print long, body binary, n int, {cuts}"
+    sent = f"part int, print long, body binary, n int, own boolean, {cuts}"
 
     def scatter(batches):
         runs = Runs()
@@ -296,7 +297,7 @@ def _removed(docs: DataFrame) -> DataFrame:
             wanted, frequent = batch.column(batch.schema.get_field_index("runs")), batch.column(batch.schema.get_field_index("often"))
             for first, data, offsets in text_slices(batch, "text", 2 << 20):
                 last = first + len(offsets) - 1
-                text, start, size, prints, _ = runs.of(data, offsets)
+                text, start, size, prints, own = runs.of(data, offsets)
                 begin = np.searchsorted(text, np.arange(last - first + 1))
                 pick = np.concatenate([begin[i] + np.asarray(wanted[first + i].values, np.int64) for i in range(last - first) if wanted[first + i].is_valid] or [np.zeros(0, np.int64)])
                 whole = set(np.concatenate([begin[i] + np.asarray(frequent[first + i].values, np.int64) for i in range(last - first) if frequent[first + i].is_valid] or [np.zeros(0, np.int64)]).tolist())
@@ -309,31 +310,36 @@ def _removed(docs: DataFrame) -> DataFrame:
                     one = [(at, n)] if r not in whole else [(at + k, 1) for k in range(n)]
                     for k, m in one:
                         place = (int(ids[first + t]), int(uids[first + t]), k - int(offsets[t]))
-                        kept.setdefault((p, raw[k : k + m - 1 + LENGTH], m, r in whole), []).append(place)
+                        kept.setdefault((p, raw[k : k + m - 1 + LENGTH], m, r in whole, bool(own[r])), []).append(place)
                 rows = []
-                for (p, body, m, spread), places in kept.items():
-                    places.sort()
+                for (p, body, m, spread, twice), places in kept.items():
+                    places = sorted(set(places))  # rows equal in id and text are one document
                     where = p
                     if spread:
                         where = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
                     for place in places[1:]:
-                        rows.append((-1, 0, None, 0, place[0], place[1], place[2], place[2] + m))
-                    rows.append((where % parts, where - 2**63, body, m, *places[0][:2], places[0][2], places[0][2] + m))
+                        rows.append((place[0] % parts, 0, None, 0, False, place[0], place[1], place[2], place[2] + m))
+                    rows.append((where % parts, where - 2**63, body, m, twice, *places[0][:2], places[0][2], places[0][2] + m))
                 for k in range(0, len(rows), 20000):
                     out = rows[k : k + 20000]
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["part", "print", "body", "n", "doc", "uid", "lo", "hi"])
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["part", "print", "body", "n", "own", "doc", "uid", "lo", "hi"])
             trim()
 
     def sort(group: pa.Table) -> pa.Table:
+        known = group["body"].is_null()  # places that repeat for sure
+        sure = group.filter(known).select(["doc", "uid", "lo", "hi"])
+        group = group.filter(pc.invert(known))
         prints, bodies, counts = group["print"].to_numpy(), group["body"].to_pylist(), group["n"].to_numpy()
+        twice = group["own"].to_numpy(zero_copy_only=False)
         doc, uid, lo = group["doc"].to_numpy(), group["uid"].to_numpy(), group["lo"].to_numpy()
         out = []
         # One copy of equal texts: the earliest; the others go whole.
         turn = np.lexsort((lo, uid, doc))
         best: dict[tuple, int] = {}
         for i in turn.tolist():
-            if best.setdefault((int(prints[i]), bodies[i], int(counts[i])), i) != i:
+            b = best.setdefault((int(prints[i]), bodies[i], int(counts[i])), i)
+            if (doc[b], uid[b], lo[b]) != (doc[i], uid[i], lo[i]):
                 out.append((int(doc[i]), int(uid[i]), int(lo[i]), int(lo[i]) + int(counts[i])))
         groups: dict[int, list[int]] = {}
         for (p, _, _), i in best.items():
@@ -356,8 +362,8 @@ def _removed(docs: DataFrame) -> DataFrame:
 
         size = 0
         for members in groups.values():
-            # A single text can repeat itself only if it holds more strings than one window of grams.
-            if len(members) == 1 and counts[members[0]] == 1:
+            # A single text repeats itself only if the gram that its strings name stands in it twice.
+            if len(members) == 1 and not twice[members[0]]:
                 continue
             run += members
             size += sum(len(bodies[i]) for i in members)
@@ -367,12 +373,10 @@ def _removed(docs: DataFrame) -> DataFrame:
         if run:
             settle(run)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc", "uid", "lo", "hi"])
+        made = pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc", "uid", "lo", "hi"])
+        return pa.concat_tables([sure.cast(made.schema), made])
 
-    sent_rows = durable(docs.mapInArrow(scatter, sent))
-    sure = sent_rows.where("part < 0").select("doc", "uid", "lo", "hi")
-    found = sent_rows.where("part >= 0").repartition(parts, "part").groupBy("part").applyInArrow(sort, cuts)
-    return sure.union(found)
+    return docs.mapInArrow(scatter, sent).repartition(parts, "part").groupBy("part").applyInArrow(sort, cuts)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
@@ -385,7 +389,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     repeated = durable(_repeated(rows.where(F.octet_length("text") >= LENGTH).select("doc", "uid", "text"))).dropDuplicates(["doc", "uid"])
     wanted = repeated.join(firsts, ["doc", "uid"], "left_semi")
-    holders = rows.select("doc", "uid", "text").join(wanted, ["doc", "uid"]).select("doc", "uid", "text", "runs", "often")
+    # Both joins take the same columns of the texts, so these are exchanged once.
+    texts = rows.select("id", "doc", "uid", "text")
+    holders = texts.join(wanted, ["doc", "uid"]).select("id", "doc", "uid", "text", "runs", "often")
     cuts = _removed(holders)
     spans = cuts.groupBy("doc", "uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
     found = firsts.join(spans, ["doc", "uid"], "left")
@@ -416,6 +422,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             made = [pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([column("id"), *made], [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds) + 1])
 
-    joined = rows.select("id", "doc", "uid", "text").join(found, ["doc", "uid"], "left")
+    joined = texts.join(found, ["doc", "uid"], "left")
     schema = f"`{id_column}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return joined.select("id", "text", "first", "cuts").mapInArrow(cut, schema)
