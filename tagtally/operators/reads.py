@@ -252,9 +252,12 @@ def unassigned(alignments: DataFrame, picks: DataFrame) -> DataFrame:
 def baseline(rows: DataFrame, how: str, by: str = "qname") -> DataFrame:
     """Abundances ``rname, count`` by simple rules over reads.
 
-    ``primary``: a read's first candidate; ``top_as``: even shares of its best candidates; ``all``: even shares of
-    all; ``unique``: reads with one candidate.
+    ``primary``: a read's first candidate; ``random``: one candidate by the order of a hash; ``top_as``: even shares
+    of its best candidates; ``all``: even shares of all; ``unique``: reads with one candidate.
     """
+    if how == "random":
+        draw = F.min(F.struct(F.md5(F.concat_ws("|", by, "rname")).alias("h"), F.col("rname").alias("r")))
+        return rows.groupBy(by).agg(draw.alias("d")).groupBy(F.col("d.r").alias("rname")).agg(F.count("*").cast("double").alias("count"))
     read = Window.partitionBy(by)
     if how == "primary":
         rows = rows.withColumn("x", F.when(F.row_number().over(read.orderBy(*candidate_order())) == 1, 1.0)).where("x is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtally.functions.strings import base_id, condition_of, family_key, site_position, site_transcript, stars, umi_of, uniform_md5
+from tagtally.functions.strings import base_id, condition_of, digest_udf, family_key, site_position, site_transcript, stars, umi_of, uniform_md5, uniform_udf
 from tagtally.operators import reads as R
 from tagtally.plans.registry import query
 
@@ -186,6 +186,15 @@ for _how, _sql in {
 }.items():
     query("baseline_" + {"all": "one_over_n"}.get(_how, _how), _sql)(lambda t, how=_how: R.baseline(t.aln, how).select("rname", F.round("count", 6).alias("cnt")))
 
+query("baseline_random", "SELECT rname, CAST(count(*) AS DOUBLE) AS cnt FROM (SELECT qname, arg_min(rname, md5(concat(qname, '|', rname))) AS rname FROM {aln} GROUP BY 1) GROUP BY 1")(lambda t: R.baseline(t.aln, "random").withColumnRenamed("count", "cnt"))
+
+
+@query("group_digest")
+def group_digest(t):
+    key = digest_udf(16)(F.concat_ws("\t", "umi", "seq"))
+    return t.aln.select("umi", "seq").distinct().withColumn("digest", key)
+
+
 FRACTIONS = [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
@@ -197,6 +206,21 @@ def rarefaction(t):
     return out.withColumn("saturation", F.round("saturation", 6))
 
 
+@query("rarefaction_digest")
+def rarefaction_digest(t):
+    rows = t.events.select(F.col("event_id").cast("string").alias("qname"), F.col("user_id").alias("umi"), F.col("event_type").alias("seq"))
+    return R.rarefy(rows, FRACTIONS, uniform_udf(42)(F.col("qname")))
+
+
+@query("pileup_walk", """WITH r AS (SELECT l_suppkey AS chr, CAST(l_linenumber * 3 AS INTEGER) AS p, count(*) AS k FROM lineitem GROUP BY 1, 2), b AS (SELECT chr, CAST(p + unnest([0, 1, 2, 3]) AS INTEGER) AS pos, unnest(['A', 'C', 'G', 'T']) AS base, k FROM r)
+    SELECT CAST(chr AS VARCHAR) AS chr, pos, sum(k)::BIGINT AS depth, coalesce(sum(k) FILTER (base = 'A'), 0)::BIGINT AS a, coalesce(sum(k) FILTER (base = 'C'), 0)::BIGINT AS c, coalesce(sum(k) FILTER (base = 'G'), 0)::BIGINT AS g, coalesce(sum(k) FILTER (base = 'T'), 0)::BIGINT AS t FROM b GROUP BY 1, 2""")
+def pileup_walk(t):
+    from tagtally.operators.variants import pileup
+
+    rows = t.lineitem.select(F.col("l_suppkey").cast("string").alias("rname"), (F.col("l_linenumber") * 3).cast("int").alias("pos"), F.lit("4M").alias("cigar"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"))
+    return pileup(rows).select("chr", "pos", "depth", F.col("A").alias("a"), F.col("C").alias("c"), F.col("G").alias("g"), F.col("T").alias("t"))
+
+
 @query("kv_pivot", "SELECT event_type, sum(CASE WHEN k = 'k' THEN v END)::DOUBLE AS k_sum, count(v) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k, CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events) GROUP BY 1")
 def kv_pivot(t):
     kv = t.events.select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("k", "v"))
