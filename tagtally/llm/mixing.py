@@ -11,6 +11,9 @@ source is a draw from the multivariate hypergeometric distribution, source by so
 probabilities around the mode. The leaves' quotas of a source sum to its quota exactly, and a shard's draws are a
 run of the source's permutation that no other shard has. Within a shard rows stand in hash order.
 
+A node of the tree holds one number for each source, so the tree is for up to some 100,000 sources; documents,
+blocks and draws have no such bound.
+
 Random numbers are hashes of (seed, source, block), so reruns agree and lost tasks repeat the same draw.
 
 Defined results: a null text has no words; documents without words are drawn for nothing (taken 0); a null source
