@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tagtally.llm._common import durable, text_slices
 from tagtally.llm._words import mix
 
-#: Rows of the labelled sample for each language, and their bytes: the model's training does not grow with the corpus.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 4 << 20
+#: Rows of the labelled sample for each language (on average, by hash) and their bytes at most, and the most
+#: languages: the model's training does not grow with the corpus.
+SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES_MOST = 400, 4 << 20, 64
 BUCKETS = 1 << 16
 #: Text evidence counts as so many independent trigrams at most.
 TRIGRAMS_MOST = 40.0
@@ -43,21 +44,23 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return (mix(d[:-2] | d[1:-1] << np.uint64(8) | d[2:] << np.uint64(16)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities of trigram buckets (languages x buckets)."""
-    rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST).collect()}
+    langs = sorted(counts)
     table = np.full((len(langs), BUCKETS), 0.5)
-    for i, lang in enumerate(sorted(langs)):
-        sample = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()
-        size = 0
-        for r in sample:
-            data = r["text"].encode()
-            size += len(data)
-            if size > SAMPLE_BYTES:
-                break
-            np.add.at(table[i], _trigrams(np.frombuffer(data, np.uint8)), 1.0)
-    return sorted(langs), (np.log(table) - np.log(table.sum(1, keepdims=True))).astype(np.float32)
+    # Rows whose hash lies in their language's share: what reaches the driver is the sample and no more.
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, SAMPLE_ROWS / n).otherwise(share)
+    size = dict.fromkeys(langs, 0)
+    for r in rows.where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40)).orderBy("lang", "h").toLocalIterator():
+        data = r["text"].encode()
+        size[r["lang"]] += len(data)
+        if size[r["lang"]] <= SAMPLE_BYTES:
+            np.add.at(table[langs.index(r["lang"])], _trigrams(np.frombuffer(data, np.uint8)), 1.0)
+    return langs, (np.log(table) - np.log(table.sum(1, keepdims=True))).astype(np.float32)
 
 
 def page_text(html: str = "html"):
