@@ -59,6 +59,7 @@ def _sets(batches, id_column: str, text_column: str, width: int):
             h, bounds = words.words(data, offsets)
             last = first + len(offsets) - 1
             yield ids[first:last], missing[first:last], words.shingles(h, bounds, width)
+        data = batch = None  # before the next one is read
         trim()
 
 
@@ -81,10 +82,14 @@ def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) ->
             often = sizes >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[runs[:-1][often]].view(np.int64)), pa.array(sizes[often].astype(np.int64))], ["token", "n"])
 
-    rows = (
-        docs.select(id_column, text_column).mapInArrow(count, "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
-    )
+    counted = durable(docs.select(id_column, text_column).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    # The lowest power of two over which no more tokens lie than the table may have; only these reach the driver.
+    sizes = {r["b"]: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
+    least, held = 63, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= FREQUENT_MOST:
+        least -= 1
+        held += sizes.get(least, 0)
+    rows = sorted(counted.where(F.col("n") >= 2**least).collect(), key=lambda r: (-r["n"], r["token"])) if held else []
     tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
     place = np.argsort(tokens)
     return tokens[place], (2**30 + len(rows) - place).astype(np.int32)
