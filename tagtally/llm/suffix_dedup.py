@@ -101,7 +101,8 @@ class Runs:
         np.cumsum((h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= window), out=twice[2:])
         lo, hi = np.searchsorted(chosen, first), np.searchsorted(chosen, stop - 1 + window)
         own = (twice[np.maximum(hi, 1)] - twice[np.minimum(lo + 1, len(chosen))] > 0) & (hi - lo > 1)
-        return [text[first].copy(), first - offsets[text[first]], stop - first, v[first], own]
+        # Least values lie low; mixed again (one to one) they spread evenly over the ranges that deal them out.
+        return [text[first].copy(), first - offsets[text[first]], stop - first, mix(v[first]), own]
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -222,6 +223,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
                     rows.append((p, bid % homes, _PRINT, bid, planes(prints[pick]), planes(text[pick].astype(np.uint32)), planes(ordinal[pick]), np.packbits(own[pick]).tobytes()))
                 for k in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays(_emit(rows[k : k + 64]), _NAMES)
+            data = batch = None  # before the next one is read
             trim()
 
     def count(group: pa.Table) -> pa.Table:
@@ -324,6 +326,7 @@ def _removed(docs: DataFrame) -> DataFrame:
                     out = rows[k : k + 20000]
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["part", "print", "body", "n", "own", "doc", "uid", "lo", "hi"])
+            data = wanted = frequent = batch = None  # before the next one is read
             trim()
 
     def sort(group: pa.Table) -> pa.Table:
