@@ -39,6 +39,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Limit the bytes of a batch that goes to a Python worker, where the session has Spark's default of 64 MB.
+
+    It bounds memory of executors and workers and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, f"{most}b")
+
+
 def trim() -> None:
     """Give freed memory of a worker back to the system; workers live on and share an executor's memory."""
     import ctypes

@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import connected_components, durable, merged_components, planes, shuffle_width, text_slices, trim, unplanes
+from tagtally.llm._common import bounded_batches, connected_components, durable, merged_components, planes, shuffle_width, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 #: Entries of the table of frequent tokens (8 + 4 bytes each) and the share of a batch's texts that makes one.
 FREQUENT_MOST, FREQUENT_SHARE, FREQUENT_LEAST = 100_000, 0.005, 24
 
+#: Bits of a token's fingerprint; two tokens of a pair of sets agree by chance with about 2**-37 for 1,000 tokens.
+TOKEN_BITS = 56
+
 _CHUNK = "part int, home int, kind int, bid long, a binary, b binary, c binary, d binary"
 _DOC, _KEY, _ENTRY, _TOKEN, _ANON = 0, 1, 2, 3, 4
 _SETS = "kind int, doc_id long, n int, key long, pre int, toks array<long>, pre2 array<long>, pre3 array<long>, parity array<long>"
@@ -58,7 +61,7 @@ def _sets(batches, id_column: str, text_column: str, width: int):
         for first, data, offsets in text_slices(batch, text_column, 3 << 20):
             h, bounds = words.words(data, offsets)
             last = first + len(offsets) - 1
-            yield ids[first:last], missing[first:last], words.shingles(h, bounds, width)
+            yield ids[first:last], missing[first:last], [s >> np.uint64(64 - TOKEN_BITS) for s in words.shingles(h, bounds, width)]
         data = batch = None  # before the next one is read
         trim()
 
@@ -89,15 +92,20 @@ def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) ->
     while least > 0 and held + sizes.get(least - 1, 0) <= FREQUENT_MOST:
         least -= 1
         held += sizes.get(least, 0)
-    rows = sorted(counted.where(F.col("n") >= 2**least).collect(), key=lambda r: (-r["n"], r["token"])) if held else []
-    tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    rows = counted.where(F.col("n") >= 2**least).toArrow()
+    tokens, often = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    rank = np.empty(len(tokens), np.int32)
+    rank[np.lexsort((tokens, often))] = np.arange(len(tokens))
     place = np.argsort(tokens)
-    return tokens[place], (2**30 + len(rows) - place).astype(np.int32)
+    return tokens[place], 2**30 + rank[place]
 
 
 def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
     """Rows of each text (kind 0: doc_id, n, key) and of each distinct set (kind 1: with its shared tokens)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     homes = shuffle_width(spark)
     parts = 4 * homes
     often, places = _frequent(docs, id_column, text_column, width)
@@ -150,8 +158,8 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
                     tokens, owner = tokens[~known], owner[~known]
                 turn = np.argsort(tokens)
                 tokens, owner = tokens[turn], owner[turn]
-                span = 2**64 // parts + 1
-                cut = np.searchsorted(tokens, np.array([min(p * span, 2**64 - 1) for p in range(parts)], np.uint64)).tolist() + [len(tokens)]
+                span = 2**TOKEN_BITS // parts + 1
+                cut = np.searchsorted(tokens, np.array([p * span for p in range(parts)], np.uint64)).tolist() + [len(tokens)]
                 for p in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(cut[p], cut[p + 1])
                     add(p, 0, _TOKEN, bid, planes(tokens[own]), planes(home[owner[own]].astype(np.uint32)), planes(index[owner[own]]))
@@ -253,11 +261,15 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("u", "v", F.expr(f"cast({_APART} as double) / (n_a + n_b)").alias("apart"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of keys those whose sets link: the filters of the other orders first, then the intersection."""
-    columns = ["key", "n", "toks", "pre2", "pre3"]
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
+    """Of pairs (u, v) of keys those whose sets link: the filters of the other orders first, then the intersection.
+
+    Pairs that were chosen as near go without the filters, which would rule out few of them.
+    """
+    columns = ["key", "n", "toks", "pre2", "pre3"] if filtered else ["key", "n", "toks"]
     both = pairs.join(_sided(sets, "a", columns), F.col("u") == F.col("key_a")).join(_sided(sets, "b", columns), F.col("v") == F.col("key_b"))
-    both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
+    if filtered:
+        both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     return durable(both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v"))
 
@@ -287,7 +299,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     edges = edges.withColumn("at", F.row_number().over(often)).where(f"at <= {HUBS_LOOKED_AT}").select("u", "v")
     nearest = Window.partitionBy("u").orderBy("apart", "v")
     edges = _near(edges, sets, percent).withColumn("at", F.row_number().over(nearest)).where(f"at <= {HUBS_VERIFIED}").select("u", "v")
-    links = _verified(edges, sets, percent)
+    links = _verified(edges, sets, percent, False)
     classes = connected_components(links)
 
     # Every pair of sets of different classes that shares a prefix token, the smaller set by its shorter index prefix.
@@ -300,7 +312,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
     pairs = a.join(b, "token").where(f"label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b and {bound} and " + _NEAR.format(percent=percent, whole=100 + percent))
     pairs = pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
-    classes = merged_components(classes, _verified(pairs, sets, percent))
+    classes = merged_components(classes, _verified(pairs, sets, percent, True))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")
     named = _labelled(named, classes)
