@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tagtally.llm._common import bounded_batches, trim
+
 #: The pre-token pattern of byte-level BPE, a fixed value of the public format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces whose encoding a task keeps at most.
-KEEP = 400_000
+KEEP = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -79,22 +81,23 @@ def merge_rounds(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
     while len(symbols):
         pairs = symbols[:-1] * v.size + symbols[1:]
         at = np.minimum(np.searchsorted(v.keys, pairs), none - 1)
-        rank = np.where((v.keys[at] == pairs) & (owner[:-1] == owner[1:]), v.ranks[at], none)
-        low = np.full(len(words), none)
-        np.minimum.at(low, owner[:-1], rank)
-        live = low[owner] < none
+        own = owner[:-1]
+        rank = np.where((v.keys[at] == pairs) & (own == owner[1:]), v.ranks[at], none)
+        # Symbols of a word stand together, and its last one is paired with the next word's first.
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(own)))) if len(own) else rank
+        live = np.append(low < none, len(own) > 0 and owner[-1] == own[-1] and low[-1] < none)
         if not live.all():
             done_symbols.append(symbols[~live])
             done_owner.append(owner[~live])
             if not live.any():
                 break
-            keep_pair = live[:-1] & live[1:]
-            # Whole words leave together, so pairs inside the words that stay keep their order.
-            rank, at = np.where(keep_pair, rank, none), at
+            # Whole words leave, so the pairs inside the words that stay keep their places.
             sel = np.flatnonzero(live)
-            rank, at = np.append(rank, none)[sel][:-1], np.append(at, 0)[sel][:-1]
+            rank, low = np.append(rank, none)[sel][:-1], np.append(low, none)[sel][:-1]
+            at = np.append(at, 0)[sel][:-1]
             symbols, owner = symbols[sel], owner[sel]
-        hit = np.flatnonzero((rank < none) & (rank == low[owner[:-1]]))
+        hit = np.flatnonzero((rank < none) & (rank == low))
         # In a run of overlapping occurrences every second one merges, from the left.
         begins = np.r_[True, np.diff(hit) != 1]
         place = np.arange(len(hit))
@@ -179,7 +182,7 @@ class Decoder:
         return b"".join(map(self.get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _batches(column: pa.Array, most: int = 4 << 20):
+def _batches(column: pa.Array, most: int = 1 << 20):
     """Texts of a column, in runs of about ``most`` characters."""
     run, size = [], 0
     for text in column:
@@ -194,6 +197,7 @@ def _batches(column: pa.Array, most: int = 4 << 20):
 
 
 def _applied(docs: DataFrame, path: str, text_column: str, keep: list[str], schema: str, with_ids: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
@@ -214,6 +218,7 @@ def _applied(docs: DataFrame, path: str, text_column: str, keep: list[str], sche
                 rows = batch.slice(done, len(texts))
                 yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], *made], [*keep, *names])
                 done += len(texts)
+            trim()
 
     kinds = dict(docs.dtypes)
     columns = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], schema])
