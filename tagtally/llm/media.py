@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tagtally.llm._common import bounded_batches
+
 RATE, LOW_RATE = 16_000, 8_000
 FRAME, HOP, BANDS, TILE = 256, 128, 32, 64
 TAPS = 16  # of each phase
@@ -158,6 +160,7 @@ _FORMS = {
 
 
 def _applied(docs: DataFrame, form: str, id_column: str, text_column: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     spans = pa.list_(pa.struct([("start_seconds", pa.float64()), ("end_seconds", pa.float64())]))
 
     def run(batches):

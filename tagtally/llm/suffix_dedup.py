@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import durable, planes, shuffle_width, text_slices, trim, unplanes
+from tagtally.llm._common import bounded_batches, durable, planes, shuffle_width, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 LENGTH, GRAM = 100, 50
@@ -384,6 +384,7 @@ def _removed(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes, if asked for)."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     rows = rows.withColumn("doc", F.coalesce("id", F.lit(_LAST))).withColumn("uid", F.xxhash64("sha"))
