@@ -256,6 +256,26 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.0] * 5
 
 
+def test_toxicity_trains_beside_long_texts(spark, monkeypatch):
+    from tagtally.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    rng = random.Random(12)
+    rows, labels = [(-1, "n1 " * 40_000, "s"), (-4, "idiot " * 20_000, "s")], [(-1, 1, 0), (-4, 1, 1)]
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in labels)
+    for i in range(400):  # the smallest ids are clean and alone fill the bytes
+        toxic = i >= 200 and i % 2
+        rows.append((i, " ".join([f"n{rng.randrange(300)}" for _ in range(120)] + ["idiot"] * 3 * toxic), "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(out[i] == (i >= 200 and i % 2) for i in held) >= 0.95 * len(held)
+    # A label whose only text is longer than its part of the bytes still teaches.
+    model = toxicity.fit(docs.where("doc_id < 0 or doc_id % 2 = 0"), labels)
+    assert model["embedding"] is not None
+
+
 def test_media(spark, texts):
     from tagtally.llm import media
 
