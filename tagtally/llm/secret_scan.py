@@ -6,8 +6,10 @@ and ``split`` agree on both), so everything stays in one narrow projection witho
 The entropy method looks at maximal candidate strings (``CANDIDATE``). A string belongs to the narrowest character
 class that holds all of its characters; each class has a threshold of Shannon entropy in bits for windows of
 ``WINDOW`` characters. Sliding a window by one character changes two counts, and with them the running sum of
-``c * log2(c)``, from which the entropy follows; windows over the threshold merge to spans. Strings that match the
-allow-list, and spans inside a span of the fixed patterns, are suppressed.
+``c * log2(c)``, from which the entropy follows; windows over the threshold merge to spans. Strings that are on the
+allow-list as a whole, and spans inside a span of the fixed patterns, are suppressed. A placeholder word suppresses
+no more than its part of a merged span, which ends at ``/`` and ``=`` and ``NEAR`` characters from the word; what is
+left of the span is judged again by its own windows.
 
 Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; texts are scanned
 whole, whatever their length; repeated rows give repeated results; all columns of the input stay as they are, unless
@@ -31,9 +33,11 @@ ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
 #: Class by pattern, narrowest first, and its least entropy; runs of digits or of letters alone are never secrets here.
 CLASSES = [(r"^[0-9]+$", None), (r"^[A-Za-z_-]+$", None), (r"^[0-9a-f]+$", 3.0), (r"^[0-9A-F]+$", 3.0), (r"^[0-9a-z]+$|^[0-9A-Z]+$", 3.6), (r"^[0-9A-Za-z]+$", 3.8), (r"", 3.9)]
-#: Strings that look random but are known not to be secrets: placeholders, runs of the alphabet, identifiers, words in paths.
+#: Words of placeholders and runs of the alphabet, and how many characters beside a word go with it.
+PLACEHOLDER, NEAR = r"example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|1234567890|abcdefghij", 40
+#: Strings that look random but are known not to be secrets: placeholders, then whole identifiers and words in paths.
 ALLOW = [
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|1234567890|abcdefghij",
+    f"(?i){PLACEHOLDER}",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[a-z0-9]{1,14}([/_=-]+[a-z0-9]{1,14})+$",
     r"^[+/_=-]+$",
@@ -87,6 +91,21 @@ def _windows(body: str, floor: str, start: str) -> str:
     return f"aggregate(sequence(0, 2 * length({body}) - 1), {zero}, (acc, i) -> {step}, acc -> {push})"
 
 
+def _beside_words(span: str, body: str, base: str) -> str:
+    """SQL for what is left of a span of ``body`` (offsets from ``base``) beside the parts of placeholder words: ``start, body``."""
+    part = _quoted(f"[^/=]{{0,{NEAR}}}(?i:{PLACEHOLDER})[^/=]{{0,{NEAR}}}")
+    text = f"substring({body}, {span}.start - {base} + 1, {span}.end - {span}.start)"
+    return f"""filter(
+        aggregate(
+            arrays_zip(split({text}, {part}, -1), regexp_extract_all({text}, {part}, 0)),
+            named_struct('at', {span}.start, 'out', cast(array() as array<struct<start:int,body:string>>)),
+            (acc, g) -> named_struct(
+                'at', acc.at + length(g.`0`) + coalesce(length(g.`1`), 0),
+                'out', array_append(acc.out, named_struct('start', acc.at, 'body', g.`0`))),
+            acc -> acc.out),
+        g -> length(g.body) >= {WINDOW})"""
+
+
 def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``secrets``: an array of ``struct(start, end, kind)`` by start, then kind."""
     text = "__t"
@@ -103,10 +122,14 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
         _found(text, CANDIDATE, F.col(text).rlike(CANDIDATE.replace(",}", "}")), None, WINDOW, 4).alias("__all"),
     )
     judge = "CASE " + " ".join(f"WHEN x.body rlike {_quoted(p)} THEN {'cast(null as double)' if t is None else f'{t!r}D'}" for p, t in CLASSES if p) + f" ELSE {CLASSES[-1][1]!r}D END"
-    allowed = " or ".join(f"x.body rlike {_quoted(p)}" for p in ALLOW)
+    allowed = " or ".join(f"x.body rlike {_quoted(p)}" for p in ALLOW[1:])
     rows = rows.withColumn("__base", F.concat("__assign", "__access", "__hex"))
     rows = rows.withColumn("__all", F.expr(f"filter(transform(__all, x -> named_struct('start', x.start, 'body', x.body, 'floor', if({allowed}, cast(null as double), {judge}))), x -> x.floor is not null)"))
-    rows = rows.withColumn("__all", F.expr(f"flatten(transform(__all, y -> {_windows('y.body', 'y.floor', 'y.start')}))"))
+    # A span without a placeholder word stays; of another one the parts beside the words are judged again.
+    word = _quoted(ALLOW[0])
+    again = f"flatten(transform({_beside_words('z', 'y.body', 'y.start')}, v -> {_windows('v.body', 'y.floor', 'v.start')}))"
+    kept = f"flatten(transform({_windows('y.body', 'y.floor', 'y.start')}, z -> if(substring(y.body, z.start - y.start + 1, z.end - z.start) rlike {word}, {again}, array(z))))"
+    rows = rows.withColumn("__all", F.expr(f"flatten(transform(__all, y -> {kept}))"))
     rows = rows.withColumn("__all", F.expr("filter(__all, x -> not exists(__base, y -> y.start <= x.start and y.end >= x.end))"))
     kinds = "array(" + ",".join(f"'{k}'" for k in KINDS) + ")"
     secrets = F.expr(f"transform(array_sort(transform(concat(__base, __all), x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end))), x -> named_struct('start', x.start, 'end', x.end, 'kind', {kinds}[x.rank - 1]))")

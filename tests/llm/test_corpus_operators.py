@@ -145,6 +145,23 @@ def test_secret_scan(spark, texts):
     assert redacted[1002] == "[SECRET] [SECRET]" and redacted[1000] == odd[0]
 
 
+def test_placeholder_words_suppress_their_part_only(spark):
+    from tagtally.llm import secret_scan as s
+
+    rng = random.Random(4)
+    token = "wJalrXUtnFEMIoK7MDENG+bPxRfiCYzK"
+    blob = lambda n: "".join(rng.choice("abcdefgijklmnopqrtuvwxyzABCDEFGIJKLMNOPQRTUVWXYZ123456789") for _ in range(n))
+    left, right = blob(300), blob(300)
+    texts = [f"SAMPLE_AWS_ACCESS_KEY={token}", f"see /examples/{token} there", f"{left}00000000{right}", f"{left}dummy{right}", f"{token}-EXAMPLE", "/examples/of/short/parts/Dummy1/Ab2", f"{left}/SAMPLE/{right}"]
+    rows = {r.doc_id: r for r in s.scan(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    spans = [[(x.start, x.end) for x in rows[i].secrets] for i in range(len(texts))]
+    covered = lambda i, part: sum(max(0, min(b, texts[i].index(part) + len(part)) - max(a, texts[i].index(part))) for a, b in spans[i])
+    assert covered(0, token) == covered(1, token) == len(token)
+    assert covered(2, left) >= 290 and covered(2, right) >= 290 and covered(3, left) >= 250 and covered(3, right) >= 250
+    assert covered(3, "dummy") == 0 and spans[4] == [] and spans[5] == [] and covered(6, left) >= 280 and covered(6, right) >= 280
+    assert all(a < b for x in spans for a, b in x)
+
+
 def test_topk_search(spark):
     from tagtally.llm.topk_search import top_k
 
