@@ -3,7 +3,7 @@
 Evidence for each language of a page:
 
 * the text: a multinomial model over hashed byte trigrams, trained on labelled documents (a bounded sample of
-  whole texts), tempered because trigrams of one text are not independent;
+  whole texts; one that does not fit is passed over), tempered because trigrams of one text are not independent;
 * the markup's declared language: how often a declaration is right is estimated from the pages themselves;
 * the address: its suffix (top-level domain) and its host give priors. A host's prior is its pages' text evidence
   smoothed towards that of its suffix, which is smoothed towards that of all pages (Dirichlet pseudo-counts).
@@ -54,12 +54,18 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, SAMPLE_ROWS / n).otherwise(share)
-    size = dict.fromkeys(langs, 0)
+    place, size, spare = {x: i for i, x in enumerate(langs)}, dict.fromkeys(langs, 0), {}
+    learn = lambda lang, data: np.add.at(table[place[lang]], _trigrams(np.frombuffer(data, np.uint8)), 1.0)
     for r in rows.where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40)).orderBy("lang", "h").toLocalIterator():
         data = r["text"].encode()
-        size[r["lang"]] += len(data)
-        if size[r["lang"]] <= SAMPLE_BYTES:
-            np.add.at(table[langs.index(r["lang"])], _trigrams(np.frombuffer(data, np.uint8)), 1.0)
+        if size[r["lang"]] + len(data) <= SAMPLE_BYTES:
+            size[r["lang"]] += len(data)
+            learn(r["lang"], data)
+        elif not size[r["lang"]]:
+            spare.setdefault(r["lang"], data[:SAMPLE_BYTES])
+    for lang, data in spare.items():
+        if not size[lang]:  # all its texts are too long: the beginning of the first one
+            learn(lang, data)
     return langs, (np.log(table) - np.log(table.sum(1, keepdims=True))).astype(np.float32)
 
 

@@ -361,6 +361,20 @@ def test_language_id(spark):
     assert len(out) == 64
 
 
+def test_language_id_trains_beside_long_texts(spark, monkeypatch):
+    from tagtally.llm import language_id
+
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 2000)
+    docs = [(i, "der und nicht " * 1000, "bb") for i in range(20)] + [(100 + i, "der und nicht " * 5, "bb") for i in range(20)]
+    docs += [(200 + i, "the and with " * 5, "aa") for i in range(20)] + [(300 + i, "une avec pour " * 1000, "cc") for i in range(3)]
+    langs, table = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert langs == ["aa", "bb", "cc"] and (table.std(1) > 0).all()
+    short = language_id._trigrams(np.frombuffer(b"der und nicht " * 5, np.uint8))
+    counts = np.full(language_id.BUCKETS, 0.5)
+    np.add.at(counts, short, 20.0)
+    assert np.allclose(table[1], np.log(counts / counts.sum()))
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
