@@ -26,36 +26,46 @@ from pyspark.sql import functions as F
 from tagtally.llm._common import durable, text_slices
 from tagtally.llm._words import mix
 
-#: Rows of the labelled sample for each language (on average, by hash) and their bytes at most, and the most
-#: languages: the model's training does not grow with the corpus.
-SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES_MOST = 400, 4 << 20, 64
-BUCKETS = 1 << 16
+#: Rows of the labelled sample for each language (on average, by hash) and their bytes at most: the model's
+#: training grows with the languages, not with the corpus.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 4 << 20
+#: Trigram buckets; with more than ``TABLE_MOST / BUCKETS`` languages fewer, so that the table stays bounded.
+BUCKETS, TABLE_MOST = 1 << 16, 1 << 24
 #: Text evidence counts as so many independent trigrams at most.
 TRIGRAMS_MOST = 40.0
 #: Pseudo-counts of a suffix towards all pages, and of a host towards its suffix.
 SUFFIX_PSEUDO, HOST_PSEUDO = 50.0, 10.0
 
 
-def _trigrams(data: np.ndarray) -> np.ndarray:
+def _width(languages: int) -> int:
+    """Buckets of the table of so many languages: a power of two, 4,096 or more."""
+    width = BUCKETS
+    while width > 4096 and width * languages > TABLE_MOST:
+        width //= 2
+    return width
+
+
+def _trigrams(data: np.ndarray, width: int = BUCKETS) -> np.ndarray:
     if len(data) < 3:
         return np.zeros(0, np.int64)
     d = data.astype(np.uint64)
     d[(data >= 65) & (data <= 90)] += np.uint64(32)
-    return (mix(d[:-2] | d[1:-1] << np.uint64(8) | d[2:] << np.uint64(16)) % np.uint64(BUCKETS)).astype(np.int64)
+    return (mix(d[:-2] | d[1:-1] << np.uint64(8) | d[2:] << np.uint64(16)) % np.uint64(width)).astype(np.int64)
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities of trigram buckets (languages x buckets)."""
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    table = np.full((len(langs), BUCKETS), 0.5)
+    if not langs:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    width = _width(len(langs))
+    table = np.full((len(langs), width), 0.5)
     # Rows whose hash lies in their language's share: what reaches the driver is the sample and no more.
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, SAMPLE_ROWS / n).otherwise(share)
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, SAMPLE_ROWS / counts[lang])])[F.col("lang")]
     place, size, spare = {x: i for i, x in enumerate(langs)}, dict.fromkeys(langs, 0), {}
-    learn = lambda lang, data: np.add.at(table[place[lang]], _trigrams(np.frombuffer(data, np.uint8)), 1.0)
+    learn = lambda lang, data: np.add.at(table[place[lang]], _trigrams(np.frombuffer(data, np.uint8), width), 1.0)
     for r in rows.where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40)).orderBy("lang", "h").toLocalIterator():
         data = r["text"].encode()
         if size[r["lang"]] + len(data) <= SAMPLE_BYTES:
@@ -86,7 +96,7 @@ def _evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_column:
             out = np.zeros((batch.num_rows, len(langs)), np.float64)
             for first, data, offsets in text_slices(batch, "__text", 4 << 20):
                 for i in range(len(offsets) - 1):
-                    t = _trigrams(data[offsets[i] : offsets[i + 1]])
+                    t = _trigrams(data[offsets[i] : offsets[i + 1]], table.shape[1])
                     if len(t):
                         out[first + i] = table[:, t].mean(1, dtype=np.float64) * min(len(t), TRIGRAMS_MOST)
             kept = [c for c in batch.schema.names if c != "__text"]
@@ -130,10 +140,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id") -> D
     table_rows = {r["declared"]: [r[f"s{i}"] for i in range(k)] for r in pairs.collect()}  # a row for each language
     together = np.array([[table_rows.get(d, [0.0] * k)[i] for i in range(k)] for d in langs]) + 0.5 + 4.5 * np.eye(k)
     given = np.log(together / together.sum(0, keepdims=True))
-    declared = F.lit(None)
-    for d, row in zip(langs, given.tolist()):
-        declared = F.when(F.col("declared") == d, F.array(*[F.lit(x) for x in row])).otherwise(declared)
-    rows = rows.withColumn("by_declared", F.coalesce(declared, F.array_repeat(F.lit(0.0), k)))
+    known = [(d, given[i].tolist()) for i, d in enumerate(langs) if d in table_rows]
+    weights = pages.sparkSession.createDataFrame(known, "declared string, by_declared array<double>")
+    rows = rows.join(F.broadcast(weights), "declared", "left")  # a row for each language that pages declare
+    rows = rows.withColumn("by_declared", F.coalesce("by_declared", F.array_repeat(F.lit(0.0), k)))
 
     rows = rows.join(hosts, "host")  # skewed hosts are split by the adaptive join
     rows = rows.withColumn("prior", F.expr(f"zip_with(zip_with(sums, soft, (s, x) -> greatest(0D, s - x)), by_suffix, (s, g) -> (s + {HOST_PSEUDO}D * g) / (host_pages - 1 + {HOST_PSEUDO}D))"))

@@ -375,6 +375,19 @@ def test_language_id_trains_beside_long_texts(spark, monkeypatch):
     assert np.allclose(table[1], np.log(counts / counts.sum()))
 
 
+def test_language_id_keeps_all_languages(spark):
+    from tagtally.llm.language_id import identify
+
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"][:90]
+    vocab = {x: [f"{x}{y}{x}" for y in "uvwxyz"] for x in names}
+    rng = random.Random(13)
+    text = lambda x, n: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    docs = [(100 * i + j, text(x, 30), x) for i, x in enumerate(names) for j in range(2 if i >= 64 else 3)]
+    pages = [(i, f"http://h{i}.example/x", f'<html lang="{x}"><p>{text(x, 30)}</p></html>') for i, x in enumerate(names)]
+    out = {r.page_id: r for r in identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].language == out[i].text_language == out[i].declared == x for i, x in enumerate(names))
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
