@@ -205,7 +205,7 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
     from tagtally.functions.tails import normal_sf, trigamma
     from tagtally.operators.counts import benjamini_hochberg
 
-    spark = counts.sparkSession
+    spark, kind = counts.sparkSession, dict(counts.dtypes)["feature"]
     design = counts.where(F.col("condition").isin(test, base)).select("sample", "replicate", "condition").distinct().join(factors, "sample").orderBy("sample").toPandas()
     reps = sorted(design["replicate"].astype(str).unique())
     x = np.column_stack([np.ones(len(design)), *[(design["replicate"].astype(str) == r).to_numpy(float) for r in reps[1:]], (design["condition"] == test).to_numpy(float)])
@@ -233,7 +233,7 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
                 out.append((f, mean, _best_dispersion(y, mu, x)))
             yield pd.DataFrame(out, columns=["feature", "mean", "alpha"])
 
-    genewise = vectors.mapInPandas(first, "feature string, mean double, alpha double").persist()
+    genewise = vectors.mapInPandas(first, f"feature {kind}, mean double, alpha double").persist()
     table = genewise.select("mean", "alpha").toPandas()
     mean, alpha = table["mean"].to_numpy(float), table["alpha"].to_numpy(float)
     keep = np.sort(np.unique(np.quantile(mean, np.linspace(0, 1, 200)))) if len(mean) else np.array([1.0])
@@ -257,7 +257,7 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
                 out.append((f, m, final, beta[-1] / math.log(2), se / math.log(2), z, float(2 * normal_sf(np.array(abs(z))))))
             yield pd.DataFrame(out, columns=["feature", "baseMean", "dispersion", "log2FoldChange", "lfcSE", "stat", "pvalue"])
 
-    fitted = vectors.join(genewise, "feature").mapInPandas(second, "feature string, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double")
+    fitted = vectors.join(genewise, "feature").mapInPandas(second, f"feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double")
     return benjamini_hochberg(fitted, "pvalue", "padj") if spark else fitted
 
 

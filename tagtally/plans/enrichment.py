@@ -422,11 +422,7 @@ def detection_offset(t):
 
 @query("nb_glm")
 def nb_glm(t):
-    rows = t.lib.join(t.part.select(F.col("p_partkey").alias("feature"), "p_brand"), "feature").groupBy(F.col("p_brand").alias("feature"), "condition", "replicate").agg(F.count("*").alias("count"))
-    letter = F.when(F.col("condition") == "Input", "i").when(F.col("condition") == "IP", "p").otherwise("h")
-    rows = rows.withColumn("sample", F.concat(F.col("replicate").cast("string"), letter))
-    factors = C.size_factors(rows, F.lit(True))
-    return S.nb_wald(rows, factors).select("feature", *[r(c).alias(c) for c in ("baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj")])
+    return S.nb_wald(t.cnt, _factors(t)).select("feature", *[r(c).alias(c) for c in ("baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj")])
 
 
 @query("mean_absolute_error", "SELECT l_returnflag AS method, round(avg(abs(l_discount - l_tax)), 6) AS mae, count(*) AS n FROM lineitem GROUP BY 1")

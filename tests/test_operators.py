@@ -136,6 +136,26 @@ def test_negative_binomial_wald(spark):
     assert (got.drop(up).pvalue < 0.05).mean() < 0.2
 
 
+def test_nb_glm_tests_every_part(spark, tmp_path):
+    from datetime import date
+
+    from tagtally.plans.registry import QUERIES
+
+    rng = np.random.default_rng(4)
+    lines = []
+    for part in range(1, 41):
+        for year in (1995, 1996, 1997, 1998):
+            for flag in "NR":
+                n = 60 if part % 10 == 0 else int(rng.negative_binomial(30, 30 / (30 + 30 * 2 ** (2 * (part <= 4 and flag == "R")))))
+                lines += [(part, flag, date(year, 3, 1), 1.0, "O", 1)] * n
+    spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_shipdate date, l_quantity double, l_linestatus string, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"Brand#{p % 5}") for p in range(1, 41)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["nb_glm"](spark, str(tmp_path)).toPandas().set_index("feature")
+    assert sorted(got.index) == list(range(1, 41))
+    assert got.loc[[1, 2, 3, 4]].log2FoldChange.mean() == pytest.approx(2, abs=0.3) and (got.loc[[1, 2, 3, 4]].padj < 0.01).all()
+    assert got.loc[10].log2FoldChange == pytest.approx(0, abs=1e-3) and got.loc[10].baseMean == pytest.approx(60, abs=1e-3)
+
+
 def test_regressions(spark):
     rows = spark.createDataFrame([(float(x), 2.0 * x + 1, 1.0, b) for x in range(6) for b in ("u", "v")], "x double, y double, se double, b string")
     fit = S.inverse_variance_fit(rows, "y", "x", "se")
