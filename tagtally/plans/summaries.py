@@ -146,12 +146,12 @@ def gc_posmatched_weighted(t):
 @query("bootstrap_ci")
 def bootstrap_ci(t):
     k = _kmers(t)
-    return Q.bootstrap_gc(k.where("rowid % 3 = 0"), k.where("rowid % 3 <> 0"), "source", 100).select("k_pos", r("delta_gc").alias("delta_gc"), r("lo").alias("lo"), r("hi").alias("hi"))
+    return Q.bootstrap_gc(k.where("rowid % 3 = 0"), k.where("rowid % 3 <> 0"), "source").select("k_pos", r("delta_gc").alias("delta_gc"), r("lo").alias("lo"), r("hi").alias("hi"))
 
 
 @query("permutation_null")
 def permutation_null(t):
-    return Q.permutation_gc(_kmers(t).withColumn("hit", F.col("rowid") % 3 == 0), "source", 100).select("k_pos", r("observed").alias("observed"), r("p").alias("p"), r("q").alias("q"))
+    return Q.permutation_gc(_kmers(t).withColumn("hit", F.col("rowid") % 3 == 0), "source").select("k_pos", r("observed").alias("observed"), r("p").alias("p"), r("q").alias("q"))
 
 
 # ---------------------------------------------------------------- ordination
@@ -242,7 +242,7 @@ def loocv_svm(t):
 @query("permanova")
 def permanova(t):
     names, d, y = _classes(t)
-    return O.permanova(t.spark, d, y.tolist(), 499)
+    return O.permanova(t.spark, d, y.tolist())
 
 
 @query("roc_auc", """WITH s AS (SELECT n_chars::DOUBLE AS x, quality AS y FROM labels JOIN documents USING (doc_id)), k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk FROM s)

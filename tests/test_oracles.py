@@ -41,3 +41,27 @@ def test_agrees(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 1
+
+
+def test_resampling_queries_run_all_rounds(spark, monkeypatch):
+    import inspect
+
+    from tagtally.operators import ordination, sequences
+    from tagtally.plans.registry import QUERIES
+
+    rounds = {}
+    for module, name, of in ((sequences, "bootstrap_gc", "rounds"), (sequences, "permutation_gc", "rounds"), (ordination, "permanova", "permutations")):
+        real = getattr(module, name)
+
+        def run(*a, real=real, name=name, of=of, **b):
+            bound = inspect.signature(real).bind(*a, **b)
+            bound.apply_defaults()
+            rounds[name] = bound.arguments[of]
+            return real(*a, **b)
+
+        monkeypatch.setattr(module, name, run)
+    assert QUERIES["bootstrap_ci"](spark, SF).count() == 7
+    p = [r.p for r in QUERIES["permutation_null"](spark, SF).collect()]
+    assert all(abs(x * 501 - round(x * 501)) < 1e-3 for x in p)
+    p = QUERIES["permanova"](spark, SF).first().p
+    assert abs(p * 5000 - round(p * 5000)) < 1e-6 and rounds == {"bootstrap_gc": 500, "permutation_gc": 500, "permanova": 4999}
