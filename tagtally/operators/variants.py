@@ -75,31 +75,69 @@ def weighted_fit(logits: DataFrame, least: int = 4, pairs_in_all: int | None = N
     return rows.withColumn("amean", F.col("sd") / (F.lit(pairs_in_all) if pairs_in_all else F.col("n"))).select("site", "n", "sw", "beta", "s2", "amean")
 
 
-def moderated(fit: DataFrame, most: int = 1_000_000) -> DataFrame:
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], bins: int = 1024) -> list[float]:
+    """Values of given ranks (from 0) of a column without nulls, by counts in bins that narrow around each; the driver sees counts."""
+    n, least, most = rows.agg(F.count("*"), F.min(column), F.max(column)).first()
+    found, live = {}, {k: (0, n, least, most) for k in set(ranks)}
+    while live:
+        for k, (below, inside, lo, hi) in list(live.items()):
+            if lo == hi or k in (below, below + inside - 1):
+                found[k] = lo if k == below else hi
+                del live[k]
+        if not live:
+            break
+        x = F.col(column)
+        bin_of = lambda lo, hi: F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+        each = F.array(*[F.when(x.between(lo, hi), F.struct(F.lit(k).alias("k"), bin_of(lo, hi).alias("bin"))) for k, (_, _, lo, hi) in live.items()])
+        parts = rows.select(x, F.explode(each).alias("at")).where("at is not null").groupBy("at.k", "at.bin").agg(F.count("*").alias("c"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        counted = sorted(parts.collect(), key=lambda r: r["bin"])
+        for k, (below, *_) in list(live.items()):
+            for r in (r for r in counted if r["k"] == k):
+                if k < below + r["c"]:
+                    live[k] = (below, r["c"], r["lo"], r["hi"])
+                    break
+                below += r["c"]
+    return [float(found[k]) for k in ranks]
+
+
+def moderated(fit: DataFrame) -> DataFrame:
     """Moderated t of each site: variances shrink to a trend over ``amean`` (empirical Bayes), BH over all sites.
 
-    The prior needs one small regression over sites: it is fitted on the driver over at most ``most`` sites taken
-    in hash order (a bounded sample; all sites if there are fewer), and applied to every site.
+    The trend, its prior and the degrees of freedom are fitted over all sites: Spark sums the products that the few
+    spline coefficients need, and the knots are exact quantiles; the driver sees sums and counts.
     """
     import numpy as np
 
     from tagtally.functions.tails import digamma, t_two_sided_udf, trigamma, trigamma_inverse
     from tagtally.operators.counts import benjamini_hochberg
 
-    usable = fit.where("s2 > 0").select("s2", F.col("n").alias("n"), "amean", "site").orderBy(F.xxhash64("site")).limit(most).toPandas()
+    usable = fit.where("s2 > 0").select("s2", "n", "amean").persist()
+    tally = usable.groupBy("n").count().orderBy("n").collect()  # a row for each number of pairs
+    many = sum(r["count"] for r in tally)
     rows = fit
-    if len(usable) < 3:
+    if many < 3:
         rows = rows.withColumn("s2_post", F.col("s2")).withColumn("df", (F.col("n") - 1).cast("double"))
     else:
-        d = usable["n"].to_numpy(float) - 1
-        e = np.log(usable["s2"].to_numpy(float)) - digamma(d / 2) + np.log(d / 2)
-        x = usable["amean"].to_numpy(float)
-        size = 1 + (len(x) >= 3) + (len(x) >= 6) + (len(x) >= 30)
-        knots = np.unique(np.quantile(x, np.linspace(0, 1, size + 1)))
-        basis, at = spline_basis(x, knots)
-        coef, *_ = np.linalg.lstsq(basis, e, rcond=None)
-        left = e - basis @ coef
-        v = float((left**2).sum() / max(1, len(x) - basis.shape[1]) - trigamma(d / 2).mean())
+        d, times = np.array([r["n"] - 1.0 for r in tally]), np.array([float(r["count"]) for r in tally])
+        size = 1 + (many >= 3) + (many >= 6) + (many >= 30)
+        places = np.linspace(0, 1, size + 1) * (many - 1)
+        whole = np.floor(places).astype(int).tolist()
+        value = dict(zip(near := sorted({*whole, *[min(w + 1, many - 1) for w in whole]}), order_statistics(usable, "amean", near)))
+        knots = np.unique([value[w] + (q - w) * (value[min(w + 1, many - 1)] - value[w]) for w, q in zip(whole, places)])
+        _, at = spline_basis(knots, knots)
+        shift_of = F.create_map(*[F.lit(v) for r, g in zip(tally, np.log(d / 2) - digamma(d / 2)) for v in (r["n"], float(g))])
+        terms = usable.select((F.ln("s2") + shift_of[F.col("n")]).alias("e"), F.lit(1.0).alias("x0"), *[c.alias(f"x{i + 1}") for i, c in enumerate(at(F.col("amean")))])
+        names = [c for c in terms.columns if c != "e"]
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        sums = terms.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs], *[F.sum(F.col(c) * F.col("e")) for c in names]).first()
+        square = np.zeros((len(names), len(names)))
+        for (i, j), v in zip(pairs, sums):
+            square[i, j] = square[j, i] = v
+        scale = 1 / np.sqrt(np.maximum(np.diag(square), 1e-300))
+        coef = scale * np.linalg.lstsq(square * scale * scale[:, None], np.array(sums[len(pairs) :]) * scale, rcond=1e-13)[0]
+        left = F.col("e") - sum((float(c) * F.col(x) for c, x in zip(coef, names)), F.lit(0.0))
+        rest = terms.agg(F.sum(left * left)).first()[0]
+        v = float(rest / max(1, many - len(names)) - (trigamma(d / 2) * times).sum() / many)
         d0 = 2 * trigamma_inverse(v) if v > 0 else float("inf")
         shift = float(digamma(np.array(d0 / 2)) - np.log(d0 / 2)) if v > 0 else 0.0
         trend = F.lit(float(coef[0]))
@@ -108,9 +146,10 @@ def moderated(fit: DataFrame, most: int = 1_000_000) -> DataFrame:
         prior = F.exp(trend + shift)
         if v > 0:
             rows = rows.withColumn("s2_post", (F.lit(d0) * prior + (F.col("n") - 1) * F.col("s2")) / (F.lit(d0) + F.col("n") - 1))
-            rows = rows.withColumn("df", F.least(F.col("n") - 1 + F.lit(d0), F.lit(float(d.sum()))))
+            rows = rows.withColumn("df", F.least(F.col("n") - 1 + F.lit(d0), F.lit(float((d * times).sum()))))
         else:
-            rows = rows.withColumn("s2_post", prior).withColumn("df", F.lit(float(d.sum())))
+            rows = rows.withColumn("s2_post", prior).withColumn("df", F.lit(float((d * times).sum())))
+    usable.unpersist()
     rows = rows.withColumn("t", ratio(F.col("beta") * F.sqrt("sw"), F.sqrt("s2_post")))
     return benjamini_hochberg(rows.withColumn("p", t_two_sided_udf()("t", "df")), "p", "padj")
 

@@ -82,6 +82,28 @@ def test_moderated_t_on_null_data(spark):
     assert 0.01 < (got.p < 0.05).mean() < 0.1 and (got.df >= 5).all()
 
 
+def test_moderated_t_is_fitted_over_all_sites(spark):
+    import inspect
+
+    from tagtally.functions.tails import digamma, trigamma, trigamma_inverse
+
+    assert list(inspect.signature(V.moderated).parameters) == ["fit"]  # no bound on the sites of the prior
+    rng = np.random.default_rng(6)
+    n, x = rng.integers(4, 9, 700), rng.normal(0, 1, 700).round(2)
+    s2 = np.exp(0.3 * x) * 5 / rng.chisquare(5, 700) * rng.chisquare(n - 1) / (n - 1)
+    fit = spark.createDataFrame([(i, int(n[i]), 1.0, 0.5, float(s2[i]), float(x[i])) for i in range(700)], "site int, n long, sw double, beta double, s2 double, amean double")
+    assert V.order_statistics(fit, "amean", [0, 10, 350, 699], 4) == np.sort(x)[[0, 10, 350, 699]].tolist()
+    d = n - 1.0
+    e = np.log(s2) - digamma(d / 2) + np.log(d / 2)
+    basis, _ = V.spline_basis(x, np.unique(np.quantile(x, np.linspace(0, 1, 5))))
+    coef = np.linalg.lstsq(basis, e, rcond=None)[0]
+    v = ((e - basis @ coef) ** 2).sum() / (700 - basis.shape[1]) - trigamma(d / 2).mean()
+    d0 = 2 * trigamma_inverse(v)
+    prior = np.exp(basis @ coef + digamma(np.array(d0 / 2)) - np.log(d0 / 2))
+    got = V.moderated(fit).toPandas().sort_values("site")
+    assert np.allclose(got.df, d + d0) and np.allclose(got.s2_post, (d0 * prior + d * s2) / (d0 + d))
+
+
 def test_set_categories(spark):
     rows = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1), ("A", 2), ("B", 2), ("C", 3), ("A", 4), ("A", 4), ("C", 5), ("A", 5), ("B", 6), ("C", 6), ("B", 7), ("A", None)], "set_name string, item int")
     got = {r.item: r.category for r in H.categories(rows, ["A", "B", "C"]).collect()}
