@@ -193,24 +193,104 @@ def _best_dispersion(y, mu, x, prior=None) -> float:
     return math.exp((lo + hi) / 2)
 
 
+def _lowess(x: np.ndarray, y: np.ndarray, share: float = 0.2, rounds: int = 3) -> np.ndarray:
+    """Locally weighted linear fit at every x, with bisquare weights against outliers."""
+    k, robust, fit = max(2, int(share * len(x) + 1e-7)), np.ones(len(x)), np.zeros(len(x))
+    for turn in range(rounds + 1):
+        for i, at in enumerate(x):
+            d = np.abs(x - at)
+            h = max(np.partition(d, k - 1)[k - 1], 1e-12)
+            w = robust * np.where(d < 0.999 * h, (1 - np.minimum(d / h, 1) ** 3) ** 3, 0)
+            if w.sum() <= 0:
+                fit[i] = y[i]
+                continue
+            mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+            sxx = (w * (x - mx) ** 2).sum()
+            fit[i] = my + ((w * (x - mx) * (y - my)).sum() / sxx * (at - mx) if sxx > 1e-12 else 0.0)
+        left = np.abs(y - fit)
+        scale = 6 * np.median(left)
+        if turn == rounds or scale < 1e-7 * left.mean() or scale == 0:
+            break
+        robust = np.where(left < 0.999 * scale, (1 - np.minimum(left / scale, 1) ** 2) ** 2, 0)
+    return fit
+
+
+def filter_threshold(mean: np.ndarray, p: np.ndarray, zeros: int = 0, alpha: float = 0.1) -> float:
+    """Independent filtering: the least mean of a feature that is adjusted, from the rejections at 50 quantiles of the means.
+
+    ``zeros`` are features without any count; p may be NaN.
+    """
+    if not len(mean):
+        return 0.0
+    every = np.concatenate([np.zeros(zeros), mean])
+    low = zeros / len(every)
+    theta = np.linspace(low, 0.95 if low < 0.95 else 1.0, 50)
+    cuts = np.quantile(every, theta)
+
+    def rejected(cut):
+        own = np.sort(p[(mean >= cut) & ~np.isnan(p)])
+        below = np.flatnonzero(own * len(own) / np.arange(1, len(own) + 1) < alpha)
+        return below[-1] + 1.0 if len(below) else 0.0
+
+    number = np.array([rejected(c) for c in cuts])
+    if number.max() <= 10:
+        return float(cuts[0])
+    fit = _lowess(theta, number)
+    spread = np.sqrt(np.mean((number - fit)[number > 0] ** 2))
+    for least in (fit.max() - spread, 0.9 * fit.max(), 0.8 * fit.max()):
+        if (number > least).any():
+            return float(cuts[np.flatnonzero(number > least)[0]])
+    return float(cuts[0])
+
+
+def _robust_dispersion(q: np.ndarray, cells: list[np.ndarray]) -> float:
+    """Method of moments from the largest trimmed variance of a cell of three or more libraries; 0.04 or more."""
+    def trimmed(v, share):
+        cut = int(len(v) * share)
+        return float(np.sort(v)[cut : len(v) - cut].mean())
+
+    variance = 0.0
+    for at in cells:
+        share, scale = (1 / 3, 2.04) if len(at) <= 3 else (1 / 4, 1.86) if len(at) <= 23 else (1 / 8, 1.51)
+        variance = max(variance, scale * trimmed((q[at] - trimmed(q[at], share)) ** 2, share))
+    return max((variance - q.mean()) / q.mean() ** 2, 0.04)
+
+
 def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str = "Input") -> DataFrame:
     """Negative-binomial model ``~ replicate + condition`` by feature: baseMean, log2FoldChange, lfcSE, stat, pvalue, padj.
 
     ``counts`` are ``feature, sample, replicate, condition, count``; ``factors`` ``sample, size_factor``. Features are
     fitted in groups of a hash, each with all its libraries (their number is that of the design). The dispersion
     trend and its prior need one number pair of each feature on the driver: their number is that of the features.
+
+    ``pvalue`` is NULL where Cook's distance of a library in a cell of three or more (equal rows of the design) is
+    beyond the 99 % quantile of F; ``padj`` is NULL there and below the threshold of independent filtering.
     """
     import pandas as pd
 
-    from tagtally.functions.tails import normal_sf, trigamma
+    from tagtally.functions.tails import f_sf, normal_sf, trigamma
     from tagtally.operators.counts import benjamini_hochberg
 
-    spark, kind = counts.sparkSession, dict(counts.dtypes)["feature"]
+    kind = dict(counts.dtypes)["feature"]
     design = counts.where(F.col("condition").isin(test, base)).select("sample", "replicate", "condition").distinct().join(factors, "sample").orderBy("sample").toPandas()
     reps = sorted(design["replicate"].astype(str).unique())
     x = np.column_stack([np.ones(len(design)), *[(design["replicate"].astype(str) == r).to_numpy(float) for r in reps[1:]], (design["condition"] == test).to_numpy(float)])
     sf = design["size_factor"].to_numpy(float)
     at = {s: i for i, s in enumerate(design["sample"])}
+    m, p = x.shape
+    cells = [np.flatnonzero((x == row).all(1)) for row in np.unique(x, axis=0)] if m else []
+    cells = [c for c in cells if len(c) >= 3 and m > p]  # the others have no Cook's distance to judge
+    lo, far = 0.0, 1e9
+    for _ in range(100 if cells else 0):
+        lo, far = (lo, (lo + far) / 2) if f_sf((lo + far) / 2, p, m - p) < 0.01 else ((lo + far) / 2, far)
+
+    def outlying(y, mu, alpha, cov):
+        if not cells:
+            return False
+        h = mu / (1 + alpha * mu) * np.einsum("ij,jk,ik->i", x, cov, x)
+        distance = (y - mu) ** 2 / (mu + _robust_dispersion(y / sf, cells) * mu**2) / p * h / (1 - h) ** 2
+        return distance[np.concatenate(cells)].max() > far
+
     rows = counts.where(F.col("sample").isin(list(at))).groupBy("feature", "sample").agg(F.sum("count").alias("count"))
     vectors = rows.groupBy("feature").agg(F.collect_list(F.struct("sample", "count")).alias("v"))
 
@@ -254,11 +334,15 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
                 beta, cov, mu = _fit_beta(y, x, sf, final)
                 se = math.sqrt(cov[-1, -1])
                 z = beta[-1] / se
-                out.append((f, m, final, beta[-1] / math.log(2), se / math.log(2), z, float(2 * normal_sf(np.array(abs(z))))))
+                chance = math.nan if outlying(y, mu, final, cov) else float(2 * normal_sf(np.array(abs(z))))
+                out.append((f, m, final, beta[-1] / math.log(2), se / math.log(2), z, chance))
             yield pd.DataFrame(out, columns=["feature", "baseMean", "dispersion", "log2FoldChange", "lfcSE", "stat", "pvalue"])
 
-    fitted = vectors.join(genewise, "feature").mapInPandas(second, f"feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double")
-    return benjamini_hochberg(fitted, "pvalue", "padj") if spark else fitted
+    fitted = vectors.join(genewise, "feature").mapInPandas(second, f"feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double").persist()
+    tested = fitted.select("baseMean", "pvalue").toPandas()  # a number pair of each feature, as above
+    zeros = counts.select("feature").distinct().count() - len(tested)
+    least = filter_threshold(tested["baseMean"].to_numpy(float), tested["pvalue"].to_numpy(float), zeros)
+    return benjamini_hochberg(fitted.withColumn("__p", F.when(F.col("baseMean") >= least, F.col("pvalue"))), "__p", "padj").drop("__p")
 
 
 def _trend_at(mean: np.ndarray, alpha: np.ndarray, at: np.ndarray) -> np.ndarray:

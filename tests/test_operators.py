@@ -158,6 +158,25 @@ def test_negative_binomial_wald(spark):
     assert (got.drop(up).pvalue < 0.05).mean() < 0.2
 
 
+def test_negative_binomial_outliers_and_weak_features(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for f in range(130):
+        for i in range(12):
+            c = "IP" if i % 2 else "Input"
+            m = (200 * 2 ** (2 * (c == "IP"))) if f < 30 else 1.0 if f >= 40 else 200
+            rows.append((f, f"s{i}", "0", c, 100_000 if (f, i) == (35, 0) else int(rng.negative_binomial(20, 20 / (20 + m)))))
+    counts = spark.createDataFrame(rows, "feature long, sample string, replicate string, condition string, count int")
+    got = S.nb_wald(counts, counts.select("sample").distinct().withColumn("size_factor", F.lit(1.0))).toPandas().set_index("feature")
+    assert math.isnan(got.loc[35].pvalue) and math.isnan(got.loc[35].padj) and got.pvalue.isna().sum() <= 3
+    assert (got.loc[:29].padj < 0.01).all()
+    mean = np.concatenate([np.linspace(0.1, 5, 900), np.linspace(50, 300, 100)])
+    p = np.concatenate([np.linspace(0.01, 1, 900), np.linspace(1e-4, 0.04, 100)])
+    least = S.filter_threshold(mean, p)
+    assert 3 < least <= 50
+    assert S.filter_threshold(mean, np.full(1000, 0.9)) == mean.min() and S.filter_threshold(mean[:3], p[:3], 5) <= mean[0]
+
+
 def test_nb_glm_tests_every_part(spark, tmp_path):
     from datetime import date
 
