@@ -112,7 +112,7 @@ def brute_secrets(t, s):
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
     more = []
     for m in re.finditer(s.CANDIDATE, t):
-        if any(re.search(p, m[0]) for p in s.ALLOW):
+        if any(all(re.search(p, m[0]) for p in listed) for listed in s.ALLOW):
             continue
         floor = next(f for p, f in s.CLASSES if re.search(p, m[0]))
         hot = [] if floor is None else [i for i in range(len(m[0]) - 19) if -sum(v / 20 * math.log2(v / 20) for v in collections.Counter(m[0][i : i + 20]).values()) >= floor - 1e-12]
@@ -162,6 +162,28 @@ def test_placeholder_words_suppress_their_part_only(spark):
     assert all(a < b for x in spans for a, b in x)
 
 
+def test_secret_scan_of_long_texts(spark):
+    import time
+
+    from tagtally.llm import secret_scan as s
+
+    rng = random.Random(9)
+    blob = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    # Hot and cold stretches within one string, words that are base spans, and paths deep enough to break nested patterns.
+    mixed = "é" + "=".join(blob(rng.randrange(10, 60)) + "aA1" * rng.randrange(1, 30) for _ in range(9000)) + " password=" + blob(300) + " " + "/".join(["ab1"] * 60000)
+    base, more = brute_secrets(mixed, s)
+    got = s.digests(docs_of(spark, [(1, mixed, "s")])).first()
+    assert len(mixed) > 10**6 - 100_000 and got.spans == ",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+    hexes = lambda n: " ".join("%016x" % rng.getrandbits(64) for _ in range(n))
+    took = {}
+    for n in (20000, 40000):
+        rows = docs_of(spark, [(1, hexes(n), "s")])
+        began = time.time()
+        assert s.digests(rows).first().n_hex == n and s.redact(rows).first().text.count("[SECRET]") == n
+        took[n] = time.time() - began
+    assert took[40000] < 2 * took[20000] + 3
+
+
 def test_topk_search(spark):
     from tagtally.llm.topk_search import top_k
 
