@@ -11,8 +11,9 @@ source is a draw from the multivariate hypergeometric distribution, source by so
 probabilities around the mode. The leaves' quotas of a source sum to its quota exactly, and a shard's draws are a
 run of the source's permutation that no other shard has. Within a shard rows stand in hash order.
 
-A node of the tree holds one number for each source, so the tree is for up to some 100,000 sources; documents,
-blocks and draws have no such bound.
+A node of the tree is a row with one number for each source, so the tree is for up to some 100,000 sources; the work
+is linear in them (draws are dealt to groups of sources, then within a group), and documents, blocks and draws have
+no such bound. Whatever is drawn is read off the leaves' quotas.
 
 Random numbers are hashes of (seed, source, block), so reruns agree and lost tasks repeat the same draw.
 
@@ -27,7 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import durable, hinted
+from tagtally.llm._common import durable, hinted, shuffle_width
+from tagtally.llm._sql import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating: fixed values of the contract.
@@ -35,6 +37,8 @@ WEIGHTS = (3, 1, 2)
 #: Documents of a block, about, and the most blocks of a source; blocks of larger sources hold more documents.
 BLOCK_DOCS, BLOCKS_MOST = 64, 1 << 16
 SHARDS = 16
+#: Sources that one fold deals draws to.
+SOURCES_FOLD = 128
 
 
 def sized(docs: DataFrame, text_column: str = "text") -> Column:
@@ -83,7 +87,6 @@ def _hypergeometric(good: str, bad: str, drawn: str, u: str) -> str:
     up = f"z.up * ({g} - k1 + 1D) * ({n} - k1 + 1D) / (k1 * ({b} - {n} + k1))"
     down = f"z.down * (k1 + 1D) * ({b} - {n} + k1 + 1D) / (({g} - k1) * ({n} - k1))"
     state = "named_struct('m', z.m, 'up', {up}, 'down', {down}, 'left', z.left - p1, 'k', if(z.left < p1, cast({k} as bigint), z.k))"
-    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     return f"""
         aggregate(sequence(0, 2 * {reach} + 1),
             {let(f"cast({mode} as double)", "k0", let(top, "p0", f"named_struct('m', k0, 'up', p0, 'down', p0, 'left', {u}, 'k', -1L)"))},
@@ -94,19 +97,28 @@ def _hypergeometric(good: str, bad: str, drawn: str, u: str) -> str:
             z -> if(z.k >= 0, z.k, cast(z.m as bigint)))"""
 
 
+def _shared(items: str, want: str, draw: str) -> str:
+    """SQL: how many of ``want`` draws without replacement fall on each of ``items`` (with their numbers ``n``)."""
+    total = f"aggregate({items}, 0L, (t, x) -> t + x.n)"
+    return f"""
+        aggregate({items}, named_struct('rest', {total}, 'want', {want}, 'out', cast(array() as array<bigint>)),
+            (a, x) -> {let(draw, "d", "named_struct('rest', a.rest - x.n, 'want', a.want - d, 'out', array_append(a.out, d))")},
+            a -> a.out)"""
+
+
 def _split(quotas: DataFrame, seed: int, shards: int) -> DataFrame:
     """``source, shard, n``: block quotas of the sources dealt to shards by the splitting tree."""
     key = F.struct(F.col("source").isNull().alias("o"), F.col("source").alias("s"), F.col("quota").alias("n"))
     nodes = quotas.agg(F.sort_array(F.collect_list(key)).alias("q")).withColumn("node", F.lit(1)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
     for _ in range(max(0, math.ceil(math.log2(shards)))):
         total = "aggregate(q, 0L, (t, x) -> t + x.n)"
-        u = f"(cast(pmod(xxhash64({seed}, node, x.s), 9007199254740992L) as double) / 9007199254740992D)"
-        draw = _hypergeometric("x.n", "(a.rest - x.n)", "a.want", u)
-        left = f"""
-            aggregate(q,
-                named_struct('rest', {total}, 'want', cast(floor(cast({total} as double) * ((hi - lo) div 2) / (hi - lo)) as bigint), 'out', cast(array() as array<bigint>)),
-                (a, x) -> element_at(transform(array({draw}), d -> named_struct('rest', a.rest - x.n, 'want', a.want - d, 'out', array_append(a.out, d))), 1),
-                a -> a.out)"""
+        u = lambda mark: f"(cast(pmod(xxhash64({seed}, node, {mark}), 9007199254740992L) as double) / 9007199254740992D)"
+        want = f"cast(floor(cast({total} as double) * ((hi - lo) div 2) / (hi - lo)) as bigint)"
+        # Groups of sources share the draws first, then the sources of a group: no result grows with all sources.
+        groups = f"transform(sequence(0, cast(greatest(0, size(q) - 1) div {SOURCES_FOLD} as int)), g -> slice(q, g * {SOURCES_FOLD} + 1, {SOURCES_FOLD}))"
+        by_group = _shared("transform(p, (x, g) -> named_struct('n', aggregate(x, 0L, (t, y) -> t + y.n), 's', g))", "n0", _hypergeometric("x.n", "(a.rest - x.n)", "a.want", u("'group', x.s")))
+        by_source = _shared("y", "n1", _hypergeometric("x.n", "(a.rest - x.n)", "a.want", u("'source', x.o, x.s")))
+        left = let(groups, "p", let(let(want, "n0", by_group), "w", f"flatten(zip_with(p, w, (y, n1) -> {by_source}))"))
         nodes = nodes.withColumn("left", F.expr(left))
         half = F.expr("cast(lo + (hi - lo) div 2 as int)")
         one = F.col("hi") - F.col("lo") <= 1
@@ -148,16 +160,15 @@ def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     blocks = durable(blocks)
     quotas = blocks.groupBy("source").agg(F.sum("draws").cast("long").alias("quota"), F.count("*").alias("all"))
 
-    # The d-th pass over a source takes the places d * blocks + at of its permutation; shards own runs of places.
-    runs = _split(quotas.select("source", "quota"), seed + 2, shards)
+    # Place p of a source is block p modulo blocks of its permutation, in pass p div blocks; a leaf of the tree owns a
+    # run of places, and what is drawn is what the leaves' quotas name.
+    leaves = _split(quotas.select("source", "quota"), seed + 2, shards)
     ends = Window.partitionBy("source").orderBy("shard")
-    runs = runs.withColumn("end", F.sum("n").over(ends)).where("n > 0").withColumn("begin", F.col("end") - F.col("n"))
-    listed = runs.groupBy(F.col("source").alias("r_source")).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("runs"))
+    leaves = leaves.withColumn("end", F.sum("n").over(ends)).where("n > 0").withColumn("begin", F.col("end") - F.col("n"))
     totals = quotas.select(F.col("source").alias("a_source"), F.col("all"))
-    drawn = blocks.where("draws > 0").withColumn("pass", F.explode(F.expr("sequence(0, cast(draws as int) - 1)")))
-    drawn = drawn.join(hinted(totals, sources), F.expr("source <=> a_source")).join(hinted(listed, sources), F.expr("source <=> r_source"))
-    drawn = drawn.withColumn("place", F.col("pass") * F.col("all") + F.col("at"))
-    drawn = drawn.withColumn("shard", F.expr("element_at(filter(runs, x -> x.end > place), 1).shard"))
+    places = leaves.join(hinted(totals, sources), F.expr("source <=> a_source")).withColumn("place", F.explode(F.expr("sequence(begin, end - 1)")))
+    places = places.select(F.col("source").alias("p_source"), "shard", F.expr("place % all").alias("p_at"), F.expr("cast(place div all as int)").alias("pass"))
+    drawn = places.join(blocks, F.expr("p_source <=> source and p_at = at"))
     drawn = drawn.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "pass", "shard", F.when(F.col("pass") >= F.col("passes"), F.col("left")).alias("left"))
 
     taken = documents.where("size > 0").join(drawn, F.expr("source <=> b_source and block = b_block"))
@@ -166,16 +177,21 @@ def draws(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     cut = taken.where("left is not null").withColumn("room", F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = cut.withColumn("words", F.greatest(F.least("size", "room"), F.lit(0))).where("words > 0").drop("room")
     full = taken.where("left is null").withColumn("words", F.col("size"))
-    taken = full.unionByName(cut).select("row_id", "doc_id", "pass", "shard", F.xxhash64(F.lit(seed + 3), "shard", "pass", "h", "row_id").alias("position"), F.col("words").cast("long").alias("words"))
+    taken = full.unionByName(cut).select("row_id", "doc_id", "pass", "shard", F.col("b_block").alias("block"), F.xxhash64(F.lit(seed + 3), "shard", "pass", "h", "row_id").alias("position"), F.col("words").cast("long").alias("words"))
     return documents.select("row_id", "doc_id", "h", "source", "size", "source_size", "target"), taken.join(rows.select("row_id", "h"), "row_id") if with_hash else taken
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes of it."""
+    """Per row of ``docs``: doc_id, size, source_size, target, taken and ``draws``.
+
+    ``draws`` lists the document's draws as ``shard:pass:block:words``, comma-joined by shard and pass; ``taken`` is
+    the sum of their words. Both come from the leaves of the splitting tree.
+    """
     documents, drawn = draws(docs, **options)
-    taken = drawn.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    taken = drawn.groupBy("row_id").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "pass", "block", "words"))).alias("draws"))  # one for each pass
     rows = documents.join(taken, "row_id", "left")
-    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    listed = F.expr("coalesce(array_join(transform(draws, x -> concat_ws(':', x.shard, x.pass, x.block, x.words)), ','), '')")
+    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), listed.alias("draws"))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = 17, **options) -> DataFrame:
@@ -196,3 +212,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     whole = F.col("__draw.words") == sized(docs, text_column)
     text = F.when(whole, F.col(f"`{text_column}`")).otherwise(cut)
     return rows.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in columns], F.col("__draw.shard").alias("shard"), F.col("__draw.position").alias("position"))
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` dealt to tasks by shard and stretch of positions, each task's rows in their order.
+
+    Positions are hashes, so a stretch of them is an even part of a shard, whatever the number of tasks.
+    """
+    tasks = shuffle_width(mixed.sparkSession)
+    stretch = F.expr(f"cast(floor((cast(position as double) / 18446744073709551616D + 0.5D) * {max(1, tasks // SHARDS)}) as int)")
+    return mixed.repartition(tasks, "shard", stretch).sortWithinPartitions("shard", "position")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 #: Extra columns whose names the operators use inside.
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, key long, n int, label string, token string, h long, score string, secrets string, first boolean, doc long, uid long, id string, shard string, position int"
@@ -256,6 +258,43 @@ def test_mixing(spark, texts):
     assert abs(words_out - sum(target.values())) <= 3 * len(names)
 
 
+def test_report_is_read_off_the_tree(spark):
+    """Shards hold even numbers of block draws, runs of a permutation that no other shard has, and the words reported."""
+    from tagtally.llm import mixing
+
+    rng = random.Random(8)
+    docs = docs_of(spark, [(i, words(rng, rng.randrange(5, 40)), ["a", "a", "b", "it's"][i % 4]) for i in range(3000)])
+    rows = mixing.report(docs, shards=8).collect()
+    blocks, by_pass = collections.defaultdict(set), {}
+    for r in rows:
+        drawn = [tuple(map(int, x.split(":"))) for x in r.draws.split(",") if x]
+        assert sum(x[3] for x in drawn) == r.taken and all(x[3] <= r["size"] for x in drawn) and len({x[1] for x in drawn}) == len(drawn)
+        for shard, turn, block, _ in drawn:
+            blocks[shard].add((r.source_size, turn, block))
+            assert by_pass.setdefault((r.source_size, turn, block), shard) == shard
+    sizes = [len(blocks[k]) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 3 and sum(sizes) == len(by_pass)
+    mixed = mixing.mix(docs, shards=8).select("doc_id", "shard", "position")
+    stood = mixing.shuffled(mixed).withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert len(stood) == sum(r.draws.count(":") // 3 for r in rows)
+    for _, own in itertools.groupby(sorted(stood, key=lambda r: r["at"]), key=lambda r: r.task):
+        own = [(r.shard, r.position) for r in own]
+        assert own == sorted(own)
+
+
+def test_splitting_tree_of_many_sources(spark):
+    from tagtally.llm import mixing
+
+    quotas = spark.createDataFrame([(f"s{i:04d}", i % 7) for i in range(1000)], "source string, quota long")
+    rows = mixing._split(quotas, 3, 4).collect()
+    total, by_shard = collections.Counter(), collections.Counter()
+    for r in rows:
+        total[r.source] += r.n
+        by_shard[r.shard] += r.n
+        assert r.n >= 0
+    assert all(total[f"s{i:04d}"] == i % 7 for i in range(1000)) and max(by_shard.values()) - min(by_shard.values()) <= 2
+
+
 def test_splitting_tree_keeps_quotas(spark):
     from tagtally.llm import mixing
 
