@@ -375,8 +375,9 @@ def test_media(spark, texts):
     full = np.array([(x[2 * k : 2 * k + 32] * h[::-1]).sum() for k in range(400)])
     assert np.abs(media.resample(s, h)[:400] - full).max() < 1e-3
     tone = (128 + 100 * np.sin(np.arange(32000) / 5) * (np.arange(32000) % 16000 < 4000)).astype(np.uint8)
-    clip = media.Features().clip(media.to_wav(tone.tobytes()))
-    assert len(clip["segments"]) == 2
+    stored = [media.to_wav(tone.tobytes()), media.to_wav(bytes(64))]
+    clip, silent = media.read_stream(media.Features().stream(stored), 2)
+    assert len(clip["segments"]) == 2 and silent["segments"] == [] and clip["tiles"].shape[1:] == (media.TILE, media.BANDS)
     t = media.tensors(docs_of(spark, rows[:12]))
     import tempfile
 
@@ -388,6 +389,43 @@ def test_media(spark, texts):
     assert sum(r["rows"] for r in back) == t.count()
 
 
+def test_media_features_by_definition(spark):
+    """Frames, levels, segments and tensors of a clip of several runs against sums written out."""
+    import pyarrow as pa
+
+    from tagtally.llm import media
+
+    rng = np.random.default_rng(2)
+    samples = np.clip(128 + rng.normal(0, 1, 2 * (media.RUN + 90) * media.HOP + 37) * np.repeat(rng.integers(1, 90, 73), 7600)[: 2 * (media.RUN + 90) * media.HOP + 37], 0, 255).astype(np.uint8)
+    data = media.Features().stream([media.to_wav(samples.tobytes())])
+    schema = pa.ipc.open_stream(data).read_all().schema
+    assert schema.field("mel").type.shape == [media.TILE, media.BANDS] and schema.field("level").type.shape == [media.TILE]
+    clip = media.read_stream(data, 1)[0]
+    h, x = media.low_pass().astype(float), (samples.astype(float) - 128) / 128
+    low = lambda k: sum(h[j] * x[2 * k - j] for j in range(32) if 0 <= 2 * k - j < len(x))
+    frames = clip["mel"]
+    assert len(frames) == 1 + -(-(-(-len(samples) // 2) + 1 - media.FRAME) // media.HOP) and clip["frames"].sum() == len(frames)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(4000) * b / 33 / 2595) - 1) for b in range(34)]
+    for f in (0, 5, media.RUN - 1, media.RUN, media.RUN + 1, len(frames) - 2):
+        y = [low(f * media.HOP + i) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 256)) for i in range(256)]
+        assert abs(sum(v * v for v in y) / 256 - clip["level"][f]) < 1e-5
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / 256), -math.sin(2 * math.pi * k * i / 256)) for i, v in enumerate(y))) ** 2 for k in range(129)]
+        for b in range(32):
+            rise = lambda z, b=b: max(0.0, min((z - edges[b]) / (edges[b + 1] - edges[b]), (edges[b + 2] - z) / (edges[b + 2] - edges[b + 1])))
+            assert abs(math.log(sum(p * rise(k * 8000 / 256) for k, p in enumerate(power)) + 1e-6) - frames[f][b]) < 2e-2
+    mean, want, run = sum(map(float, clip["level"])) / len(frames), [], None
+    for i, v in enumerate([*map(float, clip["level"]), -1.0]):
+        if v >= media.LOWER * mean:
+            run = run or [i, i, False]
+            run[1], run[2] = i + 1, run[2] or v >= media.UPPER * mean
+        elif run:
+            want += [(run[0], run[1])] if run[2] else []
+            run = None
+    assert clip["segments"] == want and len(want) > 3
+    assert np.allclose(clip["start"][1:], clip["end"][:-1]) and clip["start"][1] == media.TILE * media.HOP / 8000
+
+
 def test_sharding(spark, tmp_path):
     from tagtally.llm.sharding import Shards, shard_report
 
