@@ -17,13 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is unset (tests, notebooks) a temporary folder is chosen.
+    Where that setting is unset a session in one process (tests, notebooks) gets a temporary folder; on a cluster,
+    whose executors cannot share one, this is an error.
     """
-    sc = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints, set from ``spark.checkpoint.dir`` where it is not yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagtally-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 #: Rows of a table that may be broadcast by hint; larger ones are left to the planner.

@@ -3,7 +3,8 @@
 Evidence for each language of a page:
 
 * the text: a multinomial model over hashed byte trigrams, trained on labelled documents (a bounded sample of
-  whole texts; one that does not fit is passed over), tempered because trigrams of one text are not independent;
+  whole texts; one that does not fit is passed over; a language without one that fits learns from its shortest text),
+  tempered because trigrams of one text are not independent;
 * the markup's declared language: how often a declaration is right is estimated from the pages themselves;
 * the address: its suffix (top-level domain) and its host give priors. A host's prior is its pages' text evidence
   smoothed towards that of its suffix, which is smoothed towards that of all pages (Dirichlet pseudo-counts).
@@ -13,7 +14,8 @@ of all pages is one row per task. A page's own evidence is taken out of its host
 
 Defined results: a null or empty page has the evidence of its address alone; a null or unparsable address has
 the general prior; an unknown declared language is no evidence; ties go to the first language in order; repeated
-rows give repeated results. Without labelled documents there are no languages and ``language`` is null.
+rows give repeated results; language names may hold any characters; columns other than the id, the address and the
+page are not read, whatever their names. Without labelled documents there are no languages and ``language`` is null.
 """
 
 from __future__ import annotations
@@ -55,8 +57,9 @@ def _trigrams(data: np.ndarray, width: int = BUCKETS) -> np.ndarray:
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities of trigram buckets (languages x buckets)."""
-    rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    lang, text = F.col(f"`{lang_column}`"), F.col(f"`{text_column}`")
+    rows = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.octet_length(text).alias("size"), F.xxhash64(F.col(f"`{id_column}`"), text).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
@@ -64,18 +67,23 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     table = np.full((len(langs), width), 0.5)
     # Rows whose hash lies in their language's share: what reaches the driver is the sample and no more.
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, SAMPLE_ROWS / counts[lang])])[F.col("lang")]
-    place, size, spare = {x: i for i, x in enumerate(langs)}, dict.fromkeys(langs, 0), {}
-    learn = lambda lang, data: np.add.at(table[place[lang]], _trigrams(np.frombuffer(data, np.uint8), width), 1.0)
-    for r in rows.where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40)).orderBy("lang", "h").toLocalIterator():
-        data = r["text"].encode()
-        if size[r["lang"]] + len(data) <= SAMPLE_BYTES:
-            size[r["lang"]] += len(data)
-            learn(r["lang"], data)
-        elif not size[r["lang"]]:
-            spare.setdefault(r["lang"], data[:SAMPLE_BYTES])
-    for lang, data in spare.items():
-        if not size[lang]:  # all its texts are too long: the beginning of the first one
-            learn(lang, data)
+    place, size = {x: i for i, x in enumerate(langs)}, dict.fromkeys(langs, 0)
+
+    def learn(lang: str, text: str) -> None:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for k in range(0, len(data), 1 << 20):  # trigrams of the whole text, a stretch of starts at a time
+            np.add.at(table[place[lang]], _trigrams(data[k : k + (1 << 20) + 2], width), 1.0)
+
+    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
+    for r in sample.where(F.col("size") <= SAMPLE_BYTES).orderBy("lang", "h", "size").toLocalIterator():
+        if size[r["lang"]] + r["size"] <= SAMPLE_BYTES:
+            size[r["lang"]] += r["size"]
+            learn(r["lang"], r["text"])
+    untaught = [x for x in langs if not size[x]]
+    if untaught:  # languages of which the sample has no text within the bytes learn from their shortest text, whole
+        shortest = rows.where(F.col("lang").isin(untaught) & (F.col("size") > 0)).groupBy("lang").agg(F.min(F.struct("size", "h", "text")).alias("x"))
+        for r in shortest.select("lang", "x.text").toLocalIterator():
+            learn(r["lang"], r["text"])
     return langs, (np.log(table) - np.log(table.sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -123,7 +131,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id") -> D
     if not langs:
         return pages.select(id_column, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("declared"), F.lit("").alias("host"), F.lit(0).cast("long").alias("host_pages"))
     k = len(langs)
-    names = "array(" + ", ".join(f"'{x}'" for x in langs) + ")"
+    names = F.array(*[F.lit(x) for x in langs])  # values, never SQL text
     rows = _evidence(pages, langs, table, id_column).withColumn("soft", F.expr(_normal("evidence")))
     rows = durable(rows)
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(k)]
@@ -149,5 +157,5 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id") -> D
     rows = rows.withColumn("prior", F.expr(f"zip_with(zip_with(sums, soft, (s, x) -> greatest(0D, s - x)), by_suffix, (s, g) -> (s + {HOST_PSEUDO}D * g) / (host_pages - 1 + {HOST_PSEUDO}D))"))
     rows = rows.withColumn("fused", F.expr("zip_with(zip_with(evidence, by_declared, (x, y) -> x + y), prior, (x, p) -> x + ln(greatest(p, 1e-12D)))"))
     rows = rows.withColumn("posterior", F.expr(_normal("fused")))
-    best = lambda c: F.expr(f"element_at({names}, cast(array_position({c}, array_max({c})) as int))")
+    best = lambda c: F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int"))
     return rows.select(F.col("page").alias(id_column), best("posterior").alias("language"), F.round(F.array_max("posterior"), 9).alias("probability"), best("evidence").alias("text_language"), "declared", "host", "host_pages")

@@ -5,23 +5,38 @@ shards with their rows and bytes; readers take the newest one and read exactly i
 of a change. Compaction looks at shards below the target size in tiers (powers of ``fan`` of their size), and
 merges runs of at least ``fan`` shards of a tier, in order of arrival, into files near the target size; the new
 manifest replaces the merged shards by the merged files. A commit writes the manifest under a temporary name and
-renames it to the next number; the rename fails if another writer was first, and the change is tried again on top.
+gives it the next number; that fails if another writer was first, and the change is tried again on top.
 
-Files are listed, read and renamed through Spark's own file-system layer, so any store it knows will do (a rename
-that does not overwrite is what it needs). Plans have one line for each shard, never for rows.
+Files are listed, read and moved through Spark's own file-system layer. The name of a manifest is given once: on
+HDFS and stores with an atomic rename by a rename that fails where the target exists, on a local disk by a hard link.
+A store that has neither needs one writer at a time. Plans have one line for each shard, never for rows.
 
-Defined results: appending no rows adds no shard; repeated rows stay; all columns are kept as they are; nulls too.
+Defined results: appending no rows adds no shard; repeated rows stay; nulls too. The schema of the corpus is the union
+of the appended ones, by name: a column that some rows were written without is null there, and a column that comes
+again with another type is an error that changes nothing. Columns may have any names; ``read`` adds a column only if asked for one.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tagtally.llm._common import durable, hinted
+from tagtally.llm._common import checkpoint_folder, hinted
+
+
+def merged_schema(old: StructType | None, new: StructType) -> StructType:
+    """The fields of both by name, nullable; the same name with two types is an error."""
+    fields = {f.name: f for f in (old.fields if old else [])}
+    for f in new.fields:
+        if f.name in fields and fields[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()} in the corpus and {f.dataType.simpleString()} in the new rows")
+        fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+    return StructType(list(fields.values()))
 
 
 class Shards:
@@ -54,21 +69,44 @@ class Shards:
 
     def _commit(self, made: dict) -> bool:
         """Publish a manifest as the next version; False if another writer has published that number."""
-        name = f"{self.folder}/manifests/v{made['version']:08d}.json"
+        name = self._path(f"{self.folder}/manifests/v{made['version']:08d}.json")
         draft = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(made).encode()))
+        stream.write(bytearray(json.dumps(made | {"at": time.time()}).encode()))
         stream.close()
-        done = not self._fs.exists(self._path(name)) and self._fs.rename(draft, self._path(name))
-        if not done:
-            self._fs.delete(draft, False)
-        return done
-
-    def _change(self, change) -> dict:
-        """Apply ``change(shards) -> shards`` to the newest manifest until the commit goes through."""
+        try:
+            self._publish(draft, name)
+        except Exception as e:
+            if not self._fs.exists(name):  # no other writer was first: a fault of the store
+                raise e
+            return False
+        finally:
+            if self._fs.exists(draft):
+                self._fs.delete(draft, False)
+        return True
+
+    def _publish(self, draft, name) -> None:
+        """Give the draft its name in one step that fails if the name is taken."""
+        jvm = self.spark.sparkContext._jvm
+        if self._fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Path.of(p.toUri())
+            draft, name = (self._fs.makeQualified(p) for p in (draft, name))
+            jvm.java.nio.file.Files.createLink(local(name), local(draft))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+            options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            options[0] = jvm.java.lang.Enum.valueOf(kind, "NONE")
+            context.rename(draft, name, options)
+
+    def _change(self, change) -> dict | None:
+        """Apply ``change(manifest) -> parts of the next`` to the newest until a commit goes through; None if it gives up."""
         while True:
             last = self.manifest()
-            made = {"version": last["version"] + 1, **change(last)}
+            parts = change(last)
+            if parts is None:
+                return None
+            made = {"version": last["version"] + 1, **parts}
             if self._commit(made):
                 return made
 
@@ -83,14 +121,17 @@ class Shards:
 
     def append(self, rows: DataFrame) -> dict:
         """Add rows as small shards, one for each input partition that has rows, and commit."""
+        last = self.manifest()
+        merged_schema(StructType.fromJson(json.loads(last["schema"])) if last["schema"] else None, rows.schema)  # fails before anything is written
         if not rows.take(1):
-            return self.manifest()
+            return last
         new = self._written(rows, "in")
-        schema = rows.schema.json()
+        schema = rows.schema
 
         def change(last: dict) -> dict:
             at = 1 + max([0, *(s["arrival"] for s in last["shards"])])
-            return {"schema": last["schema"] or schema, "shards": last["shards"] + [s | {"arrival": at + i} for i, s in enumerate(new)]}
+            known = StructType.fromJson(json.loads(last["schema"])) if last["schema"] else None
+            return {"schema": merged_schema(known, schema).json(), "shards": last["shards"] + [s | {"arrival": at + i} for i, s in enumerate(new)]}
 
         return self._change(change)
 
@@ -117,63 +158,70 @@ class Shards:
         return [g for g in groups if len(g) >= 2]
 
     def compact(self) -> dict:
-        """Merge what the plan says in one job, a task for each merged file, and commit the exchange."""
-        last = self.manifest()
-        groups = self.plan(last)
-        if not groups:
-            return last
-        spark = self.spark
-        listed = [(f"{s['file']}", i) for i, g in enumerate(groups) for s in g]
-        lookup = hinted(spark.createDataFrame(listed, "__file string, __group int"), len(listed))
-        paths = [f"{self.folder}/shards/{s['file']}" for g in groups for s in g]
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/shards/"), -1)
-        rows = spark.read.parquet(*paths)
-        columns = rows.columns
-        rows = rows.withColumn("__file", name).join(lookup, "__file")
-        # A group is near the target size by construction, so a task holds one file's rows at a time.
-        rows = rows.repartition(max(len(groups), 1), "__group").sortWithinPartitions("__group")
-        out = f"out-{uuid.uuid4().hex}"
-        rows.select("__group", *columns).write.mode("errorifexists").partitionBy("__group").parquet(f"{self.folder}/shards/{out}")
-        new = []
-        for i, g in enumerate(groups):
-            where = self._path(f"{self.folder}/shards/{out}/__group={i}")
-            if self._fs.exists(where):
-                for f in self._fs.listStatus(where):
-                    if f.getPath().getName().endswith(".parquet"):
-                        new.append({"file": f"{out}/__group={i}/{f.getPath().getName()}", "bytes": f.getLen(), "arrival": min(s["arrival"] for s in g)})
-        gone = {s["file"] for g in groups for s in g}
-
-        def change(now: dict) -> dict:
-            if not gone <= {s["file"] for s in now["shards"]}:
-                raise RuntimeError("another compaction has merged some of these shards")
-            return {"schema": now["schema"], "shards": sorted([s for s in now["shards"] if s["file"] not in gone] + new, key=lambda s: s["arrival"])}
-
-        return self._change(change)
+        """Merge what the plan says in one job, a task for each merged file, and commit the exchange.
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete shards that none of the newest ``keep_versions`` manifests lists; returns how many.
-
-        Only safe when no writer is between writing its files and its commit.
+        If another writer has meanwhile taken away one of the shards, the merged files go and the plan is made anew.
         """
-        newest = self.version()
-        kept = {s["file"] for v in range(max(1, newest - keep_versions + 1), newest + 1) for s in self.manifest(v)["shards"]}
-        held = {s["file"] for v in range(1, newest + 1) for s in self.manifest(v)["shards"]}
-        gone = sorted(held - kept)
+        while True:
+            last = self.manifest()
+            groups = self.plan(last)
+            if not groups:
+                return last
+            out, new = self._merged(groups, StructType.fromJson(json.loads(last["schema"])))
+            gone = {s["file"] for g in groups for s in g}
+
+            def change(now: dict) -> dict | None:
+                if not gone <= {s["file"] for s in now["shards"]}:
+                    return None
+                return {"schema": now["schema"], "shards": sorted([s for s in now["shards"] if s["file"] not in gone] + new, key=lambda s: s["arrival"])}
+
+            made = self._change(change)
+            if made is not None:
+                return made
+            self._fs.delete(self._path(f"{self.folder}/shards/{out}"), True)
+
+    def _merged(self, groups: list[list[dict]], schema: StructType) -> tuple[str, list[dict]]:
+        """Write each group of shards as one file; the folder and the new shards."""
+        mark = uuid.uuid4().hex
+        file, number = f"file_{mark}", f"group_{mark}"  # beside columns of any names
+        listed = [(s["file"], i) for i, g in enumerate(groups) for s in g]
+        lookup = hinted(self.spark.createDataFrame(listed, f"{file} string, {number} int"), len(listed))
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.folder}/shards/{name}" for name, _ in listed])
+        rows = rows.withColumn(file, F.element_at(F.split(F.col("_metadata.file_path"), "/shards/"), -1)).join(lookup, file).drop(file)
+        # A group is near the target size by construction, and each has a task of its own.
+        rows = rows.repartitionById(len(groups), F.col(number))
+        out = f"out-{mark}"
+        rows.write.mode("errorifexists").partitionBy(number).parquet(f"{self.folder}/shards/{out}")
+        new = []
+        for i, g in enumerate(groups):
+            where = self._path(f"{self.folder}/shards/{out}/{number}={i}")
+            for f in self._fs.listStatus(where) if self._fs.exists(where) else []:
+                if f.getPath().getName().endswith(".parquet"):
+                    new.append({"file": f"{out}/{number}={i}/{f.getPath().getName()}", "bytes": f.getLen(), "arrival": min(s["arrival"] for s in g)})
+        return out, new
+
+    def vacuum(self, keep_versions: int = 1, older_than: float = 86_400.0) -> int:
+        """Delete shards that none of the newest ``keep_versions`` manifests lists, nor one that was the newest within
+        the last ``older_than`` seconds: who began to read it may still do so. Returns how many."""
+        newest, now = self.version(), time.time()
+        made = {v: self.manifest(v) for v in range(1, newest + 1)}
+        kept = {v for v in made if v > newest - max(1, keep_versions) or (v < newest and made[v + 1].get("at", 0) > now - older_than)}
+        live = {s["file"] for v in kept for s in made[v]["shards"]}
+        gone = sorted({s["file"] for m in made.values() for s in m["shards"]} - live)
         return sum(bool(self._fs.delete(self._path(f"{self.folder}/shards/{f}"), False)) for f in gone if self._fs.exists(self._path(f"{self.folder}/shards/{f}")))
 
     # -- reading
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the column ``shard``: the file that holds them."""
-        from pyspark.sql.types import StructType
-
+    def read(self, version: int | None = None, file_column: str | None = None) -> DataFrame:
+        """The rows of a version with their own columns, and on request one that names the file which holds them."""
         m = self.manifest(version)
+        schema = StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType([])
+        if file_column in schema.names:
+            raise ValueError(f"the corpus has a column {file_column}")
         if not m["shards"]:
-            schema = StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType([])
-            return self.spark.createDataFrame([], schema.add("shard", "string"))
-        schema = StructType.fromJson(json.loads(m["schema"]))
+            return self.spark.createDataFrame([], StructType([*schema.fields, *([StructField(file_column, StringType())] if file_column else [])]))
         rows = self.spark.read.schema(schema).parquet(*[f"{self.folder}/shards/{s['file']}" for s in m["shards"]])
-        return rows.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/shards/"), -1))
+        return rows.withColumn(file_column, F.element_at(F.split(F.col("_metadata.file_path"), "/shards/"), -1)) if file_column else rows
 
 
 def shard_report(docs: DataFrame, arrivals: int = 6, target_bytes: int = 32 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -184,22 +232,25 @@ def shard_report(docs: DataFrame, arrivals: int = 6, target_bytes: int = 32 << 2
     which the result reads.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    durable(spark.range(1))  # sets a checkpoint folder where there is none
-    store = Shards(spark, f"{sc.getCheckpointDir()}/corpus-{uuid.uuid4().hex}", target_bytes, least_bytes=256 << 10)
+    store = Shards(spark, f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}", target_bytes, least_bytes=256 << 10)
+    mark = uuid.uuid4().hex
+    arrival, file = f"arrival_{mark}", f"file_{mark}"
     batch = F.pmod(F.xxhash64(id_column), F.lit(arrivals)).cast("int")
     for k in range(arrivals):
-        store.append(docs.withColumn("__arrival", batch).where(F.col("__arrival") == k))
+        store.append(docs.withColumn(arrival, batch).where(F.col(arrival) == k))
         if k % 3 == 2:
             store.compact()
-            store.vacuum()
+            store.vacuum(older_than=0)  # nobody else reads this store
     store.compact()
-    store.vacuum()
+    store.vacuum(older_than=0)
     last = store.manifest()
-    numbers = spark.createDataFrame([(s["file"], i) for i, s in enumerate(last["shards"])], "__file string, __number int") if last["shards"] else spark.createDataFrame([], "__file string, __number int")
-    rows = store.read() if last["shards"] else docs.limit(0).withColumn("__arrival", F.lit(0)).withColumn("shard", F.lit(""))
-    counted = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"))
-    placed = numbers.join(counted, F.col("__file") == F.col("shard")).select("__file", "__number", "shard_rows")
-    rows = rows.select(id_column, "__arrival", "shard", F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("text_sha256"))
-    rows = rows.join(hinted(placed, len(last["shards"])), F.col("shard") == F.col("__file"))
-    return rows.select(id_column, F.col("__arrival").alias("arrival"), F.col("__number").alias("shard"), "text_sha256", "shard_rows", F.lit(last["version"]).alias("version"))
+    out = f"{dict(docs.dtypes)[id_column]}, arrival int, shard int, text_sha256 string, shard_rows long, version int"
+    if not last["shards"]:
+        return spark.createDataFrame([], f"`{id_column}` {out}")
+    numbers = spark.createDataFrame([(s["file"], i) for i, s in enumerate(last["shards"])], "name string, number int")
+    rows = store.read(file_column=file)
+    rows = rows.select(id_column, F.col(arrival).alias("arrival"), F.col(file).alias("file"), F.sha2(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), 256).alias("text_sha256"))
+    counted = rows.groupBy("file").agg(F.count("*").alias("shard_rows"))
+    placed = numbers.join(counted, F.col("name") == F.col("file")).select("name", "number", "shard_rows")
+    rows = rows.join(hinted(placed, len(last["shards"])), F.col("file") == F.col("name"))
+    return rows.select(id_column, "arrival", F.col("number").alias("shard"), "text_sha256", "shard_rows", F.lit(last["version"]).alias("version"))
