@@ -334,6 +334,40 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.0] * 5
 
 
+def test_toxicity_scores_by_definition(spark, texts):
+    """Scores of the network against its sums written out word by word, long texts and clashing columns included."""
+    from tagtally.llm import toxicity as m
+
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "day", "Sun", "é1"] + ["vile", "rotten"] * (i % 3 == 0)) for _ in range(rng.randrange(3, 25))), "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, int("vile" in t or "rotten" in t)) for i, t, _ in rows], "doc_id long, toxic int")
+    model = m.fit(docs_of(spark, rows), labels)
+    asked = rows[:20] + texts[:20] + [(900, "", "s"), (901, None, "s"), (902, "Sun-day; VILE!", "s"), (903, "good day " * 40_000 + "vile", "s")]
+    got = sorted(((repr(r.doc_id), r.score) for r in m.score(docs_of(spark, asked), model).collect()), key=repr)
+    words, table = m._folded(), model["embedding"].astype(float)
+    whole = lambda w: words.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0]
+
+    def vector(w):
+        a, b, c = m._buckets(whole(w), whole(w[: m.STEM]))
+        return table[a[0]] + table[b[0]] + table[c[0]]
+
+    want, known = [], {}
+    for i, t, _ in asked:
+        listed = re.findall(rb"[A-Za-z0-9\x80-\xff]+", (t or "").encode())
+        tail = listed[-60:] if len(set(listed)) < 6 and len(listed) > 1000 else listed  # beyond it the same words repeat
+        vectors = [known.setdefault(w, vector(w)) for w in (tail if tail is listed else listed[:60] + tail)]
+        z, c = model["bias"], 0
+        for filters in model["filters"]:
+            for k in range(m.FILTERS):
+                best = max([0.0, *(sum(float(vectors[p + j] @ f[:, k].astype(float)) for j, f in enumerate(filters) if p + j < len(vectors)) for p in range(len(vectors)))])
+                z += best * model["weights"][c]
+                c += 1
+        want.append((repr(i), 1 / (1 + math.exp(-z))))
+    for a, b in zip(sorted(want), got, strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4
+    assert max(s for _, s in got) > 0.7 > min(s for _, s in got)
+
+
 def test_toxicity_trains_beside_long_texts(spark, monkeypatch):
     from tagtally.llm import toxicity
 
