@@ -44,6 +44,30 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key with more rows than this, and than its part of an even spread over eight times the tasks, is hot.
+HOT_ROWS, HOT_SPREAD, HOT_MOST, HOT_BYTES = 256, 8, 8192, 64 << 20
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, size: str | None = None) -> DataFrame:
+    """``left.join(right, key, how)`` for a right side with one row for each key, and a left side with hot keys.
+
+    A hot key holds more than 1 / (8 x tasks) of the rows of ``left`` (or of ``counted``, which stands for it), so hot
+    keys are few: ``HOT_MOST`` at most. Their rows of ``right`` are broadcast, and the left rows stay where they are; all
+    other keys are shuffled. Rows of ``right`` whose bytes, by the SQL ``size``, are too many are not broadcast.
+    """
+    counted = left if counted is None else counted
+    tasks = min(shuffle_width(left.sparkSession), HOT_MOST // HOT_SPREAD)
+    limit = max(HOT_ROWS, counted.count() // (HOT_SPREAD * tasks))
+    hot = durable(counted.groupBy(key).count().where(F.col("count") > limit).where(F.col(key).isNotNull()).select(key))
+    if not hot.take(1):
+        return left.join(right, key, how)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    if size is not None and (few.agg(F.sum(F.expr(size))).first()[0] or 0) > HOT_BYTES:
+        return left.join(right, key, how)  # left to the adaptive join
+    warm = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key, how).unionByName(warm)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -112,7 +136,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round maps a node to the smallest node of its closed neighbourhood and contracts the graph, so the
     smallest node of a component always survives and the number of rounds is logarithmic. The minimum is
-    aggregated before the shuffle, hubs included; nothing is gathered on the driver but counts.
+    aggregated before the shuffle, and joins go around hot nodes and labels; nothing is gathered on the driver but counts.
     """
     live = durable(edges.where("u <> v").select("u", "v").distinct())
     total = None
@@ -123,12 +147,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             total = near.select(F.col("u").alias("node"), F.col("m").alias("label"))
         else:
             step = near.select(F.col("u").alias("label"), "m")
-            total = total.join(step, "label", "left").select("node", F.coalesce("m", "label").alias("label"))
+            total = spread_join(total, step, "label", "left").select("node", F.coalesce("m", "label").alias("label"))
         total = durable(total)
         a = near.select(F.col("u"), F.col("m").alias("mu"))
         b = near.select(F.col("u").alias("v"), F.col("m").alias("mv"))
         live = durable(
-            live.join(a, "u").join(b, "v").where("mu <> mv")
+            spread_join(spread_join(live, a, "u"), b, "v", counted=live).where("mu <> mv")
             .select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct()
         )
     if total is None:
@@ -138,11 +162,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def merged_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """``connected_components`` of the graph of ``classes`` with more edges: only the labels of their ends are contracted."""
+    classes = durable(classes)
     known = classes.select(F.col("node").alias("n"), F.col("label").alias("l"))
     ends = edges.join(known, F.col("u") == F.col("n"), "left").select(F.coalesce("l", "u").alias("u"), "v")
     ends = ends.join(known, F.col("v") == F.col("n"), "left").select("u", F.coalesce("l", "v").alias("v"))
     joined = connected_components(ends)
     step = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
-    old = classes.join(step, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    old = spread_join(classes, step, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
     # Ends that had no class before come as their own labels.
     return old.unionByName(joined.join(classes.select("node"), "node", "left_anti"))

@@ -6,15 +6,18 @@ and two linked sets share a token of their prefixes, whichever order it is. The
 
 1. counts in how many sets each token occurs (over all texts, tokens dealt out by range in packed arrays);
 2. drops sets of which more tokens are unique than a link allows: they have no partner;
-3. compares each set with the hubs of its prefix tokens in the rare-first order, and verifies the nearest: large
-   groups of near copies become one class by a linear number of pairs;
-4. joins on the prefix tokens that still lie in two classes, by length, position and parity-map bounds, keeps the
-   pairs that also share a prefix token under two other orders, and verifies them by intersecting the sets;
-5. contracts the verified links to components.
-
-Equal sets are one node, so copies cost nothing after the first stage. Tokens that are very frequent in some
-batch of texts form a bounded table that each task knows; they come last in every order, and their postings
-never meet in one task.
+3. compares each set with the hubs of its prefix tokens in the rare-first order, and takes the nearest as candidates:
+   large groups of near copies become one class by a linear number of pairs;
+4. joins on the prefix tokens that still lie in two classes, by length, position and parity-map bounds;
+5. of the candidates of 3 and of 4 keeps those that share a prefix token under two other (hash) orders as well, by
+   their prefixes alone, fetches the sets of what is left, and intersects them;
+6. contracts the verified links to components.
+
+Equal sets are one node, so copies cost nothing after the first stage. Tokens that are very frequent in some batch of
+texts form a bounded table that each task knows. The postings of a token that is in many sets never meet in one task,
+nor do the members of a large class: joins go around them by broadcasts of counted size. Tokens and sets are 64-bit
+fingerprints: two tokens of a pair of sets of 1,000 tokens agree by chance with 2**-44, two sets of a corpus of 10**9
+with 2**-5.
 
 Defined results: a null or wordless text has no shingles and links with nothing; a text with fewer words than
 a shingle has its whole word sequence as its one token; repeated rows stay, one result each; a row whose id is
@@ -29,18 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import bounded_batches, connected_components, durable, merged_components, planes, shuffle_width, text_slices, trim, unplanes
+from tagtally.llm._common import HOT_ROWS, HOT_SPREAD, bounded_batches, connected_components, durable, hinted, merged_components, planes, shuffle_width, spread_join, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 #: Entries of the table of frequent tokens (8 + 4 bytes each) and the share of a batch's texts that makes one.
 FREQUENT_MOST, FREQUENT_SHARE, FREQUENT_LEAST = 100_000, 0.005, 24
 
-#: Bits of a token's fingerprint; two tokens of a pair of sets agree by chance with about 2**-37 for 1,000 tokens.
-TOKEN_BITS = 56
+#: Bytes of texts whose sets one task of the last exchange holds; the others have a quarter.
+HOME_BYTES, FINER = 32 << 20, 4
 
 _CHUNK = "part int, home int, kind int, bid long, a binary, b binary, c binary, d binary"
 _DOC, _KEY, _ENTRY, _TOKEN, _ANON = 0, 1, 2, 3, 4
-_SETS = "kind int, doc_id long, n int, key long, pre int, toks array<long>, pre2 array<long>, pre3 array<long>, parity array<long>"
+_SETS = "kind int, doc_id long, n int, key long, pre int, light int, toks array<long>, pre2 array<int>, pre3 array<int>, parity array<long>"
 
 #: Bits of a set's parity map. The number of places where two maps differ never exceeds the number of tokens
 #: that only one of the sets has, so a pair whose maps differ too much cannot link.
@@ -61,7 +64,7 @@ def _sets(batches, id_column: str, text_column: str, width: int):
         for first, data, offsets in text_slices(batch, text_column, 3 << 20):
             h, bounds = words.words(data, offsets)
             last = first + len(offsets) - 1
-            yield ids[first:last], missing[first:last], [s >> np.uint64(64 - TOKEN_BITS) for s in words.shingles(h, bounds, width)]
+            yield ids[first:last], missing[first:last], words.shingles(h, bounds, width)
         data = batch = None  # before the next one is read
         trim()
 
@@ -73,11 +76,15 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), [len(ordered)]])
 
 
-def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that are frequent in some batch, by value, and their places in the order; at most FREQUENT_MOST."""
+def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens that are frequent in some batch, by value, and their places in the order; at most FREQUENT_MOST.
+
+    Third the number of tokens of all texts, counted in the same pass.
+    """
 
     def count(batches):
         for _, _, sets in _sets(batches, id_column, text_column, width):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([sum(map(len, sets))], pa.int64())], ["token", "n"])
             distinct = {s.tobytes(): s for s in sets}
             tokens = np.sort(np.concatenate(list(distinct.values())))
             runs = _runs(tokens)
@@ -86,6 +93,8 @@ def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(tokens[runs[:-1][often]].view(np.int64)), pa.array(sizes[often].astype(np.int64))], ["token", "n"])
 
     counted = durable(docs.select(id_column, text_column).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    total = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
+    counted = counted.where("token is not null")
     # The lowest power of two over which no more tokens lie than the table may have; only these reach the driver.
     sizes = {r["b"]: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
     least, held = 63, 0
@@ -93,22 +102,26 @@ def _frequent(docs: DataFrame, id_column: str, text_column: str, width: int) ->
         least -= 1
         held += sizes.get(least, 0)
     if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), total
     rows = counted.where(F.col("n") >= 2**least).toArrow()
     tokens, often = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     rank = np.empty(len(tokens), np.int32)
     rank[np.lexsort((tokens, often))] = np.arange(len(tokens))
     place = np.argsort(tokens)
-    return tokens[place], 2**30 + rank[place]
+    return tokens[place], 2**30 + rank[place], total
 
 
 def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
     """Rows of each text (kind 0: doc_id, n, key) and of each distinct set (kind 1: with its shared tokens)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    homes = shuffle_width(spark)
-    parts = 4 * homes
-    often, places = _frequent(docs, id_column, text_column, width)
+    often, places, total = _frequent(docs, id_column, text_column, width)
+    # Exchanges are as wide as the data asks for; a token and a word are some six bytes of text.
+    homes = max(shuffle_width(spark), -(-6 * total // HOME_BYTES))
+    parts = FINER * homes
+    span = 2**64 // parts + 1
+    # Tokens in more sets than this are heavy; there are fewer than eight of them for each task.
+    heavy = max(HOT_ROWS, total // (HOT_SPREAD * homes))
     table = spark.sparkContext.broadcast((often, places))
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
@@ -145,7 +158,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
                 lengths = np.array([len(s) for s in held], np.int32)
                 for h in np.flatnonzero(np.diff(edge)):
                     own = slice(edge[h], edge[h + 1])
-                    add(h % parts, h, _KEY, bid, planes(names[own]), planes(lengths[own]))
+                    add(FINER * h + salt % FINER, h, _KEY, bid, planes(names[own]), planes(lengths[own]))
                 tokens, owner = np.concatenate(held), np.repeat(np.arange(len(names), dtype=np.int32), lengths)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
@@ -154,15 +167,15 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
                     cut = np.searchsorted(k_owner, edge)  # owners stand by home
                     for h in np.flatnonzero(np.diff(cut)):
                         own = slice(cut[h], cut[h + 1])
-                        add(h % parts, h, _ENTRY, bid, planes(k_tokens[own]), planes(k_place[own]), planes(index[k_owner[own]]), planes(np.full(cut[h + 1] - cut[h], bid)))
+                        add(FINER * h + salt % FINER, h, _ENTRY, bid, planes(k_tokens[own]), planes(k_place[own]), planes(index[k_owner[own]]), planes(np.full(cut[h + 1] - cut[h], bid)))
                     tokens, owner = tokens[~known], owner[~known]
                 turn = np.argsort(tokens)
                 tokens, owner = tokens[turn], owner[turn]
-                span = 2**TOKEN_BITS // parts + 1
                 cut = np.searchsorted(tokens, np.array([p * span for p in range(parts)], np.uint64)).tolist() + [len(tokens)]
                 for p in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(cut[p], cut[p + 1])
-                    add(p, 0, _TOKEN, bid, planes(tokens[own]), planes(home[owner[own]].astype(np.uint32)), planes(index[owner[own]]))
+                    # Sorted tokens of a range travel as differences, whose high bytes are zeros.
+                    add(p, 0, _TOKEN, bid, planes(np.diff(tokens[own], prepend=np.uint64(p * span))), planes(home[owner[own]].astype(np.uint32)), planes(index[owner[own]]))
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 64]], t) for i, t in enumerate(kinds)], ["part", "home", "kind", "bid", "a", "b", "c", "d"])
 
@@ -172,7 +185,9 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         own = group.filter(pa.array(which == _TOKEN))
         rows: list[tuple] = []
         if own.num_rows:
+            base = np.uint64(int(own["part"][0].as_py()) * span)
             lists = [[unplanes(x.as_py(), t) for x in own[c]] for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32))]
+            lists[0] = [np.cumsum(x) + base for x in lists[0]]
             tokens, home, index = map(np.concatenate, lists)
             bids = np.repeat(own["bid"].to_numpy(), [len(x) for x in lists[0]])
             turn = np.argsort(tokens)
@@ -209,37 +224,39 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         lengths = part(b, _KEY, np.int32)[first]
         tokens, often = part(a, _ENTRY, np.uint64), part(b, _ENTRY, np.int32)
         turn = np.lexsort((tokens, often, owner))
-        owner, tokens = owner[turn], tokens[turn]
+        owner, tokens, often = owner[turn], tokens[turn], often[turn]
         if len(owner):
             once = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
-            owner, tokens = owner[once], tokens[once]
+            owner, tokens, often = owner[once], tokens[once], often[once]
         lo, hi = np.searchsorted(owner, names), np.searchsorted(owner, names, "right")
         need = -(-lengths.astype(np.int64) * percent // 100)
         alive = np.flatnonzero(hi - lo >= need)
         tokens2, tokens3 = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), mix(tokens ^ np.uint64(0x14057B7EF767814F))
         made: list[list] = [[], [], [], []]
-        pres = []
+        pres, lights = [], []
         for i in alive.tolist():
             own = slice(lo[i], hi[i])
             pre = int(hi[i] - lo[i] - need[i] + 1)
             pres.append(pre)
+            lights.append(int(np.searchsorted(often[lo[i] : lo[i] + pre], heavy, "right")))
             made[0].append(tokens[own].view(np.int64))
-            made[1].append(np.sort(tokens2[own])[:pre].view(np.int64))
-            made[2].append(np.sort(tokens3[own])[:pre].view(np.int64))
+            # The other orders only rule pairs out, so half a token is enough there.
+            made[1].append((np.sort(tokens2[own])[:pre] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            made[2].append((np.sort(tokens3[own])[:pre] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             odd = np.bincount((tokens2[own] >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
             made[3].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         n, m = len(ids) + len(anon), len(alive)
         null = lambda k, kind: pa.nulls(k, kind)
-        longs = pa.list_(pa.int64())
-        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), null(n, pa.int32()), *[null(n, longs)] * 4]
-        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), pa.array(pres, pa.int32()), *[pa.array(x, longs) for x in made]]
-        columns = ["kind", "doc_id", "n", "key", "pre", "toks", "pre2", "pre3", "parity"]
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), null(n, pa.int32()), null(n, pa.int32()), *[null(n, t) for t in (longs, ints, ints, longs)]]
+        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), pa.array(pres, pa.int32()), pa.array(lights, pa.int32()), *[pa.array(x, t) for x, t in zip(made, (longs, ints, ints, longs))]]
+        columns = ["kind", "doc_id", "n", "key", "pre", "light", "toks", "pre2", "pre3", "parity"]
         return pa.concat_tables([pa.Table.from_arrays(docs_out, columns), pa.Table.from_arrays(keys_out, columns)])
 
     return durable(
         docs.select(id_column, text_column).mapInArrow(scatter, _CHUNK)
-        .repartition(parts, "part").groupBy("part").applyInArrow(count, "home int, kind int, bid long, a binary, b binary, c binary, d binary")
-        .repartition(homes, "home").groupBy("home").applyInArrow(gather, _SETS)
+        .repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(count, "home int, kind int, bid long, a binary, b binary, c binary, d binary")
+        .repartitionById(homes, F.col("home")).groupBy("home").applyInArrow(gather, _SETS)
     )
 
 
@@ -252,24 +269,28 @@ def _sided(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
+def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], size: str | None = None) -> DataFrame:
+    """Pairs (u, v) of keys with ``columns`` of both sets; the pairs' left ends are few for each set, the right ends may be hubs."""
+    left = pairs.join(_sided(rows, "a", columns).withColumnRenamed("key_a", "u"), "u")
+    return spread_join(left, _sided(rows, "b", columns).withColumnRenamed("key_b", "v"), "v", counted=pairs, size=size)
+
+
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v) of keys those that sizes and parity maps allow, with ``apart``, the least difference."""
-    brief = sets.withColumn("s", F.size("toks"))
-    columns = ["key", "n", "s", "parity"]
-    near = pairs.join(_sided(brief, "a", columns), F.col("u") == F.col("key_a")).join(_sided(brief, "b", columns), F.col("v") == F.col("key_b"))
+    near = _both(pairs, sets.withColumn("s", F.size("toks")), ["key", "n", "s", "parity"])
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_NEAR.format(percent=percent, whole=100 + percent))
     return near.select("u", "v", F.expr(f"cast({_APART} as double) / (n_a + n_b)").alias("apart"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
-    """Of pairs (u, v) of keys those whose sets link: the filters of the other orders first, then the intersection.
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) of keys that share a prefix token in the first order those whose sets link.
 
-    Pairs that were chosen as near go without the filters, which would rule out few of them.
+    Pairs must share one under each of the other orders as well; only then are the sets fetched and intersected.
     """
-    columns = ["key", "n", "toks", "pre2", "pre3"] if filtered else ["key", "n", "toks"]
-    both = pairs.join(_sided(sets, "a", columns), F.col("u") == F.col("key_a")).join(_sided(sets, "b", columns), F.col("v") == F.col("key_b"))
-    if filtered:
-        both = both.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b"))
+    pairs = durable(pairs.select("u", "v"))
+    shared = _both(pairs, sets, ["key", "pre2", "pre3"], "8L * size(pre2_b) + 64")
+    pairs = durable(shared.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b")).select("u", "v"))
+    both = _both(pairs, sets, ["key", "n", "toks"], "8L * size(toks_b) + 64")
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     return durable(both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v"))
 
@@ -278,33 +299,47 @@ def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _by_token(posted: DataFrame, *aggregates) -> tuple[DataFrame, DataFrame]:
+    """An aggregate of the postings of each token, for tokens that are not heavy and for those that are.
+
+    Heavy tokens are few, so theirs may be broadcast: their postings, which one task could not hold, stay in place.
+    """
+    light, heavy = (posted.where(c).groupBy("token").agg(*aggregates) for c in ("not heavy", "heavy"))
+    return light, durable(heavy)
+
+
+def _joined(posted: DataFrame, light: DataFrame, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    few = hinted(heavy, heavy.count())
+    return posted.where("not heavy").join(light, "token", how).unionByName(posted.where("heavy").join(few, "token", how))
+
+
 def _mixed(posted: DataFrame) -> DataFrame:
     """The postings of tokens that still lie in two classes."""
-    tokens = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    return posted.join(tokens, "token", "left_semi")
+    light, heavy = (x.where("lo <> hi").select("token") for x in _by_token(posted, F.min("label").alias("lo"), F.max("label").alias("hi")))
+    return _joined(posted, light, heavy, "left_semi")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
     rows = _prepared(docs, id_column, text_column, width, percent)
     texts = rows.where("kind = 0").select("doc_id", "n", "key")
-    sets = rows.where("kind = 1").select("key", "n", "pre", "toks", "pre2", "pre3", "parity")
+    sets = rows.where("kind = 1").select("key", "n", "pre", "light", "toks", "pre2", "pre3", "parity")
 
-    posted = sets.select("key", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
+    prefix = F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token")
+    posted = sets.select("key", "light", prefix).withColumn("heavy", F.expr("pos >= light"))
     # Hubs vary from token to token, so a set has many to choose from.
     turn = F.struct(F.xxhash64("key", "token").alias("h"), F.col("key").alias("v"))
-    hubs = posted.groupBy("token").agg(F.min(turn).alias("hub"), F.count("*").alias("m")).where("m > 1").select("token", F.col("hub.v").alias("v"))
-    edges = posted.join(hubs, "token").where("key <> v").groupBy(F.col("key").alias("u"), "v").agg(F.count("*").alias("m"))
+    hubs = [x.where("m > 1").select("token", F.col("hub.v").alias("v")) for x in _by_token(posted, F.min(turn).alias("hub"), F.count("*").alias("m"))]
+    edges = _joined(posted, *hubs).where("key <> v").groupBy(F.col("key").alias("u"), "v").agg(F.count("*").alias("m"))
     often = Window.partitionBy("u").orderBy(F.desc("m"), F.xxhash64("u", "v"))
-    edges = edges.withColumn("at", F.row_number().over(often)).where(f"at <= {HUBS_LOOKED_AT}").select("u", "v")
+    edges = durable(edges.withColumn("at", F.row_number().over(often)).where(f"at <= {HUBS_LOOKED_AT}").select("u", "v"))
     nearest = Window.partitionBy("u").orderBy("apart", "v")
     edges = _near(edges, sets, percent).withColumn("at", F.row_number().over(nearest)).where(f"at <= {HUBS_VERIFIED}").select("u", "v")
-    links = _verified(edges, sets, percent, False)
-    classes = connected_components(links)
+    classes = connected_components(_verified(edges, sets, percent))
 
     # Every pair of sets of different classes that shares a prefix token, the smaller set by its shorter index prefix.
-    rich = sets.select("key", "n", F.size("toks").alias("s"), "parity", F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token"))
-    rich = durable(_mixed(_labelled(rich, classes)))
+    rich = sets.select("key", "n", F.size("toks").alias("s"), "parity", "light", prefix).withColumn("heavy", F.expr("pos >= light"))
+    rich = durable(_mixed(_labelled(rich, classes)).drop("heavy", "light"))
     columns = ["key", "n", "s", "pos", "label", "parity"]
     smaller = rich.where(f"pos <= s - ceil(2 * {percent} * cast(n as long) / {100 + percent})")
     a = smaller.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -312,11 +347,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
     pairs = a.join(b, "token").where(f"label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b and {bound} and " + _NEAR.format(percent=percent, whole=100 + percent))
     pairs = pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
-    classes = merged_components(classes, _verified(pairs, sets, percent, True))
+    classes = merged_components(classes, _verified(pairs, sets, percent))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")
-    named = _labelled(named, classes)
+    named = durable(_labelled(named, classes))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "label").select("key", "component_id")
+    named = spread_join(named, lowest, "label").select("key", "component_id")
     out = texts.join(named, "key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
