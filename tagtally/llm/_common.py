@@ -44,23 +44,27 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: A key with more rows than this, and than its part of an even spread over eight times the tasks, is hot.
-HOT_ROWS, HOT_SPREAD, HOT_MOST, HOT_BYTES = 256, 8, 8192, 64 << 20
+#: Hot keys are the most frequent ones, so many at most, among those with more rows than this; and the bytes that may
+#: be broadcast for them.
+HOT_MOST, HOT_ROWS, HOT_BYTES = 8192, 256, 64 << 20
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, size: str | None = None) -> DataFrame:
-    """``left.join(right, key, how)`` for a right side with one row for each key, and a left side with hot keys.
+def hot_keys(counted: DataFrame, key: str, n: str | None = None) -> DataFrame | None:
+    """The hot keys of a table as a table of one column; None if there are none. ``n`` holds counts, where they are known."""
+    sizes = counted.groupBy(key).agg(F.count("*").alias("__n")) if n is None else counted.select(key, F.col(n).alias("__n"))
+    top = sizes.where(F.col("__n") > HOT_ROWS).where(F.col(key).isNotNull()).orderBy(F.desc("__n")).limit(HOT_MOST).select(key).collect()
+    return counted.sparkSession.createDataFrame(top, counted.select(key).schema) if top else None
 
-    A hot key holds more than 1 / (8 x tasks) of the rows of ``left`` (or of ``counted``, which stands for it), so hot
-    keys are few: ``HOT_MOST`` at most. Their rows of ``right`` are broadcast, and the left rows stay where they are; all
-    other keys are shuffled. Rows of ``right`` whose bytes, by the SQL ``size``, are too many are not broadcast.
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner", size: str | None = None) -> DataFrame:
+    """``left.join(right, key, how)`` for a right side with one row for each key, and a left side with ``hot`` keys.
+
+    The hot keys' rows of ``right`` are broadcast, and the left rows stay where they are; all other keys are shuffled.
+    Rows of ``right`` whose bytes, by the SQL ``size``, are too many are not broadcast.
     """
-    counted = left if counted is None else counted
-    tasks = min(shuffle_width(left.sparkSession), HOT_MOST // HOT_SPREAD)
-    limit = max(HOT_ROWS, counted.count() // (HOT_SPREAD * tasks))
-    hot = durable(counted.groupBy(key).count().where(F.col("count") > limit).where(F.col(key).isNotNull()).select(key))
-    if not hot.take(1):
+    if hot is None:
         return left.join(right, key, how)
+    hot = hot.toDF(key)
     few = right.join(F.broadcast(hot), key, "left_semi")
     if size is not None and (few.agg(F.sum(F.expr(size))).first()[0] or 0) > HOT_BYTES:
         return left.join(right, key, how)  # left to the adaptive join
@@ -142,17 +146,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     total = None
     while live.take(1):
         both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        near = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")))
         if total is None:
             total = near.select(F.col("u").alias("node"), F.col("m").alias("label"))
         else:
             step = near.select(F.col("u").alias("label"), "m")
-            total = spread_join(total, step, "label", "left").select("node", F.coalesce("m", "label").alias("label"))
+            total = spread_join(total, step, "label", hot_keys(total, "label"), "left").select("node", F.coalesce("m", "label").alias("label"))
         total = durable(total)
+        hot = hot_keys(near, "u", "degree")
         a = near.select(F.col("u"), F.col("m").alias("mu"))
         b = near.select(F.col("u").alias("v"), F.col("m").alias("mv"))
         live = durable(
-            spread_join(spread_join(live, a, "u"), b, "v", counted=live).where("mu <> mv")
+            spread_join(spread_join(live, a, "u", hot), b, "v", hot).where("mu <> mv")
             .select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct()
         )
     if total is None:
@@ -162,12 +167,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def merged_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """``connected_components`` of the graph of ``classes`` with more edges: only the labels of their ends are contracted."""
-    classes = durable(classes)
     known = classes.select(F.col("node").alias("n"), F.col("label").alias("l"))
     ends = edges.join(known, F.col("u") == F.col("n"), "left").select(F.coalesce("l", "u").alias("u"), "v")
     ends = ends.join(known, F.col("v") == F.col("n"), "left").select("u", F.coalesce("l", "v").alias("v"))
     joined = connected_components(ends)
     step = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
-    old = spread_join(classes, step, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    old = spread_join(classes, step, "label", hot_keys(classes, "label"), "left").select("node", F.coalesce("final", "label").alias("label"))
     # Ends that had no class before come as their own labels.
-    return old.unionByName(joined.join(classes.select("node"), "node", "left_anti"))
+    return durable(old.unionByName(joined.join(classes.select("node"), "node", "left_anti")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import HOT_ROWS, HOT_SPREAD, bounded_batches, connected_components, durable, hinted, merged_components, planes, shuffle_width, spread_join, text_slices, trim, unplanes
+from tagtally.llm._common import HOT_ROWS, bounded_batches, connected_components, durable, hinted, hot_keys, merged_components, planes, shuffle_width, spread_join, text_slices, trim, unplanes
 from tagtally.llm._words import Words, mix
 
 #: Entries of the table of frequent tokens (8 + 4 bytes each) and the share of a batch's texts that makes one.
@@ -121,7 +121,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
     parts = FINER * homes
     span = 2**64 // parts + 1
     # Tokens in more sets than this are heavy; there are fewer than eight of them for each task.
-    heavy = max(HOT_ROWS, total // (HOT_SPREAD * homes))
+    heavy = max(HOT_ROWS, total // (8 * homes))
     table = spark.sparkContext.broadcast((often, places))
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
@@ -269,15 +269,15 @@ def _sided(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], size: str | None = None) -> DataFrame:
-    """Pairs (u, v) of keys with ``columns`` of both sets; the pairs' left ends are few for each set, the right ends may be hubs."""
+def _both(pairs: DataFrame, rows: DataFrame, columns: list[str], hot: DataFrame | None, size: str | None = None) -> DataFrame:
+    """Pairs (u, v) of keys with ``columns`` of both sets; a set is the left end of few pairs, but hubs may be ``hot`` right ends."""
     left = pairs.join(_sided(rows, "a", columns).withColumnRenamed("key_a", "u"), "u")
-    return spread_join(left, _sided(rows, "b", columns).withColumnRenamed("key_b", "v"), "v", counted=pairs, size=size)
+    return spread_join(left, _sided(rows, "b", columns).withColumnRenamed("key_b", "v"), "v", hot, size=size)
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v) of keys those that sizes and parity maps allow, with ``apart``, the least difference."""
-    near = _both(pairs, sets.withColumn("s", F.size("toks")), ["key", "n", "s", "parity"])
+    near = _both(pairs, sets.withColumn("s", F.size("toks")), ["key", "n", "s", "parity"], hot_keys(pairs, "v"))
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(_NEAR.format(percent=percent, whole=100 + percent))
     return near.select("u", "v", F.expr(f"cast({_APART} as double) / (n_a + n_b)").alias("apart"))
 
@@ -288,9 +288,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Pairs must share one under each of the other orders as well; only then are the sets fetched and intersected.
     """
     pairs = durable(pairs.select("u", "v"))
-    shared = _both(pairs, sets, ["key", "pre2", "pre3"], "8L * size(pre2_b) + 64")
-    pairs = durable(shared.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b")).select("u", "v"))
-    both = _both(pairs, sets, ["key", "n", "toks"], "8L * size(toks_b) + 64")
+    hot = hot_keys(pairs, "v")
+    shared = _both(pairs, sets, ["key", "pre2", "pre3"], hot, "8L * size(pre2_b) + 64")
+    shared = shared.where(F.arrays_overlap("pre2_a", "pre2_b") & F.arrays_overlap("pre3_a", "pre3_b")).select("u", "v")
+    both = _both(shared, sets, ["key", "n", "toks"], hot, "8L * size(toks_b) + 64")
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     return durable(both.withColumn("common", common).where(f"100 * common >= {percent} * (n_a + n_b - common)").select("u", "v"))
 
@@ -299,24 +300,28 @@ def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _by_token(posted: DataFrame, *aggregates) -> tuple[DataFrame, DataFrame]:
-    """An aggregate of the postings of each token, for tokens that are not heavy and for those that are.
+def _by_token(posted: DataFrame, *aggregates) -> list[DataFrame]:
+    """An aggregate of the postings of each token, for tokens that are not heavy and, if there are any, for those that are.
 
     Heavy tokens are few, so theirs may be broadcast: their postings, which one task could not hold, stay in place.
     """
+    if not posted.where("heavy").take(1):
+        return [posted.groupBy("token").agg(*aggregates)]
     light, heavy = (posted.where(c).groupBy("token").agg(*aggregates) for c in ("not heavy", "heavy"))
-    return light, durable(heavy)
+    return [light, durable(heavy.coalesce(max(1, shuffle_width(posted.sparkSession) // 64)))]
 
 
-def _joined(posted: DataFrame, light: DataFrame, heavy: DataFrame, how: str = "inner") -> DataFrame:
+def _joined(posted: DataFrame, light: DataFrame, heavy: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    if heavy is None:
+        return posted.join(light, "token", how)
     few = hinted(heavy, heavy.count())
     return posted.where("not heavy").join(light, "token", how).unionByName(posted.where("heavy").join(few, "token", how))
 
 
 def _mixed(posted: DataFrame) -> DataFrame:
     """The postings of tokens that still lie in two classes."""
-    light, heavy = (x.where("lo <> hi").select("token") for x in _by_token(posted, F.min("label").alias("lo"), F.max("label").alias("hi")))
-    return _joined(posted, light, heavy, "left_semi")
+    tokens = [x.where("lo <> hi").select("token") for x in _by_token(posted, F.min("label").alias("lo"), F.max("label").alias("hi"))]
+    return _joined(posted, *tokens, how="left_semi")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -350,8 +355,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     classes = merged_components(classes, _verified(pairs, sets, percent))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")
-    named = durable(_labelled(named, classes))
+    named = _labelled(named, classes)
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = spread_join(named, lowest, "label").select("key", "component_id")
+    named = spread_join(named, lowest, "label", hot_keys(classes, "label")).select("key", "component_id")
     out = texts.join(named, "key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
