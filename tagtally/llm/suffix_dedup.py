@@ -13,12 +13,18 @@ earlier in the same document). Equal strings must meet, so the suffixes to sort
    adjacent suffixes; of equal prefixes the earliest stays;
 4. the starts found go back to their documents, which cut the union of the strings out.
 
-A fingerprint that many runs share keeps spreading: its runs go to buckets by the content of single strings, and
-equal texts of a batch of documents are sent once, with their earliest place. Copies of a whole document (equal
-SHA-256) are settled first: all but the smallest id are removed whole, if they have ``LENGTH`` bytes.
+A run has a bounded number of starts, so a long periodic text is many runs of one fingerprint. A fingerprint that many
+runs share keeps spreading: its runs are sorted where they lie, in pieces of bounded size, by the same algorithm, and
+only the earliest place of each string goes on, to the bucket of the string's own digest. So no sort ever takes more
+than ``STARTS * SPREAD`` strings of one fingerprint, whatever the texts are. Equal run texts of a batch of documents are
+sent once as well. Copies of a whole document (equal SHA-256) are settled first: all but the smallest id are removed
+whole, if they have ``LENGTH`` bytes.
+
+Sorting all suffixes in one order over all tasks takes a shuffled row for each byte in each round, many times the
+input; the difference cover is therefore distributed by dealing its suffixes out by content, and each sort is local.
 
 Defined results: a null text has no bytes; rows equal in id and text are one document, each with its result; rows
-of one id with different texts are ordered by their digests; a null id comes after all others.
+of one id with different texts are ordered by a 64-bit hash of their digests; a null id comes after all others.
 """
 
 from __future__ import annotations
@@ -35,8 +41,11 @@ from tagtally.llm._common import bounded_batches, durable, planes, shuffle_width
 from tagtally.llm._words import Words, mix
 
 LENGTH, GRAM = 100, 50
-#: A fingerprint with more runs than this has its strings dealt out one by one.
-SPREAD = 2000
+#: A run has so many starts at most (a longer one is several), and a fingerprint with more runs than ``SPREAD`` has its
+#: strings dealt out one by one: a bucket never holds more than the product of both for one fingerprint.
+STARTS, SPREAD = 2048, 2000
+#: Bytes of texts that one task of an exchange takes, about.
+HOME_BYTES = 32 << 20
 #: Bytes that one suffix sort takes together (a larger group of one fingerprint is sorted alone).
 SORT_BYTES = 256 << 10
 
@@ -101,6 +110,11 @@ class Runs:
         np.cumsum((h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= window), out=twice[2:])
         lo, hi = np.searchsorted(chosen, first), np.searchsorted(chosen, stop - 1 + window)
         own = (twice[np.maximum(hi, 1)] - twice[np.minimum(lo + 1, len(chosen))] > 0) & (hi - lo > 1)
+        if (stop - first).max(initial=0) > STARTS:
+            cut = -(-(stop - first) // STARTS)
+            nth = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
+            first, stop, own = np.repeat(first, cut) + nth * STARTS, np.repeat(stop, cut), np.repeat(own, cut)
+            stop = np.minimum(stop, first + STARTS)
         # Least values lie low; mixed again (one to one) they spread evenly over the ranges that deal them out.
         return [text[first].copy(), first - offsets[text[first]], stop - first, mix(v[first]), own]
 
@@ -197,9 +211,8 @@ def _ids(batch) -> np.ndarray:
     return ids.to_numpy(zero_copy_only=False)
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
+def _repeated(docs: DataFrame, homes: int) -> DataFrame:
     """``doc, uid, runs, often``: for each document the ordinals of its runs whose fingerprint repeats, and whether it is very frequent."""
-    homes = shuffle_width(docs.sparkSession)
     parts = 4 * homes
 
     def scatter(batches):
@@ -215,12 +228,14 @@ def _repeated(docs: DataFrame) -> DataFrame:
                 begin = np.searchsorted(text, np.arange(last - first + 1))
                 ordinal = (np.arange(len(text)) - begin[text]).astype(np.uint32)
                 bid = int(mix(np.array([int((mix(own_uids.view(np.uint64)) * np.arange(1, last - first + 1, dtype=np.uint64)).sum()) ^ len(text)], np.uint64)).view(np.int64)[0])
-                rows = [(bid % homes, bid % homes, _DOCS, bid, planes(own_ids), planes(own_uids), b"", b"")]
+                rows = [(bid % parts, bid % homes, _DOCS, bid, planes(own_ids), planes(own_uids), b"", b"")]
                 turn = np.argsort(prints)
-                cut = np.searchsorted(prints[turn], _edges(parts)).tolist() + [len(turn)]
+                edges = _edges(parts)
+                cut = np.searchsorted(prints[turn], edges).tolist() + [len(turn)]
                 for p in np.flatnonzero(np.diff(cut)).tolist():
                     pick = turn[cut[p] : cut[p + 1]]
-                    rows.append((p, bid % homes, _PRINT, bid, planes(prints[pick]), planes(text[pick].astype(np.uint32)), planes(ordinal[pick]), np.packbits(own[pick]).tobytes()))
+                    # Sorted prints of a range travel as differences, whose high bytes are zeros.
+                    rows.append((p, bid % homes, _PRINT, bid, planes(np.diff(prints[pick], prepend=edges[p])), planes(text[pick].astype(np.uint32)), planes(ordinal[pick]), np.packbits(own[pick]).tobytes()))
                 for k in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays(_emit(rows[k : k + 64]), _NAMES)
             data = batch = None  # before the next one is read
@@ -233,6 +248,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         if mine.num_rows:
             lists = [[unplanes(x.as_py(), t) for x in mine[c]] for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32))]
+            lists[0] = [np.cumsum(x) + _edges(parts)[mine["part"][0].as_py()] for x in lists[0]]
             prints, text, ordinal = map(np.concatenate, lists)
             own = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(mine["d"], lists[0])])
             chunk = np.repeat(np.arange(mine.num_rows), [len(x) for x in lists[0]])
@@ -280,14 +296,26 @@ def _repeated(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ints), pa.array(out[3], ints)], ["doc", "uid", "runs", "often"])
 
     return (
-        docs.mapInArrow(scatter, _SENT).repartition(parts, "part").groupBy("part").applyInArrow(count, _SENT.split(", ", 1)[1])
-        .repartition(homes, "home").groupBy("home").applyInArrow(gather, "doc long, uid long, runs array<int>, often array<int>")
+        docs.mapInArrow(scatter, _SENT).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(count, _SENT.split(", ", 1)[1])
+        .repartitionById(homes, F.col("home")).groupBy("home").applyInArrow(gather, "doc long, uid long, runs array<int>, often array<int>")
     )
 
 
-def _removed(docs: DataFrame) -> DataFrame:
+def _once(runs: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Of runs ``(place, body, starts)`` in order of place: each string's earliest ``(run, start)``, and the others as
+    ``(run, first start, end)``."""
+    g, t, k = equal_prefixes([r[1] for r in runs], np.array([r[2] for r in runs]))
+    turn = np.lexsort((k, t, g))
+    new = np.r_[True, g[turn][1:] != g[turn][:-1]]
+    firsts, others = turn[new], turn[~new]
+    others = others[np.lexsort((k[others], t[others]))]
+    cut = np.flatnonzero(np.r_[True, (t[others][1:] != t[others][:-1]) | (np.diff(k[others]) != 1)]) if len(others) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(others)) - 1
+    return list(zip(t[firsts].tolist(), k[firsts].tolist())), list(zip(t[others[cut]].tolist(), k[others[cut]].tolist(), (k[others[ends]] + 1).tolist())) if len(others) else []
+
+
+def _removed(docs: DataFrame, homes: int) -> DataFrame:
     """``doc, uid, lo, hi``: runs of starts of strings that also start earlier; ``docs`` has texts and their repeated runs."""
-    homes = shuffle_width(docs.sparkSession)
     parts = 8 * homes
     cuts = "doc long, uid long, lo int, hi int"
     sent = f"part int, print long, body binary, n int, own boolean, {cuts}"
@@ -304,24 +332,44 @@ def _removed(docs: DataFrame) -> DataFrame:
                 pick = np.concatenate([begin[i] + np.asarray(wanted[first + i].values, np.int64) for i in range(last - first) if wanted[first + i].is_valid] or [np.zeros(0, np.int64)])
                 whole = set(np.concatenate([begin[i] + np.asarray(frequent[first + i].values, np.int64) for i in range(last - first) if frequent[first + i].is_valid] or [np.zeros(0, np.int64)]).tolist())
                 raw = data.tobytes()
+                rows: list[tuple] = []
+
+                def sure(place: tuple, n: int) -> None:
+                    rows.append((place[0] % parts, 0, None, 0, False, *place, place[2] + n))
+
                 # Equal texts of the batch go once, with their earliest place; the other places repeat it for sure.
                 kept: dict[tuple, list] = {}
+                spread: list[tuple] = []
                 for r in pick.tolist():
                     t = int(text[r])
-                    at, n, p = int(offsets[t] + start[r]), int(size[r]), int(prints[r])
-                    one = [(at, n)] if r not in whole else [(at + k, 1) for k in range(n)]
-                    for k, m in one:
-                        place = (int(ids[first + t]), int(uids[first + t]), k - int(offsets[t]))
-                        kept.setdefault((p, raw[k : k + m - 1 + LENGTH], m, r in whole, bool(own[r])), []).append(place)
-                rows = []
-                for (p, body, m, spread, twice), places in kept.items():
+                    at, n = int(offsets[t] + start[r]), int(size[r])
+                    place = (int(ids[first + t]), int(uids[first + t]), int(start[r]))
+                    if r in whole:
+                        spread.append((place, raw[at : at + n - 1 + LENGTH], n))
+                    else:
+                        kept.setdefault((int(prints[r]), raw[at : at + n - 1 + LENGTH], n, bool(own[r])), []).append(place)
+                for (p, body, n, twice), places in kept.items():
                     places = sorted(set(places))  # rows equal in id and text are one document
-                    where = p
-                    if spread:
-                        where = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
                     for place in places[1:]:
-                        rows.append((place[0] % parts, 0, None, 0, False, place[0], place[1], place[2], place[2] + m))
-                    rows.append((where % parts, where - 2**63, body, m, twice, *places[0][:2], places[0][2], places[0][2] + m))
+                        sure(place, n)
+                    rows.append((p % parts, p - 2**63, body, n, twice, *places[0], places[0][2] + n))
+                # Strings of frequent fingerprints are sorted here, so that each goes on its own but once.
+                spread, taken = sorted(set(spread)), 0
+                while taken < len(spread):
+                    upto, held = taken, 0
+                    while upto < len(spread) and (held < SORT_BYTES or upto == taken):
+                        held += len(spread[upto][1])
+                        upto += 1
+                    some = spread[taken:upto]
+                    taken = upto
+                    strings, later = _once(some)
+                    for i, lo, hi in later:
+                        place = some[i][0]
+                        sure((place[0], place[1], place[2] + lo), hi - lo)
+                    for i, k in strings:
+                        place, body = some[i][0], some[i][1][k : k + LENGTH]
+                        where = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
+                        rows.append((where % parts, where - 2**63, body, 1, False, place[0], place[1], place[2] + k, place[2] + k + 1))
                 for k in range(0, len(rows), 20000):
                     out = rows[k : k + 20000]
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -379,7 +427,7 @@ def _removed(docs: DataFrame) -> DataFrame:
         made = pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc", "uid", "lo", "hi"])
         return pa.concat_tables([sure.cast(made.schema), made])
 
-    return docs.mapInArrow(scatter, sent).repartition(parts, "part").groupBy("part").applyInArrow(sort, cuts)
+    return docs.mapInArrow(scatter, sent).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(sort, cuts)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
@@ -388,15 +436,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     rows = rows.withColumn("doc", F.coalesce("id", F.lit(_LAST))).withColumn("uid", F.xxhash64("sha"))
-    brief = rows.select("doc", "uid", "sha")
-    firsts = durable(brief.groupBy("sha").agg(F.min("doc").alias("doc")).select("doc", F.xxhash64("sha").alias("uid"), F.lit(True).alias("first")))
+    brief = rows.select("doc", "uid", "sha", F.octet_length("text").cast("long").alias("size"))
+    firsts = durable(brief.groupBy("sha").agg(F.min("doc").alias("doc"), F.max("size").alias("size")).select("doc", F.xxhash64("sha").alias("uid"), "size", F.lit(True).alias("first")))
+    # Exchanges are as wide as the distinct texts ask for.
+    homes = max(shuffle_width(docs.sparkSession), -(-(firsts.agg(F.sum("size")).first()[0] or 0) // HOME_BYTES))
+    firsts = firsts.drop("size")
 
-    repeated = durable(_repeated(rows.where(F.octet_length("text") >= LENGTH).select("doc", "uid", "text"))).dropDuplicates(["doc", "uid"])
+    repeated = durable(_repeated(rows.where(F.octet_length("text") >= LENGTH).select("doc", "uid", "text"), homes)).dropDuplicates(["doc", "uid"])
     wanted = repeated.join(firsts, ["doc", "uid"], "left_semi")
     # Both joins take the same columns of the texts, so these are exchanged once.
     texts = rows.select("id", "doc", "uid", "text")
     holders = texts.join(wanted, ["doc", "uid"]).select("id", "doc", "uid", "text", "runs", "often")
-    cuts = _removed(holders)
+    cuts = _removed(holders, homes)
     spans = cuts.groupBy("doc", "uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
     found = firsts.join(spans, ["doc", "uid"], "left")
 

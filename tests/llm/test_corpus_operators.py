@@ -621,3 +621,37 @@ def test_empty_tables(spark):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     made = [jaccard_join.jaccard_components(docs), bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json")), secret_scan.digests(docs), mixing.report(docs), toxicity.classify(docs, labels), media.digests(docs), suffix_dedup.remove_repeats(docs), topk_search.top_k(vectors), language_id.identify(pages, docs), sharding.shard_report(docs)]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_dedup_of_periodic_and_very_frequent_texts(spark, monkeypatch):
+    """Long periods, runs beyond their bound, fingerprints that spread: equal to sets of strings, in bounded sorts."""
+    from tagtally.llm import suffix_dedup as d
+
+    monkeypatch.setattr(d, "STARTS", 64)
+    monkeypatch.setattr(d, "SPREAD", 12)
+    monkeypatch.setattr(d, "SORT_BYTES", 4000)
+    rng = random.Random(16)
+    w = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = w(260)
+    rows = [(1, "x" * 3000), (2, (w(7) + "q") * 300), (3, w(130) * 12), (4, "ab" * 900 + w(40) + "ab" * 700), (5, "x" * 99 + "y" + "x" * 2500), (6, None)]
+    rows += [(10 + i, w(rng.randrange(0, 90)) + common[rng.randrange(30) :] + w(rng.randrange(0, 60))) for i in range(60)]
+    rows += [(100 + i, common[:100] + str(i) + common[:180]) for i in range(20)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in d.remove_repeats(docs_of(spark, [(i, t, "s") for i, t in rows])).collect())
+    seen, want = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_dedup_of_one_long_period(spark):
+    from tagtally.llm import suffix_dedup as d
+
+    r = d.remove_repeats(docs_of(spark, [(1, "z" * 3_000_000, "s"), (2, "yz" * 500_000, "s")])).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in r] == [(3_000_000, 2_999_999, 1), (1_000_000, 999_998, 1)]
