@@ -147,7 +147,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
             names, home = names[turn], home[turn]
             edge = np.searchsorted(home, np.arange(homes + 1))
             index = (np.arange(len(names)) - edge[home]).astype(np.uint32)  # of a set among those of its home
-            bid = int(mix(np.array([int((mix(keys) * np.arange(1, len(keys) + 1, dtype=np.uint64)).sum()) ^ int(ids[0])], np.uint64)).view(np.int64)[0])
+            bid = int(mix(np.array([int((mix(keys) * np.arange(1, len(keys) + 1, dtype=np.uint64)).sum()) ^ (int(ids[0]) & (2**64 - 1))], np.uint64)).view(np.int64)[0])
             salt = bid % parts
             for kind, mask in ((_DOC, ~missing), (_ANON, missing)):
                 for k in range(0, int(mask.sum()), 2048):
@@ -360,3 +360,19 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     named = spread_join(named, lowest, "label", hot_keys(classes, "label")).select("key", "component_id")
     out = texts.join(named, "key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
+
+    Rows are told apart by id and text, so a row stays if its own text is new, whatever other rows have its id; rows
+    equal in both share their fate. A null id comes after all others. Rows without words stay.
+    """
+    id_, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    row = F.xxhash64(id_, text)
+    found = durable(jaccard_components(docs.select(row.alias("__row"), text.alias("__text")), "__row", "__text", **options)).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")).distinct()
+    ids = durable(docs.select(id_.alias("__id"), row.alias("__row")).distinct().join(found, "__row"))
+    place = F.struct(F.col("__id").isNull().alias("o"), F.col("__id").alias("i"), F.col("__row").alias("r"))
+    first = ids.groupBy("__class").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    later = spread_join(ids, first, "__class", hot_keys(ids, "__class")).where(place != F.col("__first")).select("__id", "__row")
+    return docs.join(later, id_.eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left_anti")

@@ -655,3 +655,17 @@ def test_dedup_of_one_long_period(spark):
 
     r = d.remove_repeats(docs_of(spark, [(1, "z" * 3_000_000, "s"), (2, "yz" * 500_000, "s")])).orderBy("doc_id").collect()
     assert [(x.n_bytes, x.n_removed, x.n_spans) for x in r] == [(3_000_000, 2_999_999, 1), (1_000_000, 999_998, 1)]
+
+
+def test_distinct_documents_of_repeated_ids(spark):
+    """A row whose text is new stays, even if another row of its id is a later copy; null ids come last."""
+    from tagtally.llm.jaccard_join import distinct_documents
+
+    rng = random.Random(77)
+    a, b, c = (words(rng, 40, 500) for _ in range(3))
+    rows = [(1, a, "s"), (2, a + " z", "s"), (2, b, "s"), (3, b, "s"), (3, b, "s"), (None, a, "s"), (None, c, "s"), (None, c + " y", "s"), (4, "", "s"), (5, None, "s"), (6, "", "s"), (7, "two words", "s"), (1, a, "s")]
+    got = sorted(((r.doc_id, r.text) for r in distinct_documents(docs_of(spark, rows)).collect()), key=repr)
+    one = [x for x in got if x[0] is None]
+    assert len(one) == 1 and one[0][1] in (c, c + " y")
+    assert [x for x in got if x[0] is not None] == sorted([(1, a), (1, a), (2, b), (4, ""), (5, None), (6, ""), (7, "two words")], key=repr)
+    assert "shard" in distinct_documents(docs_of(spark, rows)).columns
