@@ -19,11 +19,10 @@ def clean_tone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id stays (rows without an id stay)."""
-    from tagtally.llm.jaccard_join import jaccard_components
+    """Of each group of near-duplicate documents the one with the smallest id stays; rows of null ids come last."""
+    from tagtally.llm.jaccard_join import distinct_documents
 
-    later = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
+    return distinct_documents(docs).select(*COLUMNS)
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +33,10 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each draw of a document into the mix; a document may be drawn twice or not at all."""
-    from tagtally.llm.mixing import mix
+    """A row for each draw of a document into the mix, in the shuffled order of its shard; a document may be drawn twice or not at all."""
+    from tagtally.llm.mixing import mix, shuffled
 
-    return mix(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return shuffled(mix(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
