@@ -219,6 +219,6 @@ def shuffled(mixed: DataFrame) -> DataFrame:
 
     Positions are hashes, so a stretch of them is an even part of a shard, whatever the number of tasks.
     """
-    tasks = shuffle_width(mixed.sparkSession)
-    stretch = F.expr(f"cast(floor((cast(position as double) / 18446744073709551616D + 0.5D) * {max(1, tasks // SHARDS)}) as int)")
-    return mixed.repartition(tasks, "shard", stretch).sortWithinPartitions("shard", "position")
+    stretches = max(1, shuffle_width(mixed.sparkSession) // SHARDS)
+    task = F.expr(f"shard * {stretches} + least({stretches - 1}, cast(floor((cast(position as double) / 18446744073709551616D + 0.5D) * {stretches}) as int))")
+    return mixed.repartitionById(SHARDS * stretches, task).sortWithinPartitions("shard", "position")
