@@ -42,6 +42,11 @@ def kept(ingested: DataFrame) -> DataFrame:
     return ingested.where("skip_reason is null")
 
 
+def named(ingested: DataFrame) -> DataFrame:
+    """Records that may stand for their molecule: those that stay, and those without a score, which only counting leaves out."""
+    return ingested.where("skip_reason is null or skip_reason in ('no_score', 'no_rname')")
+
+
 def skip_counts(ingested: DataFrame) -> DataFrame:
     return ingested.groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -102,23 +107,29 @@ def classes(edges: DataFrame) -> DataFrame:
     return listed.groupBy("members").agg(F.count("*").alias("n"))
 
 
-def _iterate_driver(table, names: list[str], single: np.ndarray, usable: int, iterations: int, tol: float) -> np.ndarray:
-    """Iterations over the edges of all classes: a pandas table ``c, n, rname, w``."""
-    at = {name: i for i, name in enumerate(names)}
-    table = table.sort_values("c", kind="stable")
-    t, w, many = table["rname"].map(at).to_numpy(np.int64), table["w"].to_numpy(float), table["n"].to_numpy(float)
-    c = table["c"].to_numpy()
-    begin = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begin, len(c)))
+def _shares(a: np.ndarray, t: np.ndarray, w: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """What one iteration gives each transcript: edges ``t, w`` of classes that begin at ``begin`` and stand for ``many`` molecules."""
+    if not len(t):
+        return np.zeros(len(a))
+    sizes = np.diff(np.append(begin, len(t)))
+    x = a[t] * w
+    total = np.repeat(np.add.reduceat(x, begin), sizes)
+    share = np.where(total > 0, x / np.where(total > 0, total, 1), 1 / np.repeat(sizes, sizes))
+    return np.bincount(t, share * np.repeat(many, sizes), len(a))
+
+
+def _flat(batch) -> tuple[np.ndarray, ...]:
+    """Edges of a batch of classes ``n, t, w`` for ``_shares``."""
+    t, w = batch["t"], batch["w"]
+    offsets = t.offsets.to_numpy().astype(np.int64)
+    return t.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy().astype(float), offsets[:-1] - offsets[0], batch["n"].to_numpy().astype(float)
+
+
+def _converged(give, single: np.ndarray, usable: int, iterations: int, tol: float) -> np.ndarray:
+    """Abundances after iterations of ``give`` (shares for abundances) until they move by less than ``tol`` of the molecules."""
     a = 1.0 + single
     for _ in range(iterations):
-        if not len(t):
-            new = single.copy()
-        else:
-            x = a[t] * w
-            total = np.repeat(np.add.reduceat(x, begin), sizes)
-            share = np.where(total > 0, x / np.where(total > 0, total, 1), 1 / np.repeat(sizes, sizes))
-            new = single + np.bincount(t, share * many, len(names))
+        new = single + give(a)
         moved = float(np.abs(new - a).sum())
         a = new
         if moved < (tol * usable if tol < 1 else tol):
@@ -126,29 +137,55 @@ def _iterate_driver(table, names: list[str], single: np.ndarray, usable: int, it
     return a
 
 
-def _iterate_frames(groups: DataFrame, start: DataFrame, iterations: int, tol: float, usable: int) -> DataFrame:
-    """The same iteration as jobs: abundances join the edges, shares sum by class, then by transcript."""
-    edges = groups.select("c", "n", F.size("members").alias("k"), F.explode("members").alias("m"))
-    edges = edges.select("c", "n", "k", F.col("m.rname").alias("rname"), F.col("m.w").alias("w")).checkpoint()
-    a = start.select("rname", "single", (F.col("single") + 1.0).alias("a")).checkpoint()
-    for _ in range(iterations):
-        x = edges.join(a.select("rname", "a"), "rname").withColumn("x", F.col("a") * F.col("w"))
-        total = F.sum("x").over(Window.partitionBy("c"))
-        share = F.when(total > 0, F.col("x") / total).otherwise(1.0 / F.col("k")) * F.col("n")
-        got = x.withColumn("got", share).groupBy("rname").agg(F.sum("got").alias("got"))
-        new = a.join(got, "rname", "left").select("rname", "single", F.col("a").alias("old"), (F.col("single") + F.coalesce("got", F.lit(0.0))).alias("a")).checkpoint()
-        moved = new.agg(F.sum(F.abs(F.col("a") - F.col("old")))).first()[0] or 0.0
-        a = new.drop("old")
-        if moved < (tol * usable if tol < 1 else tol):
-            break
-    return a.select("rname", "a")
+def _indexed(groups: DataFrame, names: list[str]) -> DataFrame:
+    """Classes with the numbers of their transcripts: ``n, t, w``. The names, some for each transcript, are broadcast."""
+    import pyarrow as pa
+
+    held = groups.sparkSession.sparkContext.broadcast(names)
+
+    def number(batches):
+        at = {name: i for i, name in enumerate(held.value)}
+        for batch in batches:
+            m = batch["members"]
+            flat = m.flatten()
+            t = pa.array([at[x] for x in flat.field("rname").to_pylist()], pa.int32())
+            begin = pa.array(m.offsets.to_numpy() - m.offsets.to_numpy()[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["n"], pa.ListArray.from_arrays(begin, t), pa.ListArray.from_arrays(begin, flat.field("w"))], ["n", "t", "w"])
+
+    return groups.select("n", "members").mapInArrow(number, "n long, t array<int>, w array<double>")
+
+
+def _shares_by_job(indexed: DataFrame):
+    """One iteration as a job: tasks add up the shares of their classes, and one number for each transcript comes back."""
+    import pyarrow as pa
+
+    sc = indexed.sparkSession.sparkContext
+
+    def give(a: np.ndarray) -> np.ndarray:
+        held = sc.broadcast(a)
+
+        def add(batches):
+            out = np.zeros(len(held.value))
+            for batch in batches:
+                out += _shares(held.value, *_flat(batch))
+            t = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(out[t])], ["t", "got"])
+
+        got = indexed.mapInArrow(add, "t int, got double").groupBy("t").agg(F.sum("got").alias("got")).toArrow()
+        held.unpersist()
+        out = np.zeros(len(a))
+        out[got["t"].to_numpy()] = got["got"].to_numpy()
+        return out
+
+    return give
 
 
 def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Abundances ``transcript, count`` by expectation-maximisation over the molecules of ``weighted``.
 
     Molecules with one transcript count as they are. Ambiguous ones compress to classes of equal edges, which give
-    the same fixed point; their total size is counted first, and decides between numpy on the driver and jobs.
+    the same fixed point; their total size is counted first, and decides where the same iteration runs: over one batch
+    on the driver, or over all batches as jobs, whose results are bounded by the number of transcripts.
     Counts sum to the number of usable molecules; without any, there are no rows.
     """
     spark = edges.sparkSession
@@ -163,24 +200,19 @@ def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_
         if own:
             edges.unpersist()
         return spark.createDataFrame([], "transcript string, count double")
-    # Numbered before rows multiply; the persisted rows keep their numbers.
-    groups = classes(edges).withColumn("c", F.monotonically_increasing_id()).persist()
-    size = groups.agg(F.sum(F.size("members"))).first()[0] or 0
+    names, alone = single["rname"].tolist(), single["single"].to_numpy(float)
+    groups = _indexed(classes(edges), names).persist()
+    size = groups.agg(F.sum(F.size("t"))).first()[0] or 0
     if size <= driver_edges:
-        table = groups.select("c", "n", F.explode("members").alias("m")).select("c", "n", "m.rname", "m.w").toArrow().to_pandas()
-        names = single["rname"].tolist()
-        a = _iterate_driver(table, names, single["single"].to_numpy(float), usable, iterations, tol)
-        a = a * (usable / a.sum()) if a.sum() > 0 else a
-        out = spark.createDataFrame([(n, float(v)) for n, v in zip(names, a)], "transcript string, count double")
+        held = _flat(groups.toArrow().combine_chunks().to_batches()[0]) if size else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+        a = _converged(lambda a: _shares(a, *held), alone, usable, iterations, tol)
     else:
-        start = spark.createDataFrame([(r.rname, float(r.single)) for r in single.itertuples()], "rname string, single double")
-        a = _iterate_frames(groups, start, iterations, tol, usable).persist()
-        whole = a.agg(F.sum("a")).first()[0]
-        out = a.select(F.col("rname").alias("transcript"), (F.col("a") * (usable / whole if whole else 1.0)).alias("count"))
+        a = _converged(_shares_by_job(groups), alone, usable, iterations, tol)
+    a = a * (usable / a.sum()) if a.sum() > 0 else a
     groups.unpersist()
     if own:
         edges.unpersist()
-    return out
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, a)], "transcript string, count double")
 
 
 # ---------------------------------------------------------------- posteriors and assignment
@@ -283,10 +315,15 @@ def rarefy(reads: DataFrame, fractions: list[float], uniform: Column) -> DataFra
     """
     spark = reads.sparkSession
     grid = sorted(fractions)
-    first = F.lit(None).cast("int")
-    for i in range(len(grid) - 1, -1, -1):
-        first = F.when(F.lit(grid[i]) > uniform, F.lit(i)).otherwise(first)
-    rows = reads.withColumn("bin", first).where("bin is not null")
+
+    def earliest(u: Column) -> Column:
+        first = F.lit(None).cast("int")
+        for i in range(len(grid) - 1, -1, -1):
+            first = F.when(F.lit(grid[i]) > u, F.lit(i)).otherwise(first)
+        return first
+
+    # The number is computed once a read, however many fractions look at it.
+    rows = reads.withColumn("bin", F.element_at(F.transform(F.array(uniform), earliest), 1)).where("bin is not null")
     per_read = rows.groupBy("bin").agg(F.count("*").alias("r"))
     per_key = rows.groupBy(*GROUP).agg(F.min("bin").alias("bin")).groupBy("bin").agg(F.count("*").alias("u"))
     table = F.broadcast(spark.createDataFrame([(i, float(f)) for i, f in enumerate(grid)], "bin int, fraction double"))

@@ -14,14 +14,16 @@ EDGES = BEST + ", edges AS (SELECT *, max(a_s) OVER (PARTITION BY umi, seq) - a_
 START = EDGES + ", t0 AS (SELECT rname, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS single FROM edges GROUP BY 1), a0 AS (SELECT rname, single, 1 + single AS a FROM t0)"
 
 
-def _round(i: int) -> str:
-    return f""", x{i} AS (SELECT umi, seq, e.rname, a * w AS x, sum(a * w) OVER (PARTITION BY umi, seq) AS s, n FROM edges e JOIN a{i - 1} USING (rname) WHERE n > 1),
-    g{i} AS (SELECT rname, sum(CASE WHEN s > 0 THEN x / s ELSE 1.0 / n END) AS got FROM x{i} GROUP BY 1),
-    a{i} AS (SELECT t0.rname, single, single + coalesce(got, 0) AS a FROM t0 LEFT JOIN g{i} USING (rname))"""
-
-
-EM = START + _round(1) + _round(2) + _round(3) + ", usable AS (SELECT count(*) AS u FROM (SELECT DISTINCT umi, seq FROM edges)), em AS (SELECT rname AS transcript, a * (SELECT u FROM usable) / (SELECT sum(a) FROM a3) AS cnt FROM a3)"
-POST = EM + ", post AS (SELECT umi, seq, rname, a_s, nm, n, CASE WHEN sum(c * w) OVER (PARTITION BY umi, seq) > 0 THEN c * w / sum(c * w) OVER (PARTITION BY umi, seq) ELSE 1.0 / n END AS p FROM (SELECT e.*, round(cnt, 4) AS c FROM edges e JOIN em ON e.rname = em.transcript))"
+#: The iteration to convergence: 200 rounds at most, or until the abundances move by less than 1e-6 of the molecules.
+EM = START + """, usable AS (SELECT count(*) AS u FROM (SELECT DISTINCT umi, seq FROM edges)),
+    classes AS MATERIALIZED (SELECT row_number() OVER () AS c, members, count(*) AS k FROM (SELECT list({'r': rname, 'w': w} ORDER BY rname) AS members FROM edges WHERE n > 1 GROUP BY umi, seq) GROUP BY members),
+    ce AS MATERIALIZED (SELECT c, k, len(members) AS n, unnest(members).r AS rname, unnest(members).w AS w FROM classes),
+    it(i, rname, single, a, moved) AS (SELECT 0, rname, single, a, 1e300::DOUBLE FROM a0 UNION ALL
+        SELECT i + 1, rname, single, a, sum(abs(a - old)) OVER () FROM (SELECT it.i, it.rname, it.single, it.a AS old, it.single + coalesce(g.got, 0) AS a FROM it LEFT JOIN
+            (SELECT rname, sum(CASE WHEN s > 0 THEN k * x / s ELSE k * 1.0 / n END) AS got FROM (SELECT c, k, n, ce.rname, a * w AS x, sum(a * w) OVER (PARTITION BY c) AS s FROM ce JOIN it ON it.rname = ce.rname) GROUP BY 1) g ON g.rname = it.rname
+            WHERE it.i < 200 AND it.moved >= 1e-6 * (SELECT u FROM usable))),
+    last AS (SELECT * FROM it WHERE i = (SELECT max(i) FROM it)), em AS (SELECT rname AS transcript, a * (SELECT u FROM usable) / (SELECT sum(a) FROM last) AS cnt FROM last)"""
+POST = EM + ", post AS (SELECT umi, seq, rname, a_s, nm, n, CASE WHEN sum(c * w) OVER (PARTITION BY umi, seq) > 0 THEN c * w / sum(c * w) OVER (PARTITION BY umi, seq) ELSE 1.0 / n END AS p FROM (SELECT e.*, round(cnt, 6) AS c FROM edges e JOIN em ON e.rname = em.transcript))"
 PICK = POST + """, tied AS (SELECT *, count(*) OVER (PARTITION BY umi, seq) AS tie_count, max(a_s) OVER (PARTITION BY umi, seq) AS top_s FROM (SELECT *, max(p) OVER (PARTITION BY umi, seq) AS mp FROM post) WHERE p >= mp - 1e-9),
     pick AS (SELECT umi, seq, rname AS transcript, p AS posterior, CAST(tie_count AS INTEGER) AS tie_count, CASE WHEN tie_count = 1 THEN 'posterior' WHEN even = 1 THEN 'posterior->AS' ELSE 'posterior->AS->lexi_name' END AS tie_break
     FROM (SELECT *, sum(CASE WHEN a_s = top_s THEN 1 ELSE 0 END) OVER (PARTITION BY umi, seq) AS even, row_number() OVER (PARTITION BY umi, seq ORDER BY a_s DESC, rname) AS rk FROM tied) WHERE rk = 1)"""
@@ -32,12 +34,12 @@ def _edges(t):
 
 
 def _counts(t):
-    return R.estimate(_edges(t), iterations=3, tol=0.0)
+    return R.estimate(_edges(t))
 
 
 def _post(t):
-    edges = _edges(t).persist()
-    counts = R.estimate(edges, iterations=3, tol=0.0).withColumn("count", F.round("count", 4))
+    edges = _edges(t)
+    counts = R.estimate(edges).withColumn("count", F.round("count", 6))  # as they are written
     return R.posterior(edges, counts)
 
 
@@ -135,44 +137,40 @@ def equivalence_classes(t):
     return R.classes(_edges(t)).select(F.array_join(text, ";").alias("members"), "n")
 
 
-@query("em_counts", "WITH " + EM + " SELECT transcript, round(cnt, 4) AS cnt FROM em")
+@query("em_counts", "WITH RECURSIVE " + EM + " SELECT transcript, round(cnt, 4) AS cnt FROM em")
 def em_counts(t):
     return _counts(t).select("transcript", F.round("count", 4).alias("cnt"))
 
 
-@query("em_counts_frames", "WITH " + EM + " SELECT transcript, round(cnt, 4) AS cnt FROM em")
+@query("em_counts_frames", "WITH RECURSIVE " + EM + " SELECT transcript, round(cnt, 4) AS cnt FROM em")
 def em_counts_frames(t):
-    if t.spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagtally-checkpoints-"))
-    return R.estimate(_edges(t), iterations=3, tol=0.0, driver_edges=0).select("transcript", F.round("count", 4).alias("cnt"))
+    return R.estimate(_edges(t), driver_edges=0).select("transcript", F.round("count", 4).alias("cnt"))
 
 
-@query("hard_assign", "WITH " + PICK + " SELECT umi, seq, transcript, round(posterior, 4) AS posterior, tie_count, tie_break FROM pick")
+@query("hard_assign", "WITH RECURSIVE " + PICK + " SELECT umi, seq, transcript, round(posterior, 4) AS posterior, tie_count, tie_break FROM pick")
 def hard_assign(t):
     return R.hard_pick(_post(t), eps=1e-9).withColumn("posterior", F.round("posterior", 4))
 
 
-@query("tie_break_stats", "WITH " + PICK + " SELECT tie_break, count(*) AS n FROM pick GROUP BY 1")
+@query("tie_break_stats", "WITH RECURSIVE " + PICK + " SELECT tie_break, count(*) AS n FROM pick GROUP BY 1")
 def tie_break_stats(t):
     return R.hard_pick(_post(t), eps=1e-9).groupBy("tie_break").agg(F.count("*").alias("n"))
 
 
-@query("posterior_string", "WITH " + POST + " SELECT umi, seq, string_agg(concat(rname, ':', CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR)), ';' ORDER BY rname) AS posteriors FROM post GROUP BY 1, 2")
+@query("posterior_string", "WITH RECURSIVE " + POST + " SELECT umi, seq, string_agg(concat(rname, ':', CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR)), ';' ORDER BY rname) AS posteriors FROM post GROUP BY 1, 2")
 def posterior_string(t):
     rows = _post(t).withColumn("p", F.round(F.col("p") * 100))
     return R.posterior_text(rows, 0)
 
 
-@query("dedup_first", "WITH " + PICK + """ SELECT umi, seq, transcript, start, l_quantity FROM (SELECT a.umi, a.seq, a.rname AS transcript, a.start, a.a_s AS l_quantity, row_number() OVER (PARTITION BY a.umi, a.seq ORDER BY a.start, a.a_s, a.part, a.nm, a.qname) AS rk
+@query("dedup_first", "WITH RECURSIVE " + PICK + """ SELECT umi, seq, transcript, start, l_quantity FROM (SELECT a.umi, a.seq, a.rname AS transcript, a.start, a.a_s AS l_quantity, row_number() OVER (PARTITION BY a.umi, a.seq ORDER BY a.start, a.a_s, a.part, a.nm, a.qname) AS rk
     FROM aln a JOIN pick ON a.umi = pick.umi AND a.seq = pick.seq AND a.rname = pick.transcript) WHERE rk = 1""")
 def dedup_first(t):
     picks = R.hard_pick(_post(t), eps=1e-9)
     return R.deduplicate(t.aln, picks, ["start", "as", "part", "nm", "qname"]).select("umi", "seq", F.col("rname").alias("transcript"), "start", F.col("as").alias("l_quantity"))
 
 
-@query("unassigned_records", "WITH " + PICK + " SELECT qname, umi, seq, rname, a.a_s, a.nm, a.start, a.part FROM aln a WHERE NOT EXISTS (SELECT 1 FROM pick WHERE pick.umi = a.umi AND pick.seq = a.seq AND round(pick.posterior, 4) >= 0.5)")
+@query("unassigned_records", "WITH RECURSIVE " + PICK + " SELECT qname, umi, seq, rname, a.a_s, a.nm, a.start, a.part FROM aln a WHERE NOT EXISTS (SELECT 1 FROM pick WHERE pick.umi = a.umi AND pick.seq = a.seq AND round(pick.posterior, 4) >= 0.5)")
 def unassigned_records(t):
     picks = R.hard_pick(_post(t), eps=1e-9).where("round(posterior, 4) >= 0.5")
     return R.unassigned(t.aln, picks).select("qname", "umi", "seq", "rname", F.col("as").alias("a_s"), "nm", "start", "part")

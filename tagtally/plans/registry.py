@@ -54,7 +54,11 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
-    return f"WITH {ctes}, {sql.strip()[5:]}" if sql.strip()[:5].upper() == "WITH " else f"WITH {ctes} {sql}"
+    sql = sql.strip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql[: len(head)].upper() == head:
+            return f"{head}{ctes}, {sql[len(head):]}"
+    return f"WITH {ctes} {sql}"
 
 
 class Tables:
