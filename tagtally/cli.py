@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("alignments")
     p.add_argument("--phase", choices=["em", "dedup", "all", "rarefy"], default="all")
-    for name in ("out-counts", "out-groups", "out-hard", "out-sam", "out-unassigned", "rarefy-out"):
+    for name in ("out-counts", "out-groups", "out-hard", "out-bam", "out-sam", "keep-unassigned-bam", "out-unassigned", "rarefy-out"):
         p.add_argument(f"--{name}")
     p.add_argument("--min-mapq", type=int, default=0)
     p.add_argument("--umi-from", choices=["qname", "RX"], default="qname")
@@ -39,13 +40,34 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--perread-delta-nm", type=int)
     p.add_argument("--rarefy-fractions", type=lambda s: [float(x) for x in s.split(",")], default=GRID)
     p.add_argument("--rarefy-seed", type=int, default=1)
+    p.add_argument("--rarefy-one-per-read", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--no-tags", action="store_true")
+    p.add_argument("--quiet", action="store_true")
     a = p.parse_args(argv)
-    needs = {"em": ["out_counts"], "all": ["out_counts", "out_sam"], "dedup": ["out_sam"], "rarefy": ["rarefy_out"]}[a.phase]
-    if missing := [n for n in needs if not getattr(a, n)]:
-        p.error(f"--phase {a.phase} needs --" + ", --".join(n.replace("_", "-") for n in missing))
+    needs = {"em": [["out_counts"]], "all": [["out_counts"], ["out_bam", "out_sam"]], "dedup": [["out_bam", "out_sam"]], "rarefy": [["rarefy_out"]]}[a.phase]
+    if missing := [n for n in needs if not any(getattr(a, x) for x in n)]:
+        p.error(f"--phase {a.phase} needs --" + ", --".join(" or --".join(x.replace("_", "-") for x in n) for n in missing))
     return a
 
 
+def header_of(spark, path: str) -> list[str]:
+    return files.read_header(spark, path) if path.endswith(".bam") else files.sam_header(spark, path) if path.endswith(".sam") else []
+
+
+def with_references(header: list[str], rows) -> list[str]:
+    """A header whose sequence lines name all references of the rows; lengths that no line states are those of the rows."""
+    known = {x.split("SN:", 1)[1].split("\t")[0] for x in header if x.startswith("@SQ") and "SN:" in x}
+    ends = rows.where("rname <> '*'").groupBy("rname").agg(F.max(F.col("pos") + F.length("seq")).alias("n")).orderBy("rname").collect()
+    return [*header, *[f"@SQ\tSN:{r['rname']}\tLN:{max(1, r['n'] or 1)}" for r in ends if r["rname"] not in known]]
+
+
+def write_alignments(rows, header: list[str], a, bam: str | None, sam: str | None) -> None:
+    if bam:
+        files.write_bam(files.tagged(rows, not a.no_tags), bam, header)
+    if sam:
+        files.write_sam(rows, sam, header, not a.no_tags)
+
+
 def scan(spark, path: str):
     if path.endswith(".bam"):
         return files.read_bam(spark, path)
@@ -59,8 +81,9 @@ def main(argv: list[str] | None = None) -> None:
     mode = a.weight_mode
     rows = R.prune_delta(R.kept(ingested), mode, a.perread_delta_as if mode == "AS" else a.perread_delta_nm)
     if a.phase == "rarefy":
-        one = R.top_candidates(rows, 1, mode)
-        files.write_rarefaction(R.rarefy(one, a.rarefy_fractions, uniform_udf(a.rarefy_seed)(F.col("qname"))), a.rarefy_out)
+        if a.rarefy_one_per_read:
+            rows = R.top_candidates(rows, 1, mode)
+        files.write_rarefaction(R.rarefy(rows, a.rarefy_fractions, uniform_udf(a.rarefy_seed)(F.col("qname")), None if a.rarefy_one_per_read else "qname"), a.rarefy_out)
         return
     best = R.best_per_key(R.top_candidates(rows, a.perread_topk, mode)).persist()
     edges = R.weighted(best, mode, a.beta, a.gamma)
@@ -75,10 +98,17 @@ def main(argv: list[str] | None = None) -> None:
     if a.out_hard:
         R.assigned(best, picks).write.mode("overwrite").csv(a.out_hard, sep="\t", header=True)
     if a.phase in ("dedup", "all"):
-        files.write_sam(R.deduplicate(R.kept(ingested), picks, ["ord"], a.assigned_mapq), a.out_sam)
-        if a.out_unassigned:
-            gone = ingested.where("skip_reason is not null").unionByName(R.unassigned(R.kept(ingested), picks))
-            files.write_sam(gone, a.out_unassigned)
+        header = with_references(files.program_line(header_of(spark, a.alignments), " ".join(["tagtally", *(argv or sys.argv[1:])])), ingested)
+        kept = R.deduplicate(R.named(ingested), picks, ["ord"], a.assigned_mapq).persist()
+        write_alignments(kept.orderBy("ord"), header, a, a.out_bam, a.out_sam)
+        if not a.quiet:
+            print(f"kept {kept.count()} records", file=sys.stderr)
+        kept.unpersist()
+        if a.out_unassigned or a.keep_unassigned_bam:
+            gone = ingested.where("skip_reason is not null and skip_reason not in ('no_score', 'no_rname')").unionByName(R.unassigned(R.named(ingested), picks))
+            write_alignments(gone, header, a, a.keep_unassigned_bam, a.out_unassigned)
+    picks.unpersist()
+    best.unpersist()
 
 
 if __name__ == "__main__":

@@ -308,9 +308,11 @@ def baseline(rows: DataFrame, how: str, by: str = "qname") -> DataFrame:
 # ---------------------------------------------------------------- rarefaction
 
 
-def rarefy(reads: DataFrame, fractions: list[float], uniform: Column) -> DataFrame:
+def rarefy(reads: DataFrame, fractions: list[float], uniform: Column, read: str | None = None) -> DataFrame:
     """``fraction, reads_included, unique_umi_seq, saturation``: a read counts at every fraction over its uniform number.
 
+    A row is a read, unless ``read`` names the column that tells reads apart: then all keys of a read's rows count.
+
     One pass: each key by its earliest fraction, counts by fraction, running sums over the few fractions.
     """
     spark = reads.sparkSession
@@ -324,7 +326,7 @@ def rarefy(reads: DataFrame, fractions: list[float], uniform: Column) -> DataFra
 
     # The number is computed once a read, however many fractions look at it.
     rows = reads.withColumn("bin", F.element_at(F.transform(F.array(uniform), earliest), 1)).where("bin is not null")
-    per_read = rows.groupBy("bin").agg(F.count("*").alias("r"))
+    per_read = (rows if read is None else rows.select(read, "bin").distinct()).groupBy("bin").agg(F.count("*").alias("r"))
     per_key = rows.groupBy(*GROUP).agg(F.min("bin").alias("bin")).groupBy("bin").agg(F.count("*").alias("u"))
     table = F.broadcast(spark.createDataFrame([(i, float(f)) for i, f in enumerate(grid)], "bin int, fraction double"))
     counts = per_read.join(per_key, "bin", "full")

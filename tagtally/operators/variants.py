@@ -225,37 +225,26 @@ def pileup(alignments: DataFrame, least_quality: int = 10) -> DataFrame:
     before them, Gap at deleted bases, Delete at the first, Skip at skipped ones.
     """
 
-    def walk(batches):
-        import re
-
-        import pandas as pd
-
-        step = re.compile(r"(\d+)([MIDNSHP=X])")
-        for pdf in batches:
-            out = []
-            for rname, pos, cigar, seq, qual in pdf.itertuples(index=False):
-                if not cigar or cigar == "*" or not seq:
-                    continue
-                at, i = int(pos), 0
-                for size, op in ((int(n), o) for n, o in step.findall(cigar)):
-                    if op in "M=X":
-                        for k in range(size):
-                            if not qual or qual == "*" or ord(qual[i + k]) - 33 >= least_quality:
-                                b = seq[i + k].upper()
-                                out.append((rname, at + k, b if b in "ACGT" else "N"))
-                        at, i = at + size, i + size
-                    elif op == "I":
-                        out.append((rname, at - 1, "Insert"))
-                        i += size
-                    elif op in "DN":
-                        if op == "D":
-                            out.append((rname, at, "Delete"))
-                        out += [(rname, at + k, "Gap" if op == "D" else "Skip") for k in range(size)]
-                        at += size
-                    elif op == "S":
-                        i += size
-            yield pd.DataFrame(out, columns=["chr", "pos", "what"])
-
-    seen = alignments.select("rname", "pos", "cigar", "seq", "qual").mapInPandas(walk, "chr string, pos int, what string")
+    # Steps of a read with their first reference position and first base; a read has few of them.
+    steps = F.expr(
+        r"""aggregate(
+            zip_with(regexp_extract_all(cigar, r'(\d+)([MIDNSHP=X])', 1), regexp_extract_all(cigar, r'(\d+)([MIDNSHP=X])', 2), (n, o) -> named_struct('n', int(n), 'o', o)),
+            named_struct('at', pos, 'i', 0, 'out', cast(array() as array<struct<at:int,i:int,n:int,o:string>>)),
+            (a, x) -> named_struct(
+                'at', a.at + if(x.o in ('M', '=', 'X', 'D', 'N'), x.n, 0), 'i', a.i + if(x.o in ('M', '=', 'X', 'I', 'S'), x.n, 0),
+                'out', array_append(a.out, named_struct('at', a.at, 'i', a.i, 'n', x.n, 'o', x.o))),
+            a -> filter(a.out, x -> x.o in ('M', '=', 'X', 'I', 'D', 'N')))"""
+    )
+    reads = alignments.where("cigar is not null and cigar not in ('', '*') and seq is not null and seq not in ('', '*') and pos is not null")
+    reads = reads.select("rname", "seq", "qual", F.explode(steps).alias("x")).select("rname", "seq", "qual", "x.*")
+    base = F.upper(F.substring("seq", F.col("i") + F.col("k") + 1, F.lit(1)))
+    good = F.col("qual").isNull() | F.col("qual").isin("", "*") | (F.ascii(F.substring("qual", F.col("i") + F.col("k") + 1, F.lit(1))) - 33 >= least_quality)
+    what = (
+        F.when(F.col("o").isin("M", "=", "X"), F.when(good & (base != ""), F.when(base.isin("A", "C", "G", "T"), base).otherwise("N")))
+        .when(F.col("o") == "D", "Gap").when(F.col("o") == "N", "Skip")
+    )
+    along = reads.where("o <> 'I'").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("rname").alias("chr"), (F.col("at") + F.col("k")).alias("pos"), what.alias("what"))
+    once = reads.where("o in ('I', 'D')").select(F.col("rname").alias("chr"), F.when(F.col("o") == "I", F.col("at") - 1).otherwise(F.col("at")).alias("pos"), F.when(F.col("o") == "I", "Insert").otherwise("Delete").alias("what"))
+    seen = along.where("what is not null").unionByName(once)
     wide = seen.withColumn("k", F.lit(1)).groupBy("chr", "pos").pivot("what", PACKED[1:]).agg(F.sum("k")).fillna(0)
     return wide.withColumn("depth", sum((F.col(c) for c in ("C", "G", "T", "N", "Gap")), F.col("A"))).select("chr", "pos", *PACKED)

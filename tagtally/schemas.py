@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-ALIGNMENTS = "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string, as int, nm int, rx string, ord long"
+ALIGNMENTS = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, as int, nm int, rx string, tags string, ord long"
 CANDIDATES = "qname string, umi string, seq string, rname string, as int, nm int"
 COUNTS = "transcript string, count double"
 PILEUP = "chr string, pos int, ref_base string, packed string"

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagtally import schemas
 from tagtally.operators.variants import unpack
+from tagtally.sources.bam import files_of as bam_files
+from tagtally.sources.bam import move, read_bam, read_header, write_bam  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -20,82 +22,49 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     tag = lambda name, kind, pattern: F.nullif(F.regexp_extract(tags, rf"(?:^|\t){name}:{kind}:({pattern})", 1), F.lit(""))
     number = lambda i: F.get(p, F.lit(i)).try_cast("int")
     return rows.select(
-        p[0].alias("qname"), number(1).alias("flag"), F.get(p, F.lit(2)).alias("rname"), number(3).alias("pos"), number(4).alias("mapq"),
-        F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"), F.get(p, F.lit(10)).alias("qual"),
-        tag("AS", "i", r"-?\d+").try_cast("int").alias("as"), tag("NM", "i", r"-?\d+").try_cast("int").alias("nm"), tag("RX", "Z", r"[^\t]+").alias("rx"), "ord",
+        p[0].alias("qname"), number(1).alias("flag"), F.get(p, F.lit(2)).alias("rname"), number(3).alias("pos"), number(4).alias("mapq"), F.get(p, F.lit(5)).alias("cigar"),
+        F.get(p, F.lit(6)).alias("rnext"), number(7).alias("pnext"), number(8).alias("tlen"), F.get(p, F.lit(9)).alias("seq"), F.get(p, F.lit(10)).alias("qual"),
+        tag("AS", "i", r"-?\d+").try_cast("int").alias("as"), tag("NM", "i", r"-?\d+").try_cast("int").alias("nm"), tag("RX", "Z", r"[^\t]+").alias("rx"), tags.alias("tags"), "ord",
     )
 
 
-def write_sam(rows: DataFrame, path: str) -> None:
-    """Alignments as SAM text lines without a header, with HP, HC and HB tags where the picks' columns are there."""
+def sam_header(spark: SparkSession, path: str) -> list[str]:
+    """Header lines of SAM text, some for each reference sequence."""
+    return [r["value"] for r in spark.read.text(path).where(F.col("value").rlike(r"^@[A-Za-z][A-Za-z](\t|$)")).collect()]
+
+
+#: What every assigned record says about how its transcript was chosen: a fixed value.
+ASSIGNED_BY = "hard_assign"
+
+
+def tagged(rows: DataFrame, set_tags: bool = True) -> DataFrame:
+    """Rows with all their optional fields in ``tags``: those they came with, and the pick's HP, HC and HB instead of older ones."""
+    if "tags" in rows.columns:
+        old = F.coalesce("tags", F.lit(""))
+    else:
+        known = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:{k}:"), F.col(c).cast("string"))) for c, t, k in (("as", "AS", "i"), ("nm", "NM", "i"), ("rx", "RX", "Z")) if c in rows.columns]
+        old = F.concat_ws("\t", *known)
+    if set_tags and "posterior" in rows.columns:
+        new = [F.concat(F.lit("HP:f:"), F.col("posterior").cast("string")), F.concat(F.lit("HC:i:"), F.col("tie_count").cast("string")), F.lit(f"HB:Z:{ASSIGNED_BY}")]
+        kept = F.filter(F.split(old, "\t"), lambda x: (F.length(x) > 0) & ~x.rlike("^H[PCB]:"))
+        old = F.array_join(F.concat(kept, F.array(*new)), "\t")
+    return rows.withColumn("tags", old)
+
+
+def program_line(header: list[str], command: str, version: str = "0.2") -> list[str]:
+    """The header with a line for this program."""
+    return [*header, f"@PG\tID:tagtally\tPN:tagtally\tVN:{version}\tCL:{command}"]
+
+
+def write_sam(rows: DataFrame, path: str, header: list[str] | None = None, set_tags: bool = True) -> None:
+    """Alignments as SAM text; the header is the beginning of the first part, so that parts in order are one file."""
+    rows = tagged(rows, set_tags)
     text = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in rows.columns else F.lit(d)
-    tags = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:{k}:"), F.col(c).cast("string"))) for c, t, k in (("as", "AS", "i"), ("nm", "NM", "i"), ("posterior", "HP", "f"), ("tie_count", "HC", "i"), ("tie_break", "HB", "Z")) if c in rows.columns]
-    line = F.concat_ws("\t", text("qname", "*"), text("flag", "0"), text("rname", "*"), text("pos", "0"), text("mapq", "255"), text("cigar", "*"), F.lit("*"), F.lit("0"), F.lit("0"), text("seq", "*"), text("qual", "*"), *tags)
-    rows.select(line.alias("value")).write.mode("overwrite").text(path)
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """BAM files as alignments: a task decodes a file (blocks are gzip members), in file order."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def decode(batches):
-        import gzip
-        import struct
-
-        import pandas as pd
-
-        letters, ops = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-        sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-        codes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-        for pdf in batches:
-            for content in pdf["content"]:
-                data = gzip.decompress(content)
-                if data[:4] != b"BAM\1":
-                    raise ValueError("not a BAM file")
-                at = 8 + struct.unpack_from("<i", data, 4)[0]
-                n, names = struct.unpack_from("<i", data, at)[0], []
-                at += 4
-                for _ in range(n):
-                    k = struct.unpack_from("<i", data, at)[0]
-                    names.append(data[at + 4 : at + 3 + k].decode())
-                    at += 8 + k
-                rows, number = [], 0
-                while at < len(data):
-                    size, ref, pos, lname, mapq, _, ncig, flag, lseq, _, _, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
-                    end, p = at + 4 + size, at + 36
-                    qname = data[p : p + lname - 1].decode()
-                    p += lname
-                    cigar = "".join(f"{v >> 4}{ops[v & 15]}" for v in struct.unpack_from(f"<{ncig}I", data, p)) or "*"
-                    p += 4 * ncig
-                    seq = "".join(letters[data[p + i // 2] >> 4 if i % 2 == 0 else data[p + i // 2] & 15] for i in range(lseq)) or "*"
-                    p += (lseq + 1) // 2
-                    qual = "*" if not lseq or data[p] == 255 else "".join(chr(q + 33) for q in data[p : p + lseq])
-                    p += lseq
-                    found: dict = {}
-                    while p < end:
-                        tag, kind = data[p : p + 2].decode(), chr(data[p + 2])
-                        p += 3
-                        if kind in "ZH":
-                            stop = data.index(0, p)
-                            found[tag] = data[p:stop].decode()
-                            p = stop + 1
-                        elif kind == "B":
-                            sub, count = chr(data[p]), struct.unpack_from("<i", data, p + 1)[0]
-                            p += 5 + count * sizes[sub]
-                        else:
-                            if kind in codes:
-                                found[tag] = struct.unpack_from("<" + codes[kind], data, p)[0]
-                            p += sizes[kind]
-                    whole = lambda t: None if t not in found else int(found[t])
-                    rows.append((qname, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq, qual, whole("AS"), whole("NM"), found.get("RX"), number))
-                    number += 1
-                    at = end
-                    if len(rows) >= 50_000:
-                        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schemas.ALIGNMENTS.split(", ")]).astype({"as": "Int32", "nm": "Int32"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schemas.ALIGNMENTS.split(", ")]).astype({"as": "Int32", "nm": "Int32"})
-
-    return files.mapInPandas(decode, schemas.ALIGNMENTS)
+    line = F.concat_ws("\t", *[text(c, d) for c, d in (("qname", "*"), ("flag", "0"), ("rname", "*"), ("pos", "0"), ("mapq", "255"), ("cigar", "*"), ("rnext", "*"), ("pnext", "0"), ("tlen", "0"), ("seq", "*"), ("qual", "*"))], F.when(F.length("tags") > 0, F.col("tags")))
+    out = rows.select(line.alias("value"))
+    if header:
+        out = rows.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1).unionByName(out)
+    out.write.mode("overwrite").text(path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -107,11 +76,18 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads ``qname, seq, qual`` of plain or gzip files: a record begins with an at sign after a line end."""
-    lines = spark.read.text(path, wholetext=True)
-    parts = F.explode(F.filter(F.split("value", r"\n(?=@[^\n]*\n[^\n]*\n\+)"), lambda x: F.length(F.trim(x)) > 0))
-    p = F.split(F.col("r"), "\n")
-    return lines.select(parts.alias("r")).select(F.regexp_extract(p[0], r"^@(\S*)", 1).alias("qname"), F.get(p, F.lit(1)).alias("seq"), F.get(p, F.lit(3)).alias("qual"))
+    """Reads ``qname, seq, qual`` of plain or gzip files, four lines each; a plain file is read by many tasks.
+
+    Lines are numbered by their place in the split and the lines of the splits before it in the file, which one pass counts.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rows = lines.join(splits, ["file", "start"]).withColumn("at", F.col("before") + F.col("id") - F.col("first"))
+    field = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value")))
+    reads = rows.groupBy("file", F.floor(F.col("at") / 4).alias("read")).agg(field(0).alias("name"), field(1).alias("seq"), field(3).alias("qual"))
+    return reads.where(F.col("name").startswith("@")).select(F.regexp_extract("name", r"^@(\S*)", 1).alias("qname"), "seq", "qual")
 
 
 def trim_reads(reads: DataFrame, umi: int = 12, adapters: tuple[str, ...] = ("A{10}", "G{10}"), least_quality: int = 20, least_length: int = 15) -> DataFrame:

@@ -84,3 +84,65 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "r"), sep="\t", header=True).count() == 11
     with pytest.raises(SystemExit):
         cli.arguments([a, "--phase", "em"])
+
+
+def test_bam_files_are_read_in_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(9000):
+        n = rng.randrange(1, 60)
+        seq, qual = "".join(rng.choice("ACGTN") for _ in range(n)), "".join(chr(33 + rng.randrange(0, 41)) for _ in range(n))
+        rows.append((f"r{i}_A", rng.choice([0, 16, 2048, 4]), rng.choice(["t1", "t2"]), rng.randrange(1, 9000), i % 255, rng.choice([f"{n}M", "*"]), rng.choice(["=", "*"]), i % 500, i % 300 - 150, seq, rng.choice(["*", qual]), f"AS:i:{-(i % 30)}\tXN:Z:a b\tXB:B:s,1,-2,3\tXA:A:q\tXF:f:0.5"))
+    frame = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags string").repartition(3)
+    header = ["@HD\tVN:1.6", "@SQ\tSN:t1\tLN:10000", "@SQ\tSN:t2\tLN:10000"]
+    path = str(tmp_path / "x.bam")
+    files.write_bam(frame, path, files.program_line(header, "x"))
+    assert files.read_header(spark, path) == files.program_line(header, "x")
+    whole = gzip.decompress((tmp_path / "x.bam").read_bytes())
+    assert whole[:4] == b"BAM\1" and sorted(map(tuple, files.read_bam(spark, path).select(*frame.columns).collect())) == sorted(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read = files.read_bam(spark, path)
+        assert read.rdd.getNumPartitions() > 3 and sorted(map(tuple, read.select(*frame.columns).collect())) == sorted(rows)
+        (tmp_path / "r.fastq").write_text("".join(f"@q{i} c\n{'ACGT' * (1 + i % 9)}\n+\n{'@I@I' * (1 + i % 9)}\n" for i in range(9000)))
+        reads = files.read_fastq(spark, str(tmp_path / "r.fastq"))
+        assert reads.count() == 9000 and reads.where("length(seq) <> length(qual) or qname not like 'q%'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # A file with other block headers is read whole.
+    (tmp_path / "y.bam").write_bytes(gzip.compress(whole[:5000]) + gzip.compress(whole[5000:]))
+    assert files.read_bam(spark, str(tmp_path / "y.bam")).count() == 9000
+
+
+def test_assigned_alignments(spark, tmp_path):
+    """Records without a score may stand for a molecule; fields pass through; the picks' fields replace older ones."""
+    from tagtally import cli
+
+    lines = [
+        "@SQ\tSN:t1\tLN:50", "@SQ\tSN:t2\tLN:60",
+        "a_U1\t256\tt1\t5\t30\t4M\t=\t9\t7\tACGT\tIIII\tXX:Z:first\tHB:Z:old", "b_U1\t0\tt1\t6\t30\t4M\t*\t0\t0\tACGT\tIIII\tAS:i:-1\tNM:i:0",
+        "c_U2\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\tIIII", "d_U3\t0\tt2\t7\t30\t4M\t*\t0\t0\tGGGG\tIIII", "e\t0\tt2\t8\t30\t4M\t*\t0\t0\tGGGA\tIIII\tAS:i:0",
+    ]
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    out = {k: str(tmp_path / k) for k in ("c", "k.bam", "u.bam", "s")}
+    cli.main([str(tmp_path / "a.sam"), "--out-counts", out["c"], "--out-bam", out["k.bam"], "--keep-unassigned-bam", out["u.bam"], "--out-sam", out["s"], "--quiet"])
+    kept = files.read_bam(spark, out["k.bam"]).collect()
+    assert [(r.qname, r.flag, r.rname, r.mapq, r.rnext, r.pnext, r.tlen, r.tags) for r in kept] == [("a_U1", 0, "t1", 255, "=", 9, 7, "XX:Z:first\tHP:f:1\tHC:i:1\tHB:Z:hard_assign")]
+    assert files.read_header(spark, out["k.bam"])[:2] == lines[:2] and files.read_header(spark, out["k.bam"])[2].startswith("@PG\tID:tagtally")
+    assert {r.qname for r in files.read_bam(spark, out["u.bam"]).collect()} == {"c_U2", "d_U3", "e"}
+    text = "".join((tmp_path / "s" / f).read_text() for f in sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("part-")))
+    assert text.startswith("@SQ") and "HB:Z:hard_assign" in text
+    cli.main([str(tmp_path / "a.sam"), "--phase", "dedup", "--out-sam", out["s"], "--no-tags", "--quiet"])
+    assert files.read_sam(spark, out["s"]).first().tags == "XX:Z:first\tHB:Z:old"
+
+
+def test_small_sinks(spark, tmp_path):
+    assert files.write_once(spark.range(3), str(tmp_path / "once")) and not files.write_once(spark.range(9), str(tmp_path / "once"))
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 3
+    (tmp_path / "h.csv").write_text("a,b\n1,2\n")
+    assert files.sniff_columns(spark, str(tmp_path / "h.csv")) == ["a", "b"]
+    files.write_sorted(spark.range(50).selectExpr("concat('c', id % 3) rname", "cast(50 - id as int) pos"), str(tmp_path / "sorted"))
+    assert spark.read.parquet(str(tmp_path / "sorted")).count() == 50
