@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtally.operators.ordered import running, stretched
+
 
 def guarded(f, *columns: Column) -> Column:
     """``greatest``/``least`` that are NULL if any argument is, unlike the built-in ones."""
@@ -107,15 +109,21 @@ def with_wald_p(rows: DataFrame, sd: float, z: str = "z_delta") -> DataFrame:
 def benjamini_hochberg(rows: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     """Adjusted p values over all rows (or within ``by``); NULLs neither count nor get one.
 
-    The ranks need one order over all p values. Distinct p values with their counts are aggregated first, so what
-    the ordering window sees is their number; the running minimum is joined back.
+    Distinct p values with their counts are aggregated first. Their ranks need one order, which ``ordered`` cuts into
+    stretches; within ``by`` a window orders each group's distinct values.
     """
     keys = [*by, p]
     distinct = rows.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__k"))
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc())
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("__r", F.sum("__k").over(up)).withColumn("__n", F.sum("__k").over(Window.partitionBy(*by)))
-    ranked = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(down)))
+    if by:
+        up = Window.partitionBy(*by).orderBy(F.col(p).asc())
+        down = Window.partitionBy(*by).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = distinct.withColumn("__r", F.sum("__k").over(up)).withColumn("__n", F.sum("__k").over(Window.partitionBy(*by)))
+        ranked = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(down)))
+    else:
+        whole = distinct.agg(F.sum("__k")).first()[0]
+        ranked = running(stretched(distinct, p), p, "__k", "__r").withColumn("__q", F.col(p) * F.lit(whole) / F.col("__r"))
+        ranked = running(ranked, p, "__q", out, "min", descending=True)
+        ranked = ranked.withColumn(out, F.least(F.lit(1.0), out))
     return rows.join(ranked.select(*keys, out), keys, "left")
 
 

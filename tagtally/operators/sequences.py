@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtally.functions.strings import center_kmer, context, valid_kmer
@@ -18,7 +18,8 @@ def with_context(sites: DataFrame, fasta: DataFrame, flank: int = 7, key: str =
 
 def kmers(rows: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Rows with the centre k-mer, those with a valid one only."""
-    rows = rows.withColumn("kmer", F.upper(center_kmer(F.col(seq), k)))
+    # The k-mer is made once a row: a filter on an array's element keeps the sequence's expression out of the condition.
+    rows = rows.withColumn("__s", F.array(F.col(seq))).withColumn("kmer", F.transform("__s", lambda s: F.upper(center_kmer(s, k)))[0]).drop("__s")
     return rows.where(valid_kmer(F.col("kmer"), k))
 
 
@@ -28,15 +29,24 @@ def positions(rows: DataFrame, kmer: str = "kmer") -> DataFrame:
     return rows.select(*keep, F.posexplode(F.split(F.col(kmer), "")).alias("__i", "base")).withColumn("k_pos", F.col("__i") + 1).drop("__i")
 
 
+def _shares(rows: DataFrame, by: list[str], sets: dict[str, str]) -> DataFrame:
+    """``by, k_pos, n`` and for each entry of ``sets`` the share of k-mers with one of its letters at the position.
+
+    Equal k-mers are counted first, so what is taken apart by position is their number and not the rows'.
+    """
+    counted = rows.groupBy(*by, "kmer").agg(F.count("*").alias("__n"))
+    bases = counted.select(*by, "__n", F.posexplode(F.split("kmer", "")).alias("__i", "__base"))
+    share = lambda letters: F.sum(F.when(F.col("__base").isin(*letters), F.col("__n")).otherwise(0)) / F.sum("__n")
+    return bases.groupBy(*by, (F.col("__i") + 1).alias("k_pos")).agg(F.sum("__n").alias("n"), *[share(x).alias(c) for c, x in sets.items()])
+
+
 def gc_by_position(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    gc = F.avg(F.when(F.col("base").isin("G", "C"), 1.0).otherwise(0.0)).alias("gc")
-    return positions(rows).groupBy(*(by or []), "k_pos").agg(gc, F.count("*").alias("n"))
+    return _shares(rows, by or [], {"gc": "GC"}).select(*(by or []), "k_pos", "gc", "n")
 
 
 def base_frequencies(rows: DataFrame) -> DataFrame:
     """``k_pos`` and the share of each base."""
-    share = [F.avg(F.when(F.col("base") == b, 1.0).otherwise(0.0)).alias(b) for b in "ACGT"]
-    return positions(rows).groupBy("k_pos").agg(*share)
+    return _shares(rows, [], {b: b for b in "ACGT"}).select("k_pos", *"ACGT")
 
 
 def log_odds(hit: DataFrame, background: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -53,29 +63,71 @@ def matched_gc(hit: DataFrame, background: DataFrame, stratum: str) -> DataFrame
     return curves.groupBy("k_pos").agg(ratio(F.sum(F.col("h") * F.col("gc")), F.sum("h")).alias("gc"))
 
 
-def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("b"), F.col("rowid"))
+def _patterns(rows: DataFrame, stratum: str, *counts: Column) -> DataFrame:
+    """Counts by stratum and by which positions of the k-mer are G or C: at most 2 ** k rows a stratum stand for all its rows."""
+    pattern = F.translate(F.upper("kmer"), "GCATN", "11000").alias("pattern")
+    return rows.select(stratum, pattern, "*").groupBy(stratum, "pattern").agg(*counts)
+
+
+def _drawn(rng, colors, n: int, rounds: int):
+    """``rounds`` draws of ``n`` without replacement from counts: rounds x colors, one color after the other.
+
+    From a billion rows on, where the exact generator ends, a color's number is normal with the exact mean and variance.
+    """
+    import numpy as np
+
+    rest, left = int(colors.sum()), np.full(rounds, n, np.int64)
+    out = np.zeros((rounds, len(colors)), np.int64)
+    for i, good in enumerate(colors.tolist()):
+        bad = rest - good
+        if rest < 10**9:
+            out[:, i] = rng.hypergeometric(good, bad, left) if rest else 0
+        else:
+            spread = np.sqrt(left * (good / rest) * (bad / rest) * (rest - left) / max(rest - 1, 1))
+            out[:, i] = np.clip(np.rint(rng.normal(left * (good / rest), spread)), np.maximum(0, left - bad), np.minimum(good, left))
+        left, rest = left - out[:, i], bad
+    return out
+
+
+def _by_round(counted: DataFrame, stratum: str, draw, rounds: int) -> DataFrame:
+    """``b, k_pos`` and the sums over strata of what ``draw(rng, pandas group)`` says: columns of (rounds x positions) arrays."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
+        import numpy as np
+
+        pdf = pdf.sort_values("pattern")
+        rng = np.random.default_rng([zlib.crc32(repr(pdf[stratum].iloc[0]).encode()), rounds])
+        bits = np.array([[c == "1" for c in p] for p in pdf["pattern"]], np.int64)
+        out = {c: np.broadcast_to(v, (rounds, bits.shape[1])).ravel() for c, v in draw(rng, pdf, bits).items()}
+        b, k = np.meshgrid(np.arange(rounds), np.arange(1, bits.shape[1] + 1), indexing="ij")
+        return pd.DataFrame({"b": b.ravel(), "k_pos": k.ravel(), "gc_a": 0.0, "n_a": 0.0, "gc_z": 0.0, "n_z": 0.0} | out)
+
+    rows = counted.groupBy(stratum).applyInPandas(run, "b int, k_pos int, gc_a double, n_a double, gc_z double, n_z double")
+    return rows.groupBy("b", "k_pos").agg(*[F.sum(c).alias(c) for c in ("gc_a", "n_a", "gc_z", "n_z")])
 
 
 def bootstrap_gc(hit: DataFrame, background: DataFrame, stratum: str, rounds: int = 500, seed: int = 7, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """GC of hits minus GC of position-matched background samples, with its interval over ``rounds`` samples.
 
-    Every round draws as many background rows of a stratum as it has hits: without replacement where the pool
-    suffices (by the order of a hash), with replacement otherwise (the j-th draw picks an index by a hash). Rows
-    need ``rowid`` and ``kmer``. Rounds are rows, not a loop: the draw of a pool is a top-n by hash within
-    (round, stratum), which sorts no more than the pool.
+    Every round draws as many background rows of a stratum as it has hits: without replacement where the pool suffices,
+    with replacement otherwise. Only counts matter, so a stratum is its counts by pattern, and a round draws from them by
+    the multivariate hypergeometric or multinomial distribution; work grows with rounds x strata, not with rows.
     """
-    spark = hit.sparkSession
     weights = hit.groupBy(stratum).agg(F.count("*").alias("h"))
-    pool = background.select(stratum, "rowid", "kmer").join(weights, stratum)
-    numbered = pool.withColumn("i", F.row_number().over(Window.partitionBy(stratum).orderBy("rowid")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(stratum)))
-    b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")
-    enough = numbered.where("m >= h").select("*", b).withColumn("at", F.row_number().over(Window.partitionBy("b", stratum).orderBy(_order(seed), "rowid"))).where("at <= h").select("b", "kmer")
-    short = numbered.where("m < h").groupBy(stratum, "h", "m").agg(F.sort_array(F.collect_list(F.struct("i", "kmer"))).alias("rows"))  # fewer rows than hits
-    short = short.select("*", b).select("b", "rows", "m", stratum, F.explode(F.sequence(F.lit(1), F.col("h").cast("int"))).alias("j"))
-    pick = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("b"), F.col(stratum), F.col("j")), F.col("m")).cast("int")
-    short = short.select("b", F.col("rows")[pick]["kmer"].alias("kmer"))
-    drawn = gc_by_position(enough.unionByName(short), ["b"]).select("b", "k_pos", F.col("gc").alias("gc_bg"))
+    counted = _patterns(background, stratum, F.count("*").alias("n")).join(weights, stratum)
+
+    def draw(rng, pdf, bits):
+        import numpy as np
+
+        n, h = pdf["n"].to_numpy(), int(pdf["h"].iloc[0])
+        rng = np.random.default_rng([seed, *rng.integers(0, 2**32, 2).tolist()])
+        taken = _drawn(rng, n, h, rounds) if n.sum() >= h else rng.multinomial(h, n / n.sum(), rounds)
+        return {"gc_a": taken @ bits, "n_a": h}
+
+    drawn = _by_round(counted, stratum, draw, rounds).select("b", "k_pos", (F.col("gc_a") / F.col("n_a")).alias("gc_bg"))
     own = gc_by_position(hit).select("k_pos", F.col("gc").alias("gc_hit"))
     rows = drawn.join(own, "k_pos").withColumn("d", F.col("gc_hit") - F.col("gc_bg"))
     return rows.groupBy("k_pos").agg(F.avg("d").alias("delta_gc"), F.percentile("d", low).alias("lo"), F.percentile("d", high).alias("hi"))
@@ -84,22 +136,27 @@ def bootstrap_gc(hit: DataFrame, background: DataFrame, stratum: str, rounds: in
 def permutation_gc(rows: DataFrame, stratum: str, rounds: int = 500, seed: int = 11) -> DataFrame:
     """By position: observed GC difference of hits and others, and how often shuffled labels reach it.
 
-    Labels move within strata that have more rows than hits; p = (1 + reached) / (rounds + 1), BH over positions.
+    Labels move within strata that have more rows than hits, so the hits' patterns are a draw without replacement from
+    the stratum's; p = (1 + reached) / (rounds + 1), BH over positions.
     """
     from tagtally.operators.counts import benjamini_hochberg
 
-    group = Window.partitionBy(stratum)
-    rows = rows.select(stratum, "rowid", "kmer", F.col("hit").cast("int").alias("hit"))
-    rows = rows.withColumn("h", F.sum("hit").over(group)).withColumn("m", F.count("*").over(group)).where("m > h and h > 0")
+    label = F.col("hit").cast("int")
+    sizes = rows.groupBy(stratum).agg(F.sum(label).alias("h"), F.count("*").alias("m")).where("m > h and h > 0")
+    counted = _patterns(rows, stratum, F.count("*").alias("n"), F.sum(label).alias("hits")).join(sizes, stratum)
+
+    def draw(rng, pdf, bits):
+        import numpy as np
 
-    def curve(r: DataFrame, by: list[str]) -> DataFrame:
-        gc = positions(r).withColumn("g", F.when(F.col("base").isin("G", "C"), 1.0).otherwise(0.0))
-        side = lambda v: F.avg(F.when(F.col("hit") == v, F.col("g")))
-        return gc.groupBy(*by, "k_pos").agg((side(1) - side(0)).alias("d"))
+        n, h = pdf["n"].to_numpy(), int(pdf["h"].iloc[0])
+        taken = _drawn(np.random.default_rng([seed, *rng.integers(0, 2**32, 2).tolist()]), n, h, rounds)
+        return {"gc_a": taken @ bits, "n_a": h, "gc_z": (n - taken) @ bits, "n_z": int(n.sum()) - h}
 
-    observed = curve(rows, []).withColumnRenamed("d", "observed")
-    shuffled = rows.select(stratum, "rowid", "kmer", "h", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    shuffled = shuffled.withColumn("hit", (F.row_number().over(Window.partitionBy("b", stratum).orderBy(_order(seed), "rowid")) <= F.col("h")).cast("int"))
-    null = curve(shuffled, ["b"]).join(F.broadcast(observed), "k_pos")  # k rows
-    out = null.groupBy("k_pos").agg(F.first("observed").alias("observed"), ((1 + F.count_if(F.abs("d") >= F.abs("observed") - 1e-12)) / F.lit(rounds + 1.0)).alias("p"))
+    difference = F.col("gc_a") / F.col("n_a") - F.col("gc_z") / F.col("n_z")
+    null = _by_round(counted, stratum, draw, rounds).select("b", "k_pos", difference.alias("d"))
+    at = counted.select("n", "hits", F.posexplode(F.split("pattern", "")).alias("i", "bit")).withColumn("bit", F.col("bit").cast("int"))
+    side = lambda n: F.sum(n * F.col("bit")) / F.sum(n)
+    observed = at.groupBy((F.col("i") + 1).alias("k_pos")).agg((side(F.col("hits")) - side(F.col("n") - F.col("hits"))).alias("observed"))
+    out = null.join(F.broadcast(observed), "k_pos").groupBy("k_pos")  # k rows
+    out = out.agg(F.first("observed").alias("observed"), ((1 + F.count_if(F.abs("d") >= F.abs("observed") - 1e-12)) / F.lit(rounds + 1.0)).alias("p"))
     return benjamini_hochberg(out, "p", "q")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtally.operators.counts import ratio
+from tagtally.operators.ordered import running, stretched
 
 
 def welch(rows: DataFrame, by: list[str], group: str, value: str, a: str, b: str) -> DataFrame:
@@ -99,22 +100,17 @@ def detection_offset(rows: DataFrame, by: list[str], efficiency_in: float, effic
 
 
 def roc(scores: DataFrame, label: str, score: str) -> DataFrame:
-    """Curve by descending score: ties are one step. The window sees distinct scores, which are aggregated first."""
-    from pyspark.sql import Window
-
+    """Curve by descending score: ties are one step. Distinct scores are aggregated first, and ordered in stretches."""
     steps = scores.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    run = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return steps.select(score, (F.sum("pos").over(run) / F.sum("pos").over(whole)).alias("tpr"), (F.sum("neg").over(run) / F.sum("neg").over(whole)).alias("fpr"))
+    whole = steps.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    cut = running(running(stretched(steps, score), score, "pos", "p", descending=True), score, "neg", "n", descending=True)
+    return cut.select(score, (F.col("p") / F.lit(whole["p"])).alias("tpr"), (F.col("n") / F.lit(whole["n"])).alias("fpr"))
 
 
 def auc(scores: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the curve by rank sums; ties share their middle rank."""
-    from pyspark.sql import Window
-
     steps = scores.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    run = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = steps.withColumn("rank", F.sum("n").over(run) - (F.col("n") - 1) / 2)
+    ranked = running(stretched(steps, score), score, "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return s.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"), F.col("p").cast("long").alias("n_pos"), (F.col("n") - F.col("p")).cast("long").alias("n_neg"))
 
