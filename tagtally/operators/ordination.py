@@ -206,7 +206,7 @@ def permanova(spark, d: np.ndarray, y: list, permutations: int = 4999, seed: int
         for pdf in batches:
             yield pd.DataFrame({"f": [stat(q, np.random.default_rng([seed, int(i)]).permutation(c))[0] for i in pdf["id"]]})
 
-    reached = spark.range(permutations).mapInPandas(run, "f double").where(F.col("f") >= f - 1e-12).count()
+    reached = 0 if not permutations else spark.range(permutations).mapInPandas(run, "f double").where(F.col("f") >= f - 1e-12).count()
     return spark.createDataFrame([(float(f), float(r2), (1 + reached) / (permutations + 1))], "f double, r2 double, p double")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagtally.operators import counts as C
 from tagtally.operators import statistics as S
 from tagtally.operators import variants as V
+from tagtally.plans import statements as X
 from tagtally.plans.registry import query
 
 SAMPLES = [f"{y}{c}" for y in range(1995, 2002) for c in "iph"]
@@ -103,9 +104,13 @@ def null_sd(t):
     return C.null_sd(_wald(t)).select(r("sd", 5).alias("sd"), "n_half", "n_one")
 
 
-@query("wald_pvalues")
+NULL_SD = "sdk AS (SELECT count(*) FILTER (abs(z) < 0.5) AS n1, stddev_samp(CASE WHEN abs(z) < 0.5 THEN z END) AS s1, count(*) FILTER (abs(z) < 1) AS n2, stddev_samp(CASE WHEN abs(z) < 1 THEN z END) AS s2 FROM z), sd AS (SELECT CASE WHEN n1 >= 10 THEN s1 WHEN n2 >= 10 THEN s2 ELSE 0.3 END AS sd FROM sdk)"
+
+
+@query("wald_pvalues", "WITH " + CONTRASTS + ", " + NULL_SD + f""", p AS (SELECT feature, z, {X.normal_sf("zz")} AS p FROM (SELECT feature, z, z / sd AS zz FROM z, sd)), k AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS rk, count(*) OVER () AS n FROM p WHERE p IS NOT NULL),
+    q AS (SELECT feature, least(1.0, min(p * n / rk) OVER (ORDER BY p DESC, feature ROWS UNBOUNDED PRECEDING)) AS q FROM k) SELECT p.feature, round(z, 4) AS z, round(p, 6) AS p, round(q, 6) AS padj FROM p LEFT JOIN q USING (feature)""")
 def wald_pvalues(t):
-    rows = _wald(t).persist()
+    rows = _wald(t)
     sd = C.null_sd(rows).first()["sd"]
     return C.with_wald_p(rows, float(sd)).select("feature", r("z_delta", 4).alias("z"), r("pval_delta").alias("p"), r("padj_delta").alias("padj"))
 
@@ -356,9 +361,10 @@ def welch_t(t):
     return w.select("replicate", r("mean_a").alias("mean_a"), r("mean_b").alias("mean_b"), r("t", 5).alias("t"), r("df", 3).alias("df"))
 
 
-@query("welch_pvalues")
+@query("welch_pvalues", """WITH s AS (SELECT replicate, avg(quantity) FILTER (condition = 'IP') AS a, avg(quantity) FILTER (condition = 'Input') AS b, var_samp(quantity) FILTER (condition = 'IP') AS va, var_samp(quantity) FILTER (condition = 'Input') AS vb, count(*) FILTER (condition = 'IP') AS na, count(*) FILTER (condition = 'Input') AS nb FROM {lib} GROUP BY 1)
+    , t AS (SELECT replicate, abs(a - b) / sqrt(va / na + vb / nb) AS t, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS df FROM s WHERE na > 1 AND nb > 1) SELECT replicate, round(2 * """ + X.t_sf("t", "df") + """, 6) AS p FROM t""")
 def welch_pvalues(t):
-    return S.welch(t.lib, ["replicate"], "condition", "quantity", "IP", "Input").select("replicate", r("p", 8).alias("p"))
+    return S.welch(t.lib, ["replicate"], "condition", "quantity", "IP", "Input").select("replicate", r("p").alias("p"))
 
 
 @query("paired_t", """WITH m AS (SELECT supplier, replicate, avg(quantity) FILTER (condition = 'IP') - avg(quantity) FILTER (condition = 'Input') AS d FROM {lib} GROUP BY 1, 2)
@@ -394,10 +400,11 @@ def ivw_slope(t):
     return t.spark.createDataFrame([(round(fit["slope"], 6), round(fit["intercept"], 5))], "slope double, intercept double")
 
 
-@query("ivw_band")
+@query("ivw_band", "WITH RECURSIVE " + IVW + ", m AS (SELECT w, sx / w AS mx, sy / w AS my, sxx - sx * sx / w AS xx, sxy - sx * sy / w AS xy FROM s), yy AS (SELECT sum((y - my) * (y - my) / (se * se)) AS yy, count(*) - 2 AS df FROM x, m), f AS (SELECT *, xy / xx AS slope, (yy - xy / xx * xy) / df AS var FROM m, yy), "
+    + X.t_quantile("yy", 0.975) + """, g AS (SELECT unnest(range(0, 101, 5))::DOUBLE AS x), l AS (SELECT x, my + slope * (x - mx) AS y, (SELECT q FROM tq) * sqrt(var * (1 / w + power(x - mx, 2) / xx)) AS e FROM g, f) SELECT x, round(y, 6) AS y, round(y - e, 6) AS lo, round(y + e, 6) AS hi FROM l""")
 def ivw_band(t):
     fit = S.inverse_variance_fit(_ivw(t), "y", "x", "se")
-    return S.band(t.spark, fit, [float(g) for g in range(0, 101, 5)])
+    return S.band(t.spark, fit, [float(g) for g in range(0, 101, 5)]).select("x", r("y").alias("y"), r("lo").alias("lo"), r("hi").alias("hi"))
 
 
 @query("blocked_lm", "WITH b AS (SELECT condition, count(*) AS n, sum(supplier)::DOUBLE AS x, sum(quantity) AS y, sum(supplier * supplier)::DOUBLE AS xx, sum(supplier * quantity) AS xy FROM {lib} GROUP BY 1) SELECT round(sum(xy - x * y / n) / sum(xx - x * x / n), 6) AS slope FROM b")

@@ -9,6 +9,7 @@ from tagtally.operators import ordination as O
 from tagtally.operators import sequences as Q
 from tagtally.operators import sets as H
 from tagtally.operators import statistics as S
+from tagtally.plans import statements as X
 from tagtally.plans.registry import query
 
 NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -68,16 +69,16 @@ def set_union_all(t):
     return t.lineitem.select(F.col("l_partkey").alias("item"), F.lit("line").alias("source")).unionByName(t.part.select(F.col("p_partkey").alias("item"), F.lit("part").alias("source")))
 
 
-@query("hypergeom")
+@query("hypergeom", X.HYPERGEOM)
 def hypergeom(t):
     universe = t.customer.select(F.col("c_custkey").alias("item"))
-    return H.over_representation(t.sets, "1-URGENT", "2-HIGH", universe)
+    return H.over_representation(t.sets, "1-URGENT", "2-HIGH", universe).withColumn("p", r("p", 8))
 
 
-@query("nway_intersection")
+@query("nway_intersection", X.nway(IN))
 def nway_intersection(t):
     universe = t.customer.select(F.col("c_custkey").alias("item"))
-    return H.exact_intersection(t.sets, NAMES, universe)
+    return H.exact_intersection(t.sets, NAMES, universe).select("observed", r("expected").alias("expected"), r("enrichment").alias("enrichment"), r("p", 8).alias("p"))
 
 
 @query("nway_expected", f"WITH u AS (SELECT count(*)::DOUBLE AS n FROM customer), s AS (SELECT set_name, count(*)::DOUBLE AS k FROM {{sets}} WHERE set_name IN ({IN}) AND item IN (SELECT c_custkey FROM customer) GROUP BY 1) SELECT round(product(k / (SELECT n FROM u)) * (SELECT n FROM u), 6) AS expected FROM s")
@@ -189,23 +190,23 @@ def _layout(t):
     return O.distance_matrix(O.cosine_distances(t.vecs))
 
 
-@query("mds")
+@query("mds", X.MDS)
 def mds(t):
     names, d = _layout(t)
     x = O.mds(names, d, 3)
     return t.spark.createDataFrame([(str(n), *[float(abs(v)) for v in row]) for n, row in zip(names, np.round(x, 5))], "grp string, a1 double, a2 double, a3 double")
 
 
-@query("mds_axes")
+@query("mds_axes", X.MDS_AXES)
 def mds_axes(t):
     names, d = _layout(t)
     return t.spark.createDataFrame([(O.axes_kept(O.mds(names, d, 9)),)], "k int")
 
 
-@query("pca")
+@query("pca", X.PCA)
 def pca(t):
     names, x, share = O.pca(t.vecs, 2)
-    return t.spark.createDataFrame([(str(n), float(abs(a)), float(abs(b)), float(share[0])) for n, (a, b) in zip(names, np.round(x, 5))], "grp string, pc1 double, pc2 double, share1 double")
+    return t.spark.createDataFrame([(str(n), float(abs(a)), float(abs(b)), round(float(share[0]), 6)) for n, (a, b) in zip(names, np.round(x, 5))], "grp string, pc1 double, pc2 double, share1 double")
 
 
 @query("cluster_order")
@@ -239,6 +240,12 @@ def loocv_svm(t):
     return S.auc(scores, "label", "score").select(r("auc").alias("auc"), "n_pos", "n_neg")
 
 
+@query("permanova_f", X.PERMANOVA)
+def permanova_f(t):
+    names, d, y = _classes(t)
+    return O.permanova(t.spark, d, y.tolist(), permutations=0).select(r("f").alias("f"), r("r2").alias("r2"))
+
+
 @query("permanova")
 def permanova(t):
     names, d, y = _classes(t)
