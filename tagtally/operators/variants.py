@@ -218,11 +218,12 @@ def five_retention(rows: DataFrame, by: list[str], first: int = 5, present: bool
     return rows.groupBy(*by).agg(F.avg("cov_norm").alias("five_retention"), F.count("*").alias("n")).where(F.col("n") >= first).drop("n")
 
 
-def pileup(alignments: DataFrame, least_quality: int = 10) -> DataFrame:
+def pileup(alignments: DataFrame, least_quality: int = 10, max_depth: int = 0) -> DataFrame:
     """Packed counts ``chr, pos, depth, A, C, G, T, N, Skip, Gap, Insert, Delete`` from alignments (CIGAR walk).
 
     Rows ``rname, pos, cigar, seq, qual``; bases below the quality do not count. Insertions count at the base
-    before them, Gap at deleted bases, Delete at the first, Skip at skipped ones.
+    before them, Gap at deleted bases, Delete at the first, Skip at skipped ones. With ``max_depth`` no more reads than
+    that, the first by ``ord``, count at a position; 0 is no limit.
     """
 
     # Steps of a read with their first reference position and first base; a read has few of them.
@@ -236,15 +237,19 @@ def pileup(alignments: DataFrame, least_quality: int = 10) -> DataFrame:
             a -> filter(a.out, x -> x.o in ('M', '=', 'X', 'I', 'D', 'N')))"""
     )
     reads = alignments.where("cigar is not null and cigar not in ('', '*') and seq is not null and seq not in ('', '*') and pos is not null")
-    reads = reads.select("rname", "seq", "qual", F.explode(steps).alias("x")).select("rname", "seq", "qual", "x.*")
+    order = ["ord"] if max_depth else []
+    reads = reads.select("rname", "seq", "qual", *order, F.explode(steps).alias("x")).select("rname", "seq", "qual", *order, "x.*")
     base = F.upper(F.substring("seq", F.col("i") + F.col("k") + 1, F.lit(1)))
     good = F.col("qual").isNull() | F.col("qual").isin("", "*") | (F.ascii(F.substring("qual", F.col("i") + F.col("k") + 1, F.lit(1))) - 33 >= least_quality)
     what = (
         F.when(F.col("o").isin("M", "=", "X"), F.when(good & (base != ""), F.when(base.isin("A", "C", "G", "T"), base).otherwise("N")))
         .when(F.col("o") == "D", "Gap").when(F.col("o") == "N", "Skip")
     )
-    along = reads.where("o <> 'I'").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("rname").alias("chr"), (F.col("at") + F.col("k")).alias("pos"), what.alias("what"))
-    once = reads.where("o in ('I', 'D')").select(F.col("rname").alias("chr"), F.when(F.col("o") == "I", F.col("at") - 1).otherwise(F.col("at")).alias("pos"), F.when(F.col("o") == "I", "Insert").otherwise("Delete").alias("what"))
+    along = reads.where("o <> 'I'").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("rname").alias("chr"), (F.col("at") + F.col("k")).alias("pos"), what.alias("what"), *order)
+    once = reads.where("o in ('I', 'D')").select(F.col("rname").alias("chr"), F.when(F.col("o") == "I", F.col("at") - 1).otherwise(F.col("at")).alias("pos"), F.when(F.col("o") == "I", "Insert").otherwise("Delete").alias("what"), *order)
     seen = along.where("what is not null").unionByName(once)
+    if max_depth:
+        place = Window.partitionBy("chr", "pos").orderBy("ord")
+        seen = seen.withColumn("__nth", F.dense_rank().over(place)).where(F.col("__nth") <= max_depth)
     wide = seen.withColumn("k", F.lit(1)).groupBy("chr", "pos").pivot("what", PACKED[1:]).agg(F.sum("k")).fillna(0)
     return wide.withColumn("depth", sum((F.col(c) for c in ("C", "G", "T", "N", "Gap")), F.col("A"))).select("chr", "pos", *PACKED)

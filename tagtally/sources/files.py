@@ -154,6 +154,11 @@ def write_sorted(rows: DataFrame, path: str, chr_column: str = "rname", pos: str
     rows.repartitionByRange(chr_column, pos).sortWithinPartitions(chr_column, pos).write.mode("overwrite").parquet(path)
 
 
+def write_by_name(rows: DataFrame, path: str, name: str = "qname") -> None:
+    """Name-sorted Parquet: all records of a read lie together in one file."""
+    rows.repartitionByRange(name).sortWithinPartitions(name).write.mode("overwrite").parquet(path)
+
+
 def write_marker(path: str, meta: dict) -> None:
     """Completion marker with the run's parameters, beside its tables on the driver's file system."""
     Path(path).write_text("completed\n" + json.dumps(meta, sort_keys=True))
@@ -223,3 +228,39 @@ def write_once(rows: DataFrame, path: str) -> bool:
         return False
     rows.write.mode("overwrite").parquet(path)
     return True
+
+
+def read_inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A delimited file with a header, its types inferred from all rows, NA as NULL."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=True, nullValue="NA")
+
+
+def found_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Files of a folder whose names a regular expression finds, in order of name."""
+    import re
+
+    return sorted((f for f in bam_files(spark, folder) if re.search(pattern, f.rsplit("/", 1)[-1])), key=lambda f: f.rsplit("/", 1)[-1])
+
+
+def read_found(spark: SparkSession, folder: str, pattern: str, group: str, schema: str, sep: str = "\t") -> DataFrame:
+    """All found files in one scan, with ``group``: the first group of that expression in the file's name."""
+    files = found_files(spark, folder, pattern)
+    if not files:
+        return spark.createDataFrame([], f"{schema}, `group` string")
+    rows = spark.read.csv(files, sep=sep, header=True, schema=schema, nullValue="NA")
+    return rows.withColumn("group", F.regexp_extract(F.col("_metadata.file_name"), group, 1))
+
+
+def write_csv(rows: DataFrame, path: str, order: list[str] | None = None, sep: str = ",") -> None:
+    """Rows as delimited text with a header, NULL as NA; in one order over all parts if asked for."""
+    (rows.orderBy(*order) if order else rows).write.mode("overwrite").csv(path, sep=sep, header=True, nullValue="NA")
+
+
+def save_tables(folder: str, tables: dict[str, DataFrame]) -> None:
+    """Several tables that belong together, each as Parquet under its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
