@@ -139,54 +139,65 @@ def _trend(mean: np.ndarray, alpha: np.ndarray) -> np.ndarray:
 
 
 def _fit_beta(y, x, sf, alpha, rounds: int = 50):
-    """IRLS of a negative-binomial model with a light ridge: coefficients (natural log) and their covariance."""
+    """IRLS of negative-binomial models with a light ridge, a row of ``y`` each: coefficients (natural log), covariances, means."""
     mu = np.maximum(y, 0.1)
-    beta = np.linalg.lstsq(x, np.log(mu / sf), rcond=None)[0]
+    beta = np.linalg.lstsq(x, np.log(mu / sf).T, rcond=None)[0].T
     ridge = 1e-6 * np.eye(x.shape[1])
+    mean = lambda b: np.maximum(sf * np.exp(np.clip(b @ x.T, -30, 30)), 1e-6)
+    live = np.arange(len(y))
     for _ in range(rounds):
-        mu = np.maximum(sf * np.exp(np.clip(x @ beta, -30, 30)), 1e-6)
-        w = mu / (1 + alpha * mu)
-        z = np.log(mu / sf) + (y - mu) / mu
-        new = np.linalg.solve(x.T @ (w[:, None] * x) + ridge, x.T @ (w * z))
-        done = np.abs(new - beta).max() < 1e-8
-        beta = new
-        if done:
+        m = mean(beta[live])
+        w = m / (1 + alpha[live, None] * m)
+        z = np.log(m / sf) + (y[live] - m) / m
+        new = np.linalg.solve(np.einsum("ij,bi,ik->bjk", x, w, x) + ridge, ((w * z) @ x)[..., None])[..., 0]
+        moving = np.abs(new - beta[live]).max(1) >= 1e-8
+        beta[live] = new
+        live = live[moving]
+        if not len(live):
             break
-    mu = np.maximum(sf * np.exp(np.clip(x @ beta, -30, 30)), 1e-6)
-    w = mu / (1 + alpha * mu)
-    return beta, np.linalg.inv(x.T @ (w[:, None] * x) + ridge), mu
+    mu = mean(beta)
+    w = mu / (1 + alpha[:, None] * mu)
+    return beta, np.linalg.inv(np.einsum("ij,bi,ik->bjk", x, w, x) + ridge), mu
 
 
-def _profile(y, mu, x, log_alpha) -> float:
-    """Cox-Reid adjusted log-likelihood of a dispersion."""
-    a = math.exp(log_alpha)
+def _gamma_step(r: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """ln gamma(r + v) - ln gamma(r) without the loss of digits of a difference of large numbers."""
+    z = r + 8
+    tail = lambda q: 1 / (12 * q) - 1 / (360 * q**3) + 1 / (1260 * q**5)
+    out = (z - 0.5) * np.log1p(v / z) + v * np.log(z + v) - v + tail(z + v) - tail(z)
+    for k in range(8):
+        out = out - np.log1p(v / (r + k))
+    return out
+
+
+def _profile(y, mu, x, log_alpha) -> np.ndarray:
+    """Cox-Reid adjusted log-likelihood of each row's dispersion, but for terms without it."""
+    a = np.exp(log_alpha)[:, None]
     r = 1 / a
-    ll = sum(math.lgamma(v + r) - math.lgamma(r) - math.lgamma(v + 1) + r * math.log(r / (r + m)) + v * math.log(m / (r + m)) for v, m in zip(y, mu))
+    ll = (_gamma_step(r, y) - r * np.log1p(mu * a) + y * np.log(mu / (r + mu))).sum(1)
     w = mu / (1 + a * mu)
-    return ll - 0.5 * np.linalg.slogdet(x.T @ (w[:, None] * x) + 1e-12 * np.eye(x.shape[1]))[1]
+    return ll - 0.5 * np.linalg.slogdet(np.einsum("ij,bi,ik->bjk", x, w, x) + 1e-12 * np.eye(x.shape[1]))[1]
 
 
-def _best_dispersion(y, mu, x, prior=None) -> float:
-    """Greatest (penalised) profile over a grid of log dispersions, refined once by golden section."""
+def _best_dispersion(y, mu, x, prior=None) -> np.ndarray:
+    """Greatest (penalised) profile of each row over a grid of log dispersions, refined by golden section."""
     def value(v):
         return _profile(y, mu, x, v) - (0 if prior is None else (v - prior[0]) ** 2 / (2 * prior[1]))
 
-    grid = np.linspace(math.log(1e-8), math.log(max(10.0, len(y))), 25)
-    best = int(np.argmax([value(v) for v in grid]))
-    lo, hi = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+    n = len(y)
+    grid = np.linspace(math.log(1e-8), math.log(max(10.0, y.shape[1])), 25)
+    best = np.stack([value(np.full(n, v)) for v in grid]).argmax(0)
+    lo, hi = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, len(grid) - 1)]
     g = (math.sqrt(5) - 1) / 2
     a, b = hi - g * (hi - lo), lo + g * (hi - lo)
     fa, fb = value(a), value(b)
     for _ in range(18):
-        if fa < fb:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = value(b)
-        else:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = value(a)
-    return math.exp((lo + hi) / 2)
+        up = fa < fb
+        lo, hi = np.where(up, a, lo), np.where(up, hi, b)
+        a, b = np.where(up, b, hi - g * (hi - lo)), np.where(up, lo + g * (hi - lo), a)
+        f = value(np.where(up, b, a))
+        fa, fb = np.where(up, fb, f), np.where(up, f, fa)
+    return np.exp((lo + hi) / 2)
 
 
 def _lowess(x: np.ndarray, y: np.ndarray, share: float = 0.2, rounds: int = 3) -> np.ndarray:
@@ -290,24 +301,22 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
     rows = counts.where(F.col("sample").isin(list(at))).groupBy("feature", "sample").agg(F.sum("count").alias("count"))
     vectors = rows.groupBy("feature").agg(F.collect_list(F.struct("sample", "count")).alias("v"))
 
-    def dense(v):
-        y = np.zeros(len(at))
-        for r in v:
-            y[at[r["sample"]]] = r["count"]
+    def dense(lists):
+        y = np.zeros((len(lists), len(at)))
+        for i, v in enumerate(lists):
+            for r in v:
+                y[i, at[r["sample"]]] = r["count"]
         return np.round(y)
 
     def first(batches):
         for pdf in batches:
-            out = []
-            for f, v in zip(pdf["feature"], pdf["v"]):
-                y = dense(v)
-                mean = float((y / sf).mean())
-                if mean <= 0:
-                    continue
-                rough = max(1e-4, ((y / sf).var(ddof=1) - mean * (1 / sf).mean()) / mean**2)
-                _, _, mu = _fit_beta(y, x, sf, rough)
-                out.append((f, mean, _best_dispersion(y, mu, x)))
-            yield pd.DataFrame(out, columns=["feature", "mean", "alpha"])
+            y = dense(pdf["v"])
+            mean = (y / sf).mean(1)
+            some = mean > 0
+            y, mean = y[some], mean[some]
+            rough = np.maximum(1e-4, ((y / sf).var(1, ddof=1) - mean * (1 / sf).mean()) / mean**2)
+            _, _, mu = _fit_beta(y, x, sf, rough)
+            yield pd.DataFrame({"feature": pdf["feature"][some], "mean": mean, "alpha": _best_dispersion(y, mu, x)})
 
     genewise = vectors.mapInPandas(first, f"feature {kind}, mean double, alpha double").persist()
     table = genewise.select("mean", "alpha").toPandas()
@@ -321,18 +330,15 @@ def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str =
 
     def second(batches):
         for pdf in batches:
-            out = []
-            for f, v, m, a in zip(pdf["feature"], pdf["v"], pdf["mean"], pdf["alpha"]):
-                y = dense(v)
-                t = float(np.interp(math.log(m), knots, values))
-                _, _, mu = _fit_beta(y, x, sf, a)
-                final = a if math.log(max(a, 1e-8)) > t + 2 * math.sqrt(spread) else _best_dispersion(y, mu, x, (t, prior))
-                beta, cov, mu = _fit_beta(y, x, sf, final)
-                se = math.sqrt(cov[-1, -1])
-                z = beta[-1] / se
-                chance = math.nan if outlying(y, mu, final, cov) else float(2 * normal_sf(np.array(abs(z))))
-                out.append((f, m, final, beta[-1] / math.log(2), se / math.log(2), z, chance))
-            yield pd.DataFrame(out, columns=["feature", "baseMean", "dispersion", "log2FoldChange", "lfcSE", "stat", "pvalue"])
+            y, a = dense(pdf["v"]), pdf["alpha"].to_numpy(float)
+            t = np.interp(np.log(pdf["mean"].to_numpy(float)), knots, values)
+            _, _, mu = _fit_beta(y, x, sf, a)
+            final = np.where(np.log(np.maximum(a, 1e-8)) > t + 2 * math.sqrt(spread), a, _best_dispersion(y, mu, x, (t, prior)))
+            beta, cov, mu = _fit_beta(y, x, sf, final)
+            se = np.sqrt(cov[:, -1, -1])
+            z = beta[:, -1] / se
+            chance = np.where([outlying(*row) for row in zip(y, mu, final, cov)], np.nan, 2 * normal_sf(np.abs(z)))
+            yield pd.DataFrame({"feature": pdf["feature"], "baseMean": pdf["mean"], "dispersion": final, "log2FoldChange": beta[:, -1] / math.log(2), "lfcSE": se / math.log(2), "stat": z, "pvalue": chance})
 
     fitted = vectors.join(genewise, "feature").mapInPandas(second, f"feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double").persist()
     tested = fitted.select("baseMean", "pvalue").toPandas()  # a number pair of each feature, as above

@@ -152,7 +152,7 @@ def test_negative_binomial_wald(spark):
                 rows.append((f"f{f}", f"{rep}{c}", str(rep), c, int(rng.negative_binomial(20, 20 / (20 + m)))))
     counts = spark.createDataFrame(rows, "feature string, sample string, replicate string, condition string, count int")
     factors = counts.select("sample").distinct().withColumn("size_factor", F.lit(1.0))
-    got = S.nb_wald(counts, factors).toPandas().set_index("feature")
+    got = S.nb_wald(counts, factors).toPandas().set_index("feature").sort_index()
     up = [f"f{i}" for i in range(8)]
     assert (got.loc[up].padj < 0.05).all() and got.loc[up].log2FoldChange.mean() == pytest.approx(2, abs=0.25)
     assert (got.drop(up).pvalue < 0.05).mean() < 0.2
@@ -167,7 +167,7 @@ def test_negative_binomial_outliers_and_weak_features(spark):
             m = (200 * 2 ** (2 * (c == "IP"))) if f < 30 else 1.0 if f >= 40 else 200
             rows.append((f, f"s{i}", "0", c, 100_000 if (f, i) == (35, 0) else int(rng.negative_binomial(20, 20 / (20 + m)))))
     counts = spark.createDataFrame(rows, "feature long, sample string, replicate string, condition string, count int")
-    got = S.nb_wald(counts, counts.select("sample").distinct().withColumn("size_factor", F.lit(1.0))).toPandas().set_index("feature")
+    got = S.nb_wald(counts, counts.select("sample").distinct().withColumn("size_factor", F.lit(1.0))).toPandas().set_index("feature").sort_index()
     assert math.isnan(got.loc[35].pvalue) and math.isnan(got.loc[35].padj) and got.pvalue.isna().sum() <= 3
     assert (got.loc[:29].padj < 0.01).all()
     mean = np.concatenate([np.linspace(0.1, 5, 900), np.linspace(50, 300, 100)])
@@ -191,7 +191,7 @@ def test_nb_glm_tests_every_part(spark, tmp_path):
                 lines += [(part, flag, date(year, 3, 1), 1.0, "O", 1)] * n
     spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_shipdate date, l_quantity double, l_linestatus string, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(p, f"Brand#{p % 5}") for p in range(1, 41)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = QUERIES["nb_glm"](spark, str(tmp_path)).toPandas().set_index("feature")
+    got = QUERIES["nb_glm"](spark, str(tmp_path)).toPandas().set_index("feature").sort_index()
     assert sorted(got.index) == list(range(1, 41))
     assert got.loc[[1, 2, 3, 4]].log2FoldChange.mean() == pytest.approx(2, abs=0.3) and (got.loc[[1, 2, 3, 4]].padj < 0.01).all()
     assert got.loc[10].log2FoldChange == pytest.approx(0, abs=1e-3) and got.loc[10].baseMean == pytest.approx(60, abs=1e-3)
@@ -214,3 +214,35 @@ def test_bootstrap_and_permutation(spark):
     assert all(r.q < 0.05 for r in Q.permutation_gc(k, "s", 99).collect())
     few = Q.bootstrap_gc(k.where("hit"), k.where("not hit and rowid < 12"), "s", 20).collect()
     assert len(few) == 5
+
+
+def test_dispersions_of_many_features():
+    """Batched fits are those of each feature alone, and the dispersion found is the best of the exact likelihood."""
+    import math
+
+    from tagtally.operators import statistics as s
+
+    rng = np.random.default_rng(8)
+    x = np.column_stack([np.ones(10), np.tile([0, 1], 5), np.repeat([0, 1], 5)])
+    sf = rng.uniform(0.5, 2, 10)
+    y = rng.negative_binomial(2, 2 / (2 + 20 * sf), (40, 10)).astype(float)
+    y[:10] = rng.poisson(1.5, (10, 10)) + 1.0
+    alpha = np.full(40, 0.3)
+    beta, cov, mu = s._fit_beta(y, x, sf, alpha)
+    for i in (0, 3, 20, 39):
+        b, c, m = s._fit_beta(y[i : i + 1], x, sf, alpha[:1])
+        assert np.allclose(b[0], beta[i]) and np.allclose(c[0], cov[i]) and np.allclose(m[0], mu[i])
+        w = mu[i] / (1 + 0.3 * mu[i])
+        assert np.abs(x.T @ ((y[i] - mu[i]) * w / mu[i]) - 1e-6 * beta[i]).max() < 1e-4  # the score of the ridged model
+
+    def exact(i, a):
+        ll = sum(sum(math.log1p(a * k) for k in range(int(v))) + v * math.log(m) - (v + 1 / a) * math.log1p(a * m) for v, m in zip(y[i], mu[i]))
+        w = mu[i] / (1 + a * mu[i])
+        return ll - 0.5 * np.linalg.slogdet(x.T @ (w[:, None] * x))[1]
+
+    best = s._best_dispersion(y, mu, x)
+    grid = np.exp(np.linspace(math.log(1e-8), math.log(10), 60))
+    for i in range(40):
+        assert exact(i, best[i]) >= max(exact(i, a) for a in grid) - 1e-3
+        got = s._profile(y[i : i + 1], mu[i : i + 1], x, np.array([math.log(0.5)]))[0] - s._profile(y[i : i + 1], mu[i : i + 1], x, np.array([math.log(1e-6)]))[0]
+        assert got == pytest.approx(exact(i, 0.5) - exact(i, 1e-6), abs=1e-6)
