@@ -202,6 +202,34 @@ def test_topk_search(spark):
     assert got == sorted(want)
 
 
+def brute_top(rows, k=5, every=50):
+    ok = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q, v in ok.items():
+        if q % every == 0:
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok.items() if i != q))[:k]
+            want += [(q, n + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_topk_in_runs_groups_and_huge_scores(spark, monkeypatch):
+    """Many runs of queries, groups and nodes; scores beyond 64 bits; clashing columns; what the second phase adds up."""
+    from tagtally.llm import topk_search as m
+
+    monkeypatch.setattr(m, "QUERY_ROWS", 7)
+    monkeypatch.setattr(m, "TILE_ROWS", 4)
+    monkeypatch.setattr(m, "GROUP_ROWS", 100)
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 12)]) for i in range(1500)] + [(i, [0.9] * 12) for i in range(2000, 2400)]
+    frame = spark.createDataFrame([(i, v, "x", 1, 2, 3, 4) for i, v in rows], "vec_id long, embedding array<double>, v string, id int, cid int, qid int, b int")
+    stats: dict = {}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in m.top_k(frame, blocks=3, stats=stats).collect())
+    assert got == brute_top(rows) and 0 < stats["scored"] < 0.5 * stats["pairs"]
+    huge = [(i, [float(x) for x in rng.normal(0, 1, 6) * 2.0**35]) for i in range(400)] + [(7000, [1.0] * 6)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in m.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect())
+    assert got == brute_top(huge)
+
+
 def test_suffix_order_and_dedup(spark, texts):
     from tagtally.llm import suffix_dedup as d
 
