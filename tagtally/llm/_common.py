@@ -76,10 +76,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Limit the bytes of a batch that goes to a Python worker, where the session has Spark's default of 64 MB.
 
-    It bounds memory of executors and workers and changes no result.
+    It bounds memory of executors and workers and changes no result. The setting is read when a plan runs, so it stays
+    set for the session; a caller's own value is left alone.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") == "67108864b":

@@ -180,6 +180,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[k : k + 64]], t) for i, t in enumerate(kinds)], ["part", "home", "kind", "bid", "a", "b", "c", "d"])
 
     def count(group: pa.Table) -> pa.Table:
+        trim()  # what the group before left
         which = group["kind"].to_numpy()
         passed = group.filter(pa.array(which != _TOKEN)).select(["home", "kind", "bid", "a", "b", "c", "d"])
         own = group.filter(pa.array(which == _TOKEN))
@@ -206,6 +207,7 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         return pa.concat_tables([passed.cast(made.schema), made])
 
     def gather(group: pa.Table) -> pa.Table:
+        trim()  # what the group before left
         which = group["kind"].to_numpy()
         a, b, c, d = (group[x].to_pylist() for x in "abcd")
         part = lambda column, kind, dtype: np.concatenate([unplanes(column[i], dtype) for i in np.flatnonzero(which == kind)] or [np.zeros(0, dtype)])

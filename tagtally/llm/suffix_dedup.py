@@ -242,6 +242,7 @@ def _repeated(docs: DataFrame, homes: int) -> DataFrame:
             trim()
 
     def count(group: pa.Table) -> pa.Table:
+        trim()  # what the group before left
         which = group["kind"].to_numpy()
         passed = group.filter(pa.array(which == _DOCS)).select(_NAMES[1:])
         mine = group.filter(pa.array(which == _PRINT))
@@ -269,6 +270,7 @@ def _repeated(docs: DataFrame, homes: int) -> DataFrame:
         return pa.concat_tables([passed.cast(made.schema), made])
 
     def gather(group: pa.Table) -> pa.Table:
+        trim()  # what the group before left
         which, bids = group["kind"].to_numpy(), group["bid"].to_numpy()
         a, b, c = (group[x].to_pylist() for x in "abc")
         out: list[list] = [[], [], [], []]
@@ -378,6 +380,7 @@ def _removed(docs: DataFrame, homes: int) -> DataFrame:
             trim()
 
     def sort(group: pa.Table) -> pa.Table:
+        trim()  # what the group before left
         known = group["body"].is_null()  # places that repeat for sure
         sure = group.filter(known).select(["doc", "uid", "lo", "hi"])
         group = group.filter(pc.invert(known))
