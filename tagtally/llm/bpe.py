@@ -197,7 +197,7 @@ def _batches(column: pa.Array, most: int = 1 << 20):
 
 
 def _applied(docs: DataFrame, path: str, text_column: str, keep: list[str], schema: str, with_ids: bool) -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 8 << 20)  # smaller ones cost more rounds and give little memory back
     table = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
