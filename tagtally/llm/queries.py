@@ -77,6 +77,12 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagtally.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -100,6 +106,26 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+def _centroids_sql(rounds: int = 5) -> str:
+    """The rounds written out: assignments ``a0``, ``a1``, ... around the centroids ``c0``, ``c1``, ..."""
+    steps = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """i AS (SELECT vec_id, unnest(range(64)) AS i, unnest(e) AS x FROM v)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, e FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, c, list_sum(list_transform(list_zip(v.e, c{r}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM v, c{r})""")
+        steps.append(f"""a{r} AS (SELECT vec_id, first(c ORDER BY d, c) AS c, min(d) AS d FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} JOIN i USING (vec_id) GROUP BY c, i)""")
+            steps.append(f"""m{r} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY c)""")
+            steps.append(f"""c{r + 1} AS (SELECT c, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (c))""")
+    steps = [x if x[:1] == "v" or x[:2] == "i " else x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps]
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it says the whole result; the other operators are tested against brute force."""
-    return {"op1_topk_search": TOPK_SQL, "op4_jaccard_join": JACCARD_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op4_jaccard_join": JACCARD_SQL, "op12_centroids": _centroids_sql()}
