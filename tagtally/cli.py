@@ -1,18 +1,20 @@
 """Command line: abundances, assignment, deduplication and rarefaction of alignment files.
 
 ``python -m tagtally.cli ALIGNMENTS --phase em|dedup|all|rarefy ...``; ALIGNMENTS is SAM text, BAM or Parquet.
+``--out-bam -`` writes to standard output; ``--out-sorted FOLDER`` writes files in the order of places, with indexes.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import functions as F
 
 from tagtally.functions.strings import uniform_udf
 from tagtally.operators import reads as R
-from tagtally.session import session
+from tagtally.session import session, shared_folder
 from tagtally.sources import files
 
 GRID = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -22,7 +24,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("alignments")
     p.add_argument("--phase", choices=["em", "dedup", "all", "rarefy"], default="all")
-    for name in ("out-counts", "out-groups", "out-hard", "out-bam", "out-sam", "keep-unassigned-bam", "out-unassigned", "rarefy-out"):
+    for name in ("out-counts", "out-groups", "out-hard", "out-bam", "out-sam", "out-sorted", "keep-unassigned-bam", "out-unassigned", "rarefy-out"):
         p.add_argument(f"--{name}")
     p.add_argument("--min-mapq", type=int, default=0)
     p.add_argument("--umi-from", choices=["qname", "RX"], default="qname")
@@ -44,7 +46,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--no-tags", action="store_true")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(argv)
-    needs = {"em": [["out_counts"]], "all": [["out_counts"], ["out_bam", "out_sam"]], "dedup": [["out_bam", "out_sam"]], "rarefy": [["rarefy_out"]]}[a.phase]
+    needs = {"em": [["out_counts"]], "all": [["out_counts"], ["out_bam", "out_sam", "out_sorted"]], "dedup": [["out_bam", "out_sam", "out_sorted"]], "rarefy": [["rarefy_out"]]}[a.phase]
     if missing := [n for n in needs if not any(getattr(a, x) for x in n)]:
         p.error(f"--phase {a.phase} needs --" + ", --".join(" or --".join(x.replace("_", "-") for x in n) for n in missing))
     return a
@@ -62,7 +64,9 @@ def with_references(header: list[str], rows) -> list[str]:
 
 
 def write_alignments(rows, header: list[str], a, bam: str | None, sam: str | None) -> None:
-    if bam:
+    if bam == "-":
+        files.stream_bam(files.tagged(rows, not a.no_tags), sys.stdout.buffer, f"{shared_folder(rows.sparkSession)}/out-{uuid.uuid4().hex}", header)
+    elif bam:
         files.write_bam(files.tagged(rows, not a.no_tags), bam, header)
     if sam:
         files.write_sam(rows, sam, header, not a.no_tags)
@@ -101,6 +105,8 @@ def main(argv: list[str] | None = None) -> None:
         header = with_references(files.program_line(header_of(spark, a.alignments), " ".join(["tagtally", *(argv or sys.argv[1:])])), ingested)
         kept = R.deduplicate(R.named(ingested), picks, ["ord"], a.assigned_mapq).persist()
         write_alignments(kept.orderBy("ord"), header, a, a.out_bam, a.out_sam)
+        if a.out_sorted:
+            files.write_bam_sorted(files.tagged(kept, not a.no_tags), a.out_sorted, header)
         if not a.quiet:
             print(f"kept {kept.count()} records", file=sys.stderr)
         kept.unpersist()

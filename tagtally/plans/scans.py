@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagtally.operators import reads as R
@@ -57,21 +58,39 @@ def sam_round_trip(t):
 @query("bam_round_trip", f"WITH {RECORDS} SELECT {FIELDS}, {TAGS} AS tags FROM rec")
 def bam_round_trip(t):
     path = _place(t, "a.bam")
-    files.write_bam(_records(t), path, files.program_line(_header(t), "bam_round_trip"))
+    files.write_bam_parts(_records(t), path, files.program_line(_header(t), "bam_round_trip"))
     return _listed(files.read_bam(t.spark, path))
 
 
+@query("region_scan", f"""WITH {RECORDS} SELECT {FIELDS}, {TAGS} AS tags FROM rec WHERE rname = (SELECT min(rname) FROM rec) AND pos <= 400 AND pos + CASE WHEN cigar = '12M' THEN 12 ELSE 10 END > 100""")
+def region_scan(t):
+    path = _place(t, "sorted")
+    header = _header(t)
+    files.write_bam_sorted(_records(t), path, header)
+    first = min(x.split("SN:")[1].split("\t")[0] for x in header if "SN:" in x)
+    return _listed(files.read_region(t.spark, path, first, 100, 400))
+
+
+@query("indexed_order", f"""WITH {RECORDS} SELECT rname, count(*) AS n, min(pos) AS least, max(pos) AS most, CAST(0 AS BIGINT) AS falls FROM rec GROUP BY rname""")
+def indexed_order(t):
+    path = _place(t, "sorted")
+    files.write_bam_sorted(_records(t), path, _header(t))
+    rows = files.read_bam(t.spark, path)
+    rows = rows.withColumn("falls", (F.lag("pos").over(Window.partitionBy("rname").orderBy("ord")) > F.col("pos")).cast("long"))
+    return rows.groupBy("rname").agg(F.count("*").alias("n"), F.min("pos").alias("least"), F.max("pos").alias("most"), F.coalesce(F.sum("falls"), F.lit(0)).alias("falls"))
+
+
 @query("bam_header", "SELECT concat('@SQ', chr(9), 'SN:t', l_suppkey, chr(9), 'LN:10000') AS line FROM (SELECT DISTINCT l_suppkey FROM lineitem) UNION ALL SELECT concat('@HD', chr(9), 'VN:1.6', chr(9), 'SO:unsorted') UNION ALL SELECT concat('@PG', chr(9), 'ID:tagtally', chr(9), 'PN:tagtally', chr(9), 'VN:0.2', chr(9), 'CL:x')")
 def bam_header(t):
     path = _place(t, "a.bam")
-    files.write_bam(_records(t).limit(0), path, files.program_line(_header(t), "x"))
+    files.write_bam_parts(_records(t).limit(0), path, files.program_line(_header(t), "x"))
     return t.spark.createDataFrame([(x,) for x in files.read_header(t.spark, path)], "line string")
 
 
 @query("skip_reasons_of_files", f"""WITH {RECORDS} SELECT CASE WHEN flag = 4 THEN 'unmapped' WHEN mapq < 10 THEN 'low_mapq' ELSE 'kept' END AS reason, count(*) AS n FROM rec GROUP BY 1""")
 def skip_reasons_of_files(t):
     path = _place(t, "a.bam")
-    files.write_bam(_records(t), path, _header(t))
+    files.write_bam_parts(_records(t), path, _header(t))
     return R.skip_counts(R.ingest(files.read_bam(t.spark, path), 10))
 
 
@@ -82,7 +101,7 @@ def assigned_records_out(t):
     rows = _records(t).withColumn("umi", F.lit("u"))
     picks = rows.groupBy("umi", F.col("qname").alias("seq")).agg(F.lit("all").alias("transcript"), F.lit(0.5).alias("posterior"), F.lit(2).alias("tie_count"), F.lit("posterior->AS").alias("tie_break"))
     one = R.deduplicate(rows.withColumn("s", F.col("seq")).withColumn("r", F.col("rname")).withColumn("seq", F.col("qname")).withColumn("rname", F.lit("all")), picks, ["nm", "as", "pos", "r"])
-    files.write_bam(files.tagged(one.withColumn("seq", F.col("s")).withColumn("rname", F.col("r"))), path, _header(t))
+    files.write_bam_parts(files.tagged(one.withColumn("seq", F.col("s")).withColumn("rname", F.col("r"))), path, _header(t))
     return files.read_bam(t.spark, path).select("qname", "flag", "mapq", "tags")
 
 
@@ -163,6 +182,6 @@ def sorted_sink(t):
     SELECT chr, pos, count(*) AS depth, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM x GROUP BY 1, 2""")
 def pileup_of_files(t):
     path = _place(t, "a.bam")
-    files.write_bam(_records(t).where("flag <> 4"), path, _header(t))
+    files.write_bam_parts(_records(t).where("flag <> 4"), path, _header(t))
     rows = V.pileup(files.read_bam(t.spark, path))
     return rows.select("chr", "pos", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c.lower()) for c in ("depth", "A", "C", "G", "T")])

@@ -1,42 +1,42 @@
-"""Binary alignment files: blocks, records and optional fields, and scans and sinks over them.
+"""Binary alignment files: records and optional fields, and a data source over ranges of bytes.
 
-A file is a series of gzip blocks of at most 64 KB. Their headers are alike in files of the usual writers, so the
-header is a line separator for Spark's text scan: a row is a block, and a large file is split like any text. Writers
-end blocks between records, so a split begins with a record.
+A file is a series of gzip blocks. A range of a file begins at the first block whose header and checksum hold, and in it
+at the first place from which a chain of records is sound; it reads on past its end until its last record is whole. So
+blocks may have any header, records any length, and every record is read by the range in which its first block begins.
+What does not agree with its checksum, or ends early, is an error.
+
+Files are written by tasks: each makes one whole file of a folder, or a part of one file without header and end. With
+an index, a part holds the records of its stretch of the order, and a region is read from the blocks its index names.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tagtally import schemas
+from tagtally.sources import stores
+from tagtally.sources.blocks import BLOCK, END, Blocks, Damaged, Index, Writer, bin_of, block, header_size
 
-# Fixed values of the format: a block's header up to its size, the empty block at the end of a file, and the letters.
-HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00"
-END = HEAD + b"\x1b\x00\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
+# Fixed values of the format: the letters of records and what numbers optional fields hold.
 MAGIC = b"BAM\x01"
 BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 SCALARS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-#: Uncompressed bytes of a block that is written.
-BLOCK = 60_000
+#: Sound records in a row that show where records begin, and uncompressed bytes that are decoded at once.
+CHAIN, CHUNK = 8, 2 << 20
 
 _FIELDS = [x.strip().split(" ")[0] for x in schemas.ALIGNMENTS.split(", ")]
-_INTS = {x.strip().split(" ")[0] for x in schemas.ALIGNMENTS.split(", ") if x.strip().endswith(" int")}
-
-
-def inflate(body: bytes) -> bytes:
-    """The bytes of a block without its header: size, compressed data, checksum, length."""
-    return zlib.decompress(body[2:-8], -15)
-
-
-def block(data: bytes) -> bytes:
-    made = zlib.compressobj(6, zlib.DEFLATED, -15)
-    packed = made.compress(data) + made.flush()
-    return HEAD + struct.pack("<H", len(HEAD) + 2 + len(packed) + 8 - 1) + packed + struct.pack("<II", zlib.crc32(data), len(data))
+_READ = [c for c in _FIELDS if c != "ord"]
+_SCHEMA = ", ".join(x for x in schemas.ALIGNMENTS.split(", ") if not x.strip().startswith("ord "))
 
 
 def header_end(data: bytes) -> int | None:
@@ -114,62 +114,419 @@ def fields_bytes(text: str) -> bytes:
     return b"".join(out)
 
 
-def record(data: bytes, at: int, names: list[str]) -> dict:
-    """The record at an offset behind its size, as columns of ``ALIGNMENTS``."""
-    size = struct.unpack_from("<i", data, at - 4)[0]
-    ref, pos, lname, mapq, _, ncig, flag, lseq, mate, mate_pos, span = struct.unpack_from("<iiBBHHHiiii", data, at)
-    end, p = at + size, at + 32
-    qname = data[p : p + lname - 1].decode()
-    p += lname
-    cigar = "".join(f"{v >> 4}{OPERATIONS[v & 15]}" for v in struct.unpack_from(f"<{ncig}I", data, p)) or "*"
-    p += 4 * ncig
-    packed = data[p : p + (lseq + 1) // 2].hex()
-    seq = packed[:lseq].translate(_LETTERS) or "*"
-    p += (lseq + 1) // 2
-    qual = "*" if not lseq or data[p] == 255 else data[p : p + lseq].translate(_SHIFTED).decode()
-    fields = fields_text(data, p + lseq, end)
-    found = {f[:2]: f[5:] for f in fields if f[3] in "iZ"}
-    whole = lambda t: int(found[t]) if t in found and found[t].lstrip("-").isdigit() else None
-    name = lambda i: names[i] if i >= 0 else "*"
-    return {
-        "qname": qname, "flag": flag, "rname": name(ref), "pos": pos + 1, "mapq": mapq, "cigar": cigar, "rnext": "=" if mate >= 0 and mate == ref else name(mate), "pnext": mate_pos + 1, "tlen": span,
-        "seq": seq, "qual": qual, "as": whole("AS"), "nm": whole("NM"), "rx": found.get("RX"), "tags": "\t".join(fields), "ord": 0,
-    }
-
-
-_LETTERS = str.maketrans("0123456789abcdef", BASES)
+# ---------------------------------------------------------------- records to columns
+
+_FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("lname", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ncig", "<u2"), ("flag", "<u2"), ("lseq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("span", "<i4")])
+_PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+_CODES = {c: i for i, c in enumerate(BASES)}
+_HEX = {c: f"{_CODES.get(chr(c).upper(), 15):x}" for c in range(128)}
 _SHIFTED = bytes(min(255, q + 33) for q in range(256))
 _UNSHIFTED = bytes(max(0, q - 33) for q in range(256))
-_CODES = {c: i for i, c in enumerate(BASES)}
 
 
-def _bin(begin: int, end: int) -> int:
-    """The smallest bin of the format's index that holds a range."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == (end - 1) >> shift:
-            return first + (begin >> shift)
-    return 0
+def sound(data: bytes, at: int, references: int) -> int | None:
+    """Bytes of the record at a place, with its size field, if its fixed fields make sense; None if they do not."""
+    size, ref, pos, lname, _, _, ncig, _, lseq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    if not (size >= 33 and -1 <= ref < references and pos >= -1 and lname >= 1 and lseq >= 0 and -1 <= mate < references and mate_pos >= -1):
+        return None
+    return 4 + size if 32 + lname + 4 * ncig + (lseq + 1) // 2 + lseq <= size else None
+
+
+def _ragged(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of an array one after the other, and where each begins (one entry more)."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    return flat[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])], ends
+
+
+def _texts(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _starred(texts: pa.Array, missing: np.ndarray) -> pa.Array:
+    import pyarrow.compute as pc
+
+    return pc.if_else(pa.array(missing), "*", texts) if missing.any() else texts
+
+
+def _cigar(data: bytes) -> str:
+    return "".join(f"{v >> 4}{OPERATIONS[v & 15]}" for v in struct.unpack(f"<{len(data) // 4}I", data)) or "*"
+
+
+def decoded(data: bytes, starts: list[int], names: list[str]) -> pa.RecordBatch:
+    """The records at places in the data as columns of ``ALIGNMENTS`` without ``ord``."""
+    flat, at = np.frombuffer(data, np.uint8), np.array(starts, np.int64)
+    fixed = flat[at[:, None] + np.arange(36)].reshape(-1).view(_FIXED)
+    lname, ncig, lseq, ref, mate = (fixed[c].astype(np.int64) for c in ("lname", "ncig", "lseq", "ref", "mate"))
+    if len(at) and max(ref.max(), mate.max()) >= len(names):
+        raise Damaged("a record names a reference that the header does not have")
+    p = at + 36
+    qname = _texts(*_ragged(flat, p, lname - 1))
+    p = p + lname
+    known: dict[bytes, str] = {}
+    cigars = []
+    for a, n in zip(p.tolist(), (4 * ncig).tolist()):
+        raw = data[a : a + n]
+        if raw not in known:
+            known[raw] = _cigar(raw)
+        cigars.append(known[raw])
+    p = p + 4 * ncig
+    packed, ends = _ragged(flat, p, (lseq + 1) // 2)
+    seq = _texts(*_ragged(_PAIRS[packed].reshape(-1), 2 * ends[:-1], lseq))
+    p = p + (lseq + 1) // 2
+    quality, ends = _ragged(flat, p, lseq)
+    bare = lseq == 0
+    none = bare.copy()
+    none[~bare] = quality[ends[:-1][~bare]] == 255
+    if none.any():
+        quality = np.where(np.repeat(none, lseq), 0, quality)
+    if len(quality) and quality.max() > 93:
+        raise Damaged("a quality is beyond 93")
+    qual = _texts(quality + 33, ends)
+    stop = at + 4 + fixed["size"]
+    tags, scores, edits, marks = [], [], [], []
+    for k, (a, b) in enumerate(zip((p + lseq).tolist(), stop.tolist())):
+        fields = fields_text(data, a, b)
+        found = {f[:2]: f[5:] for f in fields if f[3] in "iZ"}
+        if ncig[k] == 2 and (longer := next((f for f in fields if f.startswith("CG:B:I,")), None)):
+            # More operations than the fixed field can count: they stand in an optional field.
+            cigars[k] = "".join(f"{int(v) >> 4}{OPERATIONS[int(v) & 15]}" for v in longer[7:].split(","))
+            fields.remove(longer)
+        tags.append("\t".join(fields))
+        scores.append(_whole(found.get("AS")))
+        edits.append(_whole(found.get("NM")))
+        marks.append(found.get("RX"))
+    named = pa.array([*names, "*"], pa.string())
+    place = lambda i: named.take(pa.array(np.where(i < 0, len(names), i)))
+    rnext = place(mate)
+    same = (mate >= 0) & (mate == ref)
+    if same.any():
+        import pyarrow.compute as pc
+
+        rnext = pc.if_else(pa.array(same), "=", rnext)
+    ints = lambda c, more=0: pa.array(fixed[c].astype(np.int32) + more, pa.int32())
+    return pa.RecordBatch.from_arrays([
+        qname, ints("flag"), place(ref), ints("pos", 1), ints("mapq"), pa.array(cigars, pa.string()), rnext, ints("mate_pos", 1), ints("span"), _starred(seq, bare), _starred(qual, none),
+        pa.array(scores, pa.int32()), pa.array(edits, pa.int32()), pa.array(marks, pa.string()), pa.array(tags, pa.string())], _READ)
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
+
+
+_OPS: dict[str, tuple[bytes, int]] = {}
+
+
+def _packed_cigar(text: str) -> tuple[bytes, int]:
+    """Operations in binary form, and the letters of the reference they cover."""
+    import re
 
+    if text not in _OPS:
+        if len(_OPS) > 10_000:
+            _OPS.clear()
+        ops = [] if text == "*" else [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text)]
+        _OPS[text] = b"".join(struct.pack("<I", n << 4 | o) for n, o in ops), sum(n for n, o in ops if OPERATIONS[o] in "MDN=X")
+    return _OPS[text]
 
-def encoded(row: dict, at: dict[str, int]) -> bytes:
-    """A record with its size; ``row`` has the columns of ``ALIGNMENTS`` as texts and numbers."""
-    import re
 
+def encoded(row: dict, at: dict[str, int]) -> tuple[bytes, int, int, int]:
+    """A record with its size, its reference's number and the range it covers; ``row`` has the columns of ``ALIGNMENTS``."""
     text = lambda c: row.get(c) if row.get(c) not in (None, "") else "*"
-    cigar = [] if text("cigar") == "*" else [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"])]
+    cigar, length = _packed_cigar(text("cigar"))
+    fields = fields_bytes(row.get("tags") or "")
     seq = "" if text("seq") == "*" else row["seq"]
-    codes = [_CODES.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[0::2], codes[1::2]))
+    if len(cigar) // 4 > 65535:
+        fields += b"CGBI" + struct.pack("<i", len(cigar) // 4) + cigar
+        cigar = struct.pack("<II", len(seq) << 4 | 4, length << 4 | 3)
+    codes = seq.translate(_HEX)
+    packed = bytes.fromhex(codes + "0" * (len(codes) % 2))
     qual = b"\xff" * len(seq) if text("qual") == "*" else row["qual"].encode().translate(_UNSHIFTED)
     ref = at.get(text("rname"), -1)
     mate = ref if text("rnext") == "=" else at.get(text("rnext"), -1)
     pos = (row.get("pos") or 0) - 1
-    length = sum(n for n, o in cigar if OPERATIONS[o] in "MDN=X") or 1
+    begin, end = max(pos, 0), max(pos, 0) + (length or 1)
     name = text("qname").encode() + b"\0"
     mapq = 255 if row.get("mapq") is None else row["mapq"]
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), mapq, _bin(max(pos, 0), max(pos, 0) + length), len(cigar), row.get("flag") or 0, len(seq), mate, (row.get("pnext") or 0) - 1, row.get("tlen") or 0)
-    body += name + b"".join(struct.pack("<I", n << 4 | o) for n, o in cigar) + packed + qual + fields_bytes(row.get("tags") or "")
-    return struct.pack("<i", len(body)) + body
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), mapq, bin_of(begin, end), len(cigar) // 4, row.get("flag") or 0, len(seq), mate, (row.get("pnext") or 0) - 1, row.get("tlen") or 0)
+    body += name + cigar + packed + qual + fields
+    return struct.pack("<i", len(body)) + body, ref, begin, end
+
+
+# ---------------------------------------------------------------- the data source
+
+
+class _Range(InputPartition):
+    def __init__(self, file: str, size: int, start: int, end: int, places: list | None = None):
+        self.file, self.size, self.start, self.end, self.places = file, size, start, end, places
+
+
+def _header_of(blocks: Blocks) -> tuple[bytes, int]:
+    """Data from the begin of a file to the end of its header or beyond, and where the next block begins."""
+    held, offset = b"", 0
+    while len(held) < 12 or header_end(held) is None:
+        if offset >= blocks.size:
+            raise Damaged(f"{blocks.name}: the file ends within its header")
+        data, offset = blocks.block(offset)
+        held += data
+    return held, offset
+
+
+def range_records(blocks: Blocks, start: int, end: int, lenient: bool = False):
+    """Batches of the records whose first block begins in [start, end)."""
+    header, _ = _header_of(blocks)
+    names, size = references(header)[1], blocks.size
+    offset = 0 if start == 0 else blocks.next_block(start, min(end, size))
+    if offset is None:
+        return
+    held, owned, empty = bytearray(), 0, False
+
+    def pull() -> bool:
+        nonlocal offset, owned, empty
+        if offset >= size:
+            return False
+        data, after = blocks.block(offset)
+        held.extend(data)
+        if offset < end:
+            owned = len(held)
+        offset, empty = after, not data
+        return True
+
+    def reach(n: int) -> bool:
+        while len(held) < n:
+            if not pull():
+                return False
+        return True
+
+    def chain(p: int) -> bool:
+        for _ in range(CHAIN):
+            if not reach(p + 36):
+                return p == len(held)
+            step = sound(held, p, len(names))
+            last_of_name = p + 35 + held[p + 12]
+            if step is None or not reach(last_of_name + 1) or held[last_of_name] != 0:
+                return False
+            p += step
+        return True
+
+    def owned_place(p: int) -> bool:
+        while p >= owned and offset < min(end, size):
+            pull()
+        return p < owned
+
+    p = header_end(header) if start == 0 else 0
+    if start == 0:
+        reach(p)
+    else:
+        while owned_place(p) and not chain(p):
+            p += 1
+    starts: list[int] = []
+    while True:
+        while owned_place(p):
+            if not reach(p + 4):
+                raise Damaged(f"{blocks.name}: the file ends within a record")
+            step = 4 + struct.unpack_from("<i", held, p)[0]
+            if step < 36 or not reach(p + step):
+                raise Damaged(f"{blocks.name}: the file ends within a record")
+            starts.append(p)
+            p += step
+            if p > CHUNK:
+                break
+        if starts:
+            yield decoded(bytes(held[:p]), starts, names)
+        if not owned_place(p):
+            break
+        del held[:p]
+        owned, p, starts = owned - p, 0, []
+    if end >= size and not lenient:
+        while pull():
+            pass
+        if not empty:
+            raise Damaged(f"{blocks.name}: the file has no end block, so it may be cut off")
+
+
+def region_records(blocks: Blocks, index: Index, name: str, begin: int, end: int):
+    """Batches of the records that overlap [begin, end) of a reference, from the blocks that the index names."""
+    names = references(_header_of(blocks)[0])[1]
+    if name not in names:
+        return
+    ref = names.index(name)
+    for start, stop in index.chunks(ref, begin, end):
+        offset, p = start >> 16, start & 0xFFFF
+        held, marks = bytearray(), []
+        at = [(offset, 0)]  # offset of each block and where its data begins in what is held
+        while offset < stop >> 16 or (offset == stop >> 16 and stop & 0xFFFF):
+            data, offset = blocks.block(offset)
+            held.extend(data)
+            at.append((offset, len(held)))
+            if offset > stop >> 16:
+                break
+        limit = next((b + (stop & 0xFFFF) for o, b in at if o == stop >> 16), len(held))
+        while p < limit:
+            while len(held) < p + 36 or len(held) < p + 4 + struct.unpack_from("<i", held, p)[0]:
+                data, offset = blocks.block(offset)
+                held.extend(data)
+            size, own, pos, lname, _, _, ncig = struct.unpack_from("<iiiBBHH", held, p)
+            ops = struct.unpack_from(f"<{ncig}I", held, p + 36 + lname)
+            covered = sum(v >> 4 for v in ops if OPERATIONS[v & 15] in "MDN=X") or 1
+            if own == ref and pos < end and pos + covered > begin:
+                marks.append(p)
+            p += 4 + size
+        if marks:
+            yield decoded(bytes(held), marks, names)
+
+
+def _gzip_records(stream, name: str):
+    """Batches of the records of a file that is gzip without block sizes: one task reads it, member by member."""
+    made, held, raw = zlib.decompressobj(31), bytearray(), b""
+    names, p = None, 0
+    while True:
+        raw = raw or bytes(stream.read(1 << 20))
+        if raw:
+            if made.eof:
+                made = zlib.decompressobj(31)
+            held.extend(made.decompress(raw))
+            raw = made.unused_data
+        elif not made.eof:
+            raise Damaged(f"{name}: the file ends within compressed data")
+        done = not raw and made.eof and not (raw := bytes(stream.read(1 << 20)))
+        if names is None:
+            if len(held) < 12 or header_end(held) is None:
+                if done:
+                    raise Damaged(f"{name}: the file ends within its header")
+                continue
+            names, p = references(bytes(held[: header_end(held)]))[1], header_end(held)
+        starts = []
+        while p + 4 <= len(held) and p + 4 + (size := struct.unpack_from("<i", held, p)[0]) <= len(held):
+            starts.append(p)
+            p += 4 + size
+        if starts:
+            yield decoded(bytes(held[:p]), starts, names)
+        del held[:p]
+        p = 0
+        if done:
+            if held:
+                raise Damaged(f"{name}: the file ends within a record")
+            return
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.files = json.loads(options["files"])
+        self.span = int(options.get("span", 64 << 20))
+        self.lenient = options.get("lenient", "false") == "true"
+        self.region = json.loads(options["region"]) if "region" in options else None
+
+    def partitions(self):
+        if self.region:
+            return [_Range(f, size, 0, size) for f, size in self.files] or [_Range("", 0, 0, 0)]
+        out = []
+        for f, size in self.files:
+            with stores.opened(f) as stream:
+                split = header_size(bytes(stream.read(1 << 16))) is not None
+            step = self.span if split else max(size, 1)
+            out += [_Range(f, size, a, min(a + step, size)) for a in range(0, max(size, 1), step)]
+        return out or [_Range("", 0, 0, 0)]
+
+    def read(self, partition: _Range):
+        if not partition.file:
+            return
+        with stores.opened(partition.file) as stream:
+            head = header_size(bytes(stream.read(1 << 16)))
+            stream.seek(0)
+            if head is None:
+                yield from _gzip_records(stream, partition.file)
+                return
+            blocks = Blocks(stream, partition.size, partition.file)
+            if self.region:
+                with stores.opened(f"{partition.file}.bai") as found:
+                    index = Index.loads(bytes(found.read()))
+                yield from region_records(blocks, index, *self.region)
+            else:
+                yield from range_records(blocks, partition.start, partition.end, self.lenient)
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, part: int, draft: str, name: str):
+        self.part, self.draft, self.name = part, draft, name
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.folder, self.header = options["path"].rstrip("/"), json.loads(options["header"])
+        self.bare, self.index = options.get("bare", "false") == "true", options.get("index", "false") == "true"
+
+    def write(self, batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        name, draft = f"part-{part:05d}.bam", f"{self.folder}/.{uuid.uuid4().hex}.bam"
+        head, at = header_bytes(self.header)
+        writer = Writer(stores.create(draft))
+        if not self.bare:
+            writer.write(head)
+            writer.room(BLOCK)
+        index, last = Index(len(at)), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, ref, begin, end = encoded(row, at)
+                if self.index:
+                    writer.room(len(data))
+                    start = writer.place()
+                    if last is not None:
+                        index.add(*last, start)
+                    last = (ref, begin, end, start)
+                writer.write(data)
+        if last is not None:
+            index.add(*last, writer.place())
+        writer.finish(not self.bare)
+        if self.index:
+            with stores.create(f"{draft}.bai") as out:
+                out.write(index.dumps())
+        return _Part(part, draft, name)
+
+    def commit(self, messages) -> None:
+        """The parts that were committed get their names. Drafts of lost attempts keep hidden names, which no scan lists."""
+        made = [m for m in messages if m is not None]
+        if not made and not self.bare:
+            writer = Writer(stores.create(f"{self.folder}/part-00000.bam"))
+            writer.write(header_bytes(self.header)[0])
+            writer.finish()
+        for m in made:
+            stores.rename(m.draft, f"{self.folder}/{m.name}")
+            if self.index:
+                stores.rename(f"{m.draft}.bai", f"{self.folder}/{m.name}.bai")
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None:
+                stores.remove(m.draft)
+
+
+class AlignmentSource(DataSource):
+    """``tagtally_bam``: options ``files`` (names and sizes), ``span``, ``lenient``, ``region``; ``path``, ``header``, ``bare``, ``index`` to write."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tagtally_bam"
+
+    def schema(self) -> str:
+        return _SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool):
+        return _Writer(self.options)
+
+
+def header_bytes(header: list[str]) -> tuple[bytes, dict[str, int]]:
+    """A file's first data, and the number of each reference that the sequence lines name."""
+    lines = [dict(x.split(":", 1) for x in line.split("\t")[1:]) for line in header if line.startswith("@SQ")]
+    text = ("\n".join(header) + "\n").encode() if header else b""
+    head = MAGIC + struct.pack("<i", len(text)) + text + struct.pack("<i", len(lines))
+    for line in lines:
+        name = line["SN"].encode() + b"\0"
+        head += struct.pack("<i", len(name)) + name + struct.pack("<i", int(line["LN"]))
+    return head, {line["SN"]: i for i, line in enumerate(lines)}
 
 
 # ---------------------------------------------------------------- scans and sinks
@@ -180,14 +537,18 @@ def _store(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def files_of(spark: SparkSession, path: str) -> list[str]:
-    """The data files of a path, a pattern or a folder."""
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     p, store = _store(spark, path)
     found = store.globStatus(p)
     if not found:
         raise FileNotFoundError(path)
-    listed = [x for f in found for x in (store.listStatus(f.getPath()) if f.isDirectory() else [f])]
-    return [x.getPath().toString() for x in listed if not x.getPath().getName().startswith(("_", "."))]
+    files = [x for f in found for x in (store.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return sorted((x.getPath().toString(), x.getLen()) for x in files if not x.isDirectory() and not x.getPath().getName().startswith(("_", ".")) and not x.getPath().getName().endswith(".bai"))
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a path, a pattern or a folder."""
+    return [f for f, _ in listed(spark, path)]
 
 
 def move(spark: SparkSession, old: str, new: str) -> None:
@@ -195,148 +556,146 @@ def move(spark: SparkSession, old: str, new: str) -> None:
     store.rename(p, _store(spark, new)[0])
 
 
-def file_header(spark: SparkSession, file: str) -> tuple[bool, bytes]:
-    """Whether a file can be split at its blocks, and its header's bytes; only the beginning of the file is read."""
-    p, store = _store(spark, file)
-    stream = store.open(p)
-    try:
-        raw = bytes(stream.readNBytes(1 << 16))
-        splits = raw[: len(HEAD)] == HEAD
-        while (data := _inflated(raw)) is None or header_end(data) is None:
-            more = bytes(stream.readNBytes(max(1 << 16, len(raw))))
-            if not more:
-                raise ValueError("the file ends within its header")
-            raw += more
-        return splits, data[: header_end(data)]
-    finally:
-        stream.close()
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Header lines of the first file; only the beginning of the file is read."""
+    file, size = listed(spark, path)[0]
+    with stores.opened(file) as stream:
+        if header_size(bytes(stream.read(1 << 16))) is None:
+            stream.seek(0)
+            made, data = zlib.decompressobj(31), b""
+            while len(data) < 12 or header_end(data) is None:
+                if not (raw := bytes(stream.read(1 << 16))) and made.eof:
+                    raise Damaged(f"{file}: the file ends within its header")
+                while raw:
+                    made = zlib.decompressobj(31) if made.eof else made
+                    data += made.decompress(raw)
+                    raw = made.unused_data
+        else:
+            data = _header_of(Blocks(stream, size, file))[0]
+    return [x for x in references(data)[0].split("\n") if x]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The bytes of the gzip members that are whole; None if the first is not."""
-    out = []
-    while raw:
-        made = zlib.decompressobj(31)
-        data = made.decompress(raw)
-        if not made.eof:
-            break
-        out.append(data)
-        raw = made.unused_data
-    return b"".join(out) if out and len(b"".join(out)) >= 8 else None
+def _scan(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    spark.dataSource.register(AlignmentSource)
+    rows = spark.read.format("tagtally_bam").options(files=json.dumps(listed(spark, path)), **options).load()
+    return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Header lines of the first file."""
-    return [x for x in references(file_header(spark, files_of(spark, path)[0])[1])[0].split("\n") if x]
+def size_of(text: str) -> int:
+    """A size as Spark's settings write it."""
+    text = text.strip().lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1:] in units else int(text)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows of ``ALIGNMENTS``, all fields kept; a large file is read by many tasks.
+def read_bam(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """Files as rows of ``ALIGNMENTS``, all fields kept; ranges of ``spark.sql.files.maxPartitionBytes`` are read by tasks of their own.
 
-    A file whose blocks have other headers than the usual, and so cannot be split, is read by one task.
+    A file without an end block is an error, unless ``lenient``. A file that is gzip without block sizes is read by one task.
     """
-    heads = {f: file_header(spark, f) for f in files_of(spark, path)}
-    names = spark.sparkContext.broadcast({_tail(f): references(h)[1] for f, (_, h) in heads.items()})
-    kind = "path string, start long, body binary"
-    parts = []
-    if split := [f for f, (ok, _) in heads.items() if ok]:
-        rows = spark.read.option("lineSep", HEAD.decode("latin-1")).option("encoding", "ISO-8859-1").text(split)
-        parts.append(rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("body")).where(F.length("body") > 0))
-    if whole := [f for f, (ok, _) in heads.items() if not ok]:
-        rows = spark.read.format("binaryFile").load(whole).select("path", F.lit(-1).cast("long").alias("start"), F.col("content").alias("body"))
-        parts.append(rows)
-
-    def decode(batches):
-        import gzip
+    span = size_of(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return _scan(spark, path, span=str(span), lenient=str(lenient).lower())
 
-        import pyarrow as pa
 
-        held, key, known = b"", None, []
-        rows: list[dict] = []
+def read_region(spark: SparkSession, path: str, name: str, begin: int, end: int) -> DataFrame:
+    """Rows that overlap [begin, end] of a reference (from 1), by the indexes beside the files; only blocks that they name are read."""
+    return _scan(spark, path, region=json.dumps([name, begin - 1, end]))
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c in _INTS else pa.int64() if c == "ord" else pa.string()) for c in _FIELDS], _FIELDS)
 
-        for batch in batches:
-            for file, start, body in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), batch["body"].to_pylist()):
-                if (file, start) != key:
-                    if held:
-                        raise ValueError(f"a record of {key[0]} crosses the end of a split")
-                    key, known, inside = (file, start), names.value[_tail(file)], start <= 0
-                held += gzip.decompress(body) if start < 0 else inflate(body)
-                at = 0
-                if inside:  # a file begins with its header
-                    at = header_end(held)
-                    if at is None:
-                        continue
-                    inside = False
-                while len(held) - at >= 4 and len(held) - at - 4 >= (size := struct.unpack_from("<i", held, at)[0]):
-                    rows.append(record(held, at + 4, known))
-                    at += 4 + size
-                    if len(rows) >= 20_000:
-                        yield flush()
-                        rows = []
-                held = held[at:]
-        if held:
-            raise ValueError(f"a record of {key[0]} crosses the end of a split")
-        yield flush()
-
-    made = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return made.mapInArrow(decode, schemas.ALIGNMENTS).withColumn("ord", F.monotonically_increasing_id())
-
-
-def _tail(path: str) -> str:
-    """A path without its scheme and authority, which the two scans spell differently."""
-    import re
-    from urllib.parse import unquote
-
-    return unquote(re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?/*", "/", path))
+def _write(rows: DataFrame, folder: str, header: list[str], **options: str) -> None:
+    spark = rows.sparkSession
+    spark.dataSource.register(AlignmentSource)
+    p, store = _store(spark, folder)
+    store.delete(p, True)
+    columns = dict(x.strip().split(" ") for x in _SCHEMA.split(","))
+    known = [F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()]
+    rows.select(*known).write.format("tagtally_bam").mode("append").options(path=p.makeQualified(store.getUri(), store.getWorkingDirectory()).toString(), header=json.dumps(header), **options).save()
 
 
 def write_bam(rows: DataFrame, path: str, header: list[str]) -> None:
-    """Rows as one file with a header; tasks encode and compress, the driver only appends their blocks in order.
+    """Rows as one file with a header, whose sequence lines number the references.
 
-    The header's sequence lines number the references. A file of the same name is replaced when the new one is whole.
+    Tasks write parts of the file's blocks. A store that can concatenate files joins them itself; otherwise their compressed
+    bytes are copied behind each other. A file of the same name is replaced when the new one is whole.
     """
-    spark = rows.sparkSession
-    lines = [dict(x.split(":", 1) for x in line.split("\t")[1:]) for line in header if line.startswith("@SQ")]
-    at = {line["SN"]: i for i, line in enumerate(lines)}
-    held = spark.sparkContext.broadcast(at)
+    folder = f"{path}.{uuid.uuid4().hex}.parts"
+    _write(rows, folder, header, bare="true")
+    join_parts(rows.sparkSession, folder, path, header)
 
-    def encode(batches):
-        import pyarrow as pa
 
-        at, data = held.value, b""
-        made: list[bytes] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                one = encoded(row, at)
-                if data and len(data) + len(one) > BLOCK:
-                    made.append(block(data))
-                    data = b""
-                data += one
-                while len(data) > BLOCK + 5000:  # a record longer than a block
-                    made.append(block(data[:BLOCK]))
-                    data = data[BLOCK:]
-                if len(made) >= 64:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], ["blocks"])
-                    made = []
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(made) + (block(data) if data else b"")], pa.binary())], ["blocks"])
-
-    text = ("\n".join(header) + "\n").encode() if header else b""
-    head = MAGIC + struct.pack("<i", len(text)) + text + struct.pack("<i", len(lines))
-    for line in lines:
-        name = line["SN"].encode() + b"\0"
-        head += struct.pack("<i", len(name)) + name + struct.pack("<i", int(line["LN"]))
-    columns = [c for c in _FIELDS if c in rows.columns and c != "ord"]
+def stream_bam(rows: DataFrame, out, folder: str, header: list[str]) -> None:
+    """Rows as one file into an open binary stream; tasks write its blocks as parts of a folder that goes afterwards."""
+    spark = rows.sparkSession
+    _write(rows, folder, header, bare="true")
+    out.write(block_run(header_bytes(header)[0]))
+    p, store = _store(spark, folder)
+    for part in files_of(spark, folder) if store.exists(p) else []:
+        with stores.opened(part) as held:
+            while data := held.read(4 << 20):
+                out.write(data)
+    out.write(END)
+    out.flush()
+    store.delete(p, True)
+
+
+def join_parts(spark: SparkSession, folder: str, path: str, header: list[str]) -> None:
+    """Bare parts of a folder as one file; the folder goes."""
     target, store = _store(spark, path)
-    draft, _ = _store(spark, f"{path}.part")
-    stream = store.create(draft, True)
-    for k in range(0, len(head), BLOCK):
-        stream.write(bytearray(block(head[k : k + BLOCK])))
-    for r in rows.select(*columns).mapInArrow(encode, "blocks binary").toLocalIterator():
-        stream.write(bytearray(r["blocks"]))
-    stream.write(bytearray(END))
-    stream.close()
+    place = _store(spark, folder)[0]
+    parts = [f for f in (files_of(spark, folder) if store.exists(place) else [])]
+    head = block_run(header_bytes(header)[0])
+    edges = []
+    for name, data in (("head", head), ("tail", END)):
+        p, _ = _store(spark, f"{folder}/.{name}")
+        stream = store.create(p, True)
+        stream.write(bytearray(data))
+        stream.close()
+        edges.append(p)
+    whole = [edges[0], *[_store(spark, f)[0] for f in parts], edges[1]]
+    try:
+        jvm = spark.sparkContext._jvm
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(whole) - 1)
+        for i, p in enumerate(whole[1:]):
+            rest[i] = p
+        store.concat(whole[0], rest)
+        draft = whole[0]
+    except UnsupportedOperationException:  # most stores have no such call
+        draft = _store(spark, f"{folder}/.whole")[0]
+        out = store.create(draft, True)
+        for p in whole:
+            stream = store.open(p)
+            spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 4 << 20, False)
+            stream.close()
+        out.close()
     store.delete(target, True)
     store.rename(draft, target)
+    store.delete(place, True)
+
+
+def block_run(data: bytes) -> bytes:
+    return b"".join(block(data[k : k + BLOCK]) for k in range(0, len(data), BLOCK))
+
+
+def write_bam_parts(rows: DataFrame, path: str, header: list[str]) -> None:
+    """Rows as a folder of numbered files, each whole with header and end, in the order of the rows."""
+    _write(rows, path, header)
+
+
+def write_bam_sorted(rows: DataFrame, path: str, header: list[str]) -> None:
+    """Rows in the order of their places, as a folder of numbered files, each with an index beside it; rows without a place come last.
+
+    Stretches of the order are cut by place and name, so that a place with very many records still spreads over tasks.
+    """
+    spark = rows.sparkSession
+    at = header_bytes(header)[1]
+    known = spark.createDataFrame(list(at.items()) or [("", 0)], "rname string, __ref int")
+    header = [_ordered(x) if x.startswith("@HD") else x for x in header]
+    key = [F.coalesce("__ref", F.lit(2**31 - 1)).alias("__ref"), "pos", "qname", "flag"]
+    placed = rows.join(known, "rname", "left").withColumn("__ref", key[0])
+    placed = placed.repartitionByRange("__ref", "pos", "qname").sortWithinPartitions("__ref", "pos", "qname", "flag")
+    _write(placed, path, header, index="true")
+
+
+def _ordered(line: str) -> str:
+    """The header's first line with the order of the records."""
+    return "\t".join([*[x for x in line.split("\t") if not x.startswith("SO:")], "SO:coordinate"])

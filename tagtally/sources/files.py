@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from tagtally import schemas
 from tagtally.operators.variants import unpack
 from tagtally.sources.bam import files_of as bam_files
-from tagtally.sources.bam import move, read_bam, read_header, write_bam  # noqa: F401
+from tagtally.sources.bam import move, read_bam, read_header, read_region, stream_bam, write_bam, write_bam_parts, write_bam_sorted  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text as alignments. ``ord`` grows with the place in the file, which is semantic for first-record rules."""
     rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("@") & (F.length("value") > 0))
     p = F.split("value", "\t")
-    tags = F.array_join(F.slice(p, 12, 1000), "\t")
+    tags = F.array_join(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), "\t")
     tag = lambda name, kind, pattern: F.nullif(F.regexp_extract(tags, rf"(?:^|\t){name}:{kind}:({pattern})", 1), F.lit(""))
     number = lambda i: F.get(p, F.lit(i)).try_cast("int")
     return rows.select(
