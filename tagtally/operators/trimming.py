@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def adapter_starts(reads: list[bytes], adapter: bytes, rate: float, overlap: int) -> np.ndarray:
-    """Where a 3' adapter begins in each read; its length where there is none.
+def adapter_matches(reads: list[bytes], adapter: bytes, rate: float, overlap: int) -> np.ndarray:
+    """Equal letters, errors and begin of a 3' adapter in each read; -1, 0 and the read's length where there is none.
 
     The adapter may lose its end at the read's end, and has at most ``rate`` errors (exchanged, missing or extra
     letters) for each of its aligned letters, of which there are ``overlap`` or more. Of all such places the one with most
@@ -51,13 +51,28 @@ def adapter_starts(reads: list[bytes], adapter: bytes, rate: float, overlap: int
         if last.any():
             for i in range(overlap, m):
                 offer(last, i)
-    return best[:, 2]
+    return best
 
 
-def without_adapter(reads: DataFrame, adapter: str, rate: float = 0.1, overlap: int = 3) -> DataFrame:
-    """Reads cut where the adapter begins; ``seq`` and ``qual`` keep the same length."""
+def adapter_starts(reads: list[bytes], adapters: list[bytes], rate: float, overlap: int) -> np.ndarray:
+    """Where the one adapter that fits a read best begins: most equal letters, then fewest errors, then the first named."""
+    best = None
+    for adapter in adapters:
+        found = adapter_matches(reads, adapter, rate, overlap)
+        if best is None:
+            best = found
+        else:
+            better = (found[:, 0] > best[:, 0]) | ((found[:, 0] == best[:, 0]) & (found[:, 1] < best[:, 1]))
+            best = np.where(better[:, None], found, best)
+    return best[:, 2] if best is not None else np.fromiter(map(len, reads), np.int64, len(reads))
+
+
+def without_adapter(reads: DataFrame, adapters: str | tuple[str, ...], rate: float = 0.1, overlap: int = 3) -> DataFrame:
+    """Reads cut where the best of the adapters begins, once; ``seq`` and ``qual`` keep the same length."""
+    named = [a.encode() for a in ([adapters] if isinstance(adapters, str) else adapters)]
+
     def start(seqs: pd.Series) -> pd.Series:
-        return pd.Series(adapter_starts([s.encode() if s else b"" for s in seqs], adapter.encode(), rate, overlap))
+        return pd.Series(adapter_starts([s.encode() if s else b"" for s in seqs], named, rate, overlap))
 
     at = F.pandas_udf(start, "int")
     rows = reads.withColumn("__at", at(F.coalesce("seq", F.lit(""))))
@@ -86,10 +101,8 @@ def _cut_front(reads: DataFrame, size: int, to_name: bool) -> DataFrame:
 
 
 def first_pass(reads: DataFrame, umi: int = 12, adapters: tuple[str, ...] = ("A" * 10, "G" * 10), rate: float = 0.2, overlap: int = 8, quality: int = 20, least: int = 15) -> DataFrame:
-    """The tag moves into the name; poor ends, then homopolymer adapters go, then short reads."""
-    rows = without_poor_end(_cut_front(reads, umi, True), quality)
-    for a in adapters:
-        rows = without_adapter(rows, a, rate, overlap)
+    """The tag moves into the name; poor ends, then the homopolymer adapter that fits best, then short reads go."""
+    rows = without_adapter(without_poor_end(_cut_front(reads, umi, True), quality), adapters, rate, overlap)
     return rows.where(F.length("seq") >= least)
 
 

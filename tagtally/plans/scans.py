@@ -109,25 +109,42 @@ def assigned_records_out(t):
 def fasta_scan(t):
     path = _place(t, "a.fa")
     body = F.regexp_replace("seq", "(.{60})", "$1\n")
-    t.seqs.where("length(seq) > 0").select(F.concat(F.lit(">d"), F.col("id"), F.lit(" a sequence\n"), body).alias("value")).write.text(path)
+    t.seqs.where("length(seq) > 0").select(F.concat(F.lit(">d"), F.col("id"), F.lit(" a sequence, A->G > here\n"), body).alias("value")).write.text(path)
     return files.read_fasta(t.spark, path)
 
 
-FASTQ = "q AS (SELECT concat('q', doc_id) AS qname, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 60) AS seq FROM documents), f AS (SELECT qname, seq, repeat('I', length(seq)) AS qual FROM q WHERE length(seq) >= 30)"
+#: Every stretch of 60 letters of every text is a read; those of 30 and more are kept.
+READS = """SELECT concat('q', id, '_', k) AS qname, id, k, substr(seq, CAST(60 * k + 1 AS INTEGER), 60) AS seq FROM (SELECT id, seq, unnest(range(0, CAST((length(seq) + 59) // 60 AS BIGINT))) AS k FROM {seqs})"""
+FASTQ = f"f AS (SELECT qname, seq, repeat('I', length(seq)) AS qual FROM ({READS}) WHERE length(seq) >= 30)"
 
 
-def _fastq(t):
+def _reads(t):
+    rows = t.seqs.where("length(seq) > 0").select("id", "seq", F.explode(F.sequence(F.lit(0), F.expr("cast((length(seq) - 1) div 60 as int)"))).alias("k"))
+    return rows.select(F.concat(F.lit("q"), "id", F.lit("_"), "k").alias("qname"), "id", "k", F.substring("seq", 60 * F.col("k") + 1, F.lit(60)).alias("seq"))
+
+
+def _written(t, rows, gzip: bool = False):
+    """Reads ``qname, seq, qual`` as a file of four lines each."""
     path = _place(t, "a.fastq")
-    rows = t.seqs.select(F.col("id"), F.substring("seq", 1, 60).alias("seq")).where("length(seq) >= 30")
-    rows.select(F.concat(F.lit("@q"), F.col("id"), F.lit(" run 1\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq"))).alias("value")).write.option("compression", "gzip").text(path)
+    lines = rows.select(F.concat(F.lit("@"), F.col("qname"), F.lit(" run 1\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual")).alias("value"))
+    (lines.write.option("compression", "gzip") if gzip else lines.write).text(path)
     return files.read_fastq(t.spark, path)
 
 
+def _fastq(t, gzip: bool = False):
+    return _written(t, _reads(t).where("length(seq) >= 30").withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), gzip)
+
+
 @query("fastq_scan", f"WITH {FASTQ} SELECT qname, seq, qual FROM f")
 def fastq_scan(t):
     return _fastq(t)
 
 
+@query("fastq_gzip_scan", f"WITH {FASTQ} SELECT count(*) AS reads, sum(length(seq))::BIGINT AS letters, sum(length(qual))::BIGINT AS qualities FROM f")
+def fastq_gzip_scan(t):
+    return _fastq(t, True).agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("letters"), F.sum(F.length("qual")).alias("qualities"))
+
+
 @query("trimmed_reads", f"""WITH {FASTQ}, u AS (SELECT concat(qname, '_', substr(seq, 1, 12)) AS qname, substr(seq, 13) AS s FROM f), c AS (SELECT qname, CASE WHEN regexp_matches(s, 'A{{10}}') THEN substr(s, 1, length(regexp_extract(s, '^(.*?)A{{10}}', 1))) ELSE s END AS s FROM u)
     SELECT qname, s AS seq, length(s) AS n FROM c WHERE length(s) >= 15""")
 def trimmed_reads(t):

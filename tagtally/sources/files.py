@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtally import schemas
 from tagtally.operators.variants import unpack
 from tagtally.sources.bam import files_of as bam_files
 from tagtally.sources.bam import move, read_bam, read_header, read_region, stream_bam, write_bam, write_bam_parts, write_bam_sorted  # noqa: F401
+from tagtally.sources.reads import read_fastq  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -68,26 +69,15 @@ def write_sam(rows: DataFrame, path: str, header: list[str] | None = None, set_t
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records ``id, seq``: the identifier up to the first white space, the sequence without line ends."""
-    rows = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
-    head = F.substring_index(F.col("value"), "\n", 1)
-    body = F.substring(F.col("value"), F.length(head) + 2, F.length("value"))
-    return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.regexp_replace(body, r"\s", "").alias("seq"))
-
+    """Records ``id, seq``: the identifier up to the first white space, the sequence without line ends.
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads ``qname, seq, qual`` of plain or gzip files, four lines each; a plain file is read by many tasks.
-
-    Lines are numbered by their place in the split and the lines of the splits before it in the file, which one pass counts.
+    A record begins with ">" at the begin of a line; elsewhere that letter is part of a name's description.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    rows = lines.join(splits, ["file", "start"]).withColumn("at", F.col("before") + F.col("id") - F.col("first"))
-    field = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value")))
-    reads = rows.groupBy("file", F.floor(F.col("at") / 4).alias("read")).agg(field(0).alias("name"), field(1).alias("seq"), field(3).alias("qual"))
-    return reads.where(F.col("name").startswith("@")).select(F.regexp_extract("name", r"^@(\S*)", 1).alias("qname"), "seq", "qual")
+    rows = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0)
+    value = F.regexp_replace("value", "^>", "")  # the first record of a file has no line end before it
+    head = F.substring_index(value, "\n", 1)
+    body = F.substring(value, F.length(head) + 2, F.length(value))
+    return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.regexp_replace(body, r"\s", "").alias("seq"))
 
 
 def trim_reads(reads: DataFrame, umi: int = 12, adapters: tuple[str, ...] = ("A{10}", "G{10}"), least_quality: int = 20, least_length: int = 15) -> DataFrame:

@@ -37,12 +37,12 @@ def test_adapters_with_errors():
         rest = "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 12)))
         reads.append(body + "".join(tail) + rest)
         planted.append(len(body))
-    starts = adapter_starts([r.encode() for r in reads], adapter.encode(), 0.1, 12)
+    starts = adapter_starts([r.encode() for r in reads], [adapter.encode()], 0.1, 12)
     for r, s in zip(reads, starts):
         want = brute_start(r, adapter, 0.1, 12)
         assert s < len(r) and want[0] >= 11
     assert np.mean(np.abs(starts - planted) <= 1) > 0.97
-    assert adapter_starts([b"", b"ACGT", b"CCCCCCCCCCAAAAAAAA", b"CCCCAAAAAATAAACCCC"], b"A" * 10, 0.2, 8).tolist() == [0, 4, 10, 4]
+    assert adapter_starts([b"", b"ACGT", b"CCCCCCCCCCAAAAAAAA", b"CCCCAAAAAATAAACCCC"], [b"A" * 10], 0.2, 8).tolist() == [0, 4, 10, 4]
 
 
 def test_trimming_passes(spark):
@@ -121,3 +121,21 @@ def test_table_steps(spark):
     assert [tuple(r) for r in t.inner_chain([a, b], "k").collect()] == [(2, "y", 5)]
     assert [tuple(r) for r in t.bind_columns(a, b.withColumnRenamed("k", "j"), "k", "j").orderBy("k").collect()] == [(1, "x", 2, 5), (2, "y", 3, 6)]
     assert [r.d for r in a.select(t.looked_up(F.col("v"), {"x": 1.0}, 0.0).alias("d")).collect()] == [1.0, 0.0]
+
+
+def test_one_adapter_of_several_goes():
+    from tagtally.operators.trimming import adapter_starts
+
+    # A stretch of G with one error at 17 and ten A at 35: the better one goes alone.
+    read = b"CTCTCTCTCTCTCTCTC" + b"GGGGCGGGGGG" + b"TCTCTCT" + b"A" * 10
+    both = [b"A" * 10, b"G" * 10]
+    assert adapter_starts([read, read[:28], b"CTCT", b""], both, 0.2, 8).tolist() == [35, 17, 4, 0]
+    assert adapter_starts([b"CTCTCTCT" + b"G" * 10 + b"CTCT" + b"A" * 10], both, 0.2, 8).tolist() == [22]  # as good: the first named
+
+
+def test_first_pass_cuts_one_adapter(spark):
+    from tagtally.operators.trimming import first_pass
+
+    seq = "ACGTACGTACGT" + "CTCTCTCTCTCTCTCTC" + "GGGGCGGGGGG" + "TCTCTCT" + "A" * 10
+    row = first_pass(spark.createDataFrame([("r", seq, "I" * len(seq))], "qname string, seq string, qual string")).first()
+    assert row.seq == seq[12:47] and len(row.qual) == 35 and row.qname == "r_ACGTACGTACGT"
