@@ -5,9 +5,11 @@ documents of its language each term occurs and keeps those with ``LEAST`` or mor
 of kept terms with an Aho-Corasick automaton whose words are kept terms between delimiters, run over texts whose
 delimiters are single spaces' worth of padding; tasks add up before anything is shuffled.
 
-The vocabulary has no bound, so it is dealt by hash into shards whose terms hold about ``SHARD_BYTES``; each shard is
-collected, broadcast, counted in a scan of its own and dropped, so that neither the driver nor a worker holds more than
-one shard. A term's probability in a group is p = 1 + floor(10^9 (count + 1) / (N + V)), with N the group's occurrences of kept
+The vocabulary has no bound. The terms in most documents, ``SHARD_BYTES`` of them, are broadcast and counted where the
+texts lie. All other terms are dealt by hash into shards of about ``SHARD_BYTES``, and the words that are not among the
+frequent ones are sent, as texts, to the shard of their hash, where the shard's automaton counts them; no word that is
+left is frequent, so no shard is hot, and each shard is split further by salts while there are fewer shards than tasks.
+So a text is scanned once, whatever the vocabulary, and no task holds more than a shard. A term's probability in a group is p = 1 + floor(10^9 (count + 1) / (N + V)), with N the group's occurrences of kept
 terms and V the language's kept terms.
 
 The divergence of two groups sums f(p, q) = floor((p - q)^2 / q) over all kept terms, but most have no count in either. The sum is taken
@@ -24,13 +26,14 @@ from __future__ import annotations
 
 from collections import Counter
 from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import bounded_batches, durable, trim
+from tagtally.llm._common import bounded_batches, durable, shuffle_width, trim
 
 LEAST, TOP, UNIT = 3, 200, 1_000_000_000
 #: Bytes of the terms of a shard (an automaton takes some 70 bytes for each), of a slice of a text, and of the keys a task adds up before it passes them on.
@@ -93,70 +96,151 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> DataFram
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST, text_column: str = "text") -> DataFrame:
-    """``lang, term`` of the terms in at least so many documents of the language; written, since it is read for each shard."""
-    return durable(document_frequencies(docs, text_column).where(F.col("n") >= least).select("lang", "term"))
+    """``lang, term, n`` of the terms in at least so many documents of the language."""
+    return durable(document_frequencies(docs, text_column).where(F.col("n") >= least))
 
 
-#: Automata of the shard that this worker holds: (broadcast id, language) to automaton.
-_BUILT: dict = {}
+def _built(terms):
+    """An automaton whose words are terms between delimiters."""
+    import ahocorasick
 
+    made = ahocorasick.Automaton()
+    for t in terms:
+        made.add_word(f" {t} ", t)
+    made.make_automaton()
+    return made
 
-def _automaton(key, terms: list[str]):
-    import ahocorasick
 
-    if key not in _BUILT:
-        if _BUILT and next(iter(_BUILT))[0] != key[0]:
-            _BUILT.clear()
-        made = ahocorasick.Automaton()
-        for t in terms:
-            made.add_word(f" {t} ", t)
-        made.make_automaton()
-        _BUILT[key] = made
-    return _BUILT[key]
+def _found(automaton, data: bytes):
+    """The terms of an automaton that occur in folded text, one for each occurrence."""
+    return map(itemgetter(1), automaton.iter(f" {data.decode()} "))
 
 
-def occurrences(docs: DataFrame, shard: dict[str, list[str]], text_column: str = "text") -> DataFrame:
-    """``lang, source, term, n``: occurrences of a shard's kept terms, added up within tasks but not between them."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(shard)
+#: The frequent terms' automata and sets that this worker holds, by language, for one broadcast.
+_HELD: dict = {}
+
+
+def _frequent(name: int, terms: dict[str, list[str]], lang: str):
+    if _HELD.get("name") != name:
+        _HELD.clear()
+        _HELD["name"] = name
+    if lang not in _HELD:
+        own = terms.get(lang, [])
+        _HELD[lang] = (_built(own) if own else None, {t.encode() for t in own})
+    return _HELD[lang]
+
+
+_COUNTS = "key int, kind int, lang string, source string, term string, n bigint"
+
+
+def scanned(docs: DataFrame, frequent: dict[str, list[str]], shards: int, salts: int, text_column: str) -> DataFrame:
+    """``key, kind, lang, source, term, n``: counts of frequent terms (kind 2), added up within tasks, and texts of all other words by shard (kind 1)."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
     name = held._jbroadcast.id()
 
     def count(batches):
         found: dict[tuple, Counter] = {}
+        rest: dict[tuple, list[bytes]] = {}
+        salt = kept = 0
         for batch in batches:
             for text, lang, source in zip(batch["text"], batch["lang"].to_pylist(), batch["source"].to_pylist()):
-                terms = held.value.get(lang)
-                if not terms:
-                    continue
-                made, mine = _automaton((name, lang), terms), found.setdefault((lang, source), Counter())
+                automaton, own = _frequent(name, held.value, lang)
+                mine = found.setdefault((lang, source), Counter())
                 for data in folded(text.as_py()):
-                    mine.update(map(itemgetter(1), made.iter(f" {data.decode()} ")))
+                    if automaton is not None:
+                        mine.update(_found(automaton, data))
+                    if shards:
+                        for w in data.split():
+                            if w not in own:
+                                rest.setdefault((crc32(w) % shards, lang, source), []).append(w)
+                                kept += len(w) + 1
+                    if kept > SLICE << 2:
+                        yield _texts(rest, salt, salts)
+                        rest, kept, salt = {}, 0, salt + 1
             if sum(map(len, found.values())) >= HELD:
                 yield _flat(found)
                 found = {}
+        yield _texts(rest, salt, salts)
         yield _flat(found)
         trim()
 
     def _flat(found):
-        return _rows({(*g, t): n for g, terms in found.items() for t, n in terms.items()}, ["lang", "source", "term", "n"])
-
-    return _documents(docs, text_column).mapInArrow(count, "lang string, source string, term string, n bigint")
+        rows = _rows({(*g, t): n for g, terms in found.items() for t, n in terms.items()}, ["lang", "source", "term", "n"])
+        same = lambda v: pa.array(np.full(rows.num_rows, v, np.int32))
+        return pa.RecordBatch.from_arrays([same(0), same(2), *rows.columns], ["key", "kind", "lang", "source", "term", "n"])
+
+    def _texts(rest, salt, salts):
+        rows = list(rest.items())
+        column = lambda i, kind: pa.array([k[i] for k, _ in rows], kind)
+        keys = pa.array([k[0] * salts + salt % salts for k, _ in rows], pa.int32())
+        texts = pa.array([b" ".join(w) for _, w in rows], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([keys, pa.array([1] * len(rows), pa.int32()), column(1, pa.string()), column(2, pa.string()), texts, pa.array([0] * len(rows), pa.int64())], ["key", "kind", "lang", "source", "term", "n"])
+
+    return _documents(docs, text_column).mapInArrow(count, _COUNTS)
+
+
+def _recount(batches):
+    """Counts of the terms of shards; rows come by shard, the terms (kind 0) before the texts (kind 1)."""
+    key, terms, automata, found = None, {}, {}, {}
+
+    def out():
+        return _rows({(*g, t): n for g, c in found.items() for t, n in c.items()}, ["lang", "source", "term", "n"])
+
+    for batch in batches:
+        for k, kind, lang, source, term in zip(*(batch[c].to_pylist() for c in ("key", "kind", "lang", "source", "term"))):
+            if k != key:
+                key, terms, automata = k, {}, {}
+            if kind == 0:
+                terms.setdefault(lang, []).append(term)
+                continue
+            if lang not in automata:
+                automata[lang] = _built(terms.pop(lang)) if lang in terms else None
+            if automata[lang] is not None:
+                found.setdefault((lang, source), Counter()).update(_found(automata[lang], term.encode()))
+        if sum(map(len, found.values())) >= HELD:
+            yield out()
+            found = {}
+    yield out()
+    trim()
 
 
 def postings(docs: DataFrame, kept: DataFrame, text_column: str = "text") -> DataFrame:
-    """``lang, source, term, n`` of all kept terms that occur; each shard of the vocabulary has a scan of its own."""
+    """``lang, source, term, n`` of all kept terms that occur."""
     spark = docs.sparkSession
-    size = kept.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    shards = -(-size // SHARD_BYTES)
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(max(shards, 1))))
-    out = spark.createDataFrame([], "lang string, source string, term string, n bigint")
-    for k in range(shards):
-        terms: dict[str, list[str]] = {}
-        for lang, term in zip(*dealt.where(F.col("shard") == k).select("lang", "term").toArrow().to_pydict().values()):
-            terms.setdefault(lang, []).append(term)
-        counted = durable(occurrences(docs, terms, text_column).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
-        out = counted if shards == 1 else out.unionByName(counted)
-    return out
+    weight = F.octet_length("term") + 16
+    size, rows = kept.agg(F.sum(weight), F.count("*")).first()
+    size = size or 0
+    frequent: dict[str, list[str]] = {}
+    split = kept.select("lang", "term").where("false")
+    if size <= SHARD_BYTES:
+        top = kept
+    else:
+        # The frequent terms are those in most documents: so many that they hold SHARD_BYTES, by the sizes for each number of documents.
+        sizes = kept.groupBy("n").agg(F.sum(weight).alias("s")).orderBy(F.desc("n")).limit(SHARD_BYTES // 17).collect()
+        total, least = 0, None
+        for r in sizes:
+            total += r["s"]
+            if total > SHARD_BYTES:
+                break
+            least = r["n"]
+        top = kept.where(F.col("n") >= least) if least is not None else kept.where("false")
+        split = kept.where(F.col("n") < least) if least is not None else kept
+    for lang, term in zip(*top.select("lang", "term").toArrow().to_pydict().values()):
+        frequent.setdefault(lang, []).append(term)
+    held = sum(len(t.encode()) + 16 for terms in frequent.values() for t in terms)
+    shards = -(-(size - held) // SHARD_BYTES) if size > held else 0
+    salts = max(1, -(-shuffle_width(spark) // shards)) if shards else 1
+    both = scanned(docs, frequent, shards, salts, text_column)
+    if not shards:
+        return durable(both.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    both = durable(both)
+    places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    words = split.select((F.crc32(F.col("term").cast("binary")) % shards).cast("int").alias("shard"), "lang", "term").withColumn("salt", places)
+    words = words.select((F.col("shard") * salts + F.col("salt")).cast("int").alias("key"), F.lit(0).alias("kind"), "lang", F.lit("").alias("source"), "term", F.lit(0).cast("long").alias("n"))
+    texts = both.where("kind = 1").unionByName(words).repartition(shards * salts, "key").sortWithinPartitions("key", "kind")
+    counted = texts.mapInArrow(_recount, "lang string, source string, term string, n bigint")
+    counted = both.where("kind = 2").select("lang", "source", "term", "n").unionByName(counted)
+    return durable(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
 
 def _chance(count, total, terms):
