@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtally.llm._common import bounded_batches, durable, shuffle_width, trim
+from tagtally.llm._common import bounded_batches, durable, hinted, shuffle_width, trim
 
 LEAST, TOP, UNIT = 3, 200, 1_000_000_000
-#: Bytes of the terms of a shard (an automaton takes some 70 bytes for each), of a slice of a text, and of the keys a task adds up before it passes them on.
-SHARD_BYTES, SLICE, HELD = 4 << 20, 1 << 20, 200_000
+#: Bytes of the terms of a shard, 16 more counted for each (a worker's strings, automaton and set take some nine times as much), of a slice of
+#: a text, and of the texts that wait for a shard; keys that a task adds up before it passes them on.
+SHARD_BYTES, SLICE, WAITING, HELD = 32 << 20, 1 << 20, 4 << 20, 200_000
 #: Sources of a tile, and postings of a block of terms.
 TILE, BLOCK_ROWS = 256, 200_000
 
@@ -111,22 +112,22 @@ def _built(terms):
     return made
 
 
-def _found(automaton, data: bytes):
+def _found(automaton, words: str):
     """The terms of an automaton that occur in folded text, one for each occurrence."""
-    return map(itemgetter(1), automaton.iter(f" {data.decode()} "))
+    return map(itemgetter(1), automaton.iter(f" {words} "))
 
 
 #: The frequent terms' automata and sets that this worker holds, by language, for one broadcast.
 _HELD: dict = {}
 
 
-def _frequent(name: int, terms: dict[str, list[str]], lang: str):
+def _frequent(name: int, terms: dict[str, list[str]], lang: str, rest: bool):
     if _HELD.get("name") != name:
         _HELD.clear()
         _HELD["name"] = name
     if lang not in _HELD:
         own = terms.get(lang, [])
-        _HELD[lang] = (_built(own) if own else None, {t.encode() for t in own})
+        _HELD[lang] = (_built(own) if own else None, set(own) if rest else set())
     return _HELD[lang]
 
 
@@ -144,17 +145,18 @@ def scanned(docs: DataFrame, frequent: dict[str, list[str]], shards: int, salts:
         salt = kept = 0
         for batch in batches:
             for text, lang, source in zip(batch["text"], batch["lang"].to_pylist(), batch["source"].to_pylist()):
-                automaton, own = _frequent(name, held.value, lang)
+                automaton, own = _frequent(name, held.value, lang, shards > 0)
                 mine = found.setdefault((lang, source), Counter())
                 for data in folded(text.as_py()):
+                    words = data.decode()
                     if automaton is not None:
-                        mine.update(_found(automaton, data))
+                        mine.update(_found(automaton, words))
                     if shards:
-                        for w in data.split():
-                            if w not in own:
-                                rest.setdefault((crc32(w) % shards, lang, source), []).append(w)
+                        for w in words.split(" "):
+                            if w and w not in own:
+                                rest.setdefault((crc32(w.encode()) % shards, lang, source), []).append(w)
                                 kept += len(w) + 1
-                    if kept > SLICE << 2:
+                    if kept > WAITING:
                         yield _texts(rest, salt, salts)
                         rest, kept, salt = {}, 0, salt + 1
             if sum(map(len, found.values())) >= HELD:
@@ -173,7 +175,7 @@ def scanned(docs: DataFrame, frequent: dict[str, list[str]], shards: int, salts:
         rows = list(rest.items())
         column = lambda i, kind: pa.array([k[i] for k, _ in rows], kind)
         keys = pa.array([k[0] * salts + salt % salts for k, _ in rows], pa.int32())
-        texts = pa.array([b" ".join(w) for _, w in rows], pa.binary()).cast(pa.string())
+        texts = pa.array([" ".join(w) for _, w in rows], pa.string())
         return pa.RecordBatch.from_arrays([keys, pa.array([1] * len(rows), pa.int32()), column(1, pa.string()), column(2, pa.string()), texts, pa.array([0] * len(rows), pa.int64())], ["key", "kind", "lang", "source", "term", "n"])
 
     return _documents(docs, text_column).mapInArrow(count, _COUNTS)
@@ -196,7 +198,7 @@ def _recount(batches):
             if lang not in automata:
                 automata[lang] = _built(terms.pop(lang)) if lang in terms else None
             if automata[lang] is not None:
-                found.setdefault((lang, source), Counter()).update(_found(automata[lang], term.encode()))
+                found.setdefault((lang, source), Counter()).update(_found(automata[lang], term))
         if sum(map(len, found.values())) >= HELD:
             yield out()
             found = {}
@@ -205,7 +207,7 @@ def _recount(batches):
 
 
 def postings(docs: DataFrame, kept: DataFrame, text_column: str = "text") -> DataFrame:
-    """``lang, source, term, n`` of all kept terms that occur."""
+    """``lang, source, term, n, all_n`` of all kept terms that occur."""
     spark = docs.sparkSession
     weight = F.octet_length("term") + 16
     size, rows = kept.agg(F.sum(weight), F.count("*")).first()
@@ -232,15 +234,23 @@ def postings(docs: DataFrame, kept: DataFrame, text_column: str = "text") -> Dat
     salts = max(1, -(-shuffle_width(spark) // shards)) if shards else 1
     both = scanned(docs, frequent, shards, salts, text_column)
     if not shards:
-        return durable(both.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+        return _summed(both)
     both = durable(both)
     places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     words = split.select((F.crc32(F.col("term").cast("binary")) % shards).cast("int").alias("shard"), "lang", "term").withColumn("salt", places)
     words = words.select((F.col("shard") * salts + F.col("salt")).cast("int").alias("key"), F.lit(0).alias("kind"), "lang", F.lit("").alias("source"), "term", F.lit(0).cast("long").alias("n"))
     texts = both.where("kind = 1").unionByName(words).repartition(shards * salts, "key").sortWithinPartitions("key", "kind")
     counted = texts.mapInArrow(_recount, "lang string, source string, term string, n bigint")
-    counted = both.where("kind = 2").select("lang", "source", "term", "n").unionByName(counted)
-    return durable(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    return _summed(both.where("kind = 2").select("lang", "source", "term", "n").unionByName(counted))
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """``lang, source, term, n, all_n``: sums of the tasks' counts, and of all the language's sources; one exchange, by term, serves both.
+
+    A term has at most a row for each source and task, which are added up before the sort of its window.
+    """
+    rows = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return durable(rows.withColumn("all_n", F.sum("n").over(Window.partitionBy("lang", "term"))))
 
 
 def _chance(count, total, terms):
@@ -318,12 +328,14 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text_column: str
     groups = groups.withColumn("zero", chance(F.lit(0)))
     groups = durable(groups.withColumn("counts", F.transform("counts", lambda x: F.struct(chance(x["n"]).alias("p"), x["c"].alias("c")))))
 
-    # Postings with their group's number, p and p of a zero count: groups are few beside postings, and the planner chooses the join.
-    placed = found.join(groups.select("lang", "source", "number", "terms", "total", "zero"), ["lang", "source"]).withColumn("p", _chance(F.col("n"), F.col("total"), F.col("terms")))
+    # Groups are counted, so that a broadcast of them is one of known size.
+    many = groups.count()
+    small = hinted(groups.select("lang", "source", "number", "terms", "total", "zero"), many)
+    langs = hinted(groups.groupBy("lang").agg(F.sum("total").alias("all_total"), (F.max("number") / TILE).cast("int").alias("last")), many)
+    placed = found.join(small, ["lang", "source"]).join(langs, "lang").withColumn("p", _chance(F.col("n"), F.col("total"), F.col("terms")))
     blocks = max(1, -(-found.count() // BLOCK_ROWS))
-    tiled = placed.select("lang", "term", "number", "p", "zero", F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)).cast("int").alias("block"), (F.col("number") / TILE).cast("int").alias("tile"))
-    tiles = groups.groupBy("lang").agg((F.max("number") / TILE).cast("int").alias("last"))
-    tiled = tiled.join(tiles, "lang").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    tiled = placed.select("lang", "term", "number", "p", "zero", "last", F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)).cast("int").alias("block"), (F.col("number") / TILE).cast("int").alias("tile"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     tiled = tiled.select("lang", "block", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "number", "term", "p", "zero")
     shared = _tiles(tiled)
 
@@ -336,10 +348,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text_column: str
         + aggregate(others, 0L, (s, x) -> s + x.c * ({_value("p0", "x.p")} - {base})))"""
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.expr(value).alias("value"))
 
-    of_lang = found.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
-    totals = groups.groupBy("lang").agg(F.sum("total").alias("all_total"))
     q = _chance(F.col("all_n"), F.col("all_total"), F.col("terms"))
-    ranked = placed.join(of_lang, ["lang", "term"]).join(totals, "lang").withColumn("q", q).where("p > q")
+    ranked = placed.withColumn("q", q).where("p > q")
     ranked = ranked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_value("p", "q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

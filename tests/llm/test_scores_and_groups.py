@@ -222,7 +222,7 @@ def brute_divergence(rows, least=3, top=200):
 def test_divergence(spark, monkeypatch, shard, tile, slice_):
     from tagtally.llm import divergence as d
 
-    for name, value in (("SHARD_BYTES", shard), ("TILE", tile), ("SLICE", slice_), ("HELD", 50), ("BLOCK_ROWS", 60)):
+    for name, value in (("SHARD_BYTES", shard), ("TILE", tile), ("SLICE", slice_), ("WAITING", 4 * slice_), ("HELD", 50), ("BLOCK_ROWS", 60)):
         monkeypatch.setattr(d, name, value)
     rng = random.Random(shard)
     rows = []
