@@ -1,11 +1,10 @@
-"""Special functions and distribution tails in numpy, and their Arrow UDFs; Spark SQL has none of them."""
+"""Special functions and distribution tails in numpy, for the few numbers that the driver finishes and for batches of models."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 
 
 def normal_sf(x: np.ndarray) -> np.ndarray:
@@ -130,21 +129,3 @@ def intersection_pmf(universe: int, sizes: list[int]) -> np.ndarray:
                 new[k] += pmf[x] * hypergeometric_pmf(k, x, universe - x, m)
         pmf = new
     return pmf
-
-
-def normal_sf_udf():
-    from pyspark.sql import functions as F
-
-    def tail(x: pd.Series) -> pd.Series:
-        return pd.Series(normal_sf(x.to_numpy(float, na_value=math.nan)))
-
-    return F.pandas_udf(tail, "double")
-
-
-def t_two_sided_udf():
-    from pyspark.sql import functions as F
-
-    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([min(1.0, 2 * t_sf(abs(a), b)) if a == a and a is not None else None for a, b in zip(t, df)], dtype="float64")
-
-    return F.pandas_udf(tail, "double")

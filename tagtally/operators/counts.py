@@ -101,9 +101,9 @@ def null_sd(rows: DataFrame, z: str = "z_delta") -> DataFrame:
 
 def with_wald_p(rows: DataFrame, sd: float, z: str = "z_delta") -> DataFrame:
     """One-sided p of z over the null spread, and its BH adjustment."""
-    from tagtally.functions.tails import normal_sf_udf
+    from tagtally.functions.tail_columns import normal_sf
 
-    return benjamini_hochberg(rows.withColumn("pval_delta", normal_sf_udf()(F.col(z) / sd)), "pval_delta", "padj_delta")
+    return benjamini_hochberg(rows.withColumn("pval_delta", normal_sf(F.col(z) / sd)), "pval_delta", "padj_delta")
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, out: str, *by: str) -> DataFrame:

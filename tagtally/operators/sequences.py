@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtally.functions.strings import center_kmer, context, valid_kmer
+from tagtally.functions.strings import center_kmer, valid_kmer
 from tagtally.operators.counts import ratio
 
 
-def with_context(sites: DataFrame, fasta: DataFrame, flank: int = 7, key: str = "transcript_id") -> DataFrame:
+#: Letters of a tile of a sequence.
+TILE = 1 << 16
+
+
+def tiles(fasta: DataFrame, flank: int, size: int = TILE) -> DataFrame:
+    """``id, tile, text, letters``: sequences in pieces of ``size`` letters with ``flank`` more on both sides, N beyond the ends.
+
+    A sequence is cut in one pass; what sites join is a piece, however long the sequence. ``size`` is more than ``flank``.
+    """
+    held = F.array(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    pads = "N" * flank
+    before = f"if(i = 0, '{pads}', right(p[i - 1], {flank}))" if flank else "''"
+    after = f"if(i + 1 < size(p), rpad(left(concat(p[i + 1], coalesce(get(p, i + 2), '')), {flank}), {flank}, 'N'), '{pads}')" if flank else "''"
+    made = F.expr(f"transform(__p[0], (x, i) -> named_struct('text', concat({before.replace('p[', '__p[0][')}, x, {after.replace('(p[', '(__p[0][').replace('size(p)', 'size(__p[0])').replace('get(p,', 'get(__p[0],')}), 'letters', length(x)))")
+    rows = fasta.where("length(seq) > 0").withColumn("__p", held).select("id", F.posexplode(made).alias("tile", "x"))
+    return rows.select("id", "tile", "x.text", "x.letters")
+
+
+def with_context(sites: DataFrame, fasta: DataFrame, flank: int = 7, key: str = "transcript_id", size: int = TILE) -> DataFrame:
     """Sites with the bases around them and the base itself; NULL where the sequence is unknown or too short."""
-    rows = sites.join(fasta.select(F.col("id").alias(key), F.col("seq").alias("__s")), key, "left")
-    rows = rows.withColumn("sequence_context", context(F.col("__s"), F.col("pos"), flank))
-    return rows.withColumn("ref_base", F.when(F.col("sequence_context").isNotNull(), F.substring("__s", F.col("pos"), F.lit(1)))).drop("__s")
+    pieces = tiles(fasta, flank, size).select(F.col("id").alias(key), F.col("tile").alias("__tile"), F.col("text").alias("__text"), F.col("letters").alias("__letters"))
+    rows = sites.withColumn("__tile", F.when(F.col("pos") >= 1, F.floor((F.col("pos") - 1) / size).cast("int")))
+    rows = rows.join(pieces, [key, "__tile"], "left")
+    at = (F.col("pos") - 1) % size + 1
+    rows = rows.withColumn("sequence_context", F.when(at <= F.col("__letters"), F.substring("__text", at.cast("int"), F.lit(2 * flank + 1))))
+    return rows.withColumn("ref_base", F.substring("sequence_context", flank + 1, 1)).drop("__tile", "__text", "__letters")
 
 
 def kmers(rows: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -69,22 +92,38 @@ def _patterns(rows: DataFrame, stratum: str, *counts: Column) -> DataFrame:
     return rows.select(stratum, pattern, "*").groupBy(stratum, "pattern").agg(*counts)
 
 
-def _drawn(rng, colors, n: int, rounds: int):
-    """``rounds`` draws of ``n`` without replacement from counts: rounds x colors, one color after the other.
+def _hypergeometric(rng, good: int, bad: int, taken: int) -> int:
+    """One draw of a hypergeometric number of any size: inversion from the mode outwards, by exact ratios of neighbours.
 
-    From a billion rows on, where the exact generator ends, a color's number is normal with the exact mean and variance.
+    Chances are relative to the mode's; the walk takes some standard deviations' steps.
     """
     import numpy as np
 
+    low, high = max(0, taken - bad), min(good, taken)
+    if low == high:
+        return low
+    mode = min(max((taken + 1) * (good + 1) // (good + bad + 2), low), high)
+    ratio = lambda x: ((good - x) / (x + 1)) * ((taken - x) / (bad - taken + x + 1))  # noqa: E731  chance of x + 1 over that of x
+    spread = math.sqrt(max(taken * (good / (good + bad)) * (bad / (good + bad)) * ((good + bad - taken) / max(good + bad - 1, 1)), 1.0))
+    n = int(12 * spread) + 40  # beyond it lies less than 1e-30
+    up, down = np.arange(mode, min(high, mode + n)), np.arange(mode - 1, max(low, mode - n) - 1, -1)
+    weights = np.concatenate([[1.0], np.cumprod(ratio(up.astype(float))) if len(up) else [], np.cumprod(1 / ratio(down.astype(float))) if len(down) else []])
+    values = np.concatenate([[mode], up + 1, down]).astype(np.int64)
+    return int(values[np.searchsorted(np.cumsum(weights), rng.random() * weights.sum(), "right").clip(0, len(values) - 1)])
+
+
+def _drawn(rng, colors, n: int, rounds: int):
+    """``rounds`` draws of ``n`` without replacement from counts: rounds x colors, one color after the other."""
+    import numpy as np
+
     rest, left = int(colors.sum()), np.full(rounds, n, np.int64)
     out = np.zeros((rounds, len(colors)), np.int64)
     for i, good in enumerate(colors.tolist()):
         bad = rest - good
-        if rest < 10**9:
+        if rest < 10**9:  # as far as the generator goes
             out[:, i] = rng.hypergeometric(good, bad, left) if rest else 0
         else:
-            spread = np.sqrt(left * (good / rest) * (bad / rest) * (rest - left) / max(rest - 1, 1))
-            out[:, i] = np.clip(np.rint(rng.normal(left * (good / rest), spread)), np.maximum(0, left - bad), np.minimum(good, left))
+            out[:, i] = [_hypergeometric(rng, good, bad, int(x)) for x in left]
         left, rest = left - out[:, i], bad
     return out
 

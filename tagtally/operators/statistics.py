@@ -14,7 +14,7 @@ from tagtally.operators.ordered import running, stretched
 
 def welch(rows: DataFrame, by: list[str], group: str, value: str, a: str, b: str) -> DataFrame:
     """Welch's t by group: means, t, Satterthwaite degrees and two-sided p."""
-    from tagtally.functions.tails import t_two_sided_udf
+    from tagtally.functions.tail_columns import t_two_sided
 
     v = lambda g: F.when(F.col(group) == g, F.col(value))
     s = rows.groupBy(*by).agg(*[f(v(g)).alias(n + x) for x, g in (("a", a), ("b", b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
@@ -22,18 +22,18 @@ def welch(rows: DataFrame, by: list[str], group: str, value: str, a: str, b: str
     s = s.withColumn("t", ratio(F.col("ma") - F.col("mb"), F.sqrt(F.col("ea") + F.col("eb"))))
     df = ratio((F.col("ea") + F.col("eb")) * (F.col("ea") + F.col("eb")), F.col("ea") * F.col("ea") / (F.col("na") - 1) + F.col("eb") * F.col("eb") / (F.col("nb") - 1))
     s = s.withColumn("df", df).select(*by, F.col("ma").alias("mean_a"), F.col("mb").alias("mean_b"), "t", "df")
-    return s.withColumn("p", t_two_sided_udf()("t", "df"))
+    return s.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
 
 
 def paired_t(rows: DataFrame, by: list[str], pair: str, group: str, value: str, a: str, b: str) -> DataFrame:
     """Paired t by group over pairs that have both sides."""
-    from tagtally.functions.tails import t_two_sided_udf
+    from tagtally.functions.tail_columns import t_two_sided
 
     v = lambda g: F.max(F.when(F.col(group) == g, F.col(value)))
     d = rows.groupBy(*by, pair).agg(v(a).alias("a"), v(b).alias("b")).withColumn("d", F.col("a") - F.col("b"))
     s = d.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("s"), F.count("d").alias("n")).where("n > 1")
     s = s.withColumn("t", ratio(F.col("mean_diff"), F.col("s") / F.sqrt("n"))).withColumn("df", (F.col("n") - 1).cast("double")).drop("s")
-    return s.withColumn("p", t_two_sided_udf()("t", "df"))
+    return s.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
 
 
 def slopes(rows: DataFrame, by: list[str], y: str, x: str, least: int = 3) -> DataFrame:
@@ -263,88 +263,167 @@ def _robust_dispersion(q: np.ndarray, cells: list[np.ndarray]) -> float:
     return max((variance - q.mean()) / q.mean() ** 2, 0.04)
 
 
-def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str = "Input") -> DataFrame:
-    """Negative-binomial model ``~ replicate + condition`` by feature: baseMean, log2FoldChange, lfcSE, stat, pvalue, padj.
+class _Design:
+    """Libraries of two conditions: the model ``~ replicate + condition``, its cells of equal rows, and limits of Cook's distance."""
+
+    #: Cells of so many libraries can judge one of theirs, and can lend it a replacement.
+    JUDGE, REPLACE = 3, 7
+
+    def __init__(self, rows, test: str, base: str):
+        from tagtally.functions.tails import f_sf
+
+        rows = rows[rows["condition"].isin([test, base])].sort_values("sample")
+        reps = sorted(rows["replicate"].astype(str).unique())
+        self.x = np.column_stack([np.ones(len(rows)), *[(rows["replicate"].astype(str) == r).to_numpy(float) for r in reps[1:]], (rows["condition"] == test).to_numpy(float)])
+        self.factors = rows["size_factor"].to_numpy(float)
+        self.at = {s: i for i, s in enumerate(rows["sample"])}
+        m, p = self.x.shape
+        cells = [np.flatnonzero((self.x == row).all(1)) for row in np.unique(self.x, axis=0)] if m else []
+        self.cells = [c for c in cells if len(c) >= self.JUDGE and m > p]  # the others have no Cook's distance to judge
+        self.large = np.zeros(m, bool)
+        for c in self.cells:
+            self.large[c] = len(c) >= self.REPLACE
+        lo, self.far = 0.0, 1e9
+        for _ in range(100 if self.cells else 0):
+            mid = (lo + self.far) / 2
+            lo, self.far = (lo, mid) if f_sf(mid, p, m - p) < 0.01 else (mid, self.far)
+
+    def dense(self, lists) -> np.ndarray:
+        y = np.zeros((len(lists), len(self.at)))
+        for i, v in enumerate(lists):
+            for r in v:
+                if (k := self.at.get(r["sample"])) is not None:
+                    y[i, k] = r["count"]
+        return np.round(y)
+
+    def cook(self, y, mu, alpha, cov) -> np.ndarray:
+        """Cook's distances of a feature's libraries; 0 in cells too small to judge."""
+        out = np.zeros(len(y))
+        if self.cells:
+            h = mu / (1 + alpha * mu) * np.einsum("ij,jk,ik->i", self.x, cov, self.x)
+            distance = (y - mu) ** 2 / (mu + _robust_dispersion(y / self.factors, self.cells) * mu**2) / self.x.shape[1] * h / (1 - h) ** 2
+            for c in self.cells:
+                out[c] = distance[c]
+        return out
+
+    def rough(self, y) -> tuple[np.ndarray, np.ndarray]:
+        """Means of normalised counts, and each row's own dispersion."""
+        mean = (y / self.factors).mean(1)
+        rough = np.maximum(1e-4, ((y / self.factors).var(1, ddof=1) - mean * (1 / self.factors).mean()) / mean**2)
+        return mean, _best_dispersion(y, _fit_beta(y, self.x, self.factors, rough)[2], self.x)
+
+    def fitted(self, y, mean, alpha, trend: dict):
+        """Dispersions towards the trend, coefficients, their covariances and means."""
+        t = np.interp(np.log(mean), trend["knots"], trend["values"])
+        mu = _fit_beta(y, self.x, self.factors, alpha)[2]
+        shrunk = _best_dispersion(y, mu, self.x, (t, trend["prior"]))
+        final = np.where(np.log(np.maximum(alpha, 1e-8)) > t + 2 * math.sqrt(trend["spread"]), alpha, shrunk)
+        return (final, *_fit_beta(y, self.x, self.factors, final))
+
+    def replaced(self, y, distances) -> np.ndarray:
+        """Counts with outlying ones of large cells at the trimmed mean of the feature's normalised counts, a fifth off each end."""
+        out = y.copy()
+        q = np.sort(y / self.factors, 1)
+        cut = int(0.2 * q.shape[1])
+        middle = q[:, cut : q.shape[1] - cut].mean(1)
+        rows, at = np.nonzero((distances > self.far) & self.large)
+        out[rows, at] = np.floor(middle[rows] * self.factors[at])
+        return out
+
+
+def _dispersion_trend(mean: np.ndarray, alpha: np.ndarray, free: int) -> dict:
+    """Trend of log dispersions by log means at up to 200 knots, the spread around it, and the prior's variance."""
+    from tagtally.functions.tails import trigamma
+
+    keep = np.sort(np.unique(np.quantile(mean, np.linspace(0, 1, 200)))) if len(mean) else np.array([1.0])
+    line = np.interp(mean, keep, _trend_at(mean, alpha, keep)) if len(mean) else mean
+    left = np.log(np.maximum(alpha, 1e-8)) - np.log(line)
+    spread = float((1.4826 * np.median(np.abs(left - np.median(left)))) ** 2) if len(left) else 1.0
+    prior = max(spread - float(trigamma(np.array(max(1, free) / 2.0))), 0.25)
+    values = np.log(_trend_at(mean, alpha, keep)) if len(mean) else np.zeros(1)
+    return {"knots": np.log(keep), "values": values, "spread": spread, "prior": prior}
+
 
-    ``counts`` are ``feature, sample, replicate, condition, count``; ``factors`` ``sample, size_factor``. Features are
-    fitted in groups of a hash, each with all its libraries (their number is that of the design). The dispersion
-    trend and its prior need one number pair of each feature on the driver: their number is that of the features.
+def nb_contrasts(counts: DataFrame, factors: DataFrame, contrasts: dict[str, tuple[str, str]]) -> DataFrame:
+    """Negative-binomial models ``~ replicate + condition`` by feature, one for each named pair (test, base) of conditions.
 
-    ``pvalue`` is NULL where Cook's distance of a library in a cell of three or more (equal rows of the design) is
-    beyond the 99 % quantile of F; ``padj`` is NULL there and below the threshold of independent filtering.
+    ``contrast, feature, baseMean, dispersion, log2FoldChange, lfcSE, stat, pvalue, padj, outliers``. ``counts`` are
+    ``feature, sample, replicate, condition, count``; ``factors`` ``sample, size_factor``. Each pair is fitted to its own
+    libraries, and all pairs of a feature in the same passes: its counts are gathered once. The dispersion trend of a pair
+    and its prior need one number pair of each feature on the driver: their number is that of the features.
+
+    Counts whose Cook's distance is beyond the 99 % quantile of F are replaced where their cell (equal rows of the design) has
+    seven or more libraries, and the feature is fitted again; ``outliers`` counts them. In cells of three to six
+    libraries they make ``pvalue`` NULL instead; ``padj`` is NULL there and below the threshold of independent filtering.
     """
     import pandas as pd
 
-    from tagtally.functions.tails import f_sf, normal_sf, trigamma
+    from tagtally.functions.tails import normal_sf
     from tagtally.operators.counts import benjamini_hochberg
+    from tagtally.session import shared_folder
 
+    shared_folder(counts.sparkSession)
     kind = dict(counts.dtypes)["feature"]
-    design = counts.where(F.col("condition").isin(test, base)).select("sample", "replicate", "condition").distinct().join(factors, "sample").orderBy("sample").toPandas()
-    reps = sorted(design["replicate"].astype(str).unique())
-    x = np.column_stack([np.ones(len(design)), *[(design["replicate"].astype(str) == r).to_numpy(float) for r in reps[1:]], (design["condition"] == test).to_numpy(float)])
-    sf = design["size_factor"].to_numpy(float)
-    at = {s: i for i, s in enumerate(design["sample"])}
-    m, p = x.shape
-    cells = [np.flatnonzero((x == row).all(1)) for row in np.unique(x, axis=0)] if m else []
-    cells = [c for c in cells if len(c) >= 3 and m > p]  # the others have no Cook's distance to judge
-    lo, far = 0.0, 1e9
-    for _ in range(100 if cells else 0):
-        lo, far = (lo, (lo + far) / 2) if f_sf((lo + far) / 2, p, m - p) < 0.01 else ((lo + far) / 2, far)
-
-    def outlying(y, mu, alpha, cov):
-        if not cells:
-            return False
-        h = mu / (1 + alpha * mu) * np.einsum("ij,jk,ik->i", x, cov, x)
-        distance = (y - mu) ** 2 / (mu + _robust_dispersion(y / sf, cells) * mu**2) / p * h / (1 - h) ** 2
-        return distance[np.concatenate(cells)].max() > far
-
-    rows = counts.where(F.col("sample").isin(list(at))).groupBy("feature", "sample").agg(F.sum("count").alias("count"))
-    vectors = rows.groupBy("feature").agg(F.collect_list(F.struct("sample", "count")).alias("v"))
-
-    def dense(lists):
-        y = np.zeros((len(lists), len(at)))
-        for i, v in enumerate(lists):
-            for r in v:
-                y[i, at[r["sample"]]] = r["count"]
-        return np.round(y)
+    used = sorted({c for pair in contrasts.values() for c in pair})
+    libraries = counts.where(F.col("condition").isin(used)).select("sample", "replicate", "condition").distinct().join(factors, "sample").toPandas()
+    designs = {name: _Design(libraries, *pair) for name, pair in contrasts.items()}
+    rows = counts.where(F.col("condition").isin(used)).groupBy("feature", "sample").agg(F.sum("count").alias("count"))
+    vectors = rows.groupBy("feature").agg(F.collect_list(F.struct("sample", "count")).alias("v")).checkpoint()
 
     def first(batches):
         for pdf in batches:
-            y = dense(pdf["v"])
-            mean = (y / sf).mean(1)
-            some = mean > 0
-            y, mean = y[some], mean[some]
-            rough = np.maximum(1e-4, ((y / sf).var(1, ddof=1) - mean * (1 / sf).mean()) / mean**2)
-            _, _, mu = _fit_beta(y, x, sf, rough)
-            yield pd.DataFrame({"feature": pdf["feature"][some], "mean": mean, "alpha": _best_dispersion(y, mu, x)})
-
-    genewise = vectors.mapInPandas(first, f"feature {kind}, mean double, alpha double").persist()
-    table = genewise.select("mean", "alpha").toPandas()
-    mean, alpha = table["mean"].to_numpy(float), table["alpha"].to_numpy(float)
-    keep = np.sort(np.unique(np.quantile(mean, np.linspace(0, 1, 200)))) if len(mean) else np.array([1.0])
-    line = np.interp(mean, keep, _trend_at(mean, alpha, keep)) if len(mean) else mean
-    left = np.log(np.maximum(alpha, 1e-8)) - np.log(line)
-    spread = float((1.4826 * np.median(np.abs(left - np.median(left)))) ** 2) if len(left) else 1.0
-    prior = max(spread - float(trigamma(np.array(max(1, x.shape[0] - x.shape[1]) / 2.0))), 0.25)
-    knots, values = np.log(keep), np.log(_trend_at(mean, alpha, keep)) if len(mean) else np.zeros(1)
+            for name, d in designs.items():
+                y = d.dense(pdf["v"])
+                some = y.sum(1) > 0
+                if some.any():
+                    mean, alpha = d.rough(y[some])
+                    yield pd.DataFrame({"contrast": name, "feature": pdf["feature"][some], "mean": mean, "alpha": alpha})
+
+    genewise = vectors.mapInPandas(first, f"contrast string, feature {kind}, mean double, alpha double").checkpoint()
+    trends = {}
+    for name, d in designs.items():
+        table = genewise.where(F.col("contrast") == name).select("mean", "alpha").toPandas()
+        trends[name] = _dispersion_trend(table["mean"].to_numpy(float), table["alpha"].to_numpy(float), d.x.shape[0] - d.x.shape[1])
 
     def second(batches):
         for pdf in batches:
-            y, a = dense(pdf["v"]), pdf["alpha"].to_numpy(float)
-            t = np.interp(np.log(pdf["mean"].to_numpy(float)), knots, values)
-            _, _, mu = _fit_beta(y, x, sf, a)
-            final = np.where(np.log(np.maximum(a, 1e-8)) > t + 2 * math.sqrt(spread), a, _best_dispersion(y, mu, x, (t, prior)))
-            beta, cov, mu = _fit_beta(y, x, sf, final)
-            se = np.sqrt(cov[:, -1, -1])
-            z = beta[:, -1] / se
-            chance = np.where([outlying(*row) for row in zip(y, mu, final, cov)], np.nan, 2 * normal_sf(np.abs(z)))
-            yield pd.DataFrame({"feature": pdf["feature"], "baseMean": pdf["mean"], "dispersion": final, "log2FoldChange": beta[:, -1] / math.log(2), "lfcSE": se / math.log(2), "stat": z, "pvalue": chance})
-
-    fitted = vectors.join(genewise, "feature").mapInPandas(second, f"feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double").persist()
-    tested = fitted.select("baseMean", "pvalue").toPandas()  # a number pair of each feature, as above
-    zeros = counts.select("feature").distinct().count() - len(tested)
-    least = filter_threshold(tested["baseMean"].to_numpy(float), tested["pvalue"].to_numpy(float), zeros)
-    return benjamini_hochberg(fitted.withColumn("__p", F.when(F.col("baseMean") >= least, F.col("pvalue"))), "__p", "padj").drop("__p")
+            for name, own in pdf.groupby("contrast"):
+                d, trend = designs[name], trends[name]
+                y, mean, alpha = d.dense(own["v"]), own["mean"].to_numpy(float), own["alpha"].to_numpy(float)
+                final, beta, cov, mu = d.fitted(y, mean, alpha, trend)
+                distances = np.array([d.cook(*row) for row in zip(y, mu, final, cov)]).reshape(y.shape)
+                far = distances > d.far
+                outliers = (far & d.large).sum(1)
+                again = np.flatnonzero(outliers)
+                if len(again):
+                    z = d.replaced(y[again], distances[again])
+                    live = z.sum(1) > 0
+                    again, z = again[live], z[live]
+                if len(again):
+                    m, a = d.rough(z)
+                    final[again], beta[again], cov[again], _ = d.fitted(z, m, a, trend)
+                    mean = mean.copy()
+                    mean[again] = m
+                se = np.sqrt(cov[:, -1, -1])
+                stat = beta[:, -1] / se
+                chance = np.where((far & ~d.large).any(1), np.nan, 2 * normal_sf(np.abs(stat)))
+                yield pd.DataFrame({"contrast": name, "feature": own["feature"], "baseMean": mean, "dispersion": final, "log2FoldChange": beta[:, -1] / math.log(2), "lfcSE": se / math.log(2), "stat": stat, "pvalue": chance, "outliers": outliers})
+
+    schema = f"contrast string, feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double, outliers int"
+    fitted = vectors.join(genewise, "feature").mapInPandas(second, schema).checkpoint()
+    every = counts.select("feature").distinct().count()
+    least = F.lit(None).cast("double")
+    for name in designs:  # a number pair of each feature, as above
+        tested = fitted.where(F.col("contrast") == name).select("baseMean", "pvalue").toPandas()
+        cut = filter_threshold(tested["baseMean"].to_numpy(float), tested["pvalue"].to_numpy(float), every - len(tested))
+        least = F.when(F.col("contrast") == name, F.lit(cut)).otherwise(least)
+    fitted = fitted.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue")))
+    return benjamini_hochberg(fitted.withColumn("__p", F.when(F.col("baseMean") >= least, F.col("pvalue"))), "__p", "padj", "contrast").drop("__p")
+
+
+def nb_wald(counts: DataFrame, factors: DataFrame, test: str = "IP", base: str = "Input") -> DataFrame:
+    """``nb_contrasts`` for one pair of conditions."""
+    return nb_contrasts(counts, factors, {"": (test, base)}).drop("contrast")
 
 
 def _trend_at(mean: np.ndarray, alpha: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -71,7 +71,7 @@ def weighted_fit(logits: DataFrame, least: int = 4, pairs_in_all: int | None = N
     """
     sums = logits.groupBy("site").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("delta")).alias("swd"), F.sum(F.col("w") * F.col("delta") * F.col("delta")).alias("swdd"), F.sum("delta").alias("sd"))
     rows = sums.where(F.col("n") >= least).withColumn("beta", F.col("swd") / F.col("sw"))
-    rows = rows.withColumn("s2", F.greatest((F.col("swdd") - F.col("sw") * F.col("beta") * F.col("beta")) / (F.col("n") - 1), F.lit(0.0)))
+    rows = rows.withColumn("s2", F.greatest(ratio(F.col("swdd") - F.col("sw") * F.col("beta") * F.col("beta"), F.col("n") - 1), F.lit(0.0)))
     return rows.withColumn("amean", F.col("sd") / (F.lit(pairs_in_all) if pairs_in_all else F.col("n"))).select("site", "n", "sw", "beta", "s2", "amean")
 
 
@@ -108,7 +108,8 @@ def moderated(fit: DataFrame) -> DataFrame:
     """
     import numpy as np
 
-    from tagtally.functions.tails import digamma, t_two_sided_udf, trigamma, trigamma_inverse
+    from tagtally.functions.tail_columns import t_two_sided
+    from tagtally.functions.tails import digamma, trigamma, trigamma_inverse
     from tagtally.operators.counts import benjamini_hochberg
 
     usable = fit.where("s2 > 0").select("s2", "n", "amean").persist()
@@ -151,7 +152,7 @@ def moderated(fit: DataFrame) -> DataFrame:
             rows = rows.withColumn("s2_post", prior).withColumn("df", F.lit(float((d * times).sum())))
     usable.unpersist()
     rows = rows.withColumn("t", ratio(F.col("beta") * F.sqrt("sw"), F.sqrt("s2_post")))
-    return benjamini_hochberg(rows.withColumn("p", t_two_sided_udf()("t", "df")), "p", "padj")
+    return benjamini_hochberg(rows.withColumn("p", t_two_sided(F.col("t"), F.col("df"))), "p", "padj")
 
 
 def spline_basis(x, knots):
