@@ -15,9 +15,11 @@ and two linked sets share a token of their prefixes, whichever order it is. The
 
 Equal sets are one node, so copies cost nothing after the first stage. Tokens that are very frequent in some batch of
 texts form a bounded table that each task knows. The postings of a token that is in many sets never meet in one task,
-nor do the members of a large class: joins go around them by broadcasts of counted size. Tokens and sets are 64-bit
-fingerprints: two tokens of a pair of sets of 1,000 tokens agree by chance with 2**-44, two sets of a corpus of 10**9
-with 2**-5.
+nor do the members of a large class: joins go around them by broadcasts of counted size. In the exhaustive join a token in
+many sets is dealt out in blocks of sets, and the sets of its largest class are not paired with each other.
+
+A set's identity is 128 bits (two sets of a corpus of 10**10 agree by chance with 2**-62); sets that agree in the first 64
+only are told apart where they meet. Tokens have 64 bits: two tokens of a pair of sets of 1,000 agree with 2**-44.
 
 Defined results: a null or wordless text has no shingles and links with nothing; a text with fewer words than
 a shingle has its whole word sequence as its one token; repeated rows stay, one result each; a row whose id is
@@ -43,7 +45,7 @@ HOME_BYTES, FINER = 32 << 20, 4
 
 _CHUNK = "part int, home int, kind int, bid long, a binary, b binary, c binary, d binary"
 _DOC, _KEY, _ENTRY, _TOKEN, _ANON = 0, 1, 2, 3, 4
-_SETS = "kind int, doc_id long, n int, key long, pre int, light int, toks array<long>, pre2 array<int>, pre3 array<int>, parity array<long>"
+_SETS = "kind int, doc_id long, n int, key long, more long, pre int, light int, toks array<long>, pre2 array<int>, pre3 array<int>, parity array<long>"
 
 #: Bits of a set's parity map. The number of places where two maps differ never exceeds the number of tokens
 #: that only one of the sets has, so a pair whose maps differ too much cannot link.
@@ -69,6 +71,27 @@ def _sets(batches, id_column: str, text_column: str, width: int):
         trim()
 
 
+def _set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit fingerprints of a set of distinct tokens in order."""
+    first = int((s * (s >> np.uint64(7))).sum()) ^ int(np.bitwise_xor.reduce(s)) ^ len(s)
+    second = int(((s ^ (s >> np.uint64(33))) * ((s << np.uint64(11)) | np.uint64(1))).sum()) + len(s)
+    a, b = mix(np.array([first, second % 2**64], np.uint64)).tolist()
+    return a, b
+
+
+def _told_apart(keys: np.ndarray, others: np.ndarray, homes: int) -> np.ndarray:
+    """A key of 64 bits for each distinct pair of fingerprints, sorted by both: the first one's, or the next free one of the same home."""
+    out, clash = keys.copy(), np.r_[False, keys[1:] == keys[:-1]]
+    taken = set(keys.tolist()) if clash.any() else set()
+    for i in np.flatnonzero(clash).tolist():
+        k = int(keys[i])
+        while k in taken:  # all keys of a home are here, so a free one is free everywhere
+            k = k + homes if k + homes < 2**64 else k % homes
+        taken.add(k)
+        out[i] = k
+    return out
+
+
 def _runs(ordered: np.ndarray) -> np.ndarray:
     """Start of each run of equal values, and the length."""
     if not len(ordered):
@@ -123,28 +146,29 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
     # Tokens in more sets than this are heavy; there are fewer than eight of them for each task.
     heavy = max(HOT_ROWS, total // (8 * homes))
     table = spark.sparkContext.broadcast((often, places))
+    key_of = _set_key
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
     def scatter(batches):
         often, places = table.value
         for ids, missing, sets in _sets(batches, id_column, text_column, width):
             sizes = np.array([len(s) for s in sets], np.int32)
-            keys = np.zeros(len(sets), np.uint64)
-            new: dict[int, np.ndarray] = {}
+            keys, others = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            new: dict[tuple[int, int], np.ndarray] = {}
             for i, s in enumerate(sets):
                 if len(s):
-                    k = int(mix(np.array([int((s * (s >> np.uint64(7))).sum()) ^ int(np.bitwise_xor.reduce(s)) ^ len(s)], np.uint64))[0])
-                    keys[i] = k
+                    keys[i], others[i] = k = key_of(s)
                     new.setdefault(k, s)
             out = []
 
             def add(part, home, kind, bid, a, b=b"", c=b"", d=b""):
                 out.append((int(part), int(home), kind, int(bid), a, b, c, d))
 
-            names = np.sort(np.fromiter(new, np.uint64, len(new)))
+            held = sorted(new)
+            names, more = (np.array([k[i] for k in held], np.uint64) for i in (0, 1))
             home = (names % np.uint64(homes)).astype(np.int64)
             turn = np.argsort(home, kind="stable")
-            names, home = names[turn], home[turn]
+            names, more, home, held = names[turn], more[turn], home[turn], [new[held[i]] for i in turn.tolist()]
             edge = np.searchsorted(home, np.arange(homes + 1))
             index = (np.arange(len(names)) - edge[home]).astype(np.uint32)  # of a set among those of its home
             bid = int(mix(np.array([int((mix(keys) * np.arange(1, len(keys) + 1, dtype=np.uint64)).sum()) ^ (int(ids[0]) & (2**64 - 1))], np.uint64)).view(np.int64)[0])
@@ -152,13 +176,12 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
             for kind, mask in ((_DOC, ~missing), (_ANON, missing)):
                 for k in range(0, int(mask.sum()), 2048):
                     pick = np.flatnonzero(mask)[k : k + 2048]
-                    add(salt, (salt + k) % homes, kind, bid, planes(ids[pick]), planes(sizes[pick]), planes(keys[pick]))
+                    add(salt, (salt + k) % homes, kind, bid, planes(ids[pick]), planes(sizes[pick]), planes(keys[pick]), planes(others[pick]))
             if len(names):
-                held = [new[k] for k in names.tolist()]
                 lengths = np.array([len(s) for s in held], np.int32)
                 for h in np.flatnonzero(np.diff(edge)):
                     own = slice(edge[h], edge[h + 1])
-                    add(FINER * h + salt % FINER, h, _KEY, bid, planes(names[own]), planes(lengths[own]))
+                    add(FINER * h + salt % FINER, h, _KEY, bid, planes(names[own]), planes(lengths[own]), planes(more[own]))
                 tokens, owner = np.concatenate(held), np.repeat(np.arange(len(names), dtype=np.int32), lengths)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
@@ -212,11 +235,18 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         a, b, c, d = (group[x].to_pylist() for x in "abcd")
         part = lambda column, kind, dtype: np.concatenate([unplanes(column[i], dtype) for i in np.flatnonzero(which == kind)] or [np.zeros(0, dtype)])
         ids, anon = part(a, _DOC, np.int64), part(a, _ANON, np.int64)
-        sizes, keys = np.r_[part(b, _DOC, np.int32), part(b, _ANON, np.int32)], np.r_[part(c, _DOC, np.uint64), part(c, _ANON, np.uint64)]
+        sizes, keys, others = (np.r_[part(x, _DOC, t), part(x, _ANON, t)] for x, t in ((b, np.int32), (c, np.uint64), (d, np.uint64)))
         # Where an entry says (batch, index), the batch's list of sets has the key.
         heads = np.flatnonzero(which == _KEY)
         lists = [unplanes(a[i], np.uint64) for i in heads]
         listed, begin = np.concatenate(lists or [np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
+        seconds = part(c, _KEY, np.uint64)
+        order = np.lexsort((seconds, listed))
+        fresh = np.r_[True, (listed[order][1:] != listed[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])][: len(order)]
+        final = _told_apart(listed[order][fresh], seconds[order][fresh], homes)
+        moved = np.flatnonzero(final != listed[order][fresh])
+        old, old2, new = listed[order][fresh][moved], seconds[order][fresh][moved], final[moved]
+        listed[order] = final[np.cumsum(fresh) - 1]
         head_bids = group["bid"].to_numpy()[heads]
         turn = np.argsort(head_bids)
         bids = part(d, _ENTRY, np.int64)
@@ -250,10 +280,13 @@ def _prepared(docs: DataFrame, id_column: str, text_column: str, width: int, per
         n, m = len(ids) + len(anon), len(alive)
         null = lambda k, kind: pa.nulls(k, kind)
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), null(n, pa.int32()), null(n, pa.int32()), *[null(n, t) for t in (longs, ints, ints, longs)]]
-        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), pa.array(pres, pa.int32()), pa.array(lights, pa.int32()), *[pa.array(x, t) for x, t in zip(made, (longs, ints, ints, longs))]]
-        columns = ["kind", "doc_id", "n", "key", "pre", "light", "toks", "pre2", "pre3", "parity"]
-        return pa.concat_tables([pa.Table.from_arrays(docs_out, columns), pa.Table.from_arrays(keys_out, columns)])
+        docs_out = [pa.array(np.zeros(n, np.int32)), pa.concat_arrays([pa.array(ids), null(len(anon), pa.int64())]), pa.array(sizes), pa.array(keys.view(np.int64), mask=sizes == 0), pa.array(others.view(np.int64)), null(n, pa.int32()), null(n, pa.int32()), *[null(n, t) for t in (longs, ints, ints, longs)]]
+        keys_out = [pa.array(np.ones(m, np.int32)), null(m, pa.int64()), pa.array(lengths[alive]), pa.array(names[alive].view(np.int64)), null(m, pa.int64()), pa.array(pres, pa.int32()), pa.array(lights, pa.int32()), *[pa.array(x, t) for x, t in zip(made, (longs, ints, ints, longs))]]
+        # Different sets with one first fingerprint: which of them has another key from here on.
+        k = len(moved)
+        moved_out = [pa.array(np.full(k, 2, np.int32)), pa.array(new.view(np.int64)), null(k, pa.int32()), pa.array(old.view(np.int64)), pa.array(old2.view(np.int64)), null(k, pa.int32()), null(k, pa.int32()), *[null(k, t) for t in (longs, ints, ints, longs)]]
+        columns = ["kind", "doc_id", "n", "key", "more", "pre", "light", "toks", "pre2", "pre3", "parity"]
+        return pa.concat_tables([pa.Table.from_arrays(x, columns) for x in (docs_out, keys_out, moved_out)])
 
     return durable(
         docs.select(id_column, text_column).mapInArrow(scatter, _CHUNK)
@@ -326,10 +359,51 @@ def _mixed(posted: DataFrame) -> DataFrame:
     return _joined(posted, *tokens, how="left_semi")
 
 
+#: Sets of a token that one task pairs with its other sets at once.
+CROWD = 1024
+
+
+def _meetings(rich: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+    """Sides and keys of the joins whose pairs are looked at; ``rich`` holds the postings of prefix tokens in the first order.
+
+    The left side of a token in more than ``CROWD`` sets is dealt out in blocks of some so many, each of which meets all of the right side.
+    Of such a token's sets those of its largest class are not paired with each other: they are linked already.
+    """
+    short = F.expr(f"pos <= s - ceil(2 * {percent} * cast(n as long) / {100 + percent})")
+    sizes = rich.groupBy("token").agg(F.count("*").alias("m"))
+    crowded = sizes.where(F.col("m") > CROWD)
+    if not crowded.take(1):
+        return [(rich.where(short), rich, ["token"])]
+    hot = hot_keys(crowded, "token", "m")
+    by_label = rich.join(crowded.select("token"), "token", "left_semi").groupBy("token", "label").agg(F.count("*").alias("c"))
+    found = crowded.join(by_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most")), "token")
+    rich = durable(spread_join(rich, durable(found), "token", hot, "left"))
+    few, many = rich.where("m is null").drop("m", "most"), rich.where("m is not null").withColumn("blocks", F.ceil(F.col("m") / CROWD).cast("int")).withColumn("main", F.col("label") == F.col("most")).drop("m", "most")
+    dealt = many.where(short).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    spread = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = ["token", "block"]
+    return [(few.where(short), few, ["token"]), (dealt.where("not main"), spread, by), (dealt.where("main"), spread.where("not main"), by)]
+
+
+def _met(left: DataFrame, right: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Pairs (u, v) of keys of different classes on the two sides that sizes, positions and parity maps allow."""
+    columns = ["key", "n", "s", "pos", "label", "parity"]
+    a = left.select(*by, *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = right.select(*by, *[F.col(c).alias(f"{c}_b") for c in columns])
+    bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
+    bound += f" and label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b"
+    bound += " and " + _NEAR.format(percent=percent, whole=100 + percent)
+    return a.join(b, by).where(bound).select(F.col("key_a").alias("u"), F.col("key_b").alias("v"))
+
+
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
     rows = _prepared(docs, id_column, text_column, width, percent)
-    texts = rows.where("kind = 0").select("doc_id", "n", "key")
+    texts = rows.where("kind = 0").select("doc_id", "n", "key", "more")
+    moved = rows.where("kind = 2").select("key", "more", F.col("doc_id").alias("own"))
+    if moved.take(1):
+        texts = texts.join(moved, ["key", "more"], "left").withColumn("key", F.coalesce("own", "key")).drop("own")
+    texts = texts.drop("more")
     sets = rows.where("kind = 1").select("key", "n", "pre", "light", "toks", "pre2", "pre3", "parity")
 
     prefix = F.posexplode(F.slice("toks", F.lit(1), F.col("pre"))).alias("pos", "token")
@@ -347,13 +421,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     # Every pair of sets of different classes that shares a prefix token, the smaller set by its shorter index prefix.
     rich = sets.select("key", "n", F.size("toks").alias("s"), "parity", "light", prefix).withColumn("heavy", F.expr("pos >= light"))
     rich = durable(_mixed(_labelled(rich, classes)).drop("heavy", "light"))
-    columns = ["key", "n", "s", "pos", "label", "parity"]
-    smaller = rich.where(f"pos <= s - ceil(2 * {percent} * cast(n as long) / {100 + percent})")
-    a = smaller.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = rich.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
-    bound = f"{100 + percent} * cast(least(s_a - pos_a, s_b - pos_b) as long) >= {percent} * cast(n_a + n_b as long)"
-    pairs = a.join(b, "token").where(f"label_a <> label_b and (n_a < n_b or (n_a = n_b and key_a < key_b)) and 100 * n_a >= {percent} * n_b and {bound} and " + _NEAR.format(percent=percent, whole=100 + percent))
-    pairs = pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
+    pairs = None
+    for left, right, by in _meetings(rich, percent):
+        met = _met(left, right, by, percent)
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.distinct()
     classes = merged_components(classes, _verified(pairs, sets, percent))
 
     named = texts.groupBy("key").agg(F.min("doc_id").alias("low")).where("key is not null")

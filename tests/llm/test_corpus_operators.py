@@ -697,3 +697,52 @@ def test_distinct_documents_of_repeated_ids(spark):
     assert len(one) == 1 and one[0][1] in (c, c + " y")
     assert [x for x in got if x[0] is not None] == sorted([(1, a), (1, a), (2, b), (4, ""), (5, None), (6, ""), (7, "two words")], key=repr)
     assert "shard" in distinct_documents(docs_of(spark, rows)).columns
+
+
+def test_sets_with_one_first_fingerprint_stay_apart(spark, texts, monkeypatch):
+    """All sets get one key: the second fingerprint tells them apart, so the result is as before."""
+    from tagtally.llm import jaccard_join
+
+    docs = docs_of(spark, texts)
+    want = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=repr)
+    real = jaccard_join._set_key
+
+    def one(s):
+        return 2**64 - 3, real(s)[1]
+
+    monkeypatch.setattr(jaccard_join, "_set_key", one)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=repr) == want
+    monkeypatch.setattr(jaccard_join, "_set_key", lambda s: (real(s)[0] % 3, real(s)[1]))
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=repr) == want
+
+
+def test_crowded_tokens_meet_in_blocks(spark, texts, monkeypatch):
+    from tagtally.llm import jaccard_join
+
+    want = sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, texts)).collect()), key=repr)
+    monkeypatch.setattr(jaccard_join, "HUBS_LOOKED_AT", 0)  # all links come from the joins
+    for crowd in (256, 4, 1):
+        monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+        assert sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, texts)).collect()), key=repr) == want
+
+
+def test_blocks_of_a_crowded_token_are_bounded(spark, monkeypatch):
+    """Texts of ten out of forty sentences: no block's left side is much larger than CROWD, and one class is not paired within."""
+    from tagtally.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    rows = []
+    for token in range(6):
+        for k in range(200):
+            rows.append((token, token * 1000 + k, 20, 20, 0, 1 if k % 4 else 100 + k, [0] * 16))
+    rich = spark.createDataFrame(rows, "token long, key long, n int, s int, pos int, label long, parity array<long>")
+    met = set()
+    for left, right, by in jaccard_join._meetings(rich, 75):
+        cells = left.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        assert cells <= 40
+        both = left.select(*by, F.col("key").alias("u"), F.col("label").alias("lu")).join(right.select(*by, F.col("key").alias("v"), F.col("label").alias("lv")), by)
+        pairs = [(r.u, r.v, r.lu, r.lv) for r in both.where("u <> v").collect()]
+        assert not any(a == b == 1 for _, _, a, b in pairs) and len(pairs) == len(set(pairs))
+        met |= {(u, v) for u, v, a, b in pairs if a != b}
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[5] != b[5]}
+    assert met == want
