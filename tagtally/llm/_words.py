@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of texts that are worked on at once.
+SLICE = 256 << 10
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -52,18 +55,41 @@ class Words:
             n = max(n, 1 << 16)
             self.powers, self.inverse = _geometric(_BASE, n), _geometric(pow(_BASE, -1, 2**64), n)
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of all words in order, and for each text where its words begin (one entry more)."""
-        prints, counts, i, most = [], [np.zeros(1, np.int64)], 0, 256 << 10
+    def words(self, data: np.ndarray, offsets: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of all words (of their first ``size`` bytes) in order, and for each text where its words begin (one entry more).
+
+        A long text is worked on in slices that end behind white space, so that only its words' fingerprints grow with it.
+        """
+        prints, counts, i = [], [np.zeros(1, np.int64)], 0
         while i < len(offsets) - 1:
-            j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-            j = min(max(j, i + 1), len(offsets) - 1)
-            h, bounds = self._words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            j = int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1
+            if j <= i:
+                found = [self._words(part, np.array([0, len(part)]), size)[0] for part in self.slices(data[offsets[i] : offsets[i + 1]])]
+                prints += found
+                counts.append(np.array([sum(map(len, found))]))
+                i += 1
+                continue
+            h, bounds = self._words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
             prints.append(h)
             counts.append(np.diff(bounds))
             i = j
         return (np.concatenate(prints) if prints else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(counts))
 
+    def slices(self, data: np.ndarray):
+        """A text in slices of about ``SLICE`` bytes that end behind white space; a longer word stays whole."""
+        at = 0
+        while at < len(data):
+            stop, step = min(at + SLICE, len(data)), SLICE
+            while stop < len(data):
+                spaces = np.flatnonzero(~self.solid[data[at:stop]])
+                if len(spaces):
+                    stop = at + int(spaces[-1]) + 1
+                    break
+                step *= 2
+                stop = min(at + step, len(data))
+            yield data[at:stop]
+            at = stop
+
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte start and end of every word, and for each text where its words begin (one entry more)."""
         n = len(data)
@@ -82,13 +108,7 @@ class Words:
 
     def beginnings(self, data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
         """Fingerprints of the first ``size`` bytes of all words, in the order of ``words``."""
-        prints, i, most = [np.zeros(0, np.uint64)], 0, 256 << 10
-        while i < len(offsets) - 1:
-            j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-            j = min(max(j, i + 1), len(offsets) - 1)
-            prints.append(self._words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)[0])
-            i = j
-        return np.concatenate(prints)
+        return self.words(data, offsets, size)[0]
 
     def _words(self, data: np.ndarray, offsets: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         s, e, bounds = self.spans(data, offsets)

@@ -11,6 +11,9 @@ Texts are cut where a space precedes something that is no white space: a pre-tok
 so a piece between cuts can be looked up whole. A text in which white space stands where a piece begins is
 split by the pre-token pattern itself. Special tokens are matched in the text first, leftmost and longest.
 
+A text of more than ``SLICE`` characters is encoded in slices that end where a pre-token begins; its ids, digests and decoded
+text are those of the whole. Only a run without such a place, such as one word of many megabytes, is worked on in one piece.
+
 Defined results: a null text is empty, an empty text has no tokens; texts of any length are encoded whole;
 repeated rows give repeated results; other columns are kept by ``encode`` and not read by ``digests``.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ from tagtally.llm._common import bounded_batches, trim
 #: The pre-token pattern of byte-level BPE, a fixed value of the public format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces whose encoding a task keeps at most.
-KEEP = 200_000
+#: Pieces whose encoding a task keeps at most, and characters that are encoded at once.
+KEEP, SLICE = 200_000, 1 << 20
+
+_PLACES = re.compile(r" (?=\w)|(?<=\S)\n(?=\w)")
 
 
 def byte_symbols() -> list[str]:
@@ -172,6 +178,37 @@ class Encoder:
         return [b"".join([b"".join(map(get, run)) if type(run) is list else run for run in runs]) for runs in plain]
 
 
+def slices(text: str, special: list[str]):
+    """A long text in slices that no pre-token and no special token crosses.
+
+    A pre-token begins wherever a space, or a line end behind no white space, stands before a letter, digit or underscore: with the space, or
+    behind the line end. A slice without such a place grows until it has one.
+    """
+    reach = max(map(len, special), default=0)
+    at = 0
+    while at < len(text):
+        stop, step, seen = at + SLICE, SLICE, max(at + 1, at + SLICE - 4096)
+        while stop < len(text):
+            places = [m.end() if m[0] == "\n" else m.start() for m in _PLACES.finditer(text, seen, stop)]
+            places = [p for p in places if p > at and not any(p - reach < k < p < k + len(t) for t in special for k in _found(t, text, p - reach, p + reach))]
+            if places:
+                stop = places[-1]
+                break
+            step *= 2
+            seen, stop = max(at + 1, stop - 2), at + step
+        yield text[at:stop]
+        at = stop
+
+
+def _found(what: str, text: str, lo: int, hi: int) -> list[int]:
+    """Where something begins in a stretch of a text."""
+    out, at = [], text.find(what, max(lo, 0), hi)
+    while at >= 0:
+        out.append(at)
+        at = text.find(what, at + 1, hi)
+    return out
+
+
 class Decoder:
     """Ids back to text: the bytes of the tokens, joined; bytes that are no UTF-8 become U+FFFD."""
 
@@ -182,11 +219,14 @@ class Decoder:
         return b"".join(map(self.get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _batches(column: pa.Array, most: int = 1 << 20):
-    """Texts of a column, in runs of about ``most`` characters."""
-    run, size = [], 0
+def _batches(column: pa.Array):
+    """Texts of a column, in runs of about ``SLICE`` characters; a longer text comes alone."""
+    run, size, most = [], 0, SLICE
     for text in column:
         text = text.as_py() or ""
+        if len(text) > most and run:
+            yield run
+            run, size = [], 0
         run.append(text)
         size += len(text)
         if size >= most:
@@ -207,14 +247,22 @@ def _applied(docs: DataFrame, path: str, text_column: str, keep: list[str], sche
         for batch in batches:
             column, done = batch.column(batch.schema.get_field_index(text_column)), 0
             for texts in _batches(column):
-                ids = encoder.encode(texts)
-                decoded = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
-                made = [
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array(decoded),
-                    *([pa.array(ids, pa.binary())] if with_ids else []),
-                ]
+                parts = [slices(texts[0], list(v.special))] if len(texts[0]) > SLICE else [[t] for t in texts]
+                # Short texts are encoded together; the slices of a long one one after the other.
+                known = None if len(texts[0]) > SLICE else iter(encoder.encode(texts))
+                rows_made = []
+                for run_of in parts:
+                    n, of_ids, of_text, held = 0, hashlib.sha256(), hashlib.sha256(), []
+                    for part in run_of:
+                        ids = next(known) if known is not None else encoder.encode([part])[0]
+                        n += len(ids) // 4
+                        of_ids.update(ids)
+                        of_text.update(decoder.decode(ids).encode())
+                        if with_ids:
+                            held.append(ids)
+                    rows_made.append((n, of_ids.hexdigest(), of_text.hexdigest(), b"".join(held)))
+                kinds_made = [pa.int64(), pa.string(), pa.string(), pa.binary()][: 4 if with_ids else 3]
+                made = [pa.array([r[i] for r in rows_made], k) for i, k in enumerate(kinds_made)]
                 rows = batch.slice(done, len(texts))
                 yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], *made], [*keep, *names])
                 done += len(texts)

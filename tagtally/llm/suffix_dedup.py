@@ -49,6 +49,9 @@ HOME_BYTES = 32 << 20
 #: Bytes that one suffix sort takes together (a larger group of one fingerprint is sorted alone).
 SORT_BYTES = 256 << 10
 
+#: Bytes of texts whose fingerprints are made at once.
+SLICE = 256 << 10
+
 _LAST = 2**63 - 1
 
 
@@ -72,10 +75,20 @@ class Runs:
 
     def of(self, data: np.ndarray, offsets: np.ndarray):
         """Arrays ``text, start, size, print, own`` over all runs, start within the text."""
-        out, i, most = [], 0, 256 << 10
+        out, i, most = [], 0, SLICE
         while i < len(offsets) - 1:
             j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-            j = min(max(j, i + 1), len(offsets) - 1)
+            if j <= i:
+                # A long text slides by: each slice holds the strings that start in it, so only its runs grow with the text.
+                for at in range(0, int(offsets[i + 1] - offsets[i]), most):
+                    part = data[offsets[i] + at : min(offsets[i] + at + most + LENGTH - 1, offsets[i + 1])]
+                    found = self._of(part, np.array([0, len(part)]))
+                    if found is not None:
+                        found[0] += i
+                        found[1] += at
+                        out.append(found)
+                i += 1
+                continue
             found = self._of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if found is not None:
                 found[0] += i

@@ -33,6 +33,8 @@ from tagtally.llm._words import Words, mix
 SAMPLE_ROWS, SAMPLE_BYTES = {0: 4000, 1: 2000}, 32 << 20
 BUCKETS, SIZE, FILTERS, WIDTHS, STEM = 1 << 18, 4, 4, (1, 2, 3), 6
 THRESHOLD = 0.7
+#: Words whose responses are made at once.
+PART = 100_000
 
 _PAD = 0
 
@@ -54,8 +56,8 @@ def _buckets(h: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a, b, c
 
 
-def _responses(tables: list[list[np.ndarray]], a: np.ndarray, b: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Max-pooled responses (texts x filters of all widths).
+def _responses(tables: list[list[np.ndarray]], a: np.ndarray, b: np.ndarray, c: np.ndarray, bounds: np.ndarray, windows: int | None = None) -> np.ndarray:
+    """Max-pooled responses (texts x filters of all widths); of a part of one text, those of the first ``windows`` words.
 
     ``tables[w][j]`` is the response of each table row as the j-th word under filters of the w-th width.
     """
@@ -74,7 +76,7 @@ def _responses(tables: list[list[np.ndarray]], a: np.ndarray, b: np.ndarray, c:
             r = r + x
         top = np.zeros((texts, r.shape[1]), np.float32)
         if some.any():
-            top[some] = np.maximum.reduceat(r, bounds[:-1][some])
+            top[some] = np.maximum.reduceat(r[:windows], bounds[:-1][some])
         pooled.append(np.maximum(top, 0))
     return np.concatenate(pooled, 1)
 
@@ -202,10 +204,17 @@ def _logits(model: dict, tables: list[list[np.ndarray]], words: Words, data: np.
     h, bounds = words.words(data, offsets)
     stems = words.beginnings(data, offsets, STEM)
     out, i = [], 0
-    while i < len(bounds) - 1:  # texts of some 100,000 words at a time; a longer text alone
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 100_000, "right")) - 1)
-        own = slice(bounds[i], bounds[j])
-        pooled = _responses(tables, *_buckets(h[own], stems[own]), bounds[i : j + 1] - bounds[i])
+    while i < len(bounds) - 1:  # texts of some 100,000 words at a time; a longer text in parts, with the words that the last windows reach into
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PART, "right")) - 1)
+        if bounds[j] - bounds[i] > PART:
+            pooled = None
+            for at in range(int(bounds[i]), int(bounds[j]), PART):
+                own = slice(at, min(at + PART + max(WIDTHS) - 1, bounds[j]))
+                part = _responses(tables, *_buckets(h[own], stems[own]), np.array([0, own.stop - at]), PART)
+                pooled = part if pooled is None else np.maximum(pooled, part)
+        else:
+            own = slice(bounds[i], bounds[j])
+            pooled = _responses(tables, *_buckets(h[own], stems[own]), bounds[i : j + 1] - bounds[i])
         # Sums in a fixed order, so that a text's score does not depend on the texts beside it.
         z = np.full(j - i, model["bias"], np.float64)
         for c, w in enumerate(model["weights"]):

@@ -746,3 +746,89 @@ def test_blocks_of_a_crowded_token_are_bounded(spark, monkeypatch):
         met |= {(u, v) for u, v, a, b in pairs if a != b}
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[5] != b[5]}
     assert met == want
+
+
+# ---------------------------------------------------------------- very long texts
+
+
+def mixed_text(rng, n):
+    parts = ["word", "don't", "12", "\n", "\n\n", "  ", " \n ", "\t", "日本語", "é", "🙂", "<|endoftext|>", "a_b", "...", "\x1c", "\x85", "\u3000", "x" * 90, "The", "we'll"]
+    return "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(n))
+
+
+def test_slices_of_a_long_text_encode_like_the_whole(spark, monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    from tagtally.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(str(path))
+    v = bpe.Vocabulary(path)
+    rng = random.Random(4)
+    for size in (5, 40, 333):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        for _ in range(40):
+            text = mixed_text(rng, 120)
+            cut = list(bpe.slices(text, list(v.special)))
+            assert "".join(cut) == text and len(cut) > 1
+            encoder = bpe.Encoder(v)
+            ids = [i for part in cut for i in np.frombuffer(encoder.encode([part])[0], "<u4").tolist()]
+            assert ids == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_slices_give_equal_words_runs_and_scores(monkeypatch):
+    from tagtally.llm import _words, suffix_dedup, toxicity
+
+    rng = random.Random(6)
+    text = " ".join(f"W{rng.randrange(300)}x" * rng.choice([1, 1, 9]) for _ in range(4000)).encode()
+    data, offsets = np.frombuffer(text * 2, np.uint8), np.array([0, 10, len(text) * 2])
+    want_words, want_stems = _words.Words().words(data, offsets), _words.Words().beginnings(data, offsets, 3)
+    whole = suffix_dedup.Runs().of(data, offsets)
+    model = {"embedding": np.random.default_rng(1).normal(size=(toxicity.BUCKETS, toxicity.SIZE)).astype(np.float32), "bias": 0.1, "weights": [0.1 * i for i in range(toxicity.FILTERS * len(toxicity.WIDTHS))]}
+    model["filters"] = [[np.random.default_rng(w * 10 + j).normal(size=(toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for j in range(w)] for w in toxicity.WIDTHS]
+    tables = toxicity._tables(model)
+    want = toxicity._logits(model, tables, toxicity._folded(), data, offsets)
+    covered = lambda r: {(int(t), int(s) + k, int(p)) for t, s, n, p in zip(*r[:4]) for k in range(int(n))}
+    for size in (100, 1000, 7777):
+        monkeypatch.setattr(_words, "SLICE", size)
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        monkeypatch.setattr(toxicity, "PART", size)
+        got = _words.Words().words(data, offsets)
+        assert all((a == b).all() for a, b in zip(got, want_words)) and (_words.Words().beginnings(data, offsets, 3) == want_stems).all()
+        assert (toxicity._logits(model, tables, toxicity._folded(), data, offsets) == want).all()
+        # The same strings in runs of the same fingerprints, whatever the runs' borders are.
+        assert covered(suffix_dedup.Runs().of(data, offsets)) == covered(whole)
+
+
+LIMITED = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import numpy as np
+from tagtally.llm import bpe, suffix_dedup, toxicity, _words
+rng = np.random.default_rng(1)
+words = np.array([bytes(rng.integers(97, 123, 7, np.uint8)) + b" " for _ in range(50_000)])
+data = np.concatenate([np.frombuffer(b"".join(words[rng.integers(0, 50_000, 8 << 20)].tolist()), np.uint8)])[: 64 << 20]
+import public_tokenizers
+v = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+used = int(open("/proc/self/statm").read().split()[0]) * 4096
+resource.setrlimit(resource.RLIMIT_AS, (used + {room}, used + {room}))
+offsets = np.array([0, len(data)])
+{what}
+print("done")
+"""
+
+
+@pytest.mark.parametrize("what,room", [
+    ("h, b = _words.Words().words(data, offsets); assert len(h) > 7_000_000", 500 << 20),
+    ("r = suffix_dedup.Runs().of(data, offsets); assert len(r[0]) > 1000", 700 << 20),
+    ("e = bpe.Encoder(v); n = sum(len(e.encode([p])[0]) // 4 for p in bpe.slices(bytes(data[: 16 << 20]).decode(), list(v.special))); assert n > 1_000_000", 700 << 20),
+])
+def test_a_text_of_64_mb_needs_bounded_memory(what, room):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = LIMITED.format(root=str(Path(__file__).resolve().parents[2]), what=what, room=room)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**__import__("os").environ, "OPENBLAS_NUM_THREADS": "1"})
+    assert out.stdout.strip() == "done", out.stderr[-2000:]
