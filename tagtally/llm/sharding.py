@@ -1,15 +1,19 @@
 """Sharded storage of a growing corpus by size-tiered compaction.
 
-Arrivals are appended as small immutable Parquet shards. A manifest is an immutable, numbered list of the live
-shards with their rows and bytes; readers take the newest one and read exactly its shards, so they never see half
-of a change. Compaction looks at shards below the target size in tiers (powers of ``fan`` of their size), and
+Arrivals are appended as small immutable Parquet shards. A version of the corpus is an immutable, numbered manifest that names
+segments: a segment lists shards that came, with their rows and bytes, and shards that went. A commit writes one segment
+and a short manifest; segments of similar size are merged as they gather, so a manifest names a number of segments that grows with the
+logarithm of the commits, and what a commit writes does not grow with the corpus. Readers take the newest manifest and read
+exactly its shards, so they never see half of a change. Compaction looks at shards below the target size in tiers (powers of ``fan`` of their size), and
 merges runs of at least ``fan`` shards of a tier, in order of arrival, into files near the target size; the new
 manifest replaces the merged shards by the merged files. A commit writes the manifest under a temporary name and
 gives it the next number; that fails if another writer was first, and the change is tried again on top.
 
 Files are listed, read and moved through Spark's own file-system layer. The name of a manifest is given once: on
 HDFS and stores with an atomic rename by a rename that fails where the target exists, on a local disk by a hard link.
-A store that has neither needs one writer at a time. Plans have one line for each shard, never for rows.
+A store that has neither needs one writer at a time. Plans have one line for each shard, never for rows. A writer that dies
+before its commit leaves files that no manifest names; ``vacuum`` lists the folders and removes what no kept version
+names, once it is older than a grace time, which must be longer than any write takes.
 
 Defined results: appending no rows adds no shard; repeated rows stay; nulls too. The schema of the corpus is the union
 of the appended ones, by name: a column that some rows were written without is null there, and a column that comes
@@ -40,7 +44,7 @@ def merged_schema(old: StructType | None, new: StructType) -> StructType:
 
 
 class Shards:
-    """A corpus under one folder: ``shards/`` holds immutable files, ``manifests/`` the numbered lists."""
+    """A corpus under one folder: ``shards/`` holds immutable files, ``segments/`` lists of them, ``manifests/`` the numbered versions."""
 
     def __init__(self, spark: SparkSession, folder: str, target_bytes: int = 128 << 20, fan: int = 4, least_bytes: int = 1 << 20):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -54,26 +58,68 @@ class Shards:
 
     def version(self) -> int:
         """Number of the newest manifest; 0 before the first commit."""
+        return max([0, *self._versions()])
+
+    def _versions(self) -> list[int]:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
-        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
+        return [int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")]
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"{self.folder}/manifests/v{version:08d}.json"))
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _store(self, name: str, made: dict) -> None:
+        stream = self._fs.create(self._path(f"{self.folder}/{name}"), False)
+        stream.write(bytearray(json.dumps(made).encode()))
+        stream.close()
+
+    def root(self, version: int | None = None) -> dict:
+        """A manifest as it is stored: version, schema, next number of arrival, and its segments."""
+        version = self.version() if version is None else version
+        return self._load(f"manifests/v{version:08d}.json") if version else {"version": 0, "schema": None, "next": 1, "segments": []}
+
+    def manifest(self, version: int | None = None) -> dict:
+        """A version with all its shards in order of arrival."""
+        root = self.root(version)
+        return {k: v for k, v in root.items() if k != "segments"} | {"shards": self._shards(root["segments"])}
+
+    def _shards(self, segments: list[dict]) -> list[dict]:
+        came, gone = {}, set()
+        for x in segments:
+            segment = self._load(f"segments/{x['name']}.json")
+            came |= {s["file"]: s for s in segment["came"]}
+            gone |= set(segment["gone"])
+        return sorted((s for f, s in came.items() if f not in gone), key=lambda s: s["arrival"])
+
+    def _segment(self, came: list[dict], gone: list[str]) -> dict:
+        name = uuid.uuid4().hex
+        self._store(f"segments/{name}.json", {"came": came, "gone": gone})
+        return {"name": name, "lines": len(came) + len(gone)}
+
+    def _gathered(self, segments: list[dict]) -> list[dict]:
+        """Segments with the last ones merged while each is not much larger than all behind it; shards that came and went in them are forgotten."""
+        at, behind = len(segments), 0
+        while at > 0 and segments[at - 1]["lines"] <= self.fan * max(behind, 1):
+            at -= 1
+            behind += segments[at]["lines"]
+        if len(segments) - at <= self.fan:
+            return segments
+        came, gone = {}, []
+        for x in segments[at:]:
+            segment = self._load(f"segments/{x['name']}.json")
+            came |= {s["file"]: s for s in segment["came"]}
+            gone += [f for f in segment["gone"] if came.pop(f, None) is None]
+        return [*segments[:at], self._segment(list(came.values()), gone)]
+
     def _commit(self, made: dict) -> bool:
         """Publish a manifest as the next version; False if another writer has published that number."""
         name = self._path(f"{self.folder}/manifests/v{made['version']:08d}.json")
-        draft = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(made | {"at": time.time()}).encode()))
-        stream.close()
+        draft = f"manifests/.{uuid.uuid4().hex}"
+        self._store(draft, made | {"at": time.time()})
+        draft = self._path(f"{self.folder}/{draft}")
         try:
             self._publish(draft, name)
         except Exception as e:
@@ -100,40 +146,60 @@ class Shards:
             context.rename(draft, name, options)
 
     def _change(self, change) -> dict | None:
-        """Apply ``change(manifest) -> parts of the next`` to the newest until a commit goes through; None if it gives up."""
+        """Apply ``change(root) -> schema, next arrival, shards that come, files that go`` to the newest until a commit goes through; None if it gives up."""
         while True:
-            last = self.manifest()
+            last = self.root()
             parts = change(last)
             if parts is None:
                 return None
-            made = {"version": last["version"] + 1, **parts}
+            schema, after, came, gone = parts
+            segments = self._gathered([*last["segments"], self._segment(came, gone)])
+            made = {"version": last["version"] + 1, "schema": schema, "next": after, "segments": segments}
             if self._commit(made):
                 return made
 
     # -- writing
 
-    def _written(self, rows: DataFrame, label: str) -> list[dict]:
-        """Write rows as immutable files in a folder of their own and list them."""
-        name = f"{label}-{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(f"{self.folder}/shards/{name}")
-        files = [f for f in self._fs.listStatus(self._path(f"{self.folder}/shards/{name}")) if f.getPath().getName().endswith(".parquet")]
-        return [{"file": f"{name}/{f.getPath().getName()}", "bytes": f.getLen()} for f in sorted(files, key=lambda f: f.getPath().getName())]
+    def _listed(self, folder: str) -> list[dict]:
+        """The data files of a folder of shards, in order of name, with bytes, and rows from their footers."""
+        where = self._path(f"{self.folder}/shards/{folder}")
+        files = [f for f in self._fs.listStatus(where) if f.getPath().getName().endswith(".parquet")] if self._fs.exists(where) else []
+        if not files:
+            return []
+        # No column is read, so footers give the counts; a number comes back for each file.
+        counted = self.spark.read.parquet(*[f.getPath().toString() for f in files]).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+        rows = {r["f"]: r["count"] for r in counted}
+        named = sorted((f.getPath().getName(), f.getLen()) for f in files)
+        return [{"file": f"{folder}/{name}", "bytes": size, "rows": rows.get(name, 0)} for name, size in named if rows.get(name, 0)]
+
+    def stage(self, rows: DataFrame, by: str | None = None) -> dict:
+        """Write rows as immutable files that no version names yet: lists of files by the value of an integer column ``by``, which stays in the rows."""
+        name = f"in-{uuid.uuid4().hex}"
+        if by is None:
+            rows.write.mode("errorifexists").parquet(f"{self.folder}/shards/{name}")
+            return {None: self._listed(name)}
+        part = f"part_{uuid.uuid4().hex}"
+        rows.withColumn(part, F.col(f"`{by}`")).write.mode("errorifexists").partitionBy(part).parquet(f"{self.folder}/shards/{name}")
+        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.folder}/shards/{name}")) if f.isDirectory()]
+        return {int(f.split("=")[1]): self._listed(f"{name}/{f}") for f in found if f.startswith(f"{part}=")}
+
+    def adopt(self, files: list[dict], schema: StructType) -> dict:
+        """Commit staged files as the next arrivals; no files are no change."""
+        if not files:
+            return self.root()
+
+        def change(last: dict):
+            known = StructType.fromJson(json.loads(last["schema"])) if last["schema"] else None
+            at = last["next"]
+            return merged_schema(known, schema).json(), at + len(files), [s | {"arrival": at + i} for i, s in enumerate(files)], []
+
+        return self._change(change)
 
     def append(self, rows: DataFrame) -> dict:
         """Add rows as small shards, one for each input partition that has rows, and commit."""
-        last = self.manifest()
+        last = self.root()
         merged_schema(StructType.fromJson(json.loads(last["schema"])) if last["schema"] else None, rows.schema)  # fails before anything is written
-        if not rows.take(1):
-            return last
-        new = self._written(rows, "in")
-        schema = rows.schema
-
-        def change(last: dict) -> dict:
-            at = 1 + max([0, *(s["arrival"] for s in last["shards"])])
-            known = StructType.fromJson(json.loads(last["schema"])) if last["schema"] else None
-            return {"schema": merged_schema(known, schema).json(), "shards": last["shards"] + [s | {"arrival": at + i} for i, s in enumerate(new)]}
-
-        return self._change(change)
+        return self.manifest(self.adopt(self.stage(rows)[None], rows.schema)["version"])
 
     def plan(self, manifest: dict) -> list[list[dict]]:
         """Groups of shards to merge: of one tier, neighbours in order of arrival, near the target size together."""
@@ -170,14 +236,14 @@ class Shards:
             out, new = self._merged(groups, StructType.fromJson(json.loads(last["schema"])))
             gone = {s["file"] for g in groups for s in g}
 
-            def change(now: dict) -> dict | None:
-                if not gone <= {s["file"] for s in now["shards"]}:
+            def change(now: dict):
+                if not gone <= {s["file"] for s in self._shards(now["segments"])}:
                     return None
-                return {"schema": now["schema"], "shards": sorted([s for s in now["shards"] if s["file"] not in gone] + new, key=lambda s: s["arrival"])}
+                return now["schema"], now["next"], new, sorted(gone)
 
             made = self._change(change)
             if made is not None:
-                return made
+                return self.manifest(made["version"])
             self._fs.delete(self._path(f"{self.folder}/shards/{out}"), True)
 
     def _merged(self, groups: list[list[dict]], schema: StructType) -> tuple[str, list[dict]]:
@@ -195,20 +261,43 @@ class Shards:
         new = []
         for i, g in enumerate(groups):
             where = self._path(f"{self.folder}/shards/{out}/{number}={i}")
-            for f in self._fs.listStatus(where) if self._fs.exists(where) else []:
-                if f.getPath().getName().endswith(".parquet"):
-                    new.append({"file": f"{out}/{number}={i}/{f.getPath().getName()}", "bytes": f.getLen(), "arrival": min(s["arrival"] for s in g)})
+            files = [f for f in self._fs.listStatus(where) if f.getPath().getName().endswith(".parquet")] if self._fs.exists(where) else []
+            # One task writes a group, so its file has the rows of the shards it replaces.
+            new += [{"file": f"{out}/{number}={i}/{f.getPath().getName()}", "bytes": f.getLen(), "rows": sum(s["rows"] for s in g), "arrival": min(s["arrival"] for s in g)} for f in files]
         return out, new
 
     def vacuum(self, keep_versions: int = 1, older_than: float = 86_400.0) -> int:
-        """Delete shards that none of the newest ``keep_versions`` manifests lists, nor one that was the newest within
-        the last ``older_than`` seconds: who began to read it may still do so. Returns how many."""
+        """Delete what no kept version names and is older than ``older_than`` seconds: shards, segments, manifests, drafts. Returns how many shards.
+
+        Kept are the newest ``keep_versions`` and those that were the newest within that time: who began to read one may still do
+        so. Files of a writer that died before its commit are named nowhere; the folders are listed, so they go as well.
+        """
         newest, now = self.version(), time.time()
-        made = {v: self.manifest(v) for v in range(1, newest + 1)}
-        kept = {v for v in made if v > newest - max(1, keep_versions) or (v < newest and made[v + 1].get("at", 0) > now - older_than)}
-        live = {s["file"] for v in kept for s in made[v]["shards"]}
-        gone = sorted({s["file"] for m in made.values() for s in m["shards"]} - live)
-        return sum(bool(self._fs.delete(self._path(f"{self.folder}/shards/{f}"), False)) for f in gone if self._fs.exists(self._path(f"{self.folder}/shards/{f}")))
+        roots = {v: self.root(v) for v in sorted(self._versions())}
+        after = {v: w for v, w in zip(roots, list(roots)[1:])}
+        kept = {v for v in roots if v > newest - max(1, keep_versions) or (v in after and roots[after[v]]["at"] > now - older_than)}
+        segments = {x["name"]: x for v in kept for x in roots[v]["segments"]}
+        live = {s["file"] for v in kept for s in self._shards(roots[v]["segments"])}
+        old = lambda f: f.getModificationTime() / 1000 <= now - older_than
+        gone = 0
+        for f in self._files("shards"):
+            name = f.getPath().toString().split("/shards/", 1)[1]
+            if name.endswith(".parquet") and not f.getPath().getName().startswith(".") and name not in live and old(f):
+                gone += bool(self._fs.delete(f.getPath(), False))
+        for f in self._fs.listStatus(self._path(f"{self.folder}/segments")) if self._fs.exists(self._path(f"{self.folder}/segments")) else []:
+            if f.getPath().getName().removesuffix(".json") not in segments and not f.getPath().getName().endswith(".crc") and old(f):
+                self._fs.delete(f.getPath(), False)
+        for f in self._fs.listStatus(self._path(f"{self.folder}/manifests")):
+            name = f.getPath().getName()
+            if (name.startswith("v") and int(name[1:-5]) not in kept or name.startswith(".") and not name.endswith(".crc")) and old(f):
+                self._fs.delete(f.getPath(), False)
+        return gone
+
+    def _files(self, folder: str):
+        where = self._path(f"{self.folder}/{folder}")
+        found = self._fs.listFiles(where, True) if self._fs.exists(where) else None
+        while found is not None and found.hasNext():
+            yield found.next()
 
     # -- reading
 
@@ -235,22 +324,21 @@ def shard_report(docs: DataFrame, arrivals: int = 6, target_bytes: int = 32 << 2
     store = Shards(spark, f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}", target_bytes, least_bytes=256 << 10)
     mark = uuid.uuid4().hex
     arrival, file = f"arrival_{mark}", f"file_{mark}"
-    batch = F.pmod(F.xxhash64(id_column), F.lit(arrivals)).cast("int")
+    # All batches are written in one pass over the input, and committed one after the other.
+    rows = docs.withColumn(arrival, F.pmod(F.xxhash64(id_column), F.lit(arrivals)).cast("int"))
+    staged = store.stage(rows, arrival)
     for k in range(arrivals):
-        store.append(docs.withColumn(arrival, batch).where(F.col(arrival) == k))
+        store.adopt(staged.get(k, []), rows.schema)
         if k % 3 == 2:
             store.compact()
-            store.vacuum(older_than=0)  # nobody else reads this store
     store.compact()
-    store.vacuum(older_than=0)
+    store.vacuum(older_than=0)  # nobody else reads or writes this store
     last = store.manifest()
     out = f"{dict(docs.dtypes)[id_column]}, arrival int, shard int, text_sha256 string, shard_rows long, version int"
     if not last["shards"]:
         return spark.createDataFrame([], f"`{id_column}` {out}")
-    numbers = spark.createDataFrame([(s["file"], i) for i, s in enumerate(last["shards"])], "name string, number int")
+    placed = spark.createDataFrame([(s["file"], i, s["rows"]) for i, s in enumerate(last["shards"])], "name string, number int, shard_rows long")
     rows = store.read(file_column=file)
     rows = rows.select(id_column, F.col(arrival).alias("arrival"), F.col(file).alias("file"), F.sha2(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), 256).alias("text_sha256"))
-    counted = rows.groupBy("file").agg(F.count("*").alias("shard_rows"))
-    placed = numbers.join(counted, F.col("name") == F.col("file")).select("name", "number", "shard_rows")
     rows = rows.join(hinted(placed, len(last["shards"])), F.col("file") == F.col("name"))
     return rows.select(id_column, "arrival", F.col("number").alias("shard"), "text_sha256", "shard_rows", F.lit(last["version"]).alias("version"))

@@ -832,3 +832,87 @@ def test_a_text_of_64_mb_needs_bounded_memory(what, room):
     code = LIMITED.format(root=str(Path(__file__).resolve().parents[2]), what=what, room=room)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**__import__("os").environ, "OPENBLAS_NUM_THREADS": "1"})
     assert out.stdout.strip() == "done", out.stderr[-2000:]
+
+
+# ---------------------------------------------------------------- recovery of the sharded store
+
+
+def test_files_of_a_writer_that_died_go(spark, tmp_path):
+    from tagtally.llm.sharding import Shards
+
+    store = Shards(spark, f"file://{tmp_path}/c", target_bytes=40_000, least_bytes=1000)
+    for k in range(3):
+        store.append(spark.range(100 * k, 100 * k + 100).selectExpr("id doc_id").repartition(2))
+    store.stage(spark.range(1000).selectExpr("id doc_id"))  # and no commit
+    store._segment([{"file": "never", "bytes": 1, "rows": 1, "arrival": 1}], [])
+    store._store("manifests/.draft", {})
+    files = lambda: {f.name for f in (tmp_path / "c").rglob("*") if f.is_file() and f.suffix != ".crc" and f.name != "_SUCCESS"}
+    many = len(files())
+    assert store.vacuum() == 0 and len(files()) == many  # it may still be at work
+    assert store.vacuum(older_than=0) >= 1
+    live = {s["file"].split("/")[-1] for s in store.manifest()["shards"]}
+    assert {f for f in files() if f.endswith(".parquet")} == live and not any(f.startswith(".") for f in files())
+    assert len([f for f in files() if f.startswith("v")]) == 1
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(300))
+    store.append(spark.range(300, 310).selectExpr("id doc_id"))
+    assert store.read().count() == 310 and store.version() == 4
+
+
+def test_what_a_commit_writes_does_not_grow(spark, tmp_path):
+    from tagtally.llm.sharding import Shards
+
+    store = Shards(spark, f"file://{tmp_path}/c")
+    schema = spark.range(1).schema
+    sizes = []
+    for k in range(120):
+        root = store.adopt([{"file": f"x/{k}-{i}.parquet", "bytes": 10, "rows": 1} for i in range(3)], schema)
+        sizes.append((len(root["segments"]), (tmp_path / "c" / "manifests" / f"v{k + 1:08d}.json").stat().st_size))
+    assert max(n for n, _ in sizes) <= 20 and sizes[-1][1] < 4000
+    assert [s["file"] for s in store.manifest()["shards"]] == [f"x/{k}-{i}.parquet" for k in range(120) for i in range(3)]
+    assert [s["arrival"] for s in store.manifest()["shards"]] == list(range(1, 361))
+    # Old versions still read as they were.
+    assert len(store.manifest(40)["shards"]) == 120
+
+
+def plain_plan(shards, target, fan, least):
+    """The plan by its definition."""
+    tier = lambda b: next(t for t in range(99) if b < least * fan ** (t + 1))
+    out = []
+    small = [s for s in shards if 2 * s["bytes"] < target]
+    for t in sorted({tier(s["bytes"]) for s in small}):
+        own = [s for s in sorted(small, key=lambda s: s["arrival"]) if tier(s["bytes"]) == t]
+        while own:
+            take, size = 0, 0
+            while take < len(own) and size < target:
+                size += own[take]["bytes"]
+                take += 1
+            if size < target and take < fan:
+                break
+            if take >= 2:
+                out.append(own[:take])
+            own = own[take:]
+    return out
+
+
+def test_the_plan_and_the_report_are_those_of_a_plain_model(spark, tmp_path, monkeypatch):
+    from tagtally.llm import sharding
+
+    store = sharding.Shards(spark, f"file://{tmp_path}/c", target_bytes=5000, fan=3, least_bytes=10)
+    rng = random.Random(3)
+    for _ in range(200):
+        shards = [{"file": str(i), "bytes": int(10 ** rng.uniform(0.5, 4)), "arrival": i} for i in range(rng.randrange(0, 40))]
+        assert store.plan({"shards": shards}) == plain_plan(shards, 5000, 3, 10)
+    rows = [(i, f"text {i} " * (1 + i % 50), None) for i in range(300)] + [(7, None, "s"), (7, "again", "s"), (None, "x", "s")]
+    docs = docs_of(spark, rows)
+    versions, real = [], sharding.Shards._commit
+    monkeypatch.setattr(sharding.Shards, "_commit", lambda self, made: versions.append(made["version"]) or real(self, made))
+    report = sharding.shard_report(docs).collect()
+    batch = {r.doc_id: r.b for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(6)).alias("b")).collect()}
+    assert collections.Counter((r.doc_id, r.text_sha256) for r in report) == collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
+    assert all(r.arrival == batch[r.doc_id] for r in report)
+    held = collections.Counter(r.shard for r in report)
+    assert all(r.shard_rows == held[r.shard] for r in report) and set(held) == set(range(len(held)))
+    assert {r.version for r in report} == {max(versions)} and versions == list(range(1, len(versions) + 1))
+    # Shards are in order of arrival: a shard's first batch is not before that of the shard before it.
+    first = [min(r.arrival for r in report if r.shard == k) for k in sorted(held)]
+    assert first == sorted(first)
