@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from tagtally.operators.quantiles import quantiles
+from tagtally.session import shared_folder
 
 
 def finite(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -254,13 +255,15 @@ def most_variable(rows: DataFrame, n: int = 500) -> DataFrame:
 
 def winsorised(rows: DataFrame, value: str, p: float) -> DataFrame:
     """Values clipped to their exact p and 1 - p quantiles."""
-    q = rows.agg(F.percentile(value, p).alias("lo"), F.percentile(value, 1 - p).alias("hi")).first()
-    return rows if q["lo"] is None else rows.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(float(q["lo"]))), F.lit(float(q["hi"])))))
+    q = quantiles(rows, [], value, {"lo": p, "hi": 1 - p}).first()
+    return rows if q is None else rows.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(float(q["lo"]))), F.lit(float(q["hi"])))))
 
 
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers (the outermost values within 1.5 ranges)."""
-    q = rows.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    q = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    shared_folder(rows.sparkSession)
+    q = q.checkpoint()  # a row for each group, read twice
     r = rows.join(q, by)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)

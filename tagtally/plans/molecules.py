@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagtally.functions.strings import base_id, condition_of, digest_udf, family_key, site_position, site_transcript, stars, umi_of, uniform_md5, uniform_udf
 from tagtally.operators import reads as R
 from tagtally.plans.registry import query
+from tagtally.session import shared_folder
 
 PRUNED = "pruned AS (SELECT * FROM (SELECT *, max(a_s) OVER (PARTITION BY qname) AS top FROM {aln}) WHERE a_s >= top - 2)"
 BEST = PRUNED + ", best AS (SELECT umi, seq, rname, max(a_s) AS a_s, min(nm) AS nm FROM pruned GROUP BY 1, 2, 3)"
@@ -38,7 +39,8 @@ def _counts(t):
 
 
 def _post(t):
-    edges = _edges(t)
+    shared_folder(t.spark)
+    edges = _edges(t).checkpoint()  # read by the estimate and by the posterior
     counts = R.estimate(edges).withColumn("count", F.round("count", 6))  # as they are written
     return R.posterior(edges, counts)
 

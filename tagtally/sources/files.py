@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,21 +148,38 @@ def write_by_name(rows: DataFrame, path: str, name: str = "qname") -> None:
     rows.repartitionByRange(name).sortWithinPartitions(name).write.mode("overwrite").parquet(path)
 
 
-def write_marker(path: str, meta: dict) -> None:
-    """Completion marker with the run's parameters, beside its tables on the driver's file system."""
-    Path(path).write_text("completed\n" + json.dumps(meta, sort_keys=True))
+def _text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text through Spark's file system; None if there is no such file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        return None
+    stream = store.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
 
+def write_marker(spark: SparkSession, path: str, meta: dict) -> None:
+    """Completion marker with the run's parameters, beside its tables in their store; it gets its name when it is whole."""
+    jvm = spark.sparkContext._jvm
+    p, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = store.create(draft, True)
+    stream.write(bytearray(("completed\n" + json.dumps(meta, sort_keys=True)).encode()))
+    stream.close()
+    store.delete(p, False)
+    store.rename(draft, p)
 
-def read_marker(path: str) -> dict | None:
+
+def read_marker(spark: SparkSession, path: str) -> dict | None:
     """Parameters of a finished run; NULL without a marker, empty if its parameters cannot be read."""
-    p = Path(path)
-    if not p.exists():
-        return None
-    first, _, rest = p.read_text().partition("\n")
-    if first != "completed":
+    text = _text(spark, path)
+    if text is None or text.partition("\n")[0] != "completed":
         return None
     try:
-        return json.loads(rest)
+        return json.loads(text.partition("\n")[2])
     except ValueError:
         return {}
 
@@ -175,10 +191,13 @@ class Settings:
         self.values = values
 
     @classmethod
-    def load(cls, path: str) -> "Settings":
+    def load(cls, spark: SparkSession, path: str) -> "Settings":
         import yaml
 
-        return cls(yaml.safe_load(Path(path).read_text()) or {})
+        text = _text(spark, path)
+        if text is None:
+            raise FileNotFoundError(path)
+        return cls(yaml.safe_load(text) or {})
 
     def get(self, path: str, default=None):
         at = self.values
@@ -207,16 +226,20 @@ def sniff_columns(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.csv(path, sep=sep, header=True).limit(0).columns
 
 
-def write_once(rows: DataFrame, path: str) -> bool:
-    """Write Parquet unless a finished write is there already (its success file stands); returns whether it wrote.
+def write_once(rows: DataFrame, path: str, meta: dict | None = None) -> bool:
+    """Write Parquet unless a finished write with the same parameters is there already; returns whether it wrote.
 
-    Callers put what the rows depend on into the path, so that changed parameters do not reuse old files.
+    Finished is what has Spark's success file and, with ``meta``, a marker beside it with the same parameters.
     """
-    jvm = rows.sparkSession.sparkContext._jvm
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if done.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    whole = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    if whole and (meta is None or read_marker(spark, f"{path}.done") == json.loads(json.dumps(meta))):
         return False
     rows.write.mode("overwrite").parquet(path)
+    if meta is not None:
+        write_marker(spark, f"{path}.done", meta)
     return True
 
 

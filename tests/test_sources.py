@@ -55,16 +55,24 @@ def test_tables(spark, tmp_path):
         require_columns(spark.range(1), "x")
 
 
-def test_settings_and_markers(tmp_path):
+def test_settings_and_markers(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("a:\n  b: 3\n  f: yes\n  t: '{name}_x'\n")
-    c = files.Settings.load(str(tmp_path / "c.yaml"))
+    c = files.Settings.load(spark, f"file://{tmp_path}/c.yaml")
     assert c.integer("a.b", 0) == 3 and c.flag("a.f") and c.template("a.t", name="q") == "q_x" and c.get("a.z.q", 7) == 7
-    m = str(tmp_path / "done")
-    assert files.read_marker(m) is None
-    files.write_marker(m, {"k": 1})
-    assert files.read_marker(m) == {"k": 1}
-    (tmp_path / "done").write_text("completed\nnot json")
-    assert files.read_marker(m) == {}
+    with pytest.raises(FileNotFoundError):
+        files.Settings.load(spark, f"file://{tmp_path}/none.yaml")
+    m = f"file://{tmp_path}/done"
+    assert files.read_marker(spark, m) is None
+    files.write_marker(spark, m, {"k": 1})
+    files.write_marker(spark, m, {"k": 2})
+    assert files.read_marker(spark, m) == {"k": 2}
+    (tmp_path / "other").write_text("completed\nnot json")
+    assert files.read_marker(spark, f"file://{tmp_path}/other") == {}
+    (tmp_path / "half").write_text("compl")
+    assert files.read_marker(spark, f"file://{tmp_path}/half") is None
+    once = f"file://{tmp_path}/once"
+    assert files.write_once(spark.range(3), once, {"p": [1]}) and not files.write_once(spark.range(4), once, {"p": [1]}) and files.write_once(spark.range(5), once, {"p": [2]})
+    assert spark.read.parquet(once).count() == 5
 
 
 def test_command_line(spark, tmp_path):
