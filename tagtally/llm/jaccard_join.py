@@ -374,8 +374,9 @@ def _meetings(rich: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame,
     crowded = sizes.where(F.col("m") > CROWD)
     if not crowded.take(1):
         return [(rich.where(short), rich, ["token"])]
+    crowded = durable(crowded)
     hot = hot_keys(crowded, "token", "m")
-    by_label = rich.join(crowded.select("token"), "token", "left_semi").groupBy("token", "label").agg(F.count("*").alias("c"))
+    by_label = rich.join(hinted(crowded.select("token"), crowded.count()), "token", "left_semi").groupBy("token", "label").agg(F.count("*").alias("c"))
     found = crowded.join(by_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most")), "token")
     rich = durable(spread_join(rich, durable(found), "token", hot, "left"))
     few, many = rich.where("m is null").drop("m", "most"), rich.where("m is not null").withColumn("blocks", F.ceil(F.col("m") / CROWD).cast("int")).withColumn("main", F.col("label") == F.col("most")).drop("m", "most")
