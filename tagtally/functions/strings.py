@@ -79,6 +79,11 @@ def stars(p: Column) -> Column:
     return F.when(p < 1e-4, "****").when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 0.05, "*").when(p.isNotNull(), "n.s.")
 
 
+def shard_index(umi: Column, shards: int = 64) -> Column:
+    """The shard of a tag: the CRC-32 of its UTF-8 modulo their number, the same in every run."""
+    return (F.crc32(umi.cast("binary")) % shards).cast("int")
+
+
 def digest_udf(size: int = 16):
     """Arrow UDF: BLAKE2b of a string, as hex; for parity with digests made elsewhere (group by the columns otherwise)."""
     def digest(values: pd.Series) -> pd.Series:

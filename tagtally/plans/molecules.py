@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagtally.functions.strings import base_id, condition_of, digest_udf, family_key, site_position, site_transcript, stars, umi_of, uniform_md5, uniform_udf
+from tagtally.operators import layout as L
 from tagtally.operators import reads as R
 from tagtally.plans.registry import query
 from tagtally.session import shared_folder
@@ -198,6 +202,17 @@ def group_digest(t):
 FRACTIONS = [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
+@query("laid_out_assignment", "WITH RECURSIVE " + PICK + """ SELECT umi, seq, transcript, start, l_quantity FROM (SELECT a.umi, a.seq, a.rname AS transcript, a.start, a.a_s AS l_quantity, row_number() OVER (PARTITION BY a.umi, a.seq ORDER BY a.start, a.a_s, a.part, a.nm, a.qname) AS rk
+    FROM aln a JOIN pick ON a.umi = pick.umi AND a.seq = pick.seq AND a.rname = pick.transcript) WHERE rk = 1""")
+def laid_out_assignment(t):
+    top = F.max("as").over(Window.partitionBy("qname"))
+    table = L.write_molecules(t.aln.withColumn("near", F.col("as") >= top - 2), f"aln_{uuid.uuid4().hex}", f"{shared_folder(t.spark)}/layouts", 16)
+    near = table.where("near")
+    counts = R.estimate(L.edges(near)).withColumn("count", F.round("count", 6))
+    rows = L.first_records(table, L.picks(near, counts, eps=1e-9), ["start", "as", "part", "nm", "qname"])
+    return rows.select("umi", "seq", F.col("rname").alias("transcript"), "start", F.col("as").alias("l_quantity"))
+
+
 @query("rarefaction", f"""WITH f AS (SELECT unnest({FRACTIONS}::DOUBLE[]) AS fraction), e AS (SELECT user_id, event_type, concat('0x', substr(md5(CAST(event_id AS VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM events)
     SELECT fraction, count(*) AS reads_included, count(DISTINCT (user_id, event_type)) AS unique_umi_seq, round(count(DISTINCT (user_id, event_type)) / count(*)::DOUBLE, 6) AS saturation FROM f JOIN e ON f.fraction > e.u GROUP BY 1""")
 def rarefaction(t):
