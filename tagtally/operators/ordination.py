@@ -39,16 +39,80 @@ def zscore(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", (F.col("value") - F.avg("value").over(f)) / sd)
 
 
+#: Features of a dense block, and groups up to which a task's table of sums is dense; more groups are joined by feature.
+GRAM_BLOCK, GRAM_GROUPS = 512, 4096
+
+
+def gram(rows: DataFrame) -> DataFrame:
+    """``g1, g2, xy, xx, yy`` for g1 <= g2 that share a feature: sums of x y, x x and y y over the features both have.
+
+    Features are dealt over tasks; a task makes dense blocks of them, with how often each group has a feature beside the values,
+    and adds up three tables of groups by groups, which are all that is exchanged again. ``rows`` are finite.
+    """
+    rows = rows.where("group is not null")
+    groups = sorted(r["group"] for r in rows.select("group").distinct().limit(GRAM_GROUPS + 1).collect())
+    if len(groups) > GRAM_GROUPS:
+        a = rows.select(F.col("group").alias("g1"), "feature", F.col("value").alias("x"))
+        b = rows.select(F.col("group").alias("g2"), "feature", F.col("value").alias("y"))
+        both = a.join(b, "feature").where("g1 <= g2").groupBy("g1", "g2")
+        return both.agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, held = dict(rows.dtypes)["group"], to_arrow_type(rows.schema["group"].dataType)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n, names = len(groups), pa.array(groups, held)
+        values, squares, times = (np.zeros((GRAM_BLOCK, n)) for _ in range(3))
+        xy, xx, shared = (np.zeros((n, n)) for _ in range(3))
+        last, at = None, -1
+
+        def settle():
+            nonlocal xy, xx, shared
+            xy += values.T @ values
+            xx += squares.T @ times
+            shared += times.T @ times
+            for m in (values, squares, times):
+                m[:] = 0
+
+        for batch in batches:
+            features = batch["feature"].to_pylist()
+            where = pc.index_in(batch["group"], names).to_numpy()
+            x = batch["value"].to_numpy(zero_copy_only=False)
+            place = np.zeros(len(features), np.int64)
+            begin = 0
+            for i, f in enumerate(features):  # sorted by feature
+                if f != last:
+                    last, at = f, at + 1
+                    if at == GRAM_BLOCK:
+                        _put(values, squares, times, place[begin:i], where[begin:i], x[begin:i])
+                        settle()
+                        begin, at = i, 0
+                place[i] = at
+            _put(values, squares, times, place[begin:], where[begin:], x[begin:])
+        settle()
+        i, j = np.nonzero(np.triu(shared > 0))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j)), pa.array(xy[i, j]), pa.array(xx[i, j]), pa.array(xx[j, i])], ["g1", "g2", "xy", "xx", "yy"])
+
+    dealt = rows.where("feature is not null").select("group", "feature", F.col("value").cast("double").alias("value")).repartition("feature").sortWithinPartitions("feature")
+    parts = dealt.mapInArrow(run, f"g1 {kind}, g2 {kind}, xy double, xx double, yy double")
+    return parts.groupBy("g1", "g2").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy")])
+
+
+def _put(values, squares, times, place, where, x) -> None:
+    np.add.at(values, (place, where), x)
+    np.add.at(squares, (place, where), x * x)
+    np.add.at(times, (place, where), 1.0)
+
+
 def cosine_distances(rows: DataFrame) -> DataFrame:
     """``g1, g2, d`` for g1 <= g2 over the features both have; 1 where they share none or one has no length.
 
-    The join's equality on the feature keeps it hash-joinable; pairs that share nothing come from the short list of
-    groups, whose number is that of the ordination.
+    Pairs that share nothing come from the short list of groups, whose number is that of the ordination.
     """
-    r = finite(rows).select("group", "feature", "value")
-    a = r.select(F.col("group").alias("g1"), "feature", F.col("value").alias("x"))
-    b = r.select(F.col("group").alias("g2"), "feature", F.col("value").alias("y"))
-    s = a.join(b, "feature").where("g1 <= g2").groupBy("g1", "g2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    s = gram(finite(rows).select("group", "feature", "value"))
     s = s.select("g1", "g2", F.when((F.col("xx") > 0) & (F.col("yy") > 0), 1 - F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(1.0).alias("d"))
     names = rows.select("group").distinct().groupBy().agg(F.sort_array(F.collect_set("group")).alias("n"))
     pairs = names.select(F.explode(F.expr("flatten(transform(n, (x, i) -> transform(slice(n, i + 1, size(n) - i), y -> named_struct('g1', x, 'g2', y))))")).alias("p")).select("p.*")
@@ -89,12 +153,11 @@ def pca(rows: DataFrame, k: int = 2) -> tuple[list, np.ndarray, np.ndarray]:
     f = Window.partitionBy("feature")
     r = finite(rows).withColumn("m", F.avg("value").over(f)).withColumn("s", F.stddev_samp("value").over(f)).where("s > 0")
     r = r.select("group", "feature", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
-    a, b = r.select(F.col("group").alias("g1"), "feature", F.col("z").alias("x")), r.select(F.col("group").alias("g2"), "feature", F.col("z").alias("y"))
-    gram = a.join(b, "feature").where("g1 <= g2").groupBy("g1", "g2").agg(F.sum(F.col("x") * F.col("y")).alias("d")).collect()
-    names = sorted({q["g1"] for q in gram} | {q["g2"] for q in gram})
+    sums = gram(r.select("group", "feature", F.col("z").alias("value"))).select("g1", "g2", F.col("xy").alias("d")).collect()
+    names = sorted({q["g1"] for q in sums} | {q["g2"] for q in sums})
     at = {n: i for i, n in enumerate(names)}
     m = np.zeros((len(names), len(names)))
-    for q in gram:
+    for q in sums:
         m[at[q["g1"]], at[q["g2"]]] = m[at[q["g2"]], at[q["g1"]]] = q["d"]
     values, vectors = np.linalg.eigh(m)
     order = np.argsort(-values)

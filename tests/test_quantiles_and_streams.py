@@ -1,4 +1,4 @@
-"""Exact quantiles of groups in stretches, and streams into tables."""
+"""Exact quantiles of groups in stretches, sums of products in blocks, and streams into tables."""
 
 import math
 import random
@@ -91,3 +91,19 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     rows = S.batches(spark, f"{tmp_path}/t", "k long, v int")
     assert rows.count() == 6 and {(r.k, r.v) for r in S.latest(rows, ["k"]).collect()} == {(0, 2), (1, 2), (2, 2)}
     assert S.batches(spark, f"{tmp_path}/none", "k long").count() == 0
+
+
+@pytest.mark.parametrize("block,groups", [(512, 4096), (3, 4096), (512, 2)])
+def test_sums_of_products_by_blocks(spark, monkeypatch, block, groups):
+    monkeypatch.setattr(O, "GRAM_BLOCK", block)
+    monkeypatch.setattr(O, "GRAM_GROUPS", groups)
+    rng = random.Random(4)
+    rows = [(f"g{rng.randrange(6)}", rng.randrange(40), rng.gauss(0, 2)) for _ in range(150)] + [("alone", 99, 1.0), ("zero", 1, 0.0), ("g1", None, 3.0)]
+    got = {(r.g1, r.g2): (r.xy, r.xx, r.yy) for r in O.gram(spark.createDataFrame(rows, "group string, feature int, value double").repartition(3)).collect()}
+    want = {}
+    for a, f, x in rows:
+        for b, e, y in rows:
+            if a <= b and f == e and f is not None:
+                p = want.get((a, b), (0, 0, 0))
+                want[a, b] = (p[0] + x * y, p[1] + x * x, p[2] + y * y)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
