@@ -23,6 +23,9 @@ whole, if they have ``LENGTH`` bytes.
 Sorting all suffixes in one order over all tasks takes a shuffled row for each byte in each round, many times the
 input; the difference cover is therefore distributed by dealing its suffixes out by content, and each sort is local.
 
+Fingerprints of a long text are made slice by slice, each with the ``LENGTH - 1`` bytes behind it, so what grows with a text
+is the text itself and its runs.
+
 Defined results: a null text has no bytes; rows equal in id and text are one document, each with its result; rows
 of one id with different texts are ordered by a 64-bit hash of their digests; a null id comes after all others.
 """

@@ -14,6 +14,8 @@ what is left is passed over (where none fits, the shortest is taken). Scoring co
 gathers only broadcast tables of fixed size. A threshold for each language is calibrated on training texts that
 the weights have not seen; it decides ``flagged``, never the score.
 
+A text of any length is read in slices and pooled part by part; its words' fingerprints are what grows with it.
+
 Defined results: a null or empty text has the score of no words (below every threshold); repeated rows have
 equal scores; rows with null labels teach nothing; without any usable labels all scores are 0. Scores do not
 depend on the other rows of a batch. ``score`` keeps all columns of its input, whatever their names; one that is
