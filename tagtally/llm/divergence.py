@@ -38,7 +38,7 @@ from tagtally.llm._common import bounded_batches, durable, hinted, shuffle_width
 LEAST, TOP, UNIT = 3, 200, 1_000_000_000
 #: Bytes of the terms of a shard, 16 more counted for each (a worker's strings, automaton and set take some nine times as much), of a slice of
 #: a text, and of the texts that wait for a shard; keys that a task adds up before it passes them on.
-SHARD_BYTES, SLICE, WAITING, HELD = 32 << 20, 1 << 20, 4 << 20, 200_000
+SHARD_BYTES, SLICE, WAITING, HELD = 32 << 20, 1 << 20, 4 << 20, 500_000
 #: Sources of a tile, and postings of a block of terms.
 TILE, BLOCK_ROWS = 256, 200_000
 
