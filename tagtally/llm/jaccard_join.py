@@ -370,15 +370,12 @@ def _meetings(rich: DataFrame, percent: int) -> list[tuple[DataFrame, DataFrame,
     Of such a token's sets those of its largest class are not paired with each other: they are linked already.
     """
     short = F.expr(f"pos <= s - ceil(2 * {percent} * cast(n as long) / {100 + percent})")
-    sizes = rich.groupBy("token").agg(F.count("*").alias("m"))
-    crowded = sizes.where(F.col("m") > CROWD)
-    if not crowded.take(1):
+    classes = rich.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
+    crowded = durable(classes.agg(F.sum("c").alias("m"), F.max(F.struct("c", "label"))["label"].alias("most")).where(F.col("m") > CROWD))
+    found = crowded.count()
+    if not found:
         return [(rich.where(short), rich, ["token"])]
-    crowded = durable(crowded)
-    hot = hot_keys(crowded, "token", "m")
-    by_label = rich.join(hinted(crowded.select("token"), crowded.count()), "token", "left_semi").groupBy("token", "label").agg(F.count("*").alias("c"))
-    found = crowded.join(by_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most")), "token")
-    rich = durable(spread_join(rich, durable(found), "token", hot, "left"))
+    rich = rich.join(hinted(crowded, found), "token", "left")
     few, many = rich.where("m is null").drop("m", "most"), rich.where("m is not null").withColumn("blocks", F.ceil(F.col("m") / CROWD).cast("int")).withColumn("main", F.col("label") == F.col("most")).drop("m", "most")
     dealt = many.where(short).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     spread = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
