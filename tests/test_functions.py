@@ -44,6 +44,25 @@ def test_intersection_of_sets():
     assert two[4] == pytest.approx(t.hypergeometric_pmf(4, 10, 30, 15))
 
 
+def test_intersection_of_large_sets():
+    import time
+
+    begun = time.monotonic()
+    pmf = t.intersection_pmf(200_000, [110_000, 112_000, 115_000])
+    assert time.monotonic() - begun < 60  # every pair of sizes would take hours
+    at = np.arange(len(pmf))
+    mean = 110_000 * 112_000 * 115_000 / 200_000**2
+    assert pmf.sum() == pytest.approx(1) and (pmf * at).sum() == pytest.approx(mean)
+    small = t.intersection_pmf(300, [140, 150])  # tails keep their relative precision
+    assert all(small[k] == pytest.approx(t.hypergeometric_pmf(k, 140, 160, 150), rel=1e-9, abs=0) for k in range(141))
+
+
+def test_hypergeometric_row_at_its_ends():
+    assert t.hypergeometric_row(0, 0, 0) == (0, np.array([1.0])) and t.hypergeometric_row(4, 0, 3) == (3, np.array([1.0]))
+    at, row = t.hypergeometric_row(3, 2, 4)
+    assert at == 2 and row == pytest.approx([0.6, 0.4])
+
+
 def one(spark, expression, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in values.items()))
     return row.select(expression.alias("x")).first()["x"]
