@@ -65,18 +65,30 @@ def over_representation(sets: DataFrame, a: str, b: str, universe: DataFrame) ->
     return universe.sparkSession.createDataFrame([(n[a], n[b], n["&"], n[""], float(p))], "n_a long, n_b long, overlap long, universe long, p double")
 
 
+def _expected(n: dict[str, int], names: list[str]) -> float:
+    expected = 1.0
+    for x in names:
+        expected *= n[x] / (n[""] if n[""] else 1)
+    return float(expected * n[""])
+
+
+def expected_intersection(sets: DataFrame, names: list[str], universe: DataFrame) -> DataFrame:
+    """One row: the expected size of the intersection of several sets drawn from the universe; needs their sizes alone."""
+    known = universe.select("item").distinct()
+    rows = distinct_items(sets).where(F.col("set_name").isin(names)).join(known, "item", "left_semi")
+    found = {r["set_name"]: r["count"] for r in rows.groupBy("set_name").count().collect()}  # a row for each set
+    n = {x: found.get(x, 0) for x in names} | {"": known.count()}
+    return universe.sparkSession.createDataFrame([(_expected(n, names),)], "expected double")
+
+
 def exact_intersection(sets: DataFrame, names: list[str], universe: DataFrame) -> DataFrame:
     """One row: observed and expected size of the intersection of several sets, enrichment and P(observed or more)."""
     from tagtally.functions.tails import intersection_pmf
 
     n = sizes(sets, names, universe)
-    whole, k = n[""], n["&"]
-    pmf = intersection_pmf(whole, [n[x] for x in names])
-    expected = 1.0
-    for x in names:
-        expected *= n[x] / (whole if whole else 1)
-    expected *= whole
-    return universe.sparkSession.createDataFrame([(k, float(expected), float(k / expected) if expected else None, float(min(1.0, pmf[k:].sum())))], "observed long, expected double, enrichment double, p double")
+    k, expected = n["&"], _expected(n, names)
+    pmf = intersection_pmf(n[""], [n[x] for x in names])
+    return universe.sparkSession.createDataFrame([(k, expected, float(k / expected) if expected else None, float(min(1.0, pmf[k:].sum())))], "observed long, expected double, enrichment double, p double")
 
 
 def display_names(sources: list[DataFrame], keys: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ def nway_intersection(t):
 
 @query("nway_expected", f"WITH u AS (SELECT count(*)::DOUBLE AS n FROM customer), s AS (SELECT set_name, count(*)::DOUBLE AS k FROM {{sets}} WHERE set_name IN ({IN}) AND item IN (SELECT c_custkey FROM customer) GROUP BY 1) SELECT round(product(k / (SELECT n FROM u)) * (SELECT n FROM u), 6) AS expected FROM s")
 def nway_expected(t):
-    return nway_intersection(t).select(r("expected").alias("expected"))
+    universe = t.customer.select(F.col("c_custkey").alias("item"))
+    return H.expected_intersection(t.sets, NAMES, universe).select(r("expected").alias("expected"))
 
 
 @query("overlap_count_mean", "SELECT o_custkey AS family, count(DISTINCT o_orderpriority) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")

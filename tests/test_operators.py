@@ -246,3 +246,15 @@ def test_dispersions_of_many_features():
         assert exact(i, best[i]) >= max(exact(i, a) for a in grid) - 1e-3
         got = s._profile(y[i : i + 1], mu[i : i + 1], x, np.array([math.log(0.5)]))[0] - s._profile(y[i : i + 1], mu[i : i + 1], x, np.array([math.log(1e-6)]))[0]
         assert got == pytest.approx(exact(i, 0.5) - exact(i, 1e-6), abs=1e-6)
+
+
+def test_expected_intersection_needs_no_distribution(spark, monkeypatch):
+    from tagtally.functions import tails
+    from tagtally.plans.registry import QUERIES
+
+    sets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 9)], "set_name string, item int")
+    universe = spark.range(1, 5).withColumnRenamed("id", "item")
+    assert H.expected_intersection(sets, ["a", "b"], universe).first()["expected"] == pytest.approx(0.5)
+    assert H.expected_intersection(sets, ["a", "c"], universe).first()["expected"] == 0
+    monkeypatch.setattr(tails, "intersection_pmf", None)  # a call fails
+    assert QUERIES["nway_expected"](spark, "/root/testdata/sf0.001").count() == 1
