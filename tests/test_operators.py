@@ -258,3 +258,12 @@ def test_expected_intersection_needs_no_distribution(spark, monkeypatch):
     assert H.expected_intersection(sets, ["a", "c"], universe).first()["expected"] == 0
     monkeypatch.setattr(tails, "intersection_pmf", None)  # a call fails
     assert QUERIES["nway_expected"](spark, "/root/testdata/sf0.001").count() == 1
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_adjustment_finds_rows_whose_values_differ_when_made_again(spark, by):
+    import random
+
+    again = F.udf(lambda i: (i + 1) / 100 + random.random() * 1e-9, "double").asNondeterministic()  # as sums in another order
+    rows = spark.range(60).select((F.col("id") % 3).alias("g"), "id", again("id").alias("p"))
+    assert C.benjamini_hochberg(rows, "p", "q", *by).where("q is null").count() == 0
