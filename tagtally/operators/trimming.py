@@ -16,42 +16,55 @@ def adapter_matches(reads: list[bytes], adapter: bytes, rate: float, overlap: in
     equal letters counts, then the one with fewest errors, then the first.
     """
     n, m = len(reads), len(adapter)
-    lengths = np.fromiter(map(len, reads), np.int64, n)
+    sizes = np.fromiter(map(len, reads), np.int64, n)
+    order = np.argsort(-sizes, kind="stable")  # the longest first: reads that still go on are a prefix
+    lengths = sizes[order]
     wide = int(lengths.max(initial=0))
-    letters = np.zeros((n, wide), np.uint8)
-    for i, r in enumerate(reads):
-        letters[i, : len(r)] = np.frombuffer(r, np.uint8)
-    target = np.frombuffer(adapter, np.uint8)
-    cost = np.tile(np.arange(m + 1), (n, 1))  # errors of adapter[:i] against what ends here
-    begin, equal = np.zeros((n, m + 1), np.int64), np.zeros((n, m + 1), np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
+    text = np.frombuffer(b"".join(reads), np.uint8)
+    # A place is one number: errors, missing equal letters, which step led here, begin. The least of three steps is the best,
+    # and equal ones go to the step named first.
+    held = wide.bit_length() + 1
+    step, letter = 1 << held, 1 << (held + 2)
+    error = letter << (2 * m + 1).bit_length()
+    top, any_step = m * letter, ~(3 * step)
+    column = np.empty((m + 1, n), np.int64)
+    column[:] = (np.arange(m + 1) * error + top)[:, None]
+    fits = {x: np.where(np.arange(256) == x, -letter, error) for x in set(adapter)}
     best = np.stack([np.full(n, -1), np.zeros(n, np.int64), lengths], 1)  # equal letters, errors, start
 
-    def offer(rows: np.ndarray, size: int) -> None:
-        ok = rows & (cost[:, size] <= int(rate * size))
-        e, c, s = equal[:, size], cost[:, size], begin[:, size]
-        better = ok & ((e > best[:, 0]) | ((e == best[:, 0]) & (c < best[:, 1])))
-        best[better] = np.stack([e, c, s], 1)[better]
-
+    def offer(rows: slice, size: int) -> None:
+        places = column[size, rows]
+        ok = np.flatnonzero(places < (int(rate * size) + 1) * error)
+        if not len(ok):
+            return
+        places, old = places[ok], best[rows][ok]
+        c, e, s = places // error, m - places % error // letter, places & (step - 1)
+        better = (e > old[:, 0]) | ((e == old[:, 0]) & (c < old[:, 1]))
+        best[rows.start + ok[better]] = np.stack([e, c, s], 1)[better]
+
+    live = n
     for j in range(wide):
-        live = j < lengths
-        c2, b2, e2 = np.empty_like(cost), np.empty_like(begin), np.empty_like(equal)
-        c2[:, 0], b2[:, 0], e2[:, 0] = 0, j + 1, 0
+        live = int(np.searchsorted(-lengths[:live], -j, "left"))  # those with more than j letters
+        here = text[begins[:live] + j]
+        costs = {x: table[here] for x, table in fits.items()}
+        diagonal, column[0, :live] = column[0, :live].copy(), top + j + 1
         for i in range(1, m + 1):
-            same = letters[:, j] == target[i - 1]
-            options = ((cost[:, i - 1] + ~same, begin[:, i - 1], equal[:, i - 1] + same), (c2[:, i - 1] + 1, b2[:, i - 1], e2[:, i - 1]), (cost[:, i] + 1, begin[:, i], equal[:, i]))
-            c, b, e = (x.copy() for x in options[0])
-            for oc, ob, oe in options[1:]:
-                take = (oc < c) | ((oc == c) & (oe > e))
-                c[take], b[take], e[take] = oc[take], ob[take], oe[take]
-            c2[:, i], b2[:, i], e2[:, i] = c, b, e
-        keep = live[:, None]
-        cost, begin, equal = np.where(keep, c2, cost), np.where(keep, b2, begin), np.where(keep, e2, equal)
-        offer(live, m)
-        last = live & (j == lengths - 1)
-        if last.any():
+            place = column[i, :live]
+            moved = diagonal + costs[adapter[i - 1]]
+            np.minimum(moved, column[i - 1, :live] + (error + step), out=moved)
+            np.minimum(moved, place + (error + 2 * step), out=moved)
+            moved &= any_step
+            diagonal = place.copy()
+            place[:] = moved
+        offer(slice(0, live), m)
+        last = slice(int(np.searchsorted(-lengths[:live], -(j + 1), "left")), live)
+        if last.start < last.stop:
             for i in range(overlap, m):
                 offer(last, i)
-    return best
+    out = np.empty_like(best)
+    out[order] = best
+    return out
 
 
 def adapter_starts(reads: list[bytes], adapters: list[bytes], rate: float, overlap: int) -> np.ndarray:
@@ -80,16 +93,35 @@ def without_adapter(reads: DataFrame, adapters: str | tuple[str, ...], rate: flo
     return rows.select(*[cut(c) if c in ("seq", "qual") else F.col(c) for c in reads.columns])
 
 
+def good_parts(quals: list[str], quality: int = 20) -> np.ndarray:
+    """Letters of each read up to the place from which the sum of (quality - limit) to the end is least.
+
+    From the end on: the running sum, its least value, and where that is; a read is done when its sum is positive.
+    """
+    sizes = np.fromiter(map(len, quals), np.int64, len(quals))
+    ends, letters = np.cumsum(sizes), np.frombuffer("".join(quals).encode("utf-32-le"), "<u4").astype(np.int64)
+    total, low, cut = np.zeros(len(quals), np.int64), np.zeros(len(quals), np.int64), sizes.copy()
+    going, taken = np.flatnonzero(sizes > 0), 0
+    while len(going):
+        taken += 1
+        sums = total[going] + letters[ends[going] - taken] - 33 - quality
+        going, sums = going[sums <= 0], sums[sums <= 0]
+        total[going] = sums
+        less = sums < low[going]
+        at = going[less]
+        low[at], cut[at] = sums[less], sizes[at] - taken
+        going = going[sizes[going] > taken]
+    return cut
+
+
 def without_poor_end(reads: DataFrame, quality: int = 20) -> DataFrame:
     """Reads cut at the place from which the sum of (quality - limit) to the end is least; nothing is cut if no sum is negative."""
-    score = F.expr(f"transform(sequence(1, length(qual)), i -> ascii(substring(qual, i, 1)) - 33 - {quality})")
-    # From the end on: the running sum, its least value, and where that is.
-    least = F.expr(
-        """aggregate(if(length(qual) > 0, reverse(__score), array()), named_struct('at', length(qual), 'sum', 0, 'low', 0, 'cut', length(qual)),
-            (a, x) -> if(a.at < 0, a, if(a.sum + x > 0, named_struct('at', -1, 'sum', a.sum, 'low', a.low, 'cut', a.cut),
-                named_struct('at', a.at - 1, 'sum', a.sum + x, 'low', least(a.low, a.sum + x), 'cut', if(a.sum + x < a.low, a.at - 1, a.cut)))), a -> a.cut)"""
-    )
-    rows = reads.withColumn("__score", F.when(F.length("qual") > 0, score).otherwise(F.array().cast("array<int>"))).withColumn("__cut", least)
+
+    def keep(quals: pd.Series) -> pd.Series:
+        return pd.Series(good_parts(quals.fillna("").tolist(), quality)).astype("Int32").mask(quals.isna())
+
+    at = F.pandas_udf(keep, "int")
+    rows = reads.withColumn("__cut", at("qual"))
     cut = lambda c: F.substring(c, F.lit(1), F.col("__cut")).alias(c)
     return rows.select(*[cut(c) if c in ("seq", "qual") else F.col(c) for c in reads.columns])
 

@@ -119,8 +119,9 @@ FASTQ = f"f AS (SELECT qname, seq, repeat('I', length(seq)) AS qual FROM ({READS
 
 
 def _reads(t):
-    rows = t.seqs.where("length(seq) > 0").select("id", "seq", F.explode(F.sequence(F.lit(0), F.expr("cast((length(seq) - 1) div 60 as int)"))).alias("k"))
-    return rows.select(F.concat(F.lit("q"), "id", F.lit("_"), "k").alias("qname"), "id", "k", F.substring("seq", 60 * F.col("k") + 1, F.lit(60)).alias("seq"))
+    # In one pass over a text: a substring counts its place from the text's begin. Outer, or a filter would cut the text once more.
+    rows = t.seqs.select("id", F.posexplode_outer(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0))).alias("k", "seq")).where("seq is not null")
+    return rows.select(F.concat(F.lit("q"), "id", F.lit("_"), "k").alias("qname"), "id", "k", "seq")
 
 
 def _written(t, rows, gzip: bool = False):

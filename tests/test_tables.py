@@ -139,3 +139,25 @@ def test_first_pass_cuts_one_adapter(spark):
     seq = "ACGTACGTACGT" + "CTCTCTCTCTCTCTCTC" + "GGGGCGGGGGG" + "TCTCTCT" + "A" * 10
     row = first_pass(spark.createDataFrame([("r", seq, "I" * len(seq))], "qname string, seq string, qual string")).first()
     assert row.seq == seq[12:47] and len(row.qual) == 35 and row.qname == "r_ACGTACGTACGT"
+
+
+def test_trimming_takes_a_long_read_among_short_ones():
+    import time
+
+    from tagtally.operators.trimming import adapter_matches, good_parts
+
+    # One place for each letter of each read, were they laid out side by side: 4 GB.
+    reads = [b"CT" * 10_000, *[b"CTCTCT" + b"A" * 10 + b"CT"] * 200_000]
+    begun = time.monotonic()
+    found = adapter_matches(reads, b"A" * 10, 0.2, 8)
+    assert time.monotonic() - begun < 60
+    assert found[0].tolist() == [-1, 0, 20_000] and (found[1:] == [10, 0, 6]).all()
+    assert good_parts(["", "II##", "####", "I#I", "#I#", "IIII"]).tolist() == [0, 2, 0, 3, 2, 4]
+
+
+def test_reads_are_cut_in_one_pass(spark):
+    from tagtally.plans.registry import Tables
+    from tagtally.plans.scans import _reads
+
+    plan = _reads(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" not in plan and plan.count("regexp_extract_all") == 1
