@@ -322,12 +322,16 @@ def winsorised(rows: DataFrame, value: str, p: float) -> DataFrame:
     return rows if q is None else rows.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(float(q["lo"]))), F.lit(float(q["hi"])))))
 
 
+#: Groups whose quartiles fit a broadcast.
+FEW_GROUPS = 100_000
+
+
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers (the outermost values within 1.5 ranges)."""
     q = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     shared_folder(rows.sparkSession)
     q = q.checkpoint()  # a row for each group, read twice
-    r = rows.join(q, by)
+    r = rows.join(F.broadcast(q) if q.count() <= FEW_GROUPS else q, by)  # by exchange, few groups would be few tasks
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
     w = r.groupBy(*by).agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count(value).alias("n"))

@@ -16,7 +16,7 @@ def ranked_values(values: DataFrame, ranks: DataFrame, stretch: int | None = Non
 
     All groups and ranks narrow together: a stretch of a group with too many values is cut at approximate quantiles from a
     sketch, exact counts between the cuts say which piece holds a rank, and only these pieces go on. A cut is a
-    piece of its own, so ties end there. What is left is put in order piece by piece. The driver sees the largest size.
+    piece of its own, so ties end there. What is left is put in order piece by piece.
     """
     limit = stretch or STRETCH
     shared_folder(values.sparkSession)
@@ -24,13 +24,21 @@ def ranked_values(values: DataFrame, ranks: DataFrame, stretch: int | None = Non
     want = ranks.select("g", F.lit(0).cast("long").alias("s"), "k", F.col("k").alias("at"))
     done = None
     while True:
-        sizes = rows.groupBy("g", "s").agg(F.count("*").alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
+        # Only stretches that are too long are cut: one for ``limit`` values at most, so they and their cuts fit a broadcast,
+        # and no task gets all values of one group.
+        long_ = rows.groupBy("g", "s").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g", "s").checkpoint()
+        if long_.isEmpty():
             break
         grid = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
-        cuts = rows.groupBy("g", "s").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid, F.lit(10_000)))).alias("cuts")).checkpoint()
-        below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-        placed = rows.join(cuts, ["g", "s"]).select("g", "s", "v", (2 * below + F.array_contains("cuts", F.col("v")).cast("int")).alias("b"))
+        own = rows.join(F.broadcast(long_), ["g", "s"])
+        cuts = own.groupBy("g", "s").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid, F.lit(10_000)))).alias("cuts")).checkpoint()
+        rest = rows.join(F.broadcast(long_), ["g", "s"], "left_anti")
+        still = want.join(F.broadcast(long_), ["g", "s"], "left_anti")
+        # How many cuts are below, by halves.
+        steps = F.array(*[F.lit(1 << i) for i in range(CUTS.bit_length() - 1, -1, -1)])
+        below = F.aggregate(steps, F.lit(0), lambda a, x: F.when(F.get("cuts", a + x - 1) < F.col("v"), a + x).otherwise(a))
+        placed = rows.join(F.broadcast(cuts), ["g", "s"]).withColumn("below", below)
+        placed = placed.select("g", "s", "v", (2 * F.col("below") + F.coalesce(F.get("cuts", F.col("below")) == F.col("v"), F.lit(False)).cast("int")).alias("b"))
         counted = placed.groupBy("g", "s", "b").agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy("g", "s").orderBy("b")) - F.col("n")  # pieces of a stretch
         counted = counted.withColumn("before", before)
@@ -41,8 +49,9 @@ def ranked_values(values: DataFrame, ranks: DataFrame, stretch: int | None = Non
         done = known if done is None else done.unionByName(known)
         piece = (F.col("s") * (2 * CUTS + 4) + F.col("b") + 1).alias("s")
         open_ = found.where("b % 2 = 0")
-        rows = placed.join(open_.select("g", "s", "b").distinct(), ["g", "s", "b"], "left_semi").select("g", piece, "v").checkpoint()
-        want = open_.select("g", piece, "k", "at")
+        # Pieces with a wanted rank: few for each long stretch.
+        rows = placed.join(F.broadcast(open_.select("g", "s", "b").distinct()), ["g", "s", "b"], "left_semi").select("g", piece, "v").unionByName(rest).checkpoint()
+        want = open_.select("g", piece, "k", "at").unionByName(still).checkpoint()
     counted = rows.groupBy("g", "s", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("g", "s").orderBy("v"))
     last = want.join(counted.withColumn("upto", upto), ["g", "s"]).where("at < upto and at >= upto - n").select("g", "k", "v")

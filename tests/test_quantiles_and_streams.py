@@ -107,3 +107,17 @@ def test_sums_of_products_by_blocks(spark, monkeypatch, block, groups):
                 p = want.get((a, b), (0, 0, 0))
                 want[a, b] = (p[0] + x * y, p[1] + x * x, p[2] + y * y)
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_long_stretches_are_cut_where_they_lie(spark, monkeypatch):
+    from tagtally.operators import quantiles as q
+
+    held, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: (held.append(self._jdf.queryExecution().optimizedPlan().toString()), real(self, *a))[1])
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("f"), (F.col("id") * 7919 % 10_007).cast("double").alias("x")).unionByName(spark.createDataFrame([(9, 4.0), (9, 8.0)], "f long, x double"))
+    got = {r.f: r.m for r in q.quantiles(rows, ["f"], "x", {"m": 0.5}, stretch=1000).collect()}
+    for f in range(3):
+        assert got[f] == np.median([i * 7919 % 10_007 for i in range(f, 30_000, 3)])
+    assert got[9] == 6
+    assert any("strategy=broadcast" in p and "percentile_approx" in p for p in held)  # no exchange of all values by group
