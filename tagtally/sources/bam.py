@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from tagtally import schemas
 from tagtally.sources import stores
-from tagtally.sources.blocks import BLOCK, END, Blocks, Damaged, Index, Writer, bin_of, block, header_size
+from tagtally.sources.blocks import BLOCK, END, Blocks, Damaged, Index, Writer, bin_of, bins_at, block, header_size
 
 # Fixed values of the format: the letters of records and what numbers optional fields hold.
 MAGIC = b"BAM\x01"
@@ -39,16 +39,23 @@ _READ = [c for c in _FIELDS if c != "ord"]
 _SCHEMA = ", ".join(x for x in schemas.ALIGNMENTS.split(", ") if not x.strip().startswith("ord "))
 
 
-def header_end(data: bytes) -> int | None:
-    """Where records begin; None if the header does not end within the data."""
+def header_end(data: bytes, known: list[int] | None = None) -> int | None:
+    """Where records begin; None if the header does not end within the data.
+
+    ``known`` keeps a place and how many references come from there, so that a call with more data goes on where the last one ended.
+    """
     if data[:4] != MAGIC:
         raise ValueError("not a BAM file")
+    known = [] if known is None else known
     try:
-        at = 8 + struct.unpack_from("<i", data, 4)[0]
-        count = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(count):
+        if not known:
+            at = 8 + struct.unpack_from("<i", data, 4)[0]
+            known += [at + 4, struct.unpack_from("<i", data, at)[0]]
+        at, left = known
+        while left:
             at += 8 + struct.unpack_from("<i", data, at)[0]
+            left -= 1
+            known[:] = at, left
     except struct.error:
         return None
     return at if at <= len(data) else None
@@ -183,18 +190,17 @@ def decoded(data: bytes, starts: list[int], names: list[str]) -> pa.RecordBatch:
         raise Damaged("a quality is beyond 93")
     qual = _texts(quality + 33, ends)
     stop = at + 4 + fixed["size"]
-    tags, scores, edits, marks = [], [], [], []
-    for k, (a, b) in enumerate(zip((p + lseq).tolist(), stop.tolist())):
-        fields = fields_text(data, a, b)
-        found = {f[:2]: f[5:] for f in fields if f[3] in "iZ"}
-        if ncig[k] == 2 and (longer := next((f for f in fields if f.startswith("CG:B:I,")), None)):
+    fields, rare = _fields_columns(flat, p + lseq, stop)
+    for k in rare.tolist():  # lists, and what is not as the format has it
+        own = fields_text(data, int(p[k] + lseq[k]), int(stop[k]))
+        found = {f[:2]: f[5:] for f in own if f[3] in "iZ"}
+        if ncig[k] == 2 and (longer := next((f for f in own if f.startswith("CG:B:I,")), None)):
             # More operations than the fixed field can count: they stand in an optional field.
             cigars[k] = "".join(f"{int(v) >> 4}{OPERATIONS[int(v) & 15]}" for v in longer[7:].split(","))
-            fields.remove(longer)
-        tags.append("\t".join(fields))
-        scores.append(_whole(found.get("AS")))
-        edits.append(_whole(found.get("NM")))
-        marks.append(found.get("RX"))
+            own.remove(longer)
+        for c, v in (("tags", "\t".join(own)), ("AS", _whole(found.get("AS"))), ("NM", _whole(found.get("NM"))), ("RX", found.get("RX"))):
+            fields[c][k] = v
+    tags, scores, edits, marks = (fields[c] for c in ("tags", "AS", "NM", "RX"))
     named = pa.array([*names, "*"], pa.string())
     place = lambda i: named.take(pa.array(np.where(i < 0, len(names), i)))
     rnext = place(mate)
@@ -206,7 +212,89 @@ def decoded(data: bytes, starts: list[int], names: list[str]) -> pa.RecordBatch:
     ints = lambda c, more=0: pa.array(fixed[c].astype(np.int32) + more, pa.int32())
     return pa.RecordBatch.from_arrays([
         qname, ints("flag"), place(ref), ints("pos", 1), ints("mapq"), pa.array(cigars, pa.string()), rnext, ints("mate_pos", 1), ints("span"), _starred(seq, bare), _starred(qual, none),
-        pa.array(scores, pa.int32()), pa.array(edits, pa.int32()), pa.array(marks, pa.string()), pa.array(tags, pa.string())], _READ)
+        *[c.cast(kind) if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in ((scores, pa.int32()), (edits, pa.int32()), (marks, pa.string()), (tags, pa.string()))]], _READ)
+
+
+def _fields_columns(flat: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Optional fields of many records: ``tags`` as text, ``AS``, ``NM``, ``RX``; and the rows left out, whose fields need a closer look.
+
+    All records' first fields are taken together, then their second ones and so on, by tag and kind. Where rows are left out, the
+    columns are lists.
+    """
+    import pyarrow.compute as pc
+
+    n, at, live = len(begin), begin.copy(), np.flatnonzero(begin < stop)
+    rare, zeros, columns = np.zeros(n, bool), np.flatnonzero(flat == 0), []
+    numbers = {c: (np.zeros(n, np.int64), np.zeros(n, bool)) for c in ("AS", "NM")}
+    marks, marked, mark_at = [pa.array([], pa.string())], 0, np.full(n, -1, np.int64)
+    while len(live):
+        short = at[live] + 4 > stop[live]
+        rare[live[short]] = True
+        live = live[~short]
+        heads = flat[at[live][:, None] + np.arange(3)].astype(np.int64)
+        code = heads[:, 0] << 16 | heads[:, 1] << 8 | heads[:, 2]
+        parts, rows = [], []
+        for c in np.unique(code).tolist():
+            own = live[code == c]
+            tag, kind = chr(c >> 16) + chr(c >> 8 & 255), chr(c & 255)
+            v = at[own] + 3
+            if kind in "ZH":
+                last = zeros[np.minimum(np.searchsorted(zeros, v), len(zeros) - 1)] if len(zeros) else v - 1
+                sound = (last >= v) & (last < stop[own])
+                size = last - v + 1
+            elif kind in SCALARS or kind == "A":
+                size = np.full(len(own), 1 if kind == "A" else struct.calcsize("<" + SCALARS[kind]))
+                sound = v + size <= stop[own]
+            else:
+                sound, size = np.zeros(len(own), bool), np.zeros(len(own), np.int64)
+            rare[own[~sound]] = True
+            own, v, size = own[sound], v[sound], size[sound]
+            if not len(own):
+                continue
+            values = None
+            if kind in "ZH":
+                text = _texts(*_ragged(flat, v, size - 1))
+            elif kind == "A":
+                text = pa.array([chr(x) for x in flat[v].tolist()], pa.string())
+            else:
+                width = int(size[0])
+                values = flat[v[:, None] + np.arange(width)].reshape(-1).view("<" + {"b": "i1", "B": "u1", "h": "i2", "H": "u2", "i": "i4", "I": "u4", "f": "f4"}[SCALARS[kind]])
+                if kind == "f":
+                    known, place = np.unique(values.view("<u4"), return_inverse=True)
+                    text = pa.array([f"{x:.9g}" for x in known.view("<f4").tolist()], pa.string()).take(pa.array(place.reshape(-1)))
+                else:
+                    text = pa.array(values.astype(np.int64)).cast(pa.string())
+            whole = kind in SCALARS and kind != "f"
+            if kind == "Z" or whole:
+                if tag in numbers:
+                    number, has = numbers[tag]
+                    if whole:
+                        number[own], has[own] = values, True
+                    else:
+                        found = [_whole(x) for x in text.to_pylist()]
+                        number[own], has[own] = [x or 0 for x in found], [x is not None for x in found]
+                elif tag == "RX":
+                    mark_at[own] = marked + np.arange(len(own))
+                    marked += len(own)
+                    marks.append(text)
+            head = ("\t" if columns else "") + f"{tag}:{'i' if whole else kind}:"
+            parts.append(pc.binary_join_element_wise(pa.scalar(head), text, ""))
+            rows.append(own)
+            at[own] = v + size
+        place = np.full(n, -1, np.int64)
+        if rows:
+            live = np.concatenate(rows)
+            place[live] = np.arange(len(live))
+            column = pa.concat_arrays(parts)
+            column.validate(full=True)
+            columns.append(pc.fill_null(column.take(pa.array(place, mask=place < 0)), ""))
+            live = np.sort(live[at[live] < stop[live]])
+        else:
+            live = live[:0]
+    tags = pc.binary_join_element_wise(*columns, "") if columns else pa.array([""] * n, pa.string())
+    out = {"tags": tags, "RX": pa.concat_arrays(marks).take(pa.array(mark_at, mask=mark_at < 0)), **{c: pa.array(v, mask=~has) for c, (v, has) in numbers.items()}}
+    rare = np.flatnonzero(rare)
+    return ({c: v.to_pylist() for c, v in out.items()} if len(rare) else out), rare
 
 
 def _whole(text: str | None) -> int | None:
@@ -251,6 +339,126 @@ def encoded(row: dict, at: dict[str, int]) -> tuple[bytes, int, int, int]:
     return struct.pack("<i", len(body)) + body, ref, begin, end
 
 
+_NIBBLES = np.array([int(_HEX.get(c, "f"), 16) for c in range(256)], np.uint8)
+_LOWERED = np.frombuffer(_UNSHIFTED, np.uint8)
+
+
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts without nulls, where each begins, and its length."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return flat, offsets[:-1], np.diff(offsets)
+
+
+def _put(out: np.ndarray, at: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    """Copy stretches of one array to places of another."""
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at, length) + step] = flat[np.repeat(begin, length) + step]
+
+
+def _fields_packed(tags: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """Optional fields of many texts in binary form, and the bytes of each row; None if one of them needs a closer look."""
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(tags, "\t")
+    fields, counts = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    some = pc.not_equal(tags, "").to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(tags)), counts)
+    if not some.all():
+        keep = some[owner]
+        fields, owner = fields.filter(pa.array(keep)), owner[keep]
+    flat, begin, length = _letters(fields)
+    if not len(fields):
+        return np.zeros(0, np.uint8), np.zeros(len(tags), np.int64)
+    if length.min() < 5 or (flat[begin + 2] != 58).any() or (flat[begin + 4] != 58).any():
+        return None
+    kind, size = flat[begin + 3], np.zeros(len(fields), np.int64)
+    four, one = (kind == ord("i")) | (kind == ord("f")), kind == ord("A")
+    if (kind == ord("B")).any() or (length[one] < 6).any() or (kind > 127).any():
+        return None
+    size = np.where(four, 7, np.where(one, 4, 3 + length - 5 + 1))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k, source in ((0, 0), (1, 1), (2, 3)):
+        out[at + k] = flat[begin + source]
+    try:
+        for letter, dtype, wide in (("i", pa.int32(), "<i4"), ("f", pa.float32(), "<f4")):
+            own = np.flatnonzero(kind == ord(letter))
+            if len(own):
+                # By way of doubles, as numbers of the language are.
+                numbers = _texts(*_ragged(flat, begin[own] + 5, length[own] - 5)).cast(pa.float64() if letter == "f" else dtype).to_numpy(zero_copy_only=False).astype(wide)
+                out[at[own][:, None] + 3 + np.arange(4)] = numbers.view(np.uint8).reshape(-1, 4)
+    except pa.ArrowInvalid:
+        return None
+    out[at[one] + 3] = flat[begin[one] + 5]
+    rest = ~four & ~one
+    _put(out, at[rest] + 3, flat, begin[rest] + 5, length[rest] - 5)
+    return out, np.bincount(owner, size, len(tags)).astype(np.int64)
+
+
+def encoded_batch(batch: pa.RecordBatch, at: dict[str, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``encoded`` of all rows of a batch: the records' bytes, where each ends, references' numbers and the ranges they cover."""
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    text = lambda c: pc.if_else(pc.fill_null(pc.equal(column(c), ""), True), "*", column(c))
+    whole = lambda c, instead=0: pc.fill_null(column(c), instead).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = text("cigar").dictionary_encode()
+    ops = [_packed_cigar(c) for c in coded.dictionary.to_pylist()]
+    packed_fields = _fields_packed(pc.fill_null(column("tags"), ""))
+    seq = text("seq")
+    bases, b_begin, b_size = _letters(pc.if_else(pc.equal(seq, "*"), "", seq))
+    if packed_fields is None or any(len(c) // 4 > 65535 for c, _ in ops) or (len(bases) and bases.max() > 127):
+        rows = [encoded(row, at) for row in batch.to_pylist()]
+        ends, ref, begin, end = (np.cumsum([len(r[0]) for r in rows]), *(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)))
+        return b"".join(r[0] for r in rows), ends, ref, begin, end
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    c_flat, c_each = np.frombuffer(b"".join(c for c, _ in ops), np.uint8), np.array([len(c) for c, _ in ops] or [0], np.int64)
+    c_begin, c_size, covered = (np.cumsum(c_each) - c_each)[which], c_each[which], np.array([k for _, k in ops] or [0], np.int64)[which]
+    number = lambda c: (lambda d: np.array([at.get(x, -1) for x in d.dictionary.to_pylist()] or [-1], np.int64)[d.indices.to_numpy(zero_copy_only=False)])(text(c).dictionary_encode())
+    ref, mate = number("rname"), number("rnext")
+    mate = np.where(pc.equal(text("rnext"), "=").to_numpy(zero_copy_only=False), ref, mate)
+    pos = whole("pos") - 1
+    begin = np.maximum(pos, 0)
+    end = begin + np.where(covered > 0, covered, 1)
+    names, n_begin, n_size = _letters(text("qname"))
+    qual = text("qual")
+    bare = pc.equal(qual, "*").to_numpy(zero_copy_only=False)
+    quality, q_begin, q_size = _letters(qual)
+    q_size = np.where(bare, b_size, q_size)
+    fields, f_size = packed_fields
+    half = (b_size + 1) // 2
+    head = np.zeros(n, _FIXED)
+    size = 32 + n_size + 1 + c_size + half + q_size + f_size
+    for c, v, low, high in (
+        ("size", size, 0, 2**31), ("ref", ref, -1, 2**31), ("pos", pos, -(2**31), 2**31), ("lname", n_size + 1, 0, 256), ("mapq", whole("mapq", 255), 0, 256), ("bin", bins_at(begin, end), 0, 65536), ("ncig", c_size // 4, 0, 65536),
+        ("flag", whole("flag"), 0, 65536), ("lseq", b_size, 0, 2**31), ("mate", mate, -1, 2**31), ("mate_pos", whole("pnext") - 1, -(2**31), 2**31), ("span", whole("tlen"), -(2**31), 2**31)):
+        if n and (v.min() < low or v.max() >= high):
+            raise struct.error(f"{c} of a record is beyond what the format holds")
+        head[c] = v
+    ends = np.cumsum(size + 4)
+    out, p = np.zeros(int(ends[-1]) if n else 0, np.uint8), ends - size - 4
+    out[p[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+    p = p + 36
+    _put(out, p, names, n_begin, n_size)
+    p = p + n_size + 1
+    _put(out, p, c_flat, c_begin, c_size)
+    p = p + c_size
+    step = np.arange(int(b_size.sum())) - np.repeat(np.cumsum(b_size) - b_size, b_size)
+    nibble, to = _NIBBLES[bases[np.repeat(b_begin, b_size) + step]], np.repeat(p, b_size) + step // 2
+    even = step % 2 == 0
+    out[to[even]] = nibble[even] << 4
+    out[to[~even]] |= nibble[~even]
+    p = p + half
+    _put(out, p[~bare], _LOWERED[quality], q_begin[~bare], q_size[~bare])
+    if bare.any():
+        _put(out, p[bare], np.full(int(q_size[bare].max()), 255, np.uint8), np.zeros(int(bare.sum()), np.int64), q_size[bare])
+    p = p + q_size
+    _put(out, p, fields, np.cumsum(f_size) - f_size, f_size)
+    return out.tobytes(), ends, ref, begin, end
+
+
 # ---------------------------------------------------------------- the data source
 
 
@@ -261,13 +469,13 @@ class _Range(InputPartition):
 
 def _header_of(blocks: Blocks) -> tuple[bytes, int]:
     """Data from the begin of a file to the end of its header or beyond, and where the next block begins."""
-    held, offset = b"", 0
-    while len(held) < 12 or header_end(held) is None:
+    held, offset, known = bytearray(), 0, []
+    while len(held) < 12 or header_end(held, known) is None:
         if offset >= blocks.size:
             raise Damaged(f"{blocks.name}: the file ends within its header")
         data, offset = blocks.block(offset)
         held += data
-    return held, offset
+    return bytes(held), offset
 
 
 def range_records(blocks: Blocks, start: int, end: int, lenient: bool = False):
@@ -466,15 +674,12 @@ class _Writer(DataSourceArrowWriter):
             writer.room(BLOCK)
         index, last = Index(len(at)), None
         for batch in batches:
-            for row in batch.to_pylist():
-                data, ref, begin, end = encoded(row, at)
-                if self.index:
-                    writer.room(len(data))
-                    start = writer.place()
-                    if last is not None:
-                        index.add(*last, start)
-                    last = (ref, begin, end, start)
-                writer.write(data)
+            data, ends, *placed = encoded_batch(batch, at)
+            places = writer.write_many(data, ends)
+            if self.index and len(ends):
+                if last is not None:
+                    index.add(*last, int(places[0]))
+                last = index.add_many(*placed, places)
         if last is not None:
             index.add(*last, writer.place())
         writer.finish(not self.bare)
@@ -522,11 +727,11 @@ def header_bytes(header: list[str]) -> tuple[bytes, dict[str, int]]:
     """A file's first data, and the number of each reference that the sequence lines name."""
     lines = [dict(x.split(":", 1) for x in line.split("\t")[1:]) for line in header if line.startswith("@SQ")]
     text = ("\n".join(header) + "\n").encode() if header else b""
-    head = MAGIC + struct.pack("<i", len(text)) + text + struct.pack("<i", len(lines))
+    head = [MAGIC, struct.pack("<i", len(text)), text, struct.pack("<i", len(lines))]
     for line in lines:
         name = line["SN"].encode() + b"\0"
-        head += struct.pack("<i", len(name)) + name + struct.pack("<i", int(line["LN"]))
-    return head, {line["SN"]: i for i, line in enumerate(lines)}
+        head += [struct.pack("<i", len(name)), name, struct.pack("<i", int(line["LN"]))]
+    return b"".join(head), {line["SN"]: i for i, line in enumerate(lines)}
 
 
 # ---------------------------------------------------------------- scans and sinks

@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from tagtally.sources import bam, blocks, files, stores
@@ -178,3 +179,85 @@ def test_standard_output_and_sorted_output(spark, tmp_path, monkeypatch):
     assert sorted(r.qname for r in got) == sorted(r.qname for r in files.read_bam(spark, str(tmp_path / "s")).collect())
     places = [(r.rname, r.pos) for r in files.read_bam(spark, str(tmp_path / "s")).orderBy("ord").collect()]
     assert places == sorted(places)
+
+
+def _made_up_rows(n):
+    import random
+
+    rng = random.Random(5)
+    tags = ["AS:i:-5\tXN:Z:kept as it is\tNM:i:3\tRX:Z:RX12", "", "NM:i:300\tXA:A:q\tXF:f:0.1", "AS:Z:x\tRX:i:7", "XB:B:s,1,-2\tAS:i:4", "XH:H:1AE3\tNM:i:1\tNM:i:2", "XZ:Z:\tRX:Z:\u00e4"]
+    cigars = ["12M", "2S10M", "*", "3M2D4M1I4M", "5M100000N7M"]
+    out = []
+    for i in range(n):
+        length = rng.choice([0, 1, 7, 12])
+        out.append((rng.choice([None, "*", f"q{i}", "q"]), rng.choice([None, 0, 16, 4]), rng.choice(["a", "b", "*", None, "zz"]), rng.choice([0, None, 1, 16384, 70_000 + i]), rng.choice([None, 0, 60]), rng.choice(cigars), rng.choice(["=", "*", "b", None]), rng.choice([None, 0, 9]), rng.choice([None, -4, 52]),
+                    "".join(rng.choice("ACGTNacgt=R") for _ in range(length)) or rng.choice(["*", "", None]), rng.choice(["*", None, "".join(rng.choice("!I5~") for _ in range(length))]), rng.choice(tags)))
+    return out
+
+
+def test_batches_of_records_are_those_of_rows():
+    import pyarrow as pa
+
+    from tagtally.sources import bam
+    from tagtally.sources.blocks import Index
+
+    names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    rows, at = _made_up_rows(900), {"a": 0, "b": 1}
+    for own in (rows, [r for r in rows if "B:s" not in r[-1]], rows[:1], []):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], t) for k, t in enumerate(kinds)], names)
+        each = [bam.encoded(r, at) for r in batch.to_pylist()]
+        data, ends, ref, begin, end = bam.encoded_batch(batch, at)
+        assert data == b"".join(e[0] for e in each)
+        assert ends.tolist() == [sum(len(e[0]) for e in each[: i + 1]) for i in range(len(each))]
+        assert list(zip(ref.tolist(), begin.tolist(), end.tolist())) == [e[1:] for e in each]
+        if not own:
+            continue
+        starts = [0, *ends.tolist()[:-1]]
+        got = bam.decoded(data, starts, ["a", "b"]).to_pydict()
+        for k, start in enumerate(starts):
+            fixed = np.frombuffer(data[start : start + 36], bam._FIXED)[0]
+            behind = start + 36 + int(fixed["lname"]) + 4 * int(fixed["ncig"]) + (int(fixed["lseq"]) + 1) // 2 + int(fixed["lseq"])
+            fields = bam.fields_text(data, behind, int(ends[k]))
+            found = {f[:2]: f[5:] for f in fields if f[3] in "iZ"}
+            assert (got["tags"][k], got["as"][k], got["nm"][k], got["rx"][k]) == ("\t".join(fields), bam._whole(found.get("AS")), bam._whole(found.get("NM")), found.get("RX"))
+        # An index of many records at once is that of one after the other.
+        order = np.lexsort((begin, ref % 3))
+        one, many, places = Index(2), Index(2), np.arange(len(own)) * 7
+        for i, k in enumerate(order.tolist()):
+            one.add(int(ref[k]), int(begin[k]), int(end[k]), i * 7, (i + 1) * 7)
+        last = many.add_many(ref[order], begin[order], end[order], places)
+        many.add(*last, len(own) * 7)
+        assert many.dumps() == one.dumps()
+
+
+def test_records_go_into_blocks_as_one_by_one(tmp_path):
+    from tagtally.sources.blocks import BLOCK, Writer
+
+    sizes = [5, BLOCK - 5, 1, 2 * BLOCK + 3, 40, BLOCK, 59_000, 999, 1, 1, *([137] * 1500)]
+    data, ends = bytes(i % 251 for i in range(sum(sizes))), np.cumsum(sizes)
+    one, many = Writer(open(tmp_path / "one", "wb")), Writer(open(tmp_path / "many", "wb"))
+    places = []
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        one.room(b - a)
+        places.append(one.place())
+        one.write(data[a:b])
+    assert many.write_many(data, ends).tolist() == places
+    one.finish()
+    many.finish()
+    assert (tmp_path / "one").read_bytes() == (tmp_path / "many").read_bytes()
+
+
+def test_header_of_very_many_references():
+    import time
+
+    from tagtally.sources import bam
+
+    begun = time.monotonic()
+    head, at = bam.header_bytes([f"@SQ\tSN:t{i}\tLN:9" for i in range(200_000)])  # by appending to a text it copied some terabytes
+    assert len(at) == 200_000 and bam.references(head)[1][-1] == "t199999"
+    known = []  # a scan in steps begins where the last one ended
+    for stop in range(1 << 16, len(head) + (1 << 16), 1 << 16):
+        found = bam.header_end(head[:stop], known)
+    assert found == len(head) == bam.header_end(head) and known == [len(head), 0]
+    assert time.monotonic() - begun < 30
