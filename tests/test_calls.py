@@ -207,3 +207,49 @@ def test_command_of_sites(spark, tmp_path):
     assert got.count() == 40 and hits >= set(range(1, 9)) and len(hits) <= 11
     assert spark.read.parquet(str(tmp_path / "o" / "motif_sites")).where("sequence_context is not null").count() == 40
     assert spark.read.parquet(str(tmp_path / "o" / "motif_log_odds")).count() == 7
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_pileup_by_tiles_is_that_of_single_bases(monkeypatch, depth):
+    import random
+    import re
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    from tagtally.operators import variants as V
+
+    monkeypatch.setattr(V, "TILE", 16)
+    rng, reads, seen = random.Random(3), [], defaultdict(list)
+    for i in range(400):
+        cigar = rng.choice(["12M", "2S10M", "5M20N7M", "3M2D4M1I4M", "4M40D2M", "2I10M", "6=1X5M"])
+        pos = rng.choice([1, 16, 17, rng.randint(1, 200), 33])
+        reads.append((rng.choice(["a", "b", None]), pos, cigar, "".join(rng.choice("ACGTacgtN") for _ in range(rng.choice([12, 12, 5]))), rng.choice(["*", "IIIIII!!HHHH", "III", ""]), i // 2 if i % 50 == 1 else i + 1000))
+    for name, pos, cigar, seq, qual, ord_ in reads:
+        at, i = pos, 0
+        for n, o in ((int(n), o) for n, o in re.findall(r"(\d+)([MIDNS=X])", cigar)):
+            for k in range(n if o in "M=XDN" else 0):
+                if o in "DN":
+                    seen[name, at + k].append((ord_, "Gap" if o == "D" else "Skip"))
+                elif i + k < len(seq) and (qual in ("", "*") or (i + k < len(qual) and ord(qual[i + k]) - 33 >= 10)):
+                    seen[name, at + k].append((ord_, seq[i + k].upper()))
+            if o in "ID":
+                seen[name, at - (o == "I")].append((ord_, "Insert" if o == "I" else "Delete"))
+            at += n if o in "M=XDN" else 0
+            i += n if o in "M=XIS" else 0
+    want = {}
+    for place, events in seen.items():
+        kept = sorted({o for o, _ in events})[: depth or None]
+        counts = Counter(what for o, what in events if o in kept)
+        want[place] = (sum(counts[c] for c in ("A", "C", "G", "T", "N", "Gap")), *[counts[c] for c in V.PACKED[1:]])
+    rows = []
+    for r in reads:
+        length = sum(int(n) for n in re.findall(r"(\d+)[MDN=X]", r[2]))
+        rows += [(*r, t) for t in range((r[1] - 1) // 16, (r[1] + max(length - 1, 0)) // 16 + 1)]
+    rows.sort(key=lambda r: (str(r[0]), r[6], r[5]))
+    names = ["rname", "pos", "cigar", "seq", "qual", "ord", "tile"]
+    for size in (1, 7, 100, 10_000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + size]], pa.schema(list(zip(names, [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()])))) for k in range(0, len(rows), size)]
+        got = [r for b in V._tile_counts(batches, 10, depth) for r in b.to_pylist()]
+        assert len(got) == len(want)
+        assert {(r["chr"], r["pos"]): tuple(r[c] for c in V.PACKED) for r in got} == want
