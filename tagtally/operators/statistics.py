@@ -234,8 +234,11 @@ def filter_threshold(mean: np.ndarray, p: np.ndarray, zeros: int = 0, alpha: flo
     theta = np.linspace(low, 0.95 if low < 0.95 else 1.0, 50)
     cuts = np.quantile(every, theta)
 
+    turn = np.argsort(p, kind="stable")[: int((~np.isnan(p)).sum())]
+    p, at = p[turn], mean[turn]  # sorted once for all cuts
+
     def rejected(cut):
-        own = np.sort(p[(mean >= cut) & ~np.isnan(p)])
+        own = p[at >= cut]
         below = np.flatnonzero(own * len(own) / np.arange(1, len(own) + 1) < alpha)
         return below[-1] + 1.0 if len(below) else 0.0
 
@@ -289,11 +292,11 @@ class _Design:
             lo, self.far = (lo, mid) if f_sf(mid, p, m - p) < 0.01 else (mid, self.far)
 
     def dense(self, lists) -> np.ndarray:
+        """Counts by library from flat lists: a library's number before each count."""
         y = np.zeros((len(lists), len(self.at)))
-        for i, v in enumerate(lists):
-            for r in v:
-                if (k := self.at.get(r["sample"])) is not None:
-                    y[i, k] = r["count"]
+        flat = np.concatenate([np.zeros(0), *lists]).reshape(-1, 2)
+        k, row = self.place[flat[:, 0].astype(np.int64)], np.repeat(np.arange(len(lists)), [len(v) // 2 for v in lists])
+        y[row[k >= 0], k[k >= 0]] = flat[k >= 0, 1]
         return np.round(y)
 
     def cook(self, y, mu, alpha, cov) -> np.ndarray:
@@ -336,11 +339,12 @@ def _dispersion_trend(mean: np.ndarray, alpha: np.ndarray, free: int) -> dict:
     from tagtally.functions.tails import trigamma
 
     keep = np.sort(np.unique(np.quantile(mean, np.linspace(0, 1, 200)))) if len(mean) else np.array([1.0])
-    line = np.interp(mean, keep, _trend_at(mean, alpha, keep)) if len(mean) else mean
+    fit = _trend_at(mean, alpha, keep) if len(mean) else np.ones(1)
+    line = np.interp(mean, keep, fit) if len(mean) else mean
     left = np.log(np.maximum(alpha, 1e-8)) - np.log(line)
     spread = float((1.4826 * np.median(np.abs(left - np.median(left)))) ** 2) if len(left) else 1.0
     prior = max(spread - float(trigamma(np.array(max(1, free) / 2.0))), 0.25)
-    values = np.log(_trend_at(mean, alpha, keep)) if len(mean) else np.zeros(1)
+    values = np.log(fit)
     return {"knots": np.log(keep), "values": values, "spread": spread, "prior": prior}
 
 
@@ -363,12 +367,19 @@ def nb_contrasts(counts: DataFrame, factors: DataFrame, contrasts: dict[str, tup
     from tagtally.session import shared_folder
 
     shared_folder(counts.sparkSession)
-    kind = dict(counts.dtypes)["feature"]
     used = sorted({c for pair in contrasts.values() for c in pair})
     libraries = counts.where(F.col("condition").isin(used)).select("sample", "replicate", "condition").distinct().join(factors, "sample").toPandas()
     designs = {name: _Design(libraries, *pair) for name, pair in contrasts.items()}
+    samples = sorted(set(libraries["sample"]))
+    for d in designs.values():
+        d.place = np.array([d.at.get(x, -1) for x in samples] or [-1])
     rows = counts.where(F.col("condition").isin(used)).groupBy("feature", "sample").agg(F.sum("count").alias("count"))
-    vectors = rows.groupBy("feature").agg(F.collect_list(F.struct("sample", "count")).alias("v")).checkpoint()
+    known = counts.sparkSession.createDataFrame([(str(x), float(i)) for i, x in enumerate(samples)], "__sample string, __number double")
+    rows = rows.join(F.broadcast(known), F.col("sample").cast("string") == F.col("__sample"))  # a row for each library
+    pair = F.array("__number", F.col("count").cast("double"))
+    vectors = rows.groupBy("feature").agg(F.flatten(F.sort_array(F.collect_list(pair))).alias("v")).checkpoint()
+    # Features with equal counts have equal fits, so each list of counts is fitted once and stands for ``many``.
+    lists = vectors.groupBy("v").agg(F.count("*").alias("many")).withColumn("list", F.monotonically_increasing_id()).checkpoint()
 
     def first(batches):
         for pdf in batches:
@@ -377,12 +388,13 @@ def nb_contrasts(counts: DataFrame, factors: DataFrame, contrasts: dict[str, tup
                 some = y.sum(1) > 0
                 if some.any():
                     mean, alpha = d.rough(y[some])
-                    yield pd.DataFrame({"contrast": name, "feature": pdf["feature"][some], "mean": mean, "alpha": alpha})
+                    yield pd.DataFrame({"contrast": name, "list": pdf["list"][some], "many": pdf["many"][some], "mean": mean, "alpha": alpha})
 
-    genewise = vectors.mapInPandas(first, f"contrast string, feature {kind}, mean double, alpha double").checkpoint()
+    genewise = lists.mapInPandas(first, "contrast string, list long, many long, mean double, alpha double").checkpoint()
     trends = {}
     for name, d in designs.items():
-        table = genewise.where(F.col("contrast") == name).select("mean", "alpha").toPandas()
+        table = genewise.where(F.col("contrast") == name).select("mean", "alpha", "many").toArrow().to_pandas()
+        table = table.loc[table.index.repeat(table["many"])]
         trends[name] = _dispersion_trend(table["mean"].to_numpy(float), table["alpha"].to_numpy(float), d.x.shape[0] - d.x.shape[1])
 
     def second(batches):
@@ -407,16 +419,19 @@ def nb_contrasts(counts: DataFrame, factors: DataFrame, contrasts: dict[str, tup
                 se = np.sqrt(cov[:, -1, -1])
                 stat = beta[:, -1] / se
                 chance = np.where((far & ~d.large).any(1), np.nan, 2 * normal_sf(np.abs(stat)))
-                yield pd.DataFrame({"contrast": name, "feature": own["feature"], "baseMean": mean, "dispersion": final, "log2FoldChange": beta[:, -1] / math.log(2), "lfcSE": se / math.log(2), "stat": stat, "pvalue": chance, "outliers": outliers})
+                yield pd.DataFrame({"contrast": name, "list": own["list"], "many": own["many"], "baseMean": mean, "dispersion": final, "log2FoldChange": beta[:, -1] / math.log(2), "lfcSE": se / math.log(2), "stat": stat, "pvalue": chance, "outliers": outliers})
 
-    schema = f"contrast string, feature {kind}, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double, outliers int"
-    fitted = vectors.join(genewise, "feature").mapInPandas(second, schema).checkpoint()
+    schema = "contrast string, list long, many long, baseMean double, dispersion double, log2FoldChange double, lfcSE double, stat double, pvalue double, outliers int"
+    fitted = lists.drop("many").join(genewise, "list").mapInPandas(second, schema).checkpoint()
     every = counts.select("feature").distinct().count()
     least = F.lit(None).cast("double")
     for name in designs:  # a number pair of each feature, as above
-        tested = fitted.where(F.col("contrast") == name).select("baseMean", "pvalue").toPandas()
+        tested = fitted.where(F.col("contrast") == name).select("baseMean", "pvalue", "many").toArrow().to_pandas()
+        tested = tested.loc[tested.index.repeat(tested["many"])]
         cut = filter_threshold(tested["baseMean"].to_numpy(float), tested["pvalue"].to_numpy(float), every - len(tested))
         least = F.when(F.col("contrast") == name, F.lit(cut)).otherwise(least)
+    own = vectors.join(lists.select("v", "list"), "v").select("feature", "list")
+    fitted = own.join(fitted, "list").select("contrast", "feature", *[c for c in fitted.columns if c not in ("contrast", "list", "many")]).checkpoint()
     fitted = fitted.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue")))
     return benjamini_hochberg(fitted.withColumn("__p", F.when(F.col("baseMean") >= least, F.col("pvalue"))), "__p", "padj", "contrast").drop("__p")
 

@@ -253,3 +253,39 @@ def test_pileup_by_tiles_is_that_of_single_bases(monkeypatch, depth):
         got = [r for b in V._tile_counts(batches, 10, depth) for r in b.to_pylist()]
         assert len(got) == len(want)
         assert {(r["chr"], r["pos"]): tuple(r[c] for c in V.PACKED) for r in got} == want
+
+
+def test_equal_counts_are_fitted_once(spark, monkeypatch):
+    samples = [(f"{r}{c[1]}", r, c) for r in range(4) for c in ("IP", "Input")]
+    rng = np.random.default_rng(2)
+    own = [rng.poisson(6 + k, len(samples)).tolist() for k in range(12)]
+    rows = [(copy * 100 + k, s, r, c, int(n)) for copy in range(5) for k, counts in enumerate(own) for (s, r, c), n in zip(samples, counts) if n]
+    counts = spark.createDataFrame(rows, "feature long, sample string, replicate int, condition string, count long")
+    factors = spark.createDataFrame([(s, 1.0 + i / 10) for i, (s, _, _) in enumerate(samples)], "sample string, size_factor double")
+    fits = spark.sparkContext.accumulator(0)
+    rough = S._Design.rough
+
+    def counted(self, y):
+        fits.add(len(y))
+        return rough(self, y)
+
+    monkeypatch.setattr(S._Design, "rough", counted)
+    got = {r["feature"]: tuple(r)[1:] for r in S.nb_wald(counts, factors).collect()}
+    assert len(got) == 60 and all(got[100 + k] == got[k] for k in range(12))
+    y, d = np.array(own, float), None
+    d = S._Design(counts.select("sample", "replicate", "condition").distinct().join(factors, "sample").toPandas(), "IP", "Input")
+    order = [[s for s, _, _ in samples].index(s) for s in d.at]
+    mean, alpha = rough(d, y[:, order])
+    final, beta, cov, _ = d.fitted(y[:, order], mean, alpha, S._dispersion_trend(np.repeat(mean, 5), np.repeat(alpha, 5), d.x.shape[0] - d.x.shape[1]))
+    assert np.allclose([got[k][0] for k in range(12)], mean) and np.allclose([got[k][2] for k in range(12)], beta[:, -1] / math.log(2), atol=1e-6)
+    assert fits.value in (0, 12)  # 0 where workers have a copy of the module of their own
+
+
+def test_filter_threshold_sorts_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    mean = rng.gamma(0.5, 20, 20_000)
+    p = np.where(rng.random(len(mean)) < 0.2, rng.random(len(mean)) * 1e-4 * (mean > 5), rng.random(len(mean)))
+    p[::7] = np.nan
+    sorts, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda v, *a: sorts.append(len(v)) or sort(v, *a))
+    assert S.filter_threshold(mean, p) >= 0 and not any(n > 1000 for n in sorts)  # it sorted at each of 50 cuts
