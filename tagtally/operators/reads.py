@@ -18,6 +18,14 @@ GROUP = ["umi", "seq"]
 #: Edges of equivalence classes that the driver iterates over in numpy; beyond it iterations are DataFrame jobs.
 DRIVER_EDGES = 2_000_000
 
+#: Edges in a row of packed classes, and transcripts whose sums make a row.
+PACK, STRETCH = 1_000_000, 8192
+#: What such a row holds: transcripts, weights, where each class begins, and the molecules it stands for.
+PACKED = {"t": np.int32, "w": np.float64, "begin": np.int64, "many": np.float64}
+
+#: Rows of abundances that are broadcast; more are joined by the planner's choice.
+BROADCAST_ROWS = 1_000_000
+
 
 # ---------------------------------------------------------------- ingest and pruning
 
@@ -101,9 +109,9 @@ def weighted(best: DataFrame, mode: str = "AS", beta: float = 0.1, gamma: float
     return rows.withColumn("w", F.exp(F.lit(-float(rate)) * F.col("drop"))).withColumn("n", F.count("*").over(group))
 
 
-def classes(edges: DataFrame) -> DataFrame:
+def classes(edges: DataFrame, name: str = "rname") -> DataFrame:
     """Ambiguous molecules with equal edges as one: ``members`` (sorted ``rname, w``) and ``n`` molecules."""
-    listed = edges.where("n > 1").groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("rname", "w"))).alias("members"))
+    listed = edges.where("n > 1").groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct(name, "w"))).alias("members"))
     return listed.groupBy("members").agg(F.count("*").alias("n"))
 
 
@@ -119,10 +127,12 @@ def _shares(a: np.ndarray, t: np.ndarray, w: np.ndarray, begin: np.ndarray, many
 
 
 def _flat(batch) -> tuple[np.ndarray, ...]:
-    """Edges of a batch of classes ``n, t, w`` for ``_shares``."""
-    t, w = batch["t"], batch["w"]
-    offsets = t.offsets.to_numpy().astype(np.int64)
-    return t.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy().astype(float), offsets[:-1] - offsets[0], batch["n"].to_numpy().astype(float)
+    """Edges of the classes packed in a batch of ``_packed``, for ``_shares``."""
+    parts = {c: [np.frombuffer(x.as_buffer(), kind) for x in batch[c]] for c, kind in PACKED.items()}
+    shift = np.cumsum([0, *[len(t) for t in parts["t"]]])
+    begin = [b + s for b, s in zip(parts["begin"], shift)]
+    t, w, begin, many = (np.concatenate(x) if x else np.zeros(0) for x in (parts["t"], parts["w"], begin, parts["many"]))
+    return t.astype(np.int64), w, begin.astype(np.int64), many
 
 
 def _converged(give, single: np.ndarray, usable: int, iterations: int, tol: float) -> np.ndarray:
@@ -137,29 +147,40 @@ def _converged(give, single: np.ndarray, usable: int, iterations: int, tol: floa
     return a
 
 
-def _indexed(groups: DataFrame, names: list[str]) -> DataFrame:
-    """Classes with the numbers of their transcripts: ``n, t, w``. The names, some for each transcript, are broadcast."""
-    import pyarrow as pa
+def _packed(groups: DataFrame) -> DataFrame:
+    """Classes of numbered transcripts as rows of some ``PACK`` edges: ``edges`` and the arrays of ``PACKED`` as bytes.
 
-    held = groups.sparkSession.sparkContext.broadcast(names)
+    Iterations hand these bytes on as they are; lists would be taken apart and built up again in each.
+    """
+    import pyarrow as pa
 
-    def number(batches):
-        at = {name: i for i, name in enumerate(held.value)}
+    def pack(batches):
         for batch in batches:
             m = batch["members"]
-            flat = m.flatten()
-            t = pa.array([at[x] for x in flat.field("rname").to_pylist()], pa.int32())
-            begin = pa.array(m.offsets.to_numpy() - m.offsets.to_numpy()[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["n"], pa.ListArray.from_arrays(begin, t), pa.ListArray.from_arrays(begin, flat.field("w"))], ["n", "t", "w"])
-
-    return groups.select("n", "members").mapInArrow(number, "n long, t array<int>, w array<double>")
-
-
-def _shares_by_job(indexed: DataFrame):
-    """One iteration as a job: tasks add up the shares of their classes, and one number for each transcript comes back."""
+            flat, offsets = m.flatten(), m.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            t, w, many = flat.field("t").to_numpy(), flat.field("w").to_numpy(), batch["n"].to_numpy().astype(float)
+            lo = 0
+            while lo < len(many):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PACK, "right")) - 1)
+                own = slice(offsets[lo], offsets[hi])
+                arrays = {"t": t[own], "w": w[own], "begin": offsets[lo:hi] - offsets[lo], "many": many[lo:hi]}
+                columns = [pa.array([arrays[c].astype(kind).tobytes()], pa.binary()) for c, kind in PACKED.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([own.stop - own.start], pa.int64()), *columns], ["edges", *PACKED])
+                lo = hi
+
+    return groups.select("n", "members").mapInArrow(pack, "edges long, " + ", ".join(f"{c} binary" for c in PACKED))
+
+
+def _shares_by_job(packed: DataFrame):
+    """One iteration as a job: tasks add up the shares of their classes, stretches of transcripts add up over tasks, and one number for each transcript comes back."""
     import pyarrow as pa
 
-    sc = indexed.sparkSession.sparkContext
+    sc = packed.sparkSession.sparkContext
+
+    def total(rows: pa.Table) -> pa.Table:
+        got = sum(np.frombuffer(x.as_buffer()) for x in rows["got"])
+        return pa.table({"part": rows["part"][:1], "got": pa.array([got.tobytes()], pa.binary())})
 
     def give(a: np.ndarray) -> np.ndarray:
         held = sc.broadcast(a)
@@ -168,28 +189,34 @@ def _shares_by_job(indexed: DataFrame):
             out = np.zeros(len(held.value))
             for batch in batches:
                 out += _shares(held.value, *_flat(batch))
-            t = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(out[t])], ["t", "got"])
+            for part, lo in enumerate(range(0, len(out), STRETCH)):
+                own = out[lo : lo + STRETCH]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "got"])
 
-        got = indexed.mapInArrow(add, "t int, got double").groupBy("t").agg(F.sum("got").alias("got")).toArrow()
+        rows = packed.mapInArrow(add, "part int, got binary").groupBy("part").applyInArrow(total, "part int, got binary").toArrow()
         held.unpersist()
         out = np.zeros(len(a))
-        out[got["t"].to_numpy()] = got["got"].to_numpy()
+        for part, got in zip(rows["part"].to_pylist(), rows["got"]):
+            out[part * STRETCH : (part + 1) * STRETCH] = np.frombuffer(got.as_buffer())
         return out
 
     return give
 
 
-def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_edges: int = DRIVER_EDGES, written: bool = False) -> DataFrame:
     """Abundances ``transcript, count`` by expectation-maximisation over the molecules of ``weighted``.
 
     Molecules with one transcript count as they are. Ambiguous ones compress to classes of equal edges, which give
     the same fixed point; their total size is counted first, and decides where the same iteration runs: over one batch
     on the driver, or over all batches as jobs, whose results are bounded by the number of transcripts.
-    Counts sum to the number of usable molecules; without any, there are no rows.
+    Counts sum to the number of usable molecules; without any, there are no rows. Edges that are ``written`` already (a
+    checkpoint) are not persisted again.
     """
+    import pyarrow as pa
+
     spark = edges.sparkSession
-    own = not edges.is_cached
+    own = not written and not edges.is_cached
     if own:
         edges = edges.persist()
     # Bounded by the number of transcripts.
@@ -200,19 +227,21 @@ def estimate(edges: DataFrame, iterations: int = 200, tol: float = 1e-6, driver_
         if own:
             edges.unpersist()
         return spark.createDataFrame([], "transcript string, count double")
-    names, alone = single["rname"].tolist(), single["single"].to_numpy(float)
-    groups = _indexed(classes(edges), names).persist()
-    size = groups.agg(F.sum(F.size("t"))).first()[0] or 0
+    few = F.broadcast if len(single) <= BROADCAST_ROWS else (lambda rows: rows)
+    names, alone = pa.array(single["rname"], pa.string()), single["single"].to_numpy(float)
+    numbers = few(spark.createDataFrame(pa.table({"__r": names, "t": pa.array(range(len(names)), pa.int32())})))
+    packed = _packed(classes(edges.join(numbers, F.col("rname").eqNullSafe(F.col("__r"))), "t")).persist()
+    size = packed.agg(F.sum("edges")).first()[0] or 0
     if size <= driver_edges:
-        held = _flat(groups.toArrow().combine_chunks().to_batches()[0]) if size else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+        held = _flat(packed.toArrow().combine_chunks())
         a = _converged(lambda a: _shares(a, *held), alone, usable, iterations, tol)
     else:
-        a = _converged(_shares_by_job(groups), alone, usable, iterations, tol)
+        a = _converged(_shares_by_job(packed), alone, usable, iterations, tol)
     a = a * (usable / a.sum()) if a.sum() > 0 else a
-    groups.unpersist()
+    packed.unpersist()
     if own:
         edges.unpersist()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, a)], "transcript string, count double")
+    return few(spark.createDataFrame(pa.table({"transcript": names, "count": a})))
 
 
 # ---------------------------------------------------------------- posteriors and assignment

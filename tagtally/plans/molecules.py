@@ -35,7 +35,7 @@ PICK = POST + """, tied AS (SELECT *, count(*) OVER (PARTITION BY umi, seq) AS t
 
 
 def _edges(t):
-    return R.weighted(R.best_per_key(R.prune_delta(t.aln, "AS", 2)))
+    return R.weighted(R.best_per_key(R.prune_delta(t.alignments("l_orderkey"), "AS", 2, "l_orderkey")))
 
 
 def _counts(t):
@@ -45,7 +45,7 @@ def _counts(t):
 def _post(t):
     shared_folder(t.spark)
     edges = _edges(t).checkpoint()  # read by the estimate and by the posterior
-    counts = R.estimate(edges).withColumn("count", F.round("count", 6))  # as they are written
+    counts = R.estimate(edges, written=True).withColumn("count", F.round("count", 6))  # as they are written
     return R.posterior(edges, counts)
 
 
@@ -205,8 +205,8 @@ FRACTIONS = [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 @query("laid_out_assignment", "WITH RECURSIVE " + PICK + """ SELECT umi, seq, transcript, start, l_quantity FROM (SELECT a.umi, a.seq, a.rname AS transcript, a.start, a.a_s AS l_quantity, row_number() OVER (PARTITION BY a.umi, a.seq ORDER BY a.start, a.a_s, a.part, a.nm, a.qname) AS rk
     FROM aln a JOIN pick ON a.umi = pick.umi AND a.seq = pick.seq AND a.rname = pick.transcript) WHERE rk = 1""")
 def laid_out_assignment(t):
-    top = F.max("as").over(Window.partitionBy("qname"))
-    table = L.write_molecules(t.aln.withColumn("near", F.col("as") >= top - 2), f"aln_{uuid.uuid4().hex}", f"{shared_folder(t.spark)}/layouts", 16)
+    top = F.max("as").over(Window.partitionBy("l_orderkey"))
+    table = L.write_molecules(t.alignments("l_orderkey").withColumn("near", F.col("as") >= top - 2).drop("l_orderkey"), f"aln_{uuid.uuid4().hex}", f"{shared_folder(t.spark)}/layouts", 16)
     near = table.where("near")
     counts = R.estimate(L.edges(near)).withColumn("count", F.round("count", 6))
     rows = L.first_records(table, L.picks(near, counts, eps=1e-9), ["start", "as", "part", "nm", "qname"])

@@ -67,6 +67,37 @@ def test_em(spark, driver_edges):
     assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(len(GROUPS))
 
 
+@pytest.mark.parametrize("driver_edges", [10**6, 0])
+def test_em_over_packed_classes(spark, monkeypatch, driver_edges):
+    """Rows of few edges and stretches of few transcripts add up to the same; what an iteration reads are bytes."""
+    monkeypatch.setattr(R, "PACK", 3)
+    monkeypatch.setattr(R, "STRETCH", 2)
+    rng = np.random.default_rng(3)
+    groups = [[(str(t), int(rng.integers(5, 9))) for t in rng.choice(11, rng.integers(1, 5), replace=False)] for _ in range(60)]
+    edges = edges_of(spark, groups).checkpoint()
+    got = {r["transcript"]: r["count"] for r in R.estimate(edges, 9, 0.0, driver_edges, written=True).collect()}
+    assert got == pytest.approx(brute_em(groups, 9))
+    packed = R._packed(R.classes(edges.withColumn("t", F.col("rname").cast("int")), "t"))
+    assert dict(packed.dtypes) == {"edges": "bigint"} | dict.fromkeys(R.PACKED, "binary") and packed.count() > 4
+    assert packed.agg(F.sum("edges")).first()[0] == sum(r["n"] for r in R.classes(edges).select(F.size("members").alias("n")).collect())
+
+
+def test_edges_written_already_are_not_persisted_again(spark, monkeypatch):
+    edges, persisted = edges_of(spark, GROUPS).checkpoint(), []
+    real = type(edges).persist
+    monkeypatch.setattr(type(edges), "persist", lambda self, *a: persisted.append(self.columns) or real(self, *a))
+    R.estimate(edges, 3, 0.0, written=True).collect()
+    assert persisted == [["edges", *R.PACKED]]
+
+
+def test_edges_of_the_tables_are_pruned_without_another_shuffle(spark):
+    from tagtally.plans.molecules import _edges
+    from tagtally.plans.registry import Tables
+
+    plan = _edges(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qname" not in plan and "hashpartitioning(umi" in plan
+
+
 def test_em_singletons_and_empty(spark):
     got = {r["transcript"]: r["count"] for r in R.estimate(edges_of(spark, [[("a", 1)], [("a", 1)], [("b", 2)]])).collect()}
     assert got == pytest.approx({"a": 2, "b": 1})
