@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tagtally.functions.strings import center_kmer
 from tagtally.operators import ordination as O
 from tagtally.operators import sequences as Q
 from tagtally.operators import sets as H
 from tagtally.operators import statistics as S
 from tagtally.plans import statements as X
-from tagtally.plans.registry import query
+from tagtally.plans.registry import bases, letters, query
 
 NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 IN = ", ".join(f"'{n}'" for n in NAMES)
@@ -109,7 +110,9 @@ BASE = KMER + ", b AS (SELECT id, source, k AS k_pos, substr(kmer, k, 1) AS base
 
 
 def _kmers(t):
-    return Q.kmers(t.seqs, 7).select(F.col("id").alias("rowid"), "source", "kmer")
+    # Only the middle letters become bases, not the whole text's.
+    middle = F.transform(F.array(letters("text")), lambda x: bases(center_kmer(x, 7)))[0]
+    return Q.kmers(t.documents.select(F.col("doc_id").alias("rowid"), "source", middle.alias("seq")), 7).select("rowid", "source", "kmer")
 
 
 @query("kmer_center", "WITH " + KMER + " SELECT id, kmer FROM ok")

@@ -267,3 +267,31 @@ def test_adjustment_finds_rows_whose_values_differ_when_made_again(spark, by):
     again = F.udf(lambda i: (i + 1) / 100 + random.random() * 1e-9, "double").asNondeterministic()  # as sums in another order
     rows = spark.range(60).select((F.col("id") % 3).alias("g"), "id", again("id").alias("p"))
     assert C.benjamini_hochberg(rows, "p", "q", *by).where("q is null").count() == 0
+
+
+def counted(spark, column):
+    """A column as it is, and how often rows of it were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def see(x):
+        made.add(1)
+        return x
+
+    kind = "double" if column == "s2" else "string"
+    return F.udf(see, kind)(column), made
+
+
+def test_permutation_reads_its_rows_once(spark):
+    words = ["GCATGCA", "AAAAAAA", "GGGGGGG", "TTTTGCA"]
+    rows = spark.createDataFrame([(i, f"s{i % 2}", words[i % 4], i % 3 == 0) for i in range(60)], "rowid long, source string, kmer string, hit boolean")
+    kmer, made = counted(spark, "kmer")
+    assert Q.permutation_gc(rows.withColumn("kmer", kmer), "source", 50).count() == 7
+    assert made.value == 60
+
+
+def test_kmers_of_the_tables_are_made_once(spark):
+    from tagtally.plans.registry import Tables
+    from tagtally.plans.summaries import _kmers
+
+    plan = _kmers(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
