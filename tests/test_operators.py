@@ -281,6 +281,13 @@ def counted(spark, column):
     return F.udf(see, kind)(column), made
 
 
+def test_moderated_t_makes_its_fits_once(spark):
+    rows = spark.range(200).select(F.col("id").alias("site"), (F.col("id") % 5 + 3).alias("n"), F.lit(2.0).alias("sw"), (F.col("id") / 100 - 1).alias("beta"), ((F.col("id") % 17 + 1) / 10).alias("s2"), (F.col("id") % 31 / 3).alias("amean"))
+    s2, made = counted(spark, "s2")
+    assert V.moderated(rows.withColumn("s2", s2)).where("padj is not null").count() == 200
+    assert made.value == 200
+
+
 def test_permutation_reads_its_rows_once(spark):
     words = ["GCATGCA", "AAAAAAA", "GGGGGGG", "TTTTGCA"]
     rows = spark.createDataFrame([(i, f"s{i % 2}", words[i % 4], i % 3 == 0) for i in range(60)], "rowid long, source string, kmer string, hit boolean")
