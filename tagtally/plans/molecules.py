@@ -49,6 +49,11 @@ def _post(t):
     return R.posterior(edges, counts)
 
 
+def _keyed_orders(t):
+    """Orders with the molecule that all their records belong to; far fewer than records, so molecules are looked up for them."""
+    return t.orders.withColumns({"umi": F.col("o_custkey").cast("string"), "seq": F.col("o_orderpriority")})
+
+
 @query("umi_extract", "SELECT page_id, CASE WHEN contains(url, '/') THEN nullif(trim(split_part(url, '/', -1)), '') END AS umi FROM pages")
 def umi_extract(t):
     return t.pages.select("page_id", umi_of(F.col("url"), "/").alias("umi"))
@@ -173,13 +178,16 @@ def posterior_string(t):
     FROM aln a JOIN pick ON a.umi = pick.umi AND a.seq = pick.seq AND a.rname = pick.transcript) WHERE rk = 1""")
 def dedup_first(t):
     picks = R.hard_pick(_post(t), eps=1e-9)
-    return R.deduplicate(t.aln, picks, ["start", "as", "part", "nm", "qname"]).select("umi", "seq", F.col("rname").alias("transcript"), "start", F.col("as").alias("l_quantity"))
+    orders = _keyed_orders(t).join(picks.select("umi", "seq", "transcript"), ["umi", "seq"]).drop("umi", "seq")
+    rows = t.alignments("transcript", orders=orders).where("rname = transcript").drop("transcript")
+    return R.deduplicate(rows, picks, ["start", "as", "part", "nm", "qname"]).select("umi", "seq", F.col("rname").alias("transcript"), "start", F.col("as").alias("l_quantity"))
 
 
 @query("unassigned_records", "WITH RECURSIVE " + PICK + " SELECT qname, umi, seq, rname, a.a_s, a.nm, a.start, a.part FROM aln a WHERE NOT EXISTS (SELECT 1 FROM pick WHERE pick.umi = a.umi AND pick.seq = a.seq AND round(pick.posterior, 4) >= 0.5)")
 def unassigned_records(t):
     picks = R.hard_pick(_post(t), eps=1e-9).where("round(posterior, 4) >= 0.5")
-    return R.unassigned(t.aln, picks).select("qname", "umi", "seq", "rname", F.col("as").alias("a_s"), "nm", "start", "part")
+    orders = R.unassigned(_keyed_orders(t), picks).drop("umi", "seq")
+    return t.alignments(orders=orders).select("qname", "umi", "seq", "rname", F.col("as").alias("a_s"), "nm", "start", "part")
 
 
 for _how, _sql in {

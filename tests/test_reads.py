@@ -98,6 +98,19 @@ def test_edges_of_the_tables_are_pruned_without_another_shuffle(spark):
     assert "hashpartitioning(qname" not in plan and "hashpartitioning(umi" in plan
 
 
+@pytest.mark.parametrize("name", ["unassigned_records", "dedup_first"])
+def test_records_are_not_shuffled_by_molecule(spark, name):
+    """Molecules are looked up for orders; a shuffle by molecule carries no record that the look-up did not leave."""
+    import re
+
+    from tagtally.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if re.search(r"Join (LeftAnti|Inner)", line) and "l_orderkey" in line]
+    below = plan[plan.index(joins[-1]) :]
+    assert "o_custkey" in below and re.search(r"Join (LeftAnti|Inner).*umi", below)
+
+
 def test_em_singletons_and_empty(spark):
     got = {r["transcript"]: r["count"] for r in R.estimate(edges_of(spark, [[("a", 1)], [("a", 1)], [("b", 2)]])).collect()}
     assert got == pytest.approx({"a": 2, "b": 1})
