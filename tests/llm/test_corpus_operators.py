@@ -416,6 +416,49 @@ def test_toxicity_trains_beside_long_texts(spark, monkeypatch):
     assert model["embedding"] is not None
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    """Insults of few texts each, in groups too small to hold most of them: all are counted, and held-out texts with any of them are found."""
+    from tagtally.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(700):
+        w = [f"n{rng.randrange(300)}" for _ in range(60)]
+        toxic = int(i < 300)
+        if toxic:
+            w[7] = w[21] = f"{'abcdefghij'[i % 10]}{'klm'[i // 10 % 3]}insult"
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, toxic))
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    held = [i for i in out if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(out[i] == (i < 300) for i in held) >= 0.98 * len(held)
+    monkeypatch.setattr(toxicity, "GROUP_ROWS", 50)
+    training = toxicity._training(docs, labels, "doc_id", "text")
+    counts, n = toxicity._counted(training)
+    assert n.sum(0).tolist() == [sum(i not in held for i in range(300, 700)), sum(i not in held for i in range(300))]
+    word = toxicity._folded().words(np.frombuffer(b"akinsult", np.uint8), np.array([0, 8]))[0]
+    row = toxicity._buckets(word, word)[0][0]
+    assert counts[:, 1, row].sum() >= sum("akinsult" in t for i, t, _ in rows if i not in held)
+    assert training.select("__g").distinct().count() > 6 and training.rdd.getNumPartitions() > 6
+
+
+def test_toxicity_peaks_by_parts(monkeypatch):
+    from tagtally.llm import toxicity as m
+
+    rng = np.random.default_rng(4)
+    c = m.Classifier()
+    c.embedding[:] = rng.normal(0, 1, c.embedding.shape)
+    bounds = np.array([0, 3, 3, 40, 41, 100])
+    rows = [rng.integers(1, m.BUCKETS, 100).astype(np.int32) for _ in range(3)]
+    pooled, peaks = c._peaks(*rows, bounds)
+    for size in (1, 2, 7, 38):
+        monkeypatch.setattr(m, "PART", size)
+        again, places = c._peaks(*rows, bounds)
+        assert np.allclose(again, pooled, atol=1e-5) and all((a == b).all() for a, b in zip(peaks, places))
+
+
 def test_media(spark, texts):
     from tagtally.llm import media
 
