@@ -136,16 +136,59 @@ def text_slices(batch, name: str, most: int = 16 << 20):
         first = last
 
 
+#: Edges of a graph that one task may hold (16 bytes each); a larger one is contracted in rounds until it has no more.
+FEW_EDGES = 100_000
+
+
+def _least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a graph in order, and the smallest node of each one's component."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = place[: len(u)], place[len(u) :], np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = lo != hi
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, hi[apart], lo[apart])  # a root gets a smaller one, so there are no circles
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _few_components(live: DataFrame) -> DataFrame:
+    """``(label, m)``: the smallest node of each node's component, for a graph of at most ``FEW_EDGES``, in one task."""
+
+    def label(batches):
+        import pyarrow as pa
+
+        rows = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+        if rows:
+            nodes, least = _least_nodes(*(np.concatenate(c) for c in zip(*rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["label", "m"])
+
+    return live.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(label, "label long, m long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)``; label is the smallest node of the component.
 
     Each round maps a node to the smallest node of its closed neighbourhood and contracts the graph, so the
     smallest node of a component always survives and the number of rounds is logarithmic. The minimum is
     aggregated before the shuffle, and joins go around hot nodes and labels; nothing is gathered on the driver but counts.
+    When no more than ``FEW_EDGES`` are left, one task ends the work, instead of rounds of many jobs on almost nothing.
     """
     live = durable(edges.where("u <> v").select("u", "v").distinct())
     total = None
-    while live.take(1):
+    while left := live.count():
+        if left <= FEW_EDGES:
+            step = durable(_few_components(live))
+            if total is None:
+                return step.toDF("node", "label")
+            total = spread_join(total, step, "label", hot_keys(total, "label"), "left")
+            return durable(total.select("node", F.coalesce("m", "label").alias("label")))
         both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")))
         if total is None:
@@ -172,6 +215,8 @@ def merged_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.join(known, F.col("u") == F.col("n"), "left").select(F.coalesce("l", "u").alias("u"), "v")
     ends = ends.join(known, F.col("v") == F.col("n"), "left").select("u", F.coalesce("l", "v").alias("v"))
     joined = connected_components(ends)
+    if not joined.take(1):
+        return classes
     step = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
     old = spread_join(classes, step, "label", hot_keys(classes, "label"), "left").select("node", F.coalesce("final", "label").alias("label"))
     # Ends that had no class before come as their own labels.

@@ -459,6 +459,27 @@ def test_toxicity_peaks_by_parts(monkeypatch):
         assert np.allclose(again, pooled, atol=1e-5) and all((a == b).all() for a, b in zip(peaks, places))
 
 
+def test_components_end_in_one_task(spark, monkeypatch):
+    """A small graph, a long path with it, takes a few jobs; a round before the last task finds the same components."""
+    from tagtally.llm import _common
+
+    rng = random.Random(3)
+    path, others = [(i, i + 1) for i in range(-40, 120)], [(500, k) for k in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(45)] + [(7, 7)]
+    for few, pairs in ((100_000, path + others), (60, others)):
+        least = {x: x for p in pairs for x in p if p[0] != p[1]}
+        for _ in least:
+            for u, v in pairs:
+                if u != v:
+                    least[u] = least[v] = min(least[u], least[v])
+        monkeypatch.setattr(_common, "FEW_EDGES", few)
+        spark.sparkContext.setJobGroup(f"components {few}", "")
+        found = _common.connected_components(spark.createDataFrame(pairs, "u long, v long"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {few}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.node: r.label for r in found.collect()} == least and found.count() == len(least)
+        assert few < 100_000 or jobs < 10
+
+
 def test_media(spark, texts):
     from tagtally.llm import media
 
