@@ -65,3 +65,27 @@ def test_resampling_queries_run_all_rounds(spark, monkeypatch):
     assert all(abs(x * 501 - round(x * 501)) < 1e-3 for x in p)
     p = QUERIES["permanova"](spark, SF).first().p
     assert abs(p * 5000 - round(p * 5000)) < 1e-6 and rounds == {"bootstrap_gc": 500, "permutation_gc": 500, "permanova": 4999}
+
+
+def test_the_moderated_test_decides_what_is_permuted(spark, monkeypatch):
+    """Sites over the effect that fail the error rate are background, and what the query says of each position follows from that."""
+    import numpy as np
+
+    from tagtally.plans import chains
+
+    seen, real = [], chains.K.motif_sites
+    monkeypatch.setattr(chains.K, "motif_sites", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    got = {r.k_pos: r for r in QUERIES["motif_permutation"](spark, SF).collect()}
+    sites = seen[0]["sites"].toPandas()
+    over, passed = sites.beta > chains.EFFECT, sites.padj < 0.05
+    assert (over & passed).any() and (over & ~passed).any() and (sites.hit == (over & passed)).all()
+    words = sites[sites.sequence_context.str.fullmatch("[ACGT]{7}", na=False)]
+    sizes = words.groupby("stratum").hit.agg(["sum", "count"])
+    words = words[words.stratum.isin(sizes.index[(sizes["sum"] > 0) & (sizes["sum"] < sizes["count"])])]
+    gc = np.array([[b in "GC" for b in w] for w in words.sequence_context])
+    hit = words.hit.to_numpy(bool)
+    assert len(got) == 7 and np.allclose([got[k + 1].observed for k in range(7)], gc[hit].mean(0) - gc[~hit].mean(0), atol=1e-6)
+    # Where no site passes, nothing is a hit and there is nothing to permute.
+    fitted = chains.K.V.moderated
+    monkeypatch.setattr(chains.K.V, "moderated", lambda fit: fitted(fit).withColumn("padj", chains.F.lit(0.99)))
+    assert QUERIES["motif_permutation"](spark, SF).count() == 0
